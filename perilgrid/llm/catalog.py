@@ -7,15 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from perilgrid.llm.bpe import op9_bpe_codec
+from perilgrid.llm.decontam import op8_decontaminate
+from perilgrid.llm.licenses import op4_license_scan
+from perilgrid.llm.lines import OP5_SQL, op5_line_dedup
 from perilgrid.llm.quality import op3_quality_rules
+from perilgrid.llm.simhash import op7_simhash
 from perilgrid.llm.tokens import op6_token_counts
 from perilgrid.llm.urls import OP2_SQL, op2_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_url_filters, op3_quality_rules, op6_token_counts, op9_bpe_codec)
+    found = (
+        op2_url_filters,
+        op3_quality_rules,
+        op4_license_scan,
+        op5_line_dedup,
+        op6_token_counts,
+        op7_simhash,
+        op8_decontaminate,
+        op9_bpe_codec,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL}
+    return {"op2_url_filters": OP2_SQL, "op5_line_dedup": OP5_SQL}
