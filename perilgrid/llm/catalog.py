@@ -12,12 +12,14 @@ from perilgrid.llm.licenses import op4_license_scan
 from perilgrid.llm.lines import OP5_SQL, op5_line_dedup
 from perilgrid.llm.quality import op3_quality_rules
 from perilgrid.llm.simhash import op7_simhash
+from perilgrid.llm.substrings import OP1_SQL, op1_substring_dedup
 from perilgrid.llm.tokens import op6_token_counts
 from perilgrid.llm.urls import OP2_SQL, op2_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_substring_dedup,
         op2_url_filters,
         op3_quality_rules,
         op4_license_scan,
@@ -31,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_line_dedup": OP5_SQL}
