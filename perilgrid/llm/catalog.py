@@ -10,6 +10,7 @@ from perilgrid.llm.bpe import op9_bpe_codec
 from perilgrid.llm.decontam import op8_decontaminate
 from perilgrid.llm.licenses import op4_license_scan
 from perilgrid.llm.lines import OP5_SQL, op5_line_dedup
+from perilgrid.llm.phrases import op10_suffix_dedup
 from perilgrid.llm.quality import op3_quality_rules
 from perilgrid.llm.simhash import op7_simhash
 from perilgrid.llm.substrings import OP1_SQL, op1_substring_dedup
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_simhash,
         op8_decontaminate,
         op9_bpe_codec,
+        op10_suffix_dedup,
     )
     return {f.__name__: f for f in found}
 
