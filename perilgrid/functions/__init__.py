@@ -1 +1 @@
-
+"""Scalar functions and fixed values."""
