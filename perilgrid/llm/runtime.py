@@ -1,61 +1,23 @@
-"""What the training-data operators share: frozen intermediate tables, shipping of the package, Arrow helpers.
-
-A *frozen* table is a Parquet table in the folder that the cluster names in ``spark.checkpoint.dir``. It cuts lineage the
-way ``checkpoint()`` does: a lost executor never costs more than the step that is running.
-"""
+"""What the training-data operators share: shipping of the package and Arrow helpers."""
 
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-
-#: Blanks that separate words; ``bytes.split()`` splits at exactly these.
-BLANKS = b" \t\n\x0b\x0c\r"
-
-_own_dir: str | None = None
-
+from pyspark.sql import SparkSession
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, as in tests, a folder of this process that goes with it."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="perilgrid-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
+from perilgrid.sources.frozen import Frozen, shared_dir
 
+__all__ = ["BLANKS", "Frozen", "shared_dir", "ship", "slices", "texts_of"]
 
-class Frozen:
-    """Writes intermediate tables and removes those that are no longer needed."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Removes tables, and the shuffle files of finished steps that nothing refers to any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
-
+#: Blanks that separate words; ``bytes.split()`` splits at exactly these.
+BLANKS = b" \t\n\x0b\x0c\r"
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, whatever the folder they start in."""

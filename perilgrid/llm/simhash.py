@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilgrid.llm.components import connected_components
 from perilgrid.llm.hashing import U64
 from perilgrid.llm.runtime import Frozen, ship, slices, texts_of
+from perilgrid.operators.components import connected_components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 _EVEN = U64(0x5555555555555555)
