@@ -1 +1 @@
-
+"""Operators: tables in, tables out."""

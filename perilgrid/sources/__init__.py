@@ -1 +1 @@
-
+"""Sources: CSV files, forecasts, images, settings, and frozen intermediate tables."""

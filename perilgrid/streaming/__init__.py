@@ -1 +1 @@
-
+"""Streams of status events."""
