@@ -69,7 +69,8 @@ def _with_drops(docs: DataFrame, frozen: Frozen, min_sites: int) -> DataFrame:
         .groupBy("row")
         .agg(F.collect_set("pos").alias("drop"))
     )
-    return docs.withColumn("row", _row_key()).join(drops, "row", "left").drop("row")
+    # a hash table of the decisions: the texts stream by, unsorted
+    return docs.withColumn("row", _row_key()).join(drops.hint("shuffle_hash"), "row", "left").drop("row")
 
 
 def _keep(text: bytes, drop: list[int] | None) -> bytes:

@@ -19,8 +19,13 @@ __all__ = ["BLANKS", "Frozen", "shared_dir", "ship", "slices", "texts_of"]
 #: Blanks that separate words; ``bytes.split()`` splits at exactly these.
 BLANKS = b" \t\n\x0b\x0c\r"
 
+#: Bytes of an Arrow batch between the JVM and Python, so that long texts don't add up to large batches.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, whatever the folder they start in."""
+    """Gives the executors this package, whatever the folder they start in, and bounds Arrow batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_perilgrid_shipped", False):
         return
