@@ -87,14 +87,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_
     frozen = Frozen(spark, "lines")
     names, at = docs.columns, docs.columns.index("text")
     plain = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"))
-    marked = _with_drops(plain, frozen, min_sites).select("text", "drop", "all")
+    marked = _with_drops(plain, frozen, min_sites).select("drop", "all")
     schema = marked.select("all.*").schema
 
     def run(batches):
-        for batch in slices(batches):
-            kept = [_keep(t, d) for t, d in zip(texts_of(batch.column("text")), batch.column("drop").to_pylist(), strict=True)]
-            null = batch.column("text").is_null().to_pylist()
+        for batch in batches:
             columns = batch.column("all").flatten()
+            kept = [_keep(t, d) for t, d in zip(texts_of(columns[at]), batch.column("drop").to_pylist(), strict=True)]
+            null = columns[at].is_null().to_pylist()
             columns[at] = pa.array([None if x else k.decode() for k, x in zip(kept, null, strict=True)], pa.string())
             yield pa.record_batch(columns, names=names)
 
