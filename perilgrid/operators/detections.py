@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import class_weight, overlap, severity
@@ -121,7 +120,7 @@ def unletterbox(boxes: DataFrame) -> DataFrame:
     )
 
 
-DECODED = T.StructType.fromDDL("image_id bigint, det_id bigint, class_id int, class_name string, confidence double, cx double, cy double, w double, h double")
+DECODED = "image_id bigint, det_id bigint, class_id int, class_name string, confidence double, cx double, cy double, w double, h double"
 
 
 def decode_output(outputs: DataFrame, classes: list[str] | None = None, least: float = fixed.CONFIDENCE) -> DataFrame:
