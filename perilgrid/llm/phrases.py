@@ -147,11 +147,14 @@ class Sorted:
         out[self.order] = values
         return out
 
-    def leads(self) -> np.ndarray:
-        """Which items are the first of their group."""
-        out = np.zeros(len(self.order), bool)
-        out[self.order[self.first]] = True
-        return out
+    def leads(self, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which items are the first of their group: in a document of the group's smallest doc_id, and the first one there.
+        ``doc`` is the place of each item's document in ``ids``."""
+        if not len(self.order):
+            return np.empty(0, bool)
+        doc = doc[self.order]
+        head = np.r_[True, (self.group[1:] != self.group[:-1]) | (doc[1:] != doc[:-1])]
+        return self.back(head & (ids[doc] == ids[doc[self.first]][self.group]))
 
 
 @dataclass
@@ -205,11 +208,11 @@ class Parse:
         at, s, _ = self.ask_contexts(batch, rounds, answers)
         later = np.zeros(len(self.key), bool)
         if len(at):
-            later[at] = ~(s.leads() & (s.back(answers.of(rounds.context)[s.group]) > 0))
+            later[at] = ~(s.leads(self.doc[at], batch.ids) & (s.back(answers.of(rounds.context)[s.group]) > 0))
         return later, several & ~later
 
     def ask_suffixes(self, batch: Batch, rounds: Rounds, chosen: np.ndarray):
-        """The suffixes of the chosen phrases: (piece, place) of each in corpus order, sorted hashes and questions."""
+        """The suffixes of the chosen phrases: (piece, place, document) of each in corpus order, sorted hashes and questions."""
         number, place, one, two, doc = [], [], [], [], []
         start = 0
         for k, p in enumerate(pieces(batch)):
@@ -226,7 +229,7 @@ class Parse:
         number, place, doc = (np.concatenate([none, *x]) for x in (number, place, doc))
         one, two = (np.concatenate([np.empty(0, U64), *x]) for x in (one, two))
         s = Sorted.of(rounds.suffix, one, two)
-        return number, place, s, Questions(s.high, s.low, exchange.first_of(batch.ids[doc[s.order[s.first]]]))
+        return number, place, doc, s, Questions(s.high, s.low, exchange.first_of(batch.ids[doc[s.order[s.first]]]))
 
 
 def _phrase_answers(group: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -242,8 +245,8 @@ def _kept(batch: Batch, rounds: Rounds, answers: Answers) -> Iterator[tuple[int,
     """For every document: bytes, removed bytes, removed runs, what is left."""
     parse = Parse.of(batch)
     later, chosen = parse.firsts(batch, rounds, answers)
-    number, place, s, _ = parse.ask_suffixes(batch, rounds, chosen)
-    again = ~(s.leads() & (s.back(answers.of(rounds.suffix)[s.group]) > 0)) if len(place) else np.empty(0, bool)
+    number, place, doc, s, _ = parse.ask_suffixes(batch, rounds, chosen)
+    again = ~(s.leads(doc, batch.ids) & (s.back(answers.of(rounds.suffix)[s.group]) > 0)) if len(place) else np.empty(0, bool)
     number, place = number[again], place[again]
     start = 0
     for k, p in enumerate(pieces(batch)):
@@ -266,9 +269,8 @@ def drop_repeated_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A byte goes if it is covered by a string of ``SPAN`` bytes that also starts earlier: in a document with a smaller doc_id,
     or earlier in the same one. Strings never cross documents and are judged on the input. A null text counts as empty. Rows
-    of equal doc_id are judged against smaller ones and against themselves, not against each other; unless they meet in one
-    batch, where the later of two repeated rows counts as later. A null doc_id counts as larger than all others. Other columns
-    are left out; no rows give no rows."""
+    of equal doc_id are judged against smaller ones and against themselves, not against each other. A null doc_id counts as
+    larger than all others. Other columns are left out; no rows give no rows."""
     frozen = Frozen(spark, "phrases")
     batches, size = exchange.pack_batches(spark, docs, frozen)
     buckets = size // exchange.BUCKET_BYTES + 1
@@ -284,7 +286,7 @@ def drop_repeated_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def suffixes(b: Batch, got: Answers) -> Questions:
         parse = Parse.of(b)
-        return parse.ask_suffixes(b, rounds, parse.firsts(b, rounds, got)[1])[3]
+        return parse.ask_suffixes(b, rounds, parse.firsts(b, rounds, got)[1])[4]
 
     both = first.unionByName(second)
     third = exchange.run_round(batches, frozen, rounds.suffix, suffixes, exchange.owner, 8, both)
