@@ -102,9 +102,7 @@ def case_history(events: DataFrame, case_id: int) -> DataFrame:
 
 def display(cases: DataFrame) -> DataFrame:
     """Flags as texts."""
-    from perilgrid.functions.fixed import DONE_LABELS, SAMPLE_LABELS
-
-    flags = {"ai_available": DONE_LABELS, "is_sample_data": SAMPLE_LABELS}
+    flags = {"ai_available": fixed.DONE_LABELS, "is_sample_data": fixed.SAMPLE_LABELS}
     return cases.withColumns({c: flag_text(F.col(c), t) for c, t in flags.items() if c in cases.columns})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import haversine
+from perilgrid.functions.columns import haversine, strip
 
 #: Cells are this much wider than the radius, so that rounding loses no pair.
 SLACK = 1.0001
@@ -100,8 +100,6 @@ def road_key(damage: DataFrame) -> str | None:
 
 def importance_table(damage: DataFrame, key: str | None = None) -> DataFrame:
     """key and count: damages of each road segment, blanks left out."""
-    from perilgrid.functions.columns import strip
-
     key = key or road_key(damage)
     if key is None:
         return damage.limit(0).select(F.lit("").alias("key"), F.lit(0).cast("long").alias("count"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import clamp, density_score, rain_score, road_score, zone_score
+from perilgrid.functions.columns import clamp, density_score, rain_score, road_score, strip, zone_score
 from perilgrid.operators import geo
 
 NAMES = tuple(fixed.WEIGHTS)
@@ -93,7 +93,7 @@ def target_scores(
         most = table.agg(F.max("count").alias("most"))
         out = out.join(geo.representative_roads(pairs, key), "target_id", "left")
         table = table.select(F.col("key").alias("_key"), F.col("count").alias("_count"))
-        out = out.join(table, F.regexp_replace("road_key", r"(?U)^\s+|\s+$", "") == F.col("_key"), "left")
+        out = out.join(table, strip(F.col("road_key")) == F.col("_key"), "left")
         out = out.join(F.broadcast(most), F.lit(True), "left")  # one row
         out = out.withColumn("road_importance", road_score(F.col("road_key"), F.col("_count"), F.col("most"))).drop("_key", "_count", "most")
     is_photo = F.coalesce(F.col("is_photo"), F.lit(False)) if "is_photo" in targets.columns else F.lit(False)

@@ -45,10 +45,9 @@ def reduce_items(items: DataFrame) -> DataFrame:
 def items_of_json(payloads: DataFrame) -> DataFrame:
     """Items (request_id, pos, ...) from the service's answers (request_id, payload)."""
     schema = f"struct<response:struct<body:struct<items:struct<item:array<{ITEM}>>>>>"
-    parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
-    return payloads.select("request_id", F.posexplode(parsed.getField("response").getField("body").getField("items").getField("item")).alias("pos", "item")).select(
-        "request_id", "pos", "item.*"
-    )
+    parsed = F.from_json("payload", schema)
+    items = parsed.getField("response").getField("body").getField("items").getField("item")
+    return payloads.select("request_id", F.posexplode(items).alias("pos", "item")).select("request_id", "pos", "item.*")
 
 
 def fetch(spark: SparkSession, key: str | None, base_date: str, base_time: str, nx: int = 60, ny: int = 121, timeout: float = 8.0) -> dict:
