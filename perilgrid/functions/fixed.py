@@ -86,3 +86,19 @@ BELOW = "미만"
 
 #: Labels of flags.
 DONE_LABELS, SAMPLE_LABELS = ("예", "아니오"), ("샘플", "실데이터")
+
+#: Labels of the case list.
+CASE_LABELS = {
+    "id": "번호",
+    "created_at": "접수시각",
+    "status": "처리상태",
+    "lat": "위도",
+    "lon": "경도",
+    "road_address": "도로명",
+    "ai_available": "AI 분석 수행",
+    "ai_top_class": "AI 최고 유형",
+    "ai_top_confidence": "AI 신뢰도",
+    "ai_risk_score": "우선순위 점수",
+    "reviewer_judgement": "담당자 확인 결과",
+    "is_sample_data": "샘플데이터",
+}

@@ -106,6 +106,12 @@ def display(cases: DataFrame) -> DataFrame:
     return cases.withColumns({c: flag_text(F.col(c), t) for c, t in flags.items() if c in cases.columns})
 
 
+def labelled(cases: DataFrame) -> DataFrame:
+    """The list as people read it: known columns only, with their labels."""
+    shown = display(cases)
+    return shown.select(*(F.col(c).alias(label) for c, label in fixed.CASE_LABELS.items() if c in shown.columns))
+
+
 def stops_to_requests(route: DataFrame, stops: DataFrame) -> DataFrame:
     """One request for each stop of a route (route_id, order array<int>), in the order of visits."""
     visits = route.select("route_id", F.posexplode("order").alias("seq", "pos"))

@@ -91,10 +91,21 @@ def cluster_cells(spark: SparkSession, counts: DataFrame, eps_m: float, min_samp
     return frozen(inner.unionByName(border), "clusters")
 
 
+#: What can be asked for; a hierarchical method isn't at hand, and asking for it gives the density method, as ``auto`` does.
+ALGORITHMS = {"auto": "DBSCAN", "dbscan": "DBSCAN", "hdbscan": "DBSCAN"}
+
+
 def cluster_points(
-    spark: SparkSession, points: DataFrame, eps_m: float = fixed.EPS_M, min_samples: int = fixed.MIN_SAMPLES, lat0: float | None = None
+    spark: SparkSession,
+    points: DataFrame,
+    eps_m: float = fixed.EPS_M,
+    min_samples: int = fixed.MIN_SAMPLES,
+    lat0: float | None = None,
+    algorithm: str = "auto",
 ) -> DataFrame:
     """Adds ``cluster`` (-1: noise). Fewer points than ``max(2, min_samples)`` are all noise; no points give no rows."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"no such algorithm: {algorithm}")
     if points.limit(max(2, min_samples)).count() < max(2, min_samples):
         return points.withColumn("cluster", F.lit(-1).cast("long"))
     frozen = Frozen(spark, "cluster")

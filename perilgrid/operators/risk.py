@@ -110,3 +110,17 @@ def target_scores(
 def priority(damage: DataFrame, zones: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """Targets ranked by total risk, the smaller target_id first among equals."""
     return with_risk(target_scores(damage, zones, targets, **options)).orderBy(F.desc("risk.total"), "target_id")
+
+
+def with_photo_target(targets: DataFrame, lat: float, lon: float, road: str = "") -> DataFrame:
+    """The targets and the place of an analysed photo, behind the others."""
+    spark, last = targets.sparkSession, targets.agg(F.max("target_id")).first()[0]
+    photo = spark.createDataFrame(
+        [((-1 if last is None else last) + 1, float(lat), float(lon), road, True)], "target_id bigint, lat double, lon double, road_address string, is_photo boolean"
+    )
+    return targets.withColumn("is_photo", F.lit(False)).unionByName(photo, allowMissingColumns=True)
+
+
+def route_candidates(targets: DataFrame, n: int = 5) -> DataFrame:
+    """The stops that a route starts out with: the first targets in their own order, not by score."""
+    return targets.orderBy("target_id").limit(n)

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
 
@@ -90,6 +91,32 @@ def anonymize(image: np.ndarray, faces: list[tuple[int, int, int, int]] | None)
     return image.copy(), {"face_status": "performed", "plate_status": "not performed"}
 
 
+def cover_faces(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(image_id, shape, pixels) with the boxes (image_id, x, y, w, h) of each image covered. Pixels are raw bytes in rows; an
+    image without boxes stays as it is."""
+    wanted = boxes.groupBy("image_id").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("boxes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for shape, pixels, some in zip(b["shape"], b["pixels"], b["boxes"], strict=True):
+                image = np.frombuffer(pixels, np.uint8).reshape([int(k) for k in shape])
+                for box in some if some is not None else ():
+                    image = mosaic(image, *(int(box[k]) for k in ("x", "y", "w", "h")))
+                out.append(image.tobytes())
+            yield pd.DataFrame({"image_id": b["image_id"], "shape": b["shape"], "pixels": out})
+
+    joined = images.join(wanted, "image_id", "left").select("image_id", "shape", "pixels", "boxes")
+    return joined.mapInPandas(run, "image_id bigint, shape array<int>, pixels binary")
+
+
+def write_images(covered: DataFrame, path: str, originals: DataFrame | None = None) -> None:
+    """Writes covered images; originals only where they are given, which a setting must allow."""
+    covered.write.mode("append").parquet(f"{path}/covered")
+    if originals is not None:
+        originals.write.mode("append").parquet(f"{path}/original")
+
+
 def find_model(folder: str, environ: Mapping[str, str] | None = None) -> str | None:
     """A model file: the one that MODEL_PATH names, else best.onnx, else best.pt; other kinds don't count."""
     named = (environ if environ is not None else os.environ).get("MODEL_PATH", "").strip()

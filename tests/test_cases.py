@@ -64,6 +64,7 @@ def test_list_and_display(spark):
     assert [r["id"] for r in C.list_cases(rows, "접수", 2).collect()] == [9, 7]
     assert C.list_cases(rows).count() == 10
     assert C.display(rows).filter("id = 3").first()["ai_available"] == "예"
+    assert C.labelled(rows).columns == ["번호", "처리상태", "AI 분석 수행"]
 
 
 def test_unknown_events_fail(spark):

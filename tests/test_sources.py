@@ -129,6 +129,15 @@ def test_mosaic_changes_its_region_only():
     assert len(np.unique(images.mosaic(image, 0, 0, 100, 100).reshape(-1, 3), axis=0)) <= 100
 
 
+def test_covering(spark, tmp_path):
+    image = np.random.default_rng(1).integers(0, 255, (20, 20, 3), np.uint8)
+    rows = spark.createDataFrame([(1, [20, 20, 3], image.tobytes()), (2, [20, 20, 3], image.tobytes())], "image_id long, shape array<int>, pixels binary")
+    boxes = spark.createDataFrame([(1, 2, 3, 15, 15)], "image_id long, x int, y int, w int, h int")
+    images.write_images(images.cover_faces(rows, boxes), f"{tmp_path}/out")
+    got = {r["image_id"]: bytes(r["pixels"]) for r in spark.read.parquet(f"{tmp_path}/out/covered").collect()}
+    assert got[1] == images.mosaic(image, 2, 3, 15, 15).tobytes() != image.tobytes() and got[2] == image.tobytes()
+
+
 def test_privacy_is_honest():
     image = np.zeros((10, 10, 3), np.uint8)
     assert images.anonymize(image, None) == (None, {"face_status": "unavailable", "plate_status": "not performed"})

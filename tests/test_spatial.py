@@ -78,6 +78,12 @@ def test_photo_counts_at_its_place_only(spark):
     assert {r["target_id"]: r["photo_severity"] for r in got} == {0: None, 1: 80.0}
 
 
+def test_photo_target_and_candidates(spark):
+    targets = risk.with_photo_target(places(spark, [(1.0, 1.0)] * 7, "target_id"), 2.0, 3.0)
+    assert [tuple(r)[:3] for r in targets.filter("is_photo").collect()] == [(7, 2.0, 3.0)]
+    assert [r["target_id"] for r in risk.route_candidates(targets).collect()] == [0, 1, 2, 3, 4]
+
+
 def brute_dbscan(points, eps, least):
     lat0 = math.radians(np.mean([p[0] for p in points]))
     size = max(eps / 4, 1)
@@ -114,7 +120,9 @@ def test_clusters(spark, eps, least, seed):
 def test_too_few_points_are_noise(spark):
     got = cluster.cluster_points(spark, places(spark, [(37.4, 126.9)] * 3))
     assert [r["cluster"] for r in got.collect()] == [-1] * 3
-    assert cluster.cluster_points(spark, places(spark, [(37.4, 126.9)]).limit(0)).count() == 0
+    assert cluster.cluster_points(spark, places(spark, [(37.4, 126.9)]).limit(0), algorithm="hdbscan").count() == 0
+    with pytest.raises(ValueError, match="no such algorithm"):
+        cluster.cluster_points(spark, places(spark, [(37.4, 126.9)]), algorithm="x")
 
 
 def test_offsets():
