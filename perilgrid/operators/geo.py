@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import haversine, strip
+from perilgrid.sources.frozen import Frozen
 
 #: Cells are this much wider than the radius, so that rounding loses no pair.
 SLACK = 1.0001
@@ -62,12 +63,14 @@ def nearest(points: DataFrame, targets: DataFrame, start_m: float = 1000.0, grow
     """target_id and nearest_m, the distance to the nearest point; null without points.
 
     Targets that find a point within a radius are done; the others try again with a radius ``grow`` times as large. Beyond a
-    thousand kilometres the few that are left are compared with all points, as a stated query set in blocks."""
-    found, open_targets, radius = None, targets.select("target_id", "lat", "lon"), start_m
+    thousand kilometres the few that are left are compared with all points, as a stated query set in blocks. Each round is
+    frozen, so no round repeats another's work."""
+    frozen, found, open_targets, radius = Frozen(points.sparkSession, "nearest"), None, targets.select("target_id", "lat", "lon"), start_m
     while radius <= 1e6:
         here = within(points, open_targets, radius).groupBy("target_id").agg(F.min("dist_m").alias("nearest_m"))
+        here = frozen(here, f"within-{radius:.0f}")
         found = here if found is None else found.unionByName(here)
-        open_targets = open_targets.join(found.select("target_id"), "target_id", "left_anti")
+        open_targets = open_targets.join(here.select("target_id"), "target_id", "left_anti")
         if open_targets.isEmpty():
             break
         radius *= grow

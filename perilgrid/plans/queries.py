@@ -10,6 +10,7 @@ from perilgrid.functions import fixed
 from perilgrid.operators import cases, clean, cluster, detections, filters, geo, risk, route
 from perilgrid.plans import fixtures as fx
 from perilgrid.sources import weather
+from perilgrid.sources.frozen import Frozen
 
 Spark = SparkSession
 
@@ -27,6 +28,11 @@ def _damage(s: Spark, d: str) -> DataFrame:
     return clean.clean_damage(fx.view(s, d, fx.DAMAGE), subset=["source", "category_no"]).kept
 
 
+def _damage_once(s: Spark, d: str) -> DataFrame:
+    """The same as a frozen table, for queries that read it several times."""
+    return Frozen(s, "damage")(_damage(s, d), "kept")
+
+
 def _zones(s: Spark, d: str) -> DataFrame:
     return clean.clean_zones(fx.view(s, d, fx.ZONES)).kept
 
@@ -135,7 +141,7 @@ def road_importance(s, d):
 
 
 def representative_road(s, d):
-    damage = _damage(s, d)
+    damage = _damage_once(s, d)
     return geo.representative_roads(geo.within(damage, _targets(s, d)), geo.road_key(damage))
 
 
@@ -168,19 +174,19 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def priority_manual(s, d):
     here = s.createDataFrame([(0, *fixed.CENTRE)], "target_id bigint, lat double, lon double")
-    return _ranked(risk.priority(_damage(s, d), _zones(s, d), here))
+    return _ranked(risk.priority(_damage_once(s, d), _zones(s, d), here))
 
 
 def priority_zones(s, d):
-    return _ranked(risk.priority(_damage(s, d), _zones(s, d), _targets(s, d)))
+    return _ranked(risk.priority(_damage_once(s, d), _zones(s, d), _targets(s, d)))
 
 
 def _clustered(s, d):
-    return cluster.cluster_points(s, _damage(s, d))
+    return cluster.cluster_points(s, _damage_once(s, d))
 
 
 def priority_top(s, d):
-    damage = _damage(s, d)
+    damage = _damage_once(s, d)
     top = cluster.top_clusters(cluster.cluster_summary(cluster.cluster_points(s, damage)))
     return _ranked(risk.priority(damage, _zones(s, d), top.withColumnRenamed("cluster", "target_id")))
 
