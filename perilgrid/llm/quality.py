@@ -140,16 +140,17 @@ class Head:
 
 
 def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-    """Accelerated gradient descent on the weighted logistic loss; the last column of x is 1."""
+    """Accelerated gradient descent on the weighted logistic loss; the last column of x is 1, rows of weight 0 don't count."""
     w = v = np.zeros(x.shape[1], np.float32)
-    rate = 4 / max(1e-6, float((weight[:, None] * x * x).sum() / max(1, weight.sum())))
+    total = np.float32(max(1e-6, weight.sum()))
+    rate = np.float32(4 / max(1e-6, float(weight @ np.einsum("ij,ij->i", x, x)) / total))
     momentum = 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -40, 40)))
-        grad = x.T @ (weight * (p - y)) / weight.sum() + ridge * v
+        grad = (weight * (p - y) / total) @ x + np.float32(ridge) * v
         new = v - rate * grad
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-        v, w, momentum = new + (momentum - 1) / after * (new - w), new, after
+        v, w, momentum = new + np.float32((momentum - 1) / after) * (new - w), new, after
     return w
 
 
@@ -157,14 +158,16 @@ def fit_head(x: np.ndarray, y: np.ndarray, held_out: np.ndarray, ridge: float =
     """Fits on the rows that aren't held out, calibrates on those that are. None if a class has no row on either side."""
     if not len(y) or any(len(set(y[rows])) < 2 for rows in (held_out, ~held_out)):
         return None
-    scale = 1 / np.sqrt(x[~held_out].mean(0) + 1e-4)
-    design = np.hstack([x * scale, np.ones((len(x), 1))]).astype(np.float32)
+    ours = (~held_out).astype(np.float32)
+    scale = (1 / np.sqrt((ours @ x) / ours.sum() + 1e-4)).astype(np.float32)
+    design = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(x, scale, out=design[:, :-1])
     share = y[~held_out].mean()
-    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    w = _descend(design[~held_out], y[~held_out], balance[~held_out], ridge, steps)
-    score = design[held_out] @ w
+    w = _descend(design, y, ours * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32), ridge, steps)
+    score = (design @ w)[held_out]
     spread = max(1e-3, float(score.std()))
-    ab = _descend(np.stack([score / spread, np.ones(len(score))], 1).astype(np.float32), y[held_out], np.ones(held_out.sum(), np.float32), 1e-3, 300)
+    line = np.stack([score / spread, np.ones(len(score), np.float32)], 1).astype(np.float32)
+    ab = _descend(line, y[held_out], np.ones(len(score), np.float32), 1e-3, 300)
     if ab[0] <= 0:
         ab = np.array([spread, 0], np.float32)
     return Head((w[:-1] * scale).astype(np.float32), float(w[-1]), float(ab[0] / spread), float(ab[1]))
