@@ -106,21 +106,23 @@ def cells(fp: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def link_cell(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between distinct fingerprints of one cell, as pairs of places. A fingerprint is compared
-    with those that nothing reached yet, so a dense group costs little more than its size."""
+    """The components of one cell's distinct fingerprints, in order: pairs of places, of a component's smallest fingerprint and
+    of each other one. A fingerprint is compared with those that nothing reached yet, so a dense group costs little more than
+    its size."""
     x = unary(embed(fp))
     rest, left, right = np.arange(1, len(fp)), [], []
-    waiting = [0]
+    waiting, first = [0], 0
     while len(rest):
         if not waiting:
-            waiting, rest = [int(rest[0])], rest[1:]
+            first, rest = int(rest[0]), rest[1:]
+            waiting = [first]
             continue
         i = waiting.pop()
         near = np.flatnonzero(np.bitwise_count(x[rest] ^ x[i]) <= distance)
         near = near[np.bitwise_count(fp[rest[near]] ^ fp[i]) <= distance]
         if len(near):
             got = rest[near]
-            left.append(np.full(len(got), i))
+            left.append(np.full(len(got), first))
             right.append(got)
             waiting += got.tolist()
             rest = np.delete(rest, near)
