@@ -1,8 +1,8 @@
 """Quality rules: fixed counts, and a hashed n-gram logistic regression trained on labelled rows.
 
-Features are the relative frequencies of hashed word 1- and 2-grams and of hashed byte 3- and 4-grams. Two heads are fitted
-on the same rows: quality (which decides) and toxicity (reported). Both are calibrated on rows left out of the fit and hold
-against fixed thresholds. Texts are scored in Arrow batches with the weights alone, without a feature vector for each text.
+Features are the relative frequencies of hashed word 1- and 2-grams and of hashed byte 3- and 4-grams. Probabilities are
+calibrated on rows left out of the fit and hold against a fixed threshold. Texts are scored in Arrow batches with the weights
+alone, without a feature vector for each text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ WORD_SLOTS, CHAR_SLOTS = 1 << 12, 1 << 13
 SLOTS = WORD_SLOTS + CHAR_SLOTS
 #: The bound of the labelled sample, in rows: those with the smallest hash of doc_id.
 SAMPLE = 2500
-KEEP_FROM, TOXIC_FROM = 0.5, 0.5
+KEEP_FROM = 0.5
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
@@ -79,7 +79,7 @@ class Features:
         return [(x := np.flatnonzero(row).astype(np.int32), row[x]) for row in total]
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        """The sums of weight * frequency of one head, for each text."""
+        """The sums of weight * frequency, for each text."""
         top = np.zeros((2, len(self.texts)))
         n = np.zeros((2, len(self.texts)))
         for slot, good, at in self.slots():
@@ -173,20 +173,14 @@ def fit_head(x: np.ndarray, y: np.ndarray, held_out: np.ndarray, ridge: float =
     return Head((w[:-1] * scale).astype(np.float32), float(w[-1]), float(ab[0] / spread), float(ab[1]))
 
 
-@dataclass
-class QualityModel:
-    quality: Head | None
-    toxic: Head | None
-
-
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Fits on at most ``sample`` labelled texts. Labels without a text, or null, are left out; of several labels of one
-    document the smallest counts. Without both classes a head is missing, and what it decides lets every text pass."""
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Head | None:
+    """Fits the quality classifier on at most ``sample`` labelled texts. Labels without a text, or null, are left out; of several labels of one
+    document the smallest counts. Without both classes there is no classifier (None), and the base rules alone decide."""
     ship(spark)
     chosen = (
         labels.filter("doc_id is not null and quality is not null")
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
+        .agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
@@ -200,51 +194,43 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                 [
                     batch.column("doc_id"),
                     batch.column("quality").cast(pa.int32()),
-                    batch.column("toxic").cast(pa.int32()),
                     pa.array([x.astype(np.uint16).tobytes() for x, _ in got], pa.binary()),
                     pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary()),
                 ],
-                names=["doc_id", "quality", "toxic", "slots", "shares"],
+                names=["doc_id", "quality", "slots", "shares"],
             )
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, toxic int, slots binary, shares binary").toArrow().sort_by("doc_id").to_pylist()
+    got = rows.mapInArrow(run, "doc_id long, quality int, slots binary, shares binary").toArrow().sort_by("doc_id").to_pylist()
     got = got[: 2 * sample]  # repeated documents
     x = np.zeros((len(got), SLOTS), np.float32)
     for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["shares"], np.float32)
     ids = np.array([r["doc_id"] for r in got], np.int64).astype(U64)
     held = (mix(ids) & U64(3)) == 0
-    heads = []
-    for name in ("quality", "toxic"):
-        y = np.array([r[name] or 0 for r in got], np.float32)
-        heads.append(fit_head(x, y, held))
-    return QualityModel(*heads)
+    return fit_head(x, np.array([r["quality"] for r in got], np.float32), held)
 
 
 OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64())]
     + [("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())]
-    + [("quality_prob", pa.float64()), ("toxic", pa.bool_())]
+    + [("quality_prob", pa.float64())]
 )
 DDL = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, quality_prob double, toxic boolean"
+    "kept boolean, quality_prob double"
 )
 
 
-def judge(batch: pa.RecordBatch, model: QualityModel, store: WordHashes) -> dict[str, np.ndarray]:
+def judge(batch: pa.RecordBatch, model: Head | None, store: WordHashes) -> dict[str, np.ndarray]:
     f = Features(texts_of(batch.column("text")), store)
     out = f.base()
     out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
-    n = len(f.texts)
-    out["quality_prob"] = model.quality.probability(f.scores(model.quality.weights)) if model.quality else np.ones(n)
-    toxic = model.toxic.probability(f.scores(model.toxic.weights)) if model.toxic else np.zeros(n)
-    out["toxic"] = toxic >= TOXIC_FROM
+    out["quality_prob"] = model.probability(f.scores(model.weights)) if model else np.ones(len(f.texts))
     out["kept"] = ~out["base_failed"] & (out["quality_prob"] >= KEEP_FROM)
     return out
 
 
-def score(spark: SparkSession, docs: DataFrame, model: QualityModel) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: Head | None) -> DataFrame:
     """Counts and decisions for every whole text (columns: ``DDL``). A null or empty text has no words and fails the base
     rule. Repeated rows and null doc_ids keep their rows; other columns are left out; no rows give no rows."""
     ship(spark)
@@ -258,7 +244,7 @@ def score(spark: SparkSession, docs: DataFrame, model: QualityModel) -> DataFram
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, DDL)
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, model: QualityModel) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, model: Head | None) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
     ship(spark)
 

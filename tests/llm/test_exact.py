@@ -180,7 +180,7 @@ def brute_quality(t):
 
 def test_quality_counts(spark):
     texts = [t for t in corpus() if len(t or "") < 9000]
-    got = quality.score(spark, frame(spark, texts), quality.QualityModel(None, None)).collect()
+    got = quality.score(spark, frame(spark, texts), None).collect()
     assert sorted(tuple(r)[:7] for r in got) == [(i, *brute_quality(t)) for i, t in enumerate(texts)]
     assert all(r["kept"] != r["base_failed"] for r in got)  # without a model every text passes
 
@@ -193,10 +193,10 @@ def test_quality_model(spark):
     docs = frame(spark, good + bad + [None])
     labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(0, 181) if i % 3], "doc_id long, quality int, toxic int")
     model = quality.train(spark, docs, labels)
-    assert model.toxic is None  # one class only
     kept = {r["doc_id"]: r["kept"] for r in quality.score(spark, docs, model).collect()}
     held_out = [i for i in range(180) if i % 3 == 0]
     assert sum(kept[i] == (i < 120) for i in held_out) >= 0.95 * len(held_out) and kept[180] is False
     rows = quality.keep_good(spark, docs, model)
     assert rows.columns == docs.columns and {r["doc_id"] for r in rows.collect()} == {i for i, k in kept.items() if k}
-    assert quality.train(spark, docs, labels.limit(0)).quality is None
+    assert quality.train(spark, docs, labels.limit(0)) is None
+    assert quality.train(spark, docs, labels.filter("quality = 1")) is None  # one class only
