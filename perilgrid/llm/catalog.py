@@ -10,7 +10,7 @@ from perilgrid.llm.bpe import op9_bpe_codec
 from perilgrid.llm.decontam import op8_decontaminate
 from perilgrid.llm.licenses import op4_license_scan
 from perilgrid.llm.lines import OP5_SQL, op5_line_dedup
-from perilgrid.llm.phrases import op10_suffix_dedup
+from perilgrid.llm.phrases import OP10_SQL, op10_suffix_dedup
 from perilgrid.llm.quality import op3_quality_rules
 from perilgrid.llm.simhash import op7_simhash
 from perilgrid.llm.substrings import OP1_SQL, op1_substring_dedup
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_line_dedup": OP5_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -307,3 +307,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` without the byte strings that occur earlier."""
     got = drop_repeated_bytes(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, {2 * SPAN})) AS k FROM (SELECT doc_id, h, unnest(range(0, n - {SPAN - 1})) AS s FROM d WHERE n >= {SPAN})),
+f AS (SELECT k, min(row(doc_id, s)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT w.doc_id, w.s FROM w JOIN f USING (k) WHERE row(w.doc_id, w.s) <> f.first),
+r AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {SPAN} THEN 0 ELSE 1 END AS new FROM g),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM r),
+u AS (SELECT doc_id, run, min(s) AS a, max(s) + {SPAN} AS b FROM i GROUP BY doc_id, run),
+p AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM u),
+x AS (SELECT p.doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+"""
