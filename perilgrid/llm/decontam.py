@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilgrid.llm.hashing import U64
-from perilgrid.llm.runtime import Frozen, ship, slices, texts_of
+from perilgrid.llm.runtime import ship, slices, texts_of
 
 Q = 8
 #: Passages have at most so many bytes and start every so many; shorter items are one passage, and those under LEAST are no
 #: evidence of a leak and are left out.
-LENGTH, STRIDE, LEAST = 160, 80, 48
+LENGTH, STRIDE, LEAST = 128, 64, 48
 #: The edit budget as a share of a passage's length.
-ERRORS = 0.08
+ERRORS = 0.07
 #: Bytes of benchmark text that one scan of the documents holds; larger benchmarks are scanned in blocks.
 BLOCK = 4 << 20
 _BITS = 22
@@ -76,7 +76,7 @@ class Index:
         self.budget = (self.size * ERRORS).astype(np.int64)
         self.need = np.maximum(1, self.size - Q + 1 - Q * self.budget)
         self.kinds = []  # passages of like length: (shortest need, longest region, members)
-        edges = [LEAST, 64, 80, 100, 128, LENGTH, LENGTH + 1]
+        edges = [LEAST, 64, 80, 100, LENGTH, LENGTH + 1]
         for low, high in zip(edges, edges[1:], strict=False):
             if len(own := np.flatnonzero((self.size >= low) & (self.size < high))):
                 self.kinds.append((int(self.need[own].min()), int((self.size + self.budget)[own].max()), own))
@@ -150,15 +150,14 @@ def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
     raw = np.frombuffer(data, np.uint8)
     for unit, low, width in index.candidates(data):
         pattern = index.units[unit]
-        most, middle = int(index.budget[unit]), low + width // 2
-        for t in {int(np.searchsorted(starts, max(0, x), "right")) - 1 for x in (low, middle, low + width + len(pattern))}:
-            if t >= len(clean):
-                continue
-            a, b = int(starts[t]), int(starts[t]) + len(clean[t])
-            got = align(np.frombuffer(pattern, np.uint8), raw[a:b], low - most - a, width + 2 * most, most)
-            if got is not None:
-                own = found.setdefault((t, int(index.items[unit])), {})
-                own[unit] = min(got, own.get(unit, most))
+        most = int(index.budget[unit])
+        inner = low + width + most  # inside of every region that the band can hold
+        t = min(int(np.searchsorted(starts, max(0, inner), "right")) - 1, len(clean) - 1)
+        a, b = int(starts[t]), int(starts[t]) + len(clean[t])
+        got = align(np.frombuffer(pattern, np.uint8), raw[a:b], low - most - a, width + 2 * most, most)
+        if got is not None:
+            own = found.setdefault((t, int(index.items[unit])), {})
+            own[unit] = min(got, own.get(unit, most))
     return [(t, item, len(own), min(own.values())) for (t, item), own in sorted(found.items())]
 
 

@@ -174,6 +174,17 @@ def test_contamination(spark):
     assert decontam.contaminated(spark, docs, benchmark.limit(0)).count() == 0 and decontam.drop_contaminated(spark, docs.limit(0), benchmark).count() == 0
 
 
+def test_documents_that_are_passages():
+    rng = random.Random(13)
+    items = [decontam.normalise(prose(rng, n).encode()) for n in (10, 14, 22, 40, 60)]
+    units = sorted((i, u) for i, t in enumerate(items) for u in decontam.passages(t))
+    index = decontam.Index([u for _, u in units], np.array([i for i, _ in units]))
+    for _ in range(20):
+        which = [rng.randrange(-1, 5) for _ in range(12)]
+        texts = [b"" if k < 0 else items[k][rng.randint(0, 1) : len(items[k]) - rng.randint(0, 1)] for k in which]
+        assert {(t, i) for t, i, *_ in decontam.find(index, texts)} == {(t, k) for t, k in enumerate(which) if k >= 0}
+
+
 def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     rng = random.Random(10)
     items = [prose(rng, 40) for _ in range(12)]
