@@ -155,27 +155,29 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, ste
 
 
 def fit_head(x: np.ndarray, y: np.ndarray, held_out: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> Head | None:
-    """Fits on the rows that aren't held out, calibrates on those that are. None if a class has no row on either side."""
+    """Fits on the rows that aren't held out, calibrates on those that are. None if a class has no row on either side. The last
+    column of x is 1; the others are scaled in place."""
     if not len(y) or any(len(set(y[rows])) < 2 for rows in (held_out, ~held_out)):
         return None
     ours = (~held_out).astype(np.float32)
     scale = (1 / np.sqrt((ours @ x) / ours.sum() + 1e-4)).astype(np.float32)
-    design = np.ones((len(x), x.shape[1] + 1), np.float32)
-    np.multiply(x, scale, out=design[:, :-1])
+    scale[-1] = 1
+    x *= scale
     share = y[~held_out].mean()
-    w = _descend(design, y, ours * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32), ridge, steps)
-    score = (design @ w)[held_out]
+    w = _descend(x, y, ours * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32), ridge, steps)
+    score = (x @ w)[held_out]
     spread = max(1e-3, float(score.std()))
     line = np.stack([score / spread, np.ones(len(score), np.float32)], 1).astype(np.float32)
     ab = _descend(line, y[held_out], np.ones(len(score), np.float32), 1e-3, 300)
     if ab[0] <= 0:
         ab = np.array([spread, 0], np.float32)
-    return Head((w[:-1] * scale).astype(np.float32), float(w[-1]), float(ab[0] / spread), float(ab[1]))
+    return Head((w * scale)[:-1].astype(np.float32), float(w[-1]), float(ab[0] / spread), float(ab[1]))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Head | None:
-    """Fits the quality classifier on at most ``sample`` labelled texts. Labels without a text, or null, are left out; of several labels of one
-    document the smallest counts. Without both classes there is no classifier (None), and the base rules alone decide."""
+    """Fits the quality classifier on at most ``sample`` labelled texts. Labels without a text, or null, are left out; of
+    several labels, or texts, of one doc_id the smallest counts. Without both classes there is no classifier (None), and the
+    base rules alone decide."""
     ship(spark)
     chosen = (
         labels.filter("doc_id is not null and quality is not null")
@@ -200,9 +202,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                 names=["doc_id", "quality", "slots", "shares"],
             )
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, slots binary, shares binary").toArrow().sort_by("doc_id").to_pylist()
-    got = got[: 2 * sample]  # repeated documents
-    x = np.zeros((len(got), SLOTS), np.float32)
+    found = rows.mapInArrow(run, "doc_id long, quality int, slots binary, shares binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("slots", "shares", "quality")).alias("row"))  # one text for each doc_id
+    got = found.select("doc_id", "row.*").toArrow().sort_by("doc_id").to_pylist()
+    x = np.zeros((len(got), SLOTS + 1), np.float32)
+    x[:, -1] = 1
     for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["slots"], np.uint16)] = np.frombuffer(r["shares"], np.float32)
     ids = np.array([r["doc_id"] for r in got], np.int64).astype(U64)
