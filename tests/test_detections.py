@@ -57,6 +57,14 @@ def test_area_ratio(spark):
     assert D.area_ratios(frame(spark, *boxes), 32, 32).first()["ratio"] == pytest.approx(mask.mean())
 
 
+def test_wide_images(spark):
+    boxes = [(0.5, (3, 0, 59.6, 2)), (0.5, (60, 1, 121, 3)), (0.5, (0, 2, 400, 3)), (0.5, (119, 0, 120, 1))]
+    mask = np.zeros((5, 300), bool)
+    for _, (x1, y1, x2, y2) in boxes:
+        mask[round(y1) : round(y2), round(x1) : round(x2)] = True
+    assert D.area_ratios(frame(spark, *boxes), 300, 5).first()["ratio"] == pytest.approx(mask.mean())
+
+
 def test_half_edges_go_to_even(spark):
     assert D.area_ratios(frame(spark, (0.5, (0.5, 0, 2.5, 1))), 10, 10).first()["ratio"] == pytest.approx(0.02)
     assert D.area_ratios(frame(spark, (0.5, (5, 5, 5, 5))), 10, 10).first()["ratio"] == 0
