@@ -7,7 +7,6 @@ way ``checkpoint()`` does: a lost executor never costs more than the step that i
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -41,10 +40,8 @@ class Frozen:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Removes tables, and the shuffle files of finished steps that nothing refers to any more."""
+        """Removes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
