@@ -27,11 +27,12 @@ SHINGLE, DISTANCE, SEED = 4, 4, 42
 _EVEN = U64(0x5555555555555555)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text: A-Z lower-cased (all that bytes.lower() does), blank-separated words, shingles with repeats, XXH64."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of a text's shingles, with repeats: A-Z lower-cased (all that bytes.lower() does), blank-separated words; a text
+    of fewer words is one shingle, and one without words has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(line, SEED)]
@@ -40,7 +41,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts = [0, *ends[:-1].tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
-    h = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a text's shingles; 0 if it has none."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         set_bits += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -215,6 +223,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def rows_of(docs: DataFrame, prints: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that (kept_id, kept_key) name, one of equal ones; ``prints`` has doc_id and key of every row."""
+    names = docs.columns
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    unique = prints.groupBy("doc_id", "key").count().filter("count > 1").limit(1).isEmpty()
+    return (rows if unique else rows.dropDuplicates(["id", "key"])).select("all.*")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns. Among equal doc_ids of a group the
     smallest hash of the text decides, and of equal rows one stays; null doc_ids come last."""
@@ -224,11 +241,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, dista
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     kept = prints.join(found, "fp").groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     kept = frozen(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")), "kept")
-    names = docs.columns
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("all"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
-    unique = prints.groupBy("doc_id", "key").count().filter("count > 1").limit(1).isEmpty()
-    return (rows if unique else rows.dropDuplicates(["id", "key"])).select("all.*")
+    return rows_of(docs, prints, kept)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
