@@ -140,7 +140,8 @@ def unplanes(data: bytes, at: int, count: int, n: int) -> np.ndarray:
 
 @dataclass
 class Questions:
-    """A batch's distinct hashes in order, and for each an ``extra`` number that the bucket needs (of ``extra_bytes``)."""
+    """A batch's distinct hashes in order, and for each an ``extra`` number that the bucket needs (of ``extra_bytes``; over 8
+    bytes, two columns, of which the first has 8)."""
 
     high: np.ndarray
     low: np.ndarray
@@ -160,6 +161,7 @@ def run_round(
 
     ``ask`` gives a batch's questions, knowing the answers of earlier rounds. ``answer`` gets, for one bucket, the number of
     the group of equal hashes and the extra of each question, ordered by group, and gives the answers as small integers."""
+    parts_of_extra = [min(8, extra_bytes), *([extra_bytes - 8] if extra_bytes > 8 else [])]
     schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
     def questions(key, data, answers):
@@ -172,7 +174,8 @@ def run_round(
             parts = [planes(q.high[a:b], min(8, this.bytes))]
             if this.bytes > 8:
                 parts.append(planes(q.low[a:b], this.bytes - 8))
-            parts.append(planes(q.extra[a:b], extra_bytes))
+            columns = q.extra[a:b].reshape(b - a, -1).T
+            parts += [planes(x, n) for x, n in zip(columns, parts_of_extra, strict=True)]
             rows.append(zstandard.ZstdCompressor(level=1).compress(b"".join(parts)))
         return pa.table([pa.array(np.full(len(cut), key), pa.int64()), pa.array(bucket[cut], pa.int64()), pa.array(ends - cut, pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
@@ -185,7 +188,9 @@ def run_round(
             data = zstandard.ZstdDecompressor().decompress(data.as_py())
             high.append(unplanes(data, 0, n, first := min(8, this.bytes)))
             low.append(unplanes(data, n * first, n, this.bytes - 8) if this.bytes > 8 else np.zeros(n, U64))
-            extra.append(unplanes(data, n * this.bytes, n, extra_bytes))
+            ends = np.cumsum([this.bytes, *parts_of_extra])
+            columns = [unplanes(data, n * int(at), n, k) for at, k in zip(ends, parts_of_extra, strict=False)]
+            extra.append(np.stack(columns, 1) if len(columns) > 1 else columns[0])
         high, low, extra = np.concatenate(high), np.concatenate(low), np.concatenate(extra)
         order = this.order(high, low)
         high, low = high[order], low[order]

@@ -96,6 +96,26 @@ def test_repeated_bytes(spark, monkeypatch, seed, batch):
     assert sorted(got, key=str) == sorted(brute_bytes(list(zip(ids, texts, strict=True))), key=str)
 
 
+def test_contexts_whose_hashes_agree_in_16_bits(spark, monkeypatch):
+    monkeypatch.setattr(exchange.pack_batches, "__defaults__", (500,))
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = letters(110)
+    texts, seen, pairs = [], {}, []
+    for _ in range(4000):
+        texts.append(letters(250) + passage + letters(250))
+        parse = phrases.Parse.of(exchange.Batch([0], [False], [texts[-1].encode()]))
+        for key, one in zip(parse.key.tolist(), parse.one.tolist(), strict=True):
+            other = seen.setdefault((key, one >> 48), (one, texts[-1]))
+            if other[0] != one:
+                pairs.append((other[1], texts[-1]))
+    assert pairs
+    for a, b in pairs[:3]:
+        rows = [(0, a), (1, b)]
+        got = [(*r[:4], bytes(r[4])) for r in phrases.drop_repeated_bytes(spark, frame(spark, [a, b])).collect()]
+        assert sorted(got) == sorted(brute_bytes(rows)) and sum(r[2] for r in got) >= len(passage)
+
+
 def test_triggers_depend_on_nearby_bytes():
     import numpy as np
 
