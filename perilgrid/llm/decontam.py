@@ -1,8 +1,16 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
-Benchmark items are cut into passages. If a region of a document is within ``e`` edits of a passage of m bytes, the two share
-at least ``m - q + 1 - q * e`` q-grams, on diagonals at most e apart. Shared q-grams are counted in overlapping diagonal
-bands, bands that meet the bound are retained, and a banded alignment verifies them.
+Benchmark items are cut into passages of ``LENGTH`` bytes, one every ``STRIDE``. If a region of a document is within ``EDITS``
+edits of a passage, the two share at least ``LENGTH - Q + 1 - Q * EDITS`` q-grams, on diagonals that differ by at most EDITS.
+
+1. A bitmap of the benchmark's q-grams goes to every task. The only pass over the documents keeps the regions that are dense
+   enough in q-grams of any item; the same region of many documents is one row from there on.
+2. Regions and items are joined on q-grams and shared ones are counted by aggregation. Each passage is indexed by its rarest
+   q-grams only, as many as a region within the budget must share some of, so that common q-grams join nothing.
+3. For the pairs left, shared q-grams are counted in overlapping diagonal bands, bands that meet the bound are retained, and a
+   banded alignment verifies all of a batch at once. Passages found side by side must cover ``LEAST`` bytes of the item.
+
+Shorter items are found unchanged, as whole words, and those of one or two words only as a whole document.
 """
 
 from __future__ import annotations
@@ -11,23 +19,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilgrid.llm.hashing import U64
-from perilgrid.llm.runtime import ship, slices, texts_of
-
-Q = 8
-#: Passages have at most so many bytes and start every so many; shorter items are one passage, and those under LEAST are no
-#: evidence of a leak and are left out.
-LENGTH, STRIDE, LEAST = 128, 64, 48
-#: The edit budget as a share of a passage's length.
-ERRORS = 0.07
-#: Bytes of benchmark text that one scan of the documents holds; larger benchmarks are scanned in blocks.
-BLOCK = 4 << 20
-_BITS = 22
+from perilgrid.llm.runtime import Frozen, ship, slices, texts_of
+
+Q, LENGTH, STRIDE, LEAST = 8, 44, 4, 48
+#: Edits in a passage.
+EDITS = 2
+NEED = LENGTH - Q + 1 - Q * EDITS
+#: How many more q-grams than the bound asks for a passage is indexed by; a pair must share as many more.
+SLACK = 8
+#: Regions are cut into pieces of so many bytes that overlap by more than LEAST and its edits.
+PIECE, OVERLAP = 1024, 64
+#: Slots of the bitmap for each byte of benchmark text, and its size at most (64 MB): beyond, it only passes more.
+SLOTS, MOST_BITS = 16, 26
+#: Passages that are counted, and bands that are aligned, at once.
+BLOCK, TOGETHER = 128, 4096
 _SPREAD = U64(0x9E3779B97F4A7C15)
 _FOLD = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
+_START, _END = b"\x02\x02\x02 ", b" \x03\x03\x03"
 
 
 def normalise(text: bytes) -> bytes:
@@ -35,14 +48,21 @@ def normalise(text: bytes) -> bytes:
     return b" ".join(text.decode("utf-8", "replace").lower().encode().translate(_FOLD).split())
 
 
-def passages(text: bytes) -> list[bytes]:
-    text = normalise(text)
-    if len(text) < LEAST:
-        return []
-    starts = list(range(0, max(1, len(text) - LENGTH + 1), STRIDE))
-    if starts[-1] + LENGTH < len(text):
-        starts.append(len(text) - LENGTH)
-    return [text[s : s + LENGTH] for s in starts]
+def framed(clean: bytes) -> bytes:
+    """A document with marks that no text has at both ends."""
+    return _START + clean + _END
+
+
+def passages(clean: bytes) -> tuple[list[tuple[int, bytes]], bool]:
+    """(place, passage) of a normalised item, and whether they must be found unchanged."""
+    if len(clean) < LEAST:
+        short = b" " + clean + b" "
+        whole = clean.count(b" ") < 2 or len(short) < Q
+        return ([(0, framed(clean) if whole else short)] if clean else []), True
+    starts = list(range(0, len(clean) - LENGTH + 1, STRIDE))
+    if starts[-1] + LENGTH < len(clean):
+        starts.append(len(clean) - LENGTH)
+    return [(s, clean[s : s + LENGTH]) for s in starts], False
 
 
 def codes(data: bytes) -> np.ndarray:
@@ -55,167 +75,324 @@ def codes(data: bytes) -> np.ndarray:
     return out
 
 
+def slots(code: np.ndarray, bits: int) -> np.ndarray:
+    return (code * _SPREAD >> U64(64 - bits)).astype(np.int64)
+
+
+def dense(data: bytes, ends: np.ndarray, bitmap: np.ndarray, bits: int, run: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """(document, start, end, its q-grams that hit) of the pieces of regions that may hold a passage. ``data`` are framed
+    documents that end at ``ends``; the bitmap has bit 0 for q-grams of long items and bit 1 for those of short ones, of which
+    ``run`` in a row are needed (0: there are none)."""
+    code = codes(data)
+    flags = bitmap[slots(code, bits)]
+    edge = np.zeros(len(data) + 1, np.int32)
+    for bit, need, span in ((1, NEED, LENGTH + EDITS - Q + 1), (2, run, run)):
+        if not need:
+            continue
+        sums = np.zeros(len(code) + 1, np.int32)
+        np.cumsum(flags & bit > 0, out=sums[1:])
+        span = min(span, len(code))
+        at = np.flatnonzero(sums[span:] - sums[:-span] >= need)
+        if len(at):
+            cut = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+            np.add.at(edge, at[cut], 1)
+            np.add.at(edge, at[np.r_[cut[1:] - 1, len(at) - 1]] + span + Q - 1, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    if not inside.any():
+        return []
+    first, last = np.r_[True, ~inside[:-1]], np.r_[~inside[1:], True]
+    first[ends[:-1]] = last[ends - 1] = True  # no region goes on into the next document
+    out = []
+    for a, b in zip(np.flatnonzero(inside & first).tolist(), (np.flatnonzero(inside & last) + 1).tolist(), strict=True):
+        doc = int(np.searchsorted(ends, a, "right"))
+        for x in range(a, max(a + 1, b - OVERLAP), PIECE - OVERLAP):
+            y = min(b, x + PIECE)
+            if y - x >= Q:
+                own = slice(x, y - Q + 1)
+                out.append((doc, x, y, np.unique(code[own][flags[own] > 0])))
+    return out
+
+
 @dataclass
 class Index:
-    """The q-grams of some passages: sorted codes, and for each its places (passage, offset)."""
+    """The q-grams of some distinct passages, of which ``offsets`` are the places in the item: sorted codes, and for each its
+    places (passage, place in it)."""
 
     units: list[bytes]
-    items: np.ndarray
+    offsets: list[list[int]]
 
     def __post_init__(self):
         got = [codes(u) for u in self.units]
-        code = np.concatenate(got) if got else np.empty(0, U64)
+        code = np.concatenate(got)
         unit = np.repeat(np.arange(len(got)), [len(g) for g in got])
-        off = np.concatenate([np.arange(len(g)) for g in got]) if got else np.empty(0, np.int64)
+        off = np.concatenate([np.arange(len(g)) for g in got])
         order = np.argsort(code, kind="stable")
-        self.unit, self.off = unit[order].astype(np.int32), off[order].astype(np.int32)
+        self.unit, self.off = unit[order], off[order]
         self.code, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[(self.code * _SPREAD >> U64(64 - _BITS)).astype(np.int64)] = True
-        self.size = np.array([len(u) for u in self.units], np.int64)
-        self.budget = (self.size * ERRORS).astype(np.int64)
-        self.need = np.maximum(1, self.size - Q + 1 - Q * self.budget)
-        self.kinds = []  # passages of like length: (shortest need, longest region, members)
-        edges = [LEAST, 64, 80, 100, LENGTH, LENGTH + 1]
-        for low, high in zip(edges, edges[1:], strict=False):
-            if len(own := np.flatnonzero((self.size >= low) & (self.size < high))):
-                self.kinds.append((int(self.need[own].min()), int((self.size + self.budget)[own].max()), own))
-
-    def candidates(self, data: bytes):
-        """(passage, lowest diagonal, diagonals) of bands that meet their passage's bound."""
-        code = codes(data)
-        if not len(code) or not len(self.code):
-            return
-        hit = self.maybe[(code * _SPREAD >> U64(64 - _BITS)).astype(np.int64)]
-        sums = np.zeros(len(hit) + 1, np.int32)
-        np.cumsum(hit, out=sums[1:])
-        for need, reach, own in self.kinds:
-            w = min(reach, len(hit))
-            dense = np.flatnonzero(sums[w:] - sums[:-w] >= need)
-            if not len(dense):
-                continue
-            edge = np.zeros(len(hit) + 1, np.int32)
-            cut = np.flatnonzero(np.r_[True, np.diff(dense) > 1])
-            np.add.at(edge, dense[cut], 1)
-            np.add.at(edge, dense[np.r_[cut[1:] - 1, len(dense) - 1]] + w, -1)
-            at = np.flatnonzero(hit & (np.cumsum(edge[:-1]) > 0))
-            k = np.searchsorted(self.code, code[at])
-            k[k == len(self.code)] = 0
-            real = self.code[k] == code[at]
-            at, k = at[real], k[real]
-            n = self.count[k]
-            place = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            unit = self.unit[place]
-            mine = np.isin(unit, own)
-            unit, diagonal = unit[mine], (np.repeat(at, n) - self.off[place])[mine] + LENGTH
-            width = 2 * self.budget[unit] + 1
-            band = diagonal // width
-            key = np.concatenate([unit.astype(np.int64) << 40 | band, unit.astype(np.int64) << 40 | (band - 1)])
-            key, times = np.unique(key, return_counts=True)
-            for x in key[times >= self.need[key >> 40]].tolist():
-                u, b = x >> 40, x & ((1 << 40) - 1)
-                width = 2 * int(self.budget[u]) + 1
-                yield u, b * width - LENGTH, 2 * width
-
-
-def align(unit: np.ndarray, region: np.ndarray, low: int, width: int, most: int) -> int | None:
-    """The least edits between the unit and a part of the region, along diagonals (place in region - place in unit) from low
-    on, width of them; None if over ``most``. One row of the band at a time."""
-    m, n = len(unit), len(region)
-    far = m + n
-    steps = np.arange(width)
-    places = low + steps  # ends in the region before row i, when shifted by i
-    row = np.where((places >= 0) & (places <= n), 0, far)
+
+    def bands(self, code: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, lowest diagonal) of the bands of 2 * (2 * EDITS + 1) diagonals that meet the bound, for passages not found
+        unchanged, in a region of these q-grams."""
+        k = np.searchsorted(self.code, code)
+        k[k == len(self.code)] = 0
+        at = np.flatnonzero(self.code[k] == code)
+        k = k[at]
+        n = self.count[k]
+        place = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else n
+        unit, diagonal = self.unit[place], np.repeat(at, n) - self.off[place] + LENGTH
+        mine = missing[unit]
+        unit, band = unit[mine], diagonal[mine] // (2 * EDITS + 1)
+        key = np.concatenate([unit << 32 | band, unit << 32 | np.maximum(0, band - 1)])
+        key, times = np.unique(key, return_counts=True)
+        key = key[times >= NEED]
+        return key >> 32, (key & (1 << 32) - 1) * (2 * EDITS + 1) - LENGTH
+
+
+@dataclass
+class Item:
+    """A normalised item's distinct passages in blocks."""
+
+    blocks: list[Index]
+    exact: bool
+
+    @staticmethod
+    def of(clean: bytes) -> Item:
+        found, exact = passages(clean)
+        places: dict[bytes, list[int]] = {}
+        for s, u in found:
+            places.setdefault(u, []).append(s)
+        every = list(places.items())
+        return Item([Index(*map(list, zip(*every[i : i + BLOCK], strict=True))) for i in range(0, len(every), BLOCK)], exact)
+
+
+def align(units: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The least edits between each unit (a row of m letters) and a part of its window that starts on one of the window's
+    first len(window) - m + 1 diagonals, and stays there. One letter of all units at a time; 0 in a window is no letter."""
+    m = units.shape[1]
+    width = windows.shape[1] - m + 1
+    steps = np.arange(width, dtype=np.int16)
+    row = np.zeros((len(units), width), np.int16)
     for i in range(m):
-        at = places + i  # the region's letter that a diagonal step takes
-        inside = (at >= 0) & (at < n)
-        same = np.full(width, False)
-        same[inside] = region[at[inside]] == unit[i]
-        new = np.where(inside, row + ~same, far)  # letter for letter
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])  # a letter of the unit left out
-        new[(at + 1 < 0) | (at + 1 > n)] = far
-        row = np.minimum.accumulate(new - steps) + steps  # letters of the region added
-        if row.min() > most:
-            return None
-    best = int(row.min())
-    return best if best <= most else None
-
-
-def find(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """(number of the text, item, passages found, least edits)."""
-    clean = [normalise(t) for t in texts]
-    starts = np.cumsum([0, *(len(c) + 1 for c in clean)])
-    data = b"\n".join(clean)
-    found: dict[tuple[int, int], dict[int, int]] = {}
-    raw = np.frombuffer(data, np.uint8)
-    for unit, low, width in index.candidates(data):
-        pattern = index.units[unit]
-        most = int(index.budget[unit])
-        inner = low + width + most  # inside of every region that the band can hold
-        t = min(int(np.searchsorted(starts, max(0, inner), "right")) - 1, len(clean) - 1)
-        a, b = int(starts[t]), int(starts[t]) + len(clean[t])
-        got = align(np.frombuffer(pattern, np.uint8), raw[a:b], low - most - a, width + 2 * most, most)
-        if got is not None:
-            own = found.setdefault((t, int(index.items[unit])), {})
-            own[unit] = min(got, own.get(unit, most))
-    return [(t, item, len(own), min(own.values())) for (t, item), own in sorted(found.items())]
-
-
-def _blocks(spark: SparkSession, benchmark: DataFrame) -> list[Index]:
-    """The benchmark in blocks of bounded size, each fetched on its own."""
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = total // BLOCK + 1
+        new = row + (windows[:, i : i + width] != units[:, i : i + 1])  # letter for letter
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])  # a letter of the unit left out
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # letters of the window added
+    return row.min(1)
+
+
+WIDTH = 2 * (2 * EDITS + 1) + 2 * EDITS  # diagonals of a band, and EDITS on either side
+
+
+def matches(pairs: list[tuple[bytes, Item]]) -> list[dict[int, int]]:
+    """For each (region, item) the places of the item's passages that the region holds, and their least edits. Passages side by
+    side that cover fewer than LEAST bytes don't count."""
+    found: list[dict[int, int]] = [{} for _ in pairs]
+    waiting: list[tuple[int, list[int], bytes, bytes]] = []
+
+    def settle():
+        units, windows = (np.frombuffer(b"".join(x), np.uint8).reshape(len(waiting), -1) for x in zip(*(w[2:] for w in waiting), strict=True))
+        for (k, places, *_), n in zip(waiting, align(units, windows).tolist(), strict=True):
+            if n <= EDITS:
+                for s in places:
+                    found[k][s] = min(n, found[k].get(s, n))
+        waiting.clear()
+
+    for k, (region, item) in enumerate(pairs):
+        code = codes(region)
+        padded = bytes(LENGTH + EDITS) + region + bytes(WIDTH + 2 * LENGTH)
+        for index in item.blocks:
+            missing = np.ones(len(index.units), bool)
+            for u, (unit, places) in enumerate(zip(index.units, index.offsets, strict=True)):
+                if unit in region:
+                    missing[u] = False
+                    found[k].update(dict.fromkeys(places, 0))
+            if item.exact or not missing.any():
+                continue
+            for u, low in zip(*(x.tolist() for x in index.bands(code, missing)), strict=True):
+                at = low + LENGTH  # the band's lowest diagonal less EDITS, in the padded region
+                waiting.append((k, index.offsets[u], index.units[u], padded[at : at + LENGTH + WIDTH - 1]))
+                if len(waiting) >= TOGETHER:
+                    settle()
+    if waiting:
+        settle()
+    for (_, item), own in zip(pairs, found, strict=True):
+        if not item.exact and own:
+            places = np.array(sorted(own))
+            run = np.split(places, np.flatnonzero(np.diff(places) > STRIDE) + 1)
+            for part in run:
+                if part[-1] + LENGTH - part[0] < LEAST:
+                    for s in part.tolist():
+                        del own[s]
+    return found
+
+
+def find(items: list[bytes], texts: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """(number of the text, of the item, passages found, least edits), by comparing every text with every item: the operator
+    without its search, for few and short ones."""
+    known = [Item.of(normalise(t)) for t in items]
     out = []
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        units = sorted((r["item_id"], u) for r in part.toArrow().to_pylist() for u in passages(r["text"].encode()))
-        out.append(Index([u for _, u in units], np.array([i for i, _ in units], np.int64)))
+    for n, t in enumerate(texts):
+        for k, own in enumerate(matches([(framed(normalise(t)), x) for x in known])):
+            if own:
+                out.append((n, k, len(own), min(own.values())))
     return out
 
 
-HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_passages", pa.int64()), ("least_edits", pa.int64())])
+def _items(benchmark: DataFrame, frozen: Frozen) -> DataFrame:
+    """(item_id, ikey, clean): items with their normalised texts, by a hash of which equal ones are one."""
+    schema = pa.schema([("item_id", pa.int64()), ("ikey", pa.binary()), ("clean", pa.binary())])
+
+    def run(batches):
+        for batch in slices(batches):
+            clean = [normalise(t) for t in texts_of(batch.column("text"))]
+            keys = [xxhash.xxh3_128_digest(c) for c in clean]
+            yield pa.record_batch([batch.column("item_id"), pa.array(keys, pa.binary()), pa.array(clean, pa.binary())], schema=schema)
+
+    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    return frozen(rows.mapInArrow(run, "item_id long, ikey binary, clean binary").filter(F.octet_length("clean") > 0), "items")
+
+
+def _grams(distinct: DataFrame) -> DataFrame:
+    """(ikey, code, short): every distinct q-gram of each item's passages."""
+    schema = pa.schema([("ikey", pa.binary()), ("code", pa.int64()), ("short", pa.int32())])
+
+    def run(batches):
+        for batch in slices(batches, "clean"):
+            for key, clean in zip(batch.column("ikey").to_pylist(), batch.column("clean").to_pylist(), strict=True):
+                units, exact = passages(clean)
+                code = np.unique(codes(units[0][1] if exact else clean)).view(np.int64)
+                short = len(units[0][1]) - Q + 1 if exact else 0
+                yield pa.record_batch([pa.array([key] * len(code), pa.binary()), pa.array(code), pa.array(np.full(len(code), short, np.int32))], schema=schema)
+
+    return distinct.select("ikey", "clean").mapInArrow(run, "ikey binary, code long, short int")
+
+
+def _bitmap(spark: SparkSession, grams: DataFrame, n_bytes: int) -> tuple[np.ndarray, int, int]:
+    """The bitmap, its bits, and the shortest run of a short item (0 without any). At most 2**MOST_BITS slots of two bits; the
+    driver gets them eight to a number."""
+    bits = int(np.clip(np.ceil(np.log2(SLOTS * max(1, n_bytes))), 16, MOST_BITS))
+
+    def run(batches):
+        for batch in batches:
+            at = slots(batch.column("code").to_numpy().view(U64), bits)
+            flag = np.where(batch.column("short").to_numpy() > 0, 2, 1).astype(np.int64)
+            yield pa.record_batch([pa.array(at >> 3), pa.array(flag << (8 * (at & 7)))], names=["word", "flags"])
+
+    words = grams.select("code", "short").mapInArrow(run, "word long, flags long").groupBy("word").agg(F.bit_or("flags").alias("flags"))
+    table = words.toArrow()
+    out = np.zeros(1 << bits - 3, np.int64)
+    out[table.column("word").to_numpy()] = table.column("flags").to_numpy()
+    shortest = grams.filter("short > 0").agg(F.min("short")).first()[0]
+    return out.view(np.uint8), bits, shortest or 0
+
+
+def _index(distinct: DataFrame, grams: DataFrame) -> DataFrame:
+    """(code, ikey, need): the q-grams that each item is indexed by, and how many of them a region must share. Of every
+    passage the rarest q-grams are taken; one task holds one item at a time."""
+    schema = pa.schema([("code", pa.int64()), ("ikey", pa.binary()), ("need", pa.int32())])
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        code = left.column("code").to_numpy().view(U64)
+        order = np.argsort(code)
+        code, often = code[order], left.column("often").to_numpy()[order]
+        rank = np.empty(len(code), np.int64)
+        rank[np.lexsort((code, often))] = np.arange(len(code))
+        clean, key = right.column("clean")[0].as_py(), right.column("ikey")[0].as_py()
+        chosen, needs = np.zeros(len(code), bool), []
+        units, exact = passages(clean)
+        for unit in {u for _, u in units}:
+            own = np.unique(np.searchsorted(code, codes(unit)))
+            need = len(own) if exact else max(1, len(own) - Q * EDITS)
+            most = min(len(own), len(own) - need + 1 + SLACK)
+            chosen[own[np.argsort(rank[own])[:most]]] = True
+            needs.append(need - (len(own) - most))
+        code = code[chosen].view(np.int64)
+        return pa.table([pa.array(code), pa.array([key] * len(code), pa.binary()), pa.array(np.full(len(code), min(needs), np.int32))], schema=schema)
+
+    often = grams.groupBy("code").agg(F.count("*").alias("often"))
+    left = grams.join(often, "code").select("ikey", "code", "often").groupBy("ikey")
+    return left.cogroup(distinct.select("ikey", "clean").groupBy("ikey")).applyInArrow(choose, "code long, ikey binary, need int")
+
+
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, frozen: Frozen) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, x, y, rkey) of the documents' regions, and (rkey, item_id, place, edits) of the passages found in them; x and y
+    are hashes of the document's text."""
+    ship(spark)
+    items = _items(benchmark, frozen)
+    distinct = frozen(items.dropDuplicates(["ikey"]).select("ikey", "clean"), "distinct-items")
+    grams = frozen(_grams(distinct), "grams")
+    n_bytes = distinct.agg(F.sum(F.octet_length("clean"))).first()[0] or 0
+    bitmap, bits, shortest = _bitmap(spark, grams, n_bytes)
+    sent = spark.sparkContext.broadcast(bitmap)
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("rkey", pa.binary()), ("text", pa.binary()), ("codes", pa.list_(pa.int64()))])
+
+    def regions(batches):
+        bitmap = sent.value
+        for batch in slices(batches, most=1 << 20):
+            data = [framed(normalise(t)) for t in texts_of(batch.column("text"))]
+            ends = np.cumsum([len(c) for c in data])
+            data = b"".join(data)
+            got = dense(data, ends, bitmap, bits, shortest)
+            if got:
+                doc = pa.array([d for d, *_ in got])
+                parts = [data[a:b] for _, a, b, _ in got]
+                keys = [xxhash.xxh3_128_digest(p) for p in parts]
+                at = np.cumsum([0, *(len(c) for *_, c in got)]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([c for *_, c in got]).view(np.int64)))
+                own = [batch.column(c).take(doc) for c in ("doc_id", "x", "y")]
+                yield pa.record_batch([*own, pa.array(keys, pa.binary()), pa.array(parts, pa.binary()), grams], schema=schema)
+
+    rows = docs.select(docs["doc_id"].cast("long"), *text_key(), "text")
+    every = frozen(rows.mapInArrow(regions, "doc_id long, x long, y long, rkey binary, text binary, codes array<long>"), "regions")
+    once = frozen(every.groupBy("rkey").agg(F.first("text").alias("text"), F.first("codes").alias("codes")), "distinct-regions")
+    shared = once.select("rkey", F.explode("codes").alias("code")).join(frozen(_index(distinct, grams), "index"), "code")
+    pairs = shared.groupBy("rkey", "ikey").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("rkey", "ikey")
+    pairs = pairs.join(once.select("rkey", "text"), "rkey").join(distinct, "ikey")
+    verdicts = pa.schema([("rkey", pa.binary()), ("ikey", pa.binary()), ("place", pa.int64()), ("edits", pa.int64())])
+
+    def verify(batches):
+        known: dict[bytes, Item] = {}
+        for batch in slices(batches, "clean", 1 << 20):
+            rkeys, ikeys, texts, cleans = (batch.column(c).to_pylist() for c in ("rkey", "ikey", "text", "clean"))
+            for k, c in zip(ikeys, cleans, strict=True):
+                if k not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[k] = Item.of(c)
+            got = matches([(t, known.get(k) or Item.of(c)) for t, k, c in zip(texts, ikeys, cleans, strict=True)])
+            out = [(rkeys[n], ikeys[n], s, e) for n, own in enumerate(got) for s, e in own.items()]
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), verdicts, strict=True)], schema=verdicts)
+
+    verified = frozen(pairs.mapInArrow(verify, "rkey binary, ikey binary, place long, edits long"), "verified")
+    return every.select("doc_id", "x", "y", "rkey"), verified.join(items.select("item_id", "ikey"), "ikey").drop("ikey")
+
+
+def text_key() -> list:
+    """Two hashes of a text, for joins on its content."""
+    return [F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), F.col("text")).alias("y")]
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_passages, least_edits: a row for each document and benchmark item of which it holds a passage within
-    the edit budget. Null and empty texts hold none; null items, and those too short, are found nowhere; repeated rows have
-    their own result rows; other columns are left out; an empty table on either side gives no rows."""
-    ship(spark)
-    docs, out = docs.select(docs["doc_id"].cast("long"), "text"), None
-    for index in _blocks(spark, benchmark):
-
-        def run(batches, index=index):
-            for batch in slices(batches, most=1 << 20):
-                ids = batch.column("doc_id").to_pylist()
-                got = find(index, texts_of(batch.column("text")))
-                if got:
-                    t, item, n, least = zip(*got, strict=True)
-                    yield pa.record_batch([pa.array([ids[k] for k in t], pa.int64()), *(pa.array(x, pa.int64()) for x in (item, n, least))], schema=HITS)
-
-        part = docs.mapInArrow(run, "doc_id long, item_id long, n_passages long, least_edits long")
-        out = part if out is None else out.unionAll(part)
-    return out
+    the edit budget. Null and empty texts hold none, null and empty items are found nowhere; rows of one doc_id (null among
+    them) are one document; other columns are left out; an empty table on either side gives no rows."""
+    every, found = _found(spark, docs, benchmark, Frozen(spark, "decontam"))
+    hits = every.select("doc_id", "rkey").distinct().join(found, "rkey")
+    places = hits.groupBy("doc_id", "item_id", "place").agg(F.min("edits").alias("edits"))
+    return places.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_passages"), F.min("edits").alias("least_edits"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text holds no benchmark passage, with all their columns. Blocks of a large benchmark are applied one
-    after the other."""
-    ship(spark)
-    schema = docs.schema
-    for index in _blocks(spark, benchmark):
-
-        def run(batches, index=index):
-            for batch in slices(batches, most=1 << 20):
-                bad = {t for t, *_ in find(index, texts_of(batch.column("text")))}
-                yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)])) if bad else batch
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    """The rows whose text holds no benchmark passage, with all their columns, whatever their doc_id. Texts that hold one are
+    joined away by 128 bits of hash."""
+    every, found = _found(spark, docs, benchmark, Frozen(spark, "decontam"))
+    bad = every.join(found.select("rkey").distinct(), "rkey", "left_semi").select(F.col("x").alias("bad_x"), F.col("y").alias("bad_y")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("all"), *text_key())
+    return rows.join(bad, (F.col("x") == F.col("bad_x")) & (F.col("y") == F.col("bad_y")), "left_anti").select("all.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of a benchmark item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    hits = contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return hits.groupBy("doc_id", "item_id").agg(F.max("n_passages").alias("n_passages"), F.min("least_edits").alias("least_edits"))
+    return contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

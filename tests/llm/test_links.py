@@ -130,69 +130,99 @@ def test_exact_counts_decide_near_the_threshold(spark):
     assert sum(not r["text"] for r in lines.drop_boilerplate(spark, frame(spark, rows), 30).collect()) == 0
 
 
-def edits(a, b):
-    """The least edits between a and any part of b."""
-    row = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
+def least_edits(unit, text):
+    """The least edits between a unit and any part of a text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(unit, 1):
         new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
         row = new
     return min(row)
 
 
+def plain_leaks(items, texts):
+    """Every pair whose item has passages side by side, of 48 bytes together, that the text holds within the budget."""
+    out = set()
+    for n, t in enumerate(texts):
+        text = decontam.framed(decontam.normalise(t.encode()))
+        for k, item in enumerate(items):
+            units, exact = decontam.passages(decontam.normalise(item.encode()))
+            if exact:
+                good = any(u in text for _, u in units)
+            else:
+                near = [s for s, u in units if u in text or least_edits(u, text) <= decontam.EDITS]
+                good = any(b - a <= decontam.STRIDE and b + decontam.LENGTH - a >= decontam.LEAST for a, b in zip(near, near[1:]))
+            if good:
+                out.add((n, k))
+    return out
+
+
 def test_alignment_against_plain():
     rng = random.Random(8)
+    m, width = 12, 6
+    units, windows, want = [], [], []
+    for _ in range(400):
+        unit = bytes(rng.choice(b"abc") for _ in range(m))
+        spoiled = list(unit)
+        for _ in range(rng.randint(0, 5)):
+            spoiled.insert(rng.randrange(len(spoiled) + 1), rng.choice(b"abc")) if rng.random() < 0.5 else spoiled.pop(rng.randrange(len(spoiled)))
+        window = (bytes(rng.randint(1, 3)) + bytes(spoiled) + bytes(40))[: m + width - 1]
+        units.append(unit)
+        windows.append(window)
+        want.append(least_edits(unit, window))
+    got = decontam.align(*(np.frombuffer(b"".join(x), np.uint8).reshape(400, -1) for x in (units, windows)))
+    near = [k for k, w in enumerate(want) if w <= 1]  # these stay on the window's diagonals
+    assert all(g >= w for g, w in zip(got, want)) and len(near) > 50 and all(got[k] == want[k] for k in near)
+
+
+@pytest.mark.parametrize("seed", [9, 10, 11])
+def test_contamination_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    items = [prose(rng, n) for n in (1, 2, 3, 5, 8, 12, 13, 14, 20, 40)] + ["x y", "What is the capital of Peru? Lima.", prose(rng, 14), "a b a b a b a b a b a b a b a b a b a b a b a b a b a b"]
+    texts = [prose(rng, 60) for _ in range(6)] + ["", items[1], "a b " * 40, "x y", "So: what is the capital of Peru -- LIMA!", items[3] + "x"]
     for _ in range(60):
-        unit = bytes(rng.choice(b"abc") for _ in range(rng.randint(5, 40)))
-        region = bytearray(unit)
-        for _ in range(rng.randint(0, 6)):
-            k = rng.randrange(len(region) + 1)
-            region[k : k + rng.randint(0, 1)] = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 1)))
-        region = bytes(rng.choice(b"abc") for _ in range(9)) + bytes(region) + b"cab"
-        want = edits(unit, region)
-        got = decontam.align(np.frombuffer(unit, np.uint8), np.frombuffer(region, np.uint8), -60, 120, 99)
-        assert got == want
-        assert decontam.align(np.frombuffer(unit, np.uint8), np.frombuffer(region, np.uint8), -60, 120, want - 1) is None
-
-
-def test_contamination(spark):
-    rng = random.Random(9)
-    items = [prose(rng, n) for n in (14, 30, 60, 200)] + ["tiny"]
-    benchmark = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id long, text string")
-    spoiled = list(items[2])
-    for k in range(7, len(spoiled), 40):
-        spoiled[k] = "#"
-    rows = [(i, prose(rng, 200), "s") for i in range(10)]
-    rows += [(20, prose(rng, 50) + " " + items[0].upper() + " " + prose(rng, 50), "s"), (21, items[1].replace(" ", " -- "), "s"), (22, prose(rng, 9) + "".join(spoiled), "s")]
-    rows += [(23, prose(rng, 30) + " " + items[3][300:560] + " " + prose(rng, 30), "s"), (24, None, "s"), (25, "", "s"), (26, "tiny", "s"), (27, items[1][: len(items[1]) // 3], "s")]
-    docs = frame(spark, rows)
-    hits = decontam.contaminated(spark, docs, benchmark)
-    assert {(r["doc_id"], r["item_id"]) for r in hits.collect()} == {(20, 0), (21, 1), (22, 2), (23, 3)}
+        item = rng.choice(items[4:])
+        a = rng.randrange(max(1, len(item) - 30))
+        leak = list(item[a : a + rng.randint(40, 130)])
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 6])):
+            k = rng.randrange(len(leak))
+            leak[k : k + 1] = rng.choice(["", "#", "zq", leak[k].upper()])
+        texts.append(prose(rng, rng.randint(0, 30)) + rng.choice([" ", "", "\n"]) + "".join(leak) + " " + prose(rng, rng.randint(0, 30)))
+    want = plain_leaks(items, texts)
+    assert len(want) > 15 and {k for _, k in decontam.find([x.encode() for x in items], [b""])} == set()
+    assert {(n, k) for n, k, *_ in decontam.find([x.encode() for x in items], [t.encode() for t in texts])} == want
+    benchmark = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (92, "?!"), (None, items[9]), (93, items[9])], "item_id long, text string")
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(700, None, "s"), (None, items[9], "s"), (701, items[9], "s"), (701, items[9], "s"), (702, " ".join(texts) * 3, "s")])
+    want |= {(n, 93) for n, k in want if k == 9}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark, docs, benchmark).collect()}
+    assert {x for x in got if x[0] is not None and x[0] < 700} == want
+    assert {x for x in got if x[0] in (None, 701)} == {(None, 9), (None, 93), (701, 9), (701, 93)}
+    whole = {k for k, t in enumerate(items) if decontam.normalise(t.encode()).count(b" ") < 2}
+    assert {x[1] for x in got if x[0] == 702} >= {k for _, k in want} - whole
     clean = decontam.drop_contaminated(spark, docs, benchmark)
-    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {i for i, *_ in rows} - {20, 21, 22, 23}
+    left = [r["doc_id"] for r in clean.collect()]
+    assert clean.columns == docs.columns and sorted(left) == sorted({*range(len(texts)), 700} - {n for n, _ in want})
     assert decontam.contaminated(spark, docs, benchmark.limit(0)).count() == 0 and decontam.drop_contaminated(spark, docs.limit(0), benchmark).count() == 0
 
 
-def test_documents_that_are_passages():
-    rng = random.Random(13)
-    items = [decontam.normalise(prose(rng, n).encode()) for n in (10, 14, 22, 40, 60)]
-    units = sorted((i, u) for i, t in enumerate(items) for u in decontam.passages(t))
-    index = decontam.Index([u for _, u in units], np.array([i for i, _ in units]))
-    for _ in range(20):
-        which = [rng.randrange(-1, 5) for _ in range(12)]
-        texts = [b"" if k < 0 else items[k][rng.randint(0, 1) : len(items[k]) - rng.randint(0, 1)] for k in which]
-        assert {(t, i) for t, i, *_ in decontam.find(index, texts)} == {(t, k) for t, k in enumerate(which) if k >= 0}
-
-
-def test_blocks_of_a_large_benchmark(spark, monkeypatch):
-    rng = random.Random(10)
-    items = [prose(rng, 40) for _ in range(12)]
-    monkeypatch.setattr(decontam, "BLOCK", 600)
-    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    docs = frame(spark, [(i, prose(rng, 20) + " " + t, "s") for i, t in enumerate(items)])
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark, docs, benchmark).collect()} == {(i, i) for i in range(12)}
-    assert decontam.drop_contaminated(spark, docs, benchmark).count() == 0
+@pytest.mark.parametrize(("length", "least"), [(48, 0.9), (52, 1.0), (64, 1.0), (100, 1.0), (180, 1.0)])
+def test_short_leaks_are_found(length, least):
+    rng = random.Random(length)
+    item = prose(rng, 80)
+    places = range(0, len(item) - length, 3)
+    texts = [(prose(rng, 5) + " " + item[a : a + length] + " " + prose(rng, 5)).encode() for a in places]
+    assert len(decontam.find([item.encode()], texts)) >= least * len(places)
+
+
+def test_repetitive_texts_take_little(spark):
+    import time
+
+    start = time.time()
+    benchmark = spark.createDataFrame([(0, "0 " * 2000), (1, "0 1 " * 30)], "item_id long, text string")
+    docs = frame(spark, [(0, "0 " * 500_000, "s"), (1, "0 1 1 " * 100_000, "s"), (2, "1 0 " * 100_000, "s"), (3, "2 " * 400_000, "s")])
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark, docs, benchmark).collect()}
+    assert got == {(0, 0), (2, 1)} and time.time() - start < 60
 
 
 def test_patience():
