@@ -2,7 +2,11 @@
 
 A template and a window of a text are aligned on the words that are unique in both: the longest increasing subsequence of
 their places is kept, and the gaps between are aligned the same way. The share of the template's words that are aligned is its
-coverage. Windows are only tried where a text has a telling word of the template, one that a sufficient coverage can't miss.
+coverage. A template's telling words (what it is called, its version, the clause that sets it apart) must be among the aligned
+ones. So every match has a telling word, and windows are only tried around the one that the text has least often.
+
+One-line notices are names with versions: those must be there in full, unbroken, shortly after a word such as "licensed".
+Where templates compete for a place, the one with the most aligned words wins.
 """
 
 from __future__ import annotations
@@ -18,32 +22,153 @@ from perilgrid.llm.decontam import normalise
 from perilgrid.llm.runtime import ship, slices, texts_of
 
 COVERAGE = 0.8
+#: Words after a word of LEADS at most, before a notice's name.
+LEAD = 8
 
-#: Public license notices.
+_WARRANTY = (
+    "IN NO EVENT SHALL THE COPYRIGHT {holder} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF "
+    "ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form "
+    "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+    "the distribution. {third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. " + _WARRANTY.format(holder="HOLDER OR CONTRIBUTORS")
+)
+_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+    "specific prior written permission. "
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{condition}. THE SOFTWARE IS PROVIDED "
+    "\"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+    "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_GNU = (
+    "{it} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software "
+    "Foundation, either version {version} of the License, or (at your option) any later version. {it} is distributed in the hope that it will be useful, but "
+    "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License "
+    "for more details."
+)
+#: Public license texts, and for each the telling words that must be aligned.
 TEMPLATES = {
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
-    "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-    "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
-    "this permission notice shall be included in all copies or substantial portions of the Software.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-    "that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list "
-    "of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
-    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-    "distribution.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
-    "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
-    "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-    '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to "
+        "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
+        "sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "sublicense substantial",
+    ),
+    "ISC": (_ISC.format(condition=", provided that the above copyright notice and this permission notice appear in all copies"), "appear fee"),
+    "0BSD": (_ISC.format(condition=""), "fee"),
+    "BSD-2-Clause": (_BSD.format(third=""), "redistributions reproduce"),
+    "BSD-3-Clause": (_BSD.format(third=_THIRD), "redistributions reproduce endorse neither"),
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of '
+        "the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
+        'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        "language governing permissions and limitations under the License.",
+        "apache 2",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at http://mozilla.org/MPL/2.0/.",
+        "mozilla 2",
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+        'this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+        "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and "
+        "this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, "
+        "in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object "
+        "code generated by a source language processor.",
+        "derivative transmit",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or "
+        "altered from any source distribution.",
+        "misrepresented altered",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unencumbered domain",
+    ),
+    "GPL-2.0": (_GNU.format(it="This program", kind="", version="2"), "gnu 2"),
+    "GPL-3.0": (_GNU.format(it="This program", kind="", version="3"), "gnu 3"),
+    "LGPL-2.1": (_GNU.format(it="This library", kind="Lesser", version="2.1"), "lesser 2 1"),
+    "LGPL-3.0": (_GNU.format(it="This library", kind="Lesser", version="3"), "lesser 3"),
+    "AGPL-3.0": (_GNU.format(it="This program", kind="Affero", version="3"), "affero 3"),
+}
+#: What licenses are called in notices, by identifier without version; and their versions.
+NAMES = {
+    "MIT": (["MIT License"], []),
+    "ISC": (["ISC License"], []),
+    "Unlicense": (["Unlicense"], []),
+    "BSD-2-Clause": (["BSD 2-Clause License", "BSD-2-Clause License", "Simplified BSD License"], []),
+    "BSD-3-Clause": (["BSD 3-Clause License", "BSD-3-Clause License", "New BSD License", "Modified BSD License"], []),
+    "Apache": (["Apache License", "Apache Software License"], ["1.0", "1.1", "2.0"]),
+    "MPL": (["Mozilla Public License", "MPL"], ["1.1", "2.0"]),
+    "GPL": (["GNU General Public License", "GNU GPL", "GPL"], ["2.0", "3.0"]),
+    "LGPL": (["GNU Lesser General Public License", "GNU LGPL", "LGPL"], ["2.1", "3.0"]),
+    "AGPL": (["GNU Affero General Public License", "GNU AGPL", "AGPL"], ["3.0"]),
+    "CC0": (["CC0", "CC0 Universal", "Creative Commons Zero"], ["1.0"]),
 }
-#: Words that tell nothing.
-PLAIN = b"a all an and any any as at be by for from in is it not of on or that the this to under with you".split()
+#: The parts of a Creative Commons license, in order, and how they are written out.
+CC_PARTS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+CC_VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
+#: Words of which one must shortly precede a notice's name; and notices that need none.
+LEADS = frozenset(b"licensed licenced license licence released distributed published available provided under".split())
+PLAIN_NOTICES = {"All-rights-reserved": "All rights reserved"}
+
+
+def notices() -> dict[tuple[bytes, ...], tuple[str, bool]]:
+    """From the words of every notice's name to (license, does it need a lead)."""
+    found: dict[tuple[bytes, ...], tuple[str, bool]] = {}
+
+    def add(text: str, name: str, lead: bool = True):
+        found[tuple(normalise(text.encode()).split())] = (name, lead)
+
+    def versioned(called: str, version: str, name: str):
+        short = [version, version.removesuffix(".0")]
+        for v in dict.fromkeys(short):
+            for form in ("{} {}", "{} v{}", "{} v {}", "{} version {}"):
+                add(form.format(called, v), name)
+
+    for name, (forms, versions) in NAMES.items():
+        for called in forms:
+            for version in versions:
+                versioned(called, version, f"{name}-{version}")
+            if not versions:
+                add(called, name)
+    for version in ("2.0", "3.0"):
+        add(f"GPLv{version[0]}", f"GPL-{version}")
+    for parts, called in CC_PARTS.items():
+        for version in CC_VERSIONS:
+            for form in (f"CC {parts}", f"CC-{parts}", f"Creative Commons {called}", f"Creative Commons {called} License"):
+                versioned(form, version, f"CC-{parts}-{version}")
+            add(f"Creative Commons {called} {version} International License", f"CC-{parts}-{version}")
+    for name, text in PLAIN_NOTICES.items():
+        add(text, name, lead=False)
+    return found
 
 
 def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
@@ -81,81 +206,157 @@ def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+@dataclass(order=True)
+class Match:
+    """A place of a text that a template covers; ordered by the words aligned."""
+
+    aligned: int
+    coverage: float
+    name: str
+    kind: str
+    start: int
+    end: int
+
+
 @dataclass
 class Template:
     name: str
     text: str
+    telling_words: str
     coverage: float
     words: list[bytes] = field(init=False)
     telling: set[bytes] = field(init=False)
 
     def __post_init__(self):
         self.words = normalise(self.text.encode()).split()
+        self.need = -int(-self.coverage * len(self.words) // 1)
+        self.telling = set(normalise(self.telling_words.encode()).split())
+        self.vocabulary = set(self.words)
+        if not self.telling or not self.telling <= self.vocabulary:
+            raise ValueError(f"telling words must be words of the template: {self.name}")
+        self.first = {w: self.words.index(w) for w in self.telling}
+
+    def judge(self, words: list[bytes], start: int, end: int) -> Match | None:
+        """The match in a window, if its coverage is enough and all telling words are aligned."""
+        window = words[start:end]
         n = len(self.words)
-        self.need = -int(-self.coverage * n // 1)
-        by_count = Counter(self.words)
-        order = sorted(by_count, key=lambda w: (w in PLAIN, by_count[w], -len(w), w))
-        self.telling, held = set(), 0
-        for w in order:  # enough words that a match can't miss all of them
-            if held > n - self.need:
+        if len(self.vocabulary.intersection(window)) < len(self.vocabulary) - (n - self.need):
+            return None
+        pairs = aligned(self.words, window)
+        if len(pairs) < self.need or not self.telling <= {self.words[i] for i, _ in pairs}:
+            return None
+        return Match(len(pairs), len(pairs) / n, self.name, "text", start + pairs[0][1], start + pairs[-1][1] + 1)
+
+    def find(self, words: list[bytes], places: dict[bytes, list[int]]) -> list[Match]:
+        """The best match around each place of the telling word that the text has least often. Wherever in a match the word is,
+        a window of one and a half template lengths that starts in these steps holds the match but for an eighth of its
+        length; the next tries are aligned with the match's own ends."""
+        if any(w not in places for w in self.telling):
+            return []
+        anchor = min(sorted(self.telling), key=lambda w: len(places[w]))
+        n, out, done = len(self.words), [], -1
+        step = max(1, n // 8)
+        tried: dict[int, Match | None] = {}
+        for p in places[anchor]:
+            if p < done:
+                continue
+            best = None
+            for k in range(max(0, p - self.first[anchor] - n // 2) // step, p // step + 1):
+                if k not in tried:
+                    tried[k] = self.judge(words, k * step, k * step + n + n // 2)
+                got = tried[k]
+                if got and got.start <= p < got.end and (best is None or got > best):
+                    best = got
+            if best:
+                best = max(filter(None, (best, self.judge(words, best.start, best.start + n + n // 4), self.judge(words, max(0, best.end - n - n // 4), best.end))))
+                out.append(best)
+                done = best.end
+        return out
+
+
+def find_notices(words: list[bytes], known: dict[tuple[bytes, ...], tuple[str, bool]], by_first: dict[bytes, list[int]]) -> list[Match]:
+    """Names of licenses in full; of those at one place the longest."""
+    out = []
+    for i, w in enumerate(words):
+        for n in by_first.get(w, ()):  # longest first
+            got = known.get(tuple(words[i : i + n]))
+            if got and (not got[1] or not LEADS.isdisjoint(words[max(0, i - LEAD) : i])):
+                out.append(Match(n, 1.0, got[0], "notice", i, i + n))
                 break
-            self.telling.add(w)
-            held += by_count[w]
+    return out
 
-    def find(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """(place, coverage) of matches that don't overlap, left to right."""
-        n = len(self.words)
-        at = [i for i, w in enumerate(words) if w in self.telling]
-        span, vocabulary, found, tried = n + n // 2, set(self.words), [], -1
-        done = 0
-        for i in at:
-            for start in (i - n, i - n // 2, i):
-                start = max(done, start)
-                if start <= tried:
-                    continue
-                tried = start
-                window = words[start : start + span]
-                if sum(w in vocabulary for w in window) < self.need:
-                    continue
-                pairs = aligned(self.words, window)
-                if len(pairs) >= self.need:
-                    found.append((start + pairs[0][1], len(pairs) / n))
-                    done = tried = start + pairs[-1][1] + 1
-                    break
-        return found
-
-
-HITS = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_matches", pa.int64()), ("first_word", pa.int64())])
-
-
-def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, license, coverage (best, 4 decimals), n_matches, first_word: a row for each document and template that covers
-    part of it. Case, punctuation and line ends don't count. Null and empty texts have none; repeated rows have their own
-    result rows; other columns are left out; no rows give no rows."""
+
+def winners(found: list[Match]) -> list[Match]:
+    """Of matches that overlap the one with the most aligned words; then the one with the larger coverage; then by name."""
+    kept: list[Match] = []
+    starts: list[int] = []
+    for m in sorted(found, key=lambda m: (-m.aligned, -m.coverage, m.name, m.start)):
+        i = bisect_left(starts, m.end)  # the ones before i start before this one ends
+        if not i or kept[i - 1].end <= m.start:
+            starts.insert(i, m.start)
+            kept.insert(i, m)
+    return kept
+
+
+class Scanner:
+    """All templates and notices."""
+
+    def __init__(self, templates: dict[str, tuple[str, str]], coverage: float):
+        self.templates = [Template(k, text, telling, coverage) for k, (text, telling) in templates.items()]
+        self.notices = notices()
+        lengths: dict[bytes, set[int]] = {}
+        for form in self.notices:
+            lengths.setdefault(form[0], set()).add(len(form))
+        self.by_first = {w: sorted(n, reverse=True) for w, n in lengths.items()}
+        self.telling = set().union(*(t.telling for t in self.templates)) if self.templates else set()
+        self.any = self.telling | set(self.by_first)
+
+    def scan(self, text: bytes) -> list[Match]:
+        words = normalise(text).split()
+        there = self.any.intersection(words)
+        if not there:
+            return []
+        found = find_notices(words, self.notices, self.by_first) if not there.isdisjoint(self.by_first) else []
+        if any(t.telling <= there for t in self.templates):
+            places: dict[bytes, list[int]] = {}
+            for i, w in enumerate(words):
+                if w in self.telling:
+                    places.setdefault(w, []).append(i)
+            for t in self.templates:
+                found += t.find(words, places)
+        return winners(found)
+
+
+HITS = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("kind", pa.string()), ("coverage", pa.float64()), ("n_matches", pa.int64()), ("first_word", pa.int64())])
+
+
+def scan_licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, license, kind (text or notice), coverage (best, 4 decimals), n_matches, first_word: a row for each row of
+    ``docs``, license and kind found in it; a template is a text with its telling words. Case, punctuation and line ends don't
+    count. Null and empty texts have none, null doc_ids keep their rows, repeated rows have their own result rows; other
+    columns are left out; no rows give no rows. Texts are scanned whole, in time that grows with their length and with the
+    places of the telling word that they have least often."""
     ship(spark)
     templates = TEMPLATES if templates is None else templates
 
     def run(batches):
-        known = [Template(k, t, coverage) for k, t in templates.items()]
-        telling = set().union(*(t.telling for t in known)) if known else set()
+        scanner = Scanner(templates, coverage)
         for batch in slices(batches, most=1 << 20):
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for doc_id, text in zip(ids, texts_of(batch.column("text")), strict=True):
-                words = normalise(text).split()
-                if telling.isdisjoint(words):
-                    continue
-                there = telling.intersection(words)
-                for t in known:
-                    if not t.telling.isdisjoint(there) and (got := t.find(words)):
-                        rows.append((doc_id, t.name, round(max(c for _, c in got), 4), len(got), got[0][0]))
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+                by_name: dict[tuple[str, str], list[Match]] = {}
+                for m in scanner.scan(text):
+                    by_name.setdefault((m.name, m.kind), []).append(m)
+                for (name, kind), own in sorted(by_name.items()):
+                    rows.append((doc_id, name, kind, round(max(m.coverage for m in own), 4), len(own), own[0].start))
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), HITS, strict=True)], schema=HITS)
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(
-        run, "doc_id long, license string, coverage double, n_matches long, first_word long"
+        run, "doc_id long, license string, kind string, coverage double, n_matches long, first_word long"
     )
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every license notice in ``documents``."""
+    """Every license notice and text in ``documents``."""
     return scan_licenses(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -236,16 +236,88 @@ def test_patience():
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+SCANNER = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+
+
+@pytest.mark.parametrize(
+    ("line", "name"),
+    [
+        ("Released under the BSD License.", None),
+        ("The film was released under the working license", None),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+        ("Licensed under the Apache License, Version 1.0.", "Apache-1.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Released under the\nMIT License", "MIT"),
+        ("Distributed under the terms of the GPLv3", "GPL-3.0"),
+        ("available under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
+        ("All rights reserved.", "All-rights-reserved"),
+        ("He read about the MIT License in the news.", None),
+    ],
+)
+def test_notices(line, name):
+    assert [m.name for m in SCANNER.scan(("so it is. " + line + " and on it goes.").encode())] == ([name] if name else [])
+
+
+def spoiled(rng, text, telling, share):
+    """Some words of a text dropped, replaced or doubled, but for telling ones."""
+    out = []
+    for w in text.split():
+        plain = decontam.normalise(w.encode()).split()
+        if rng.random() < share and not set(plain) & telling:
+            out += rng.choice([[], ["zzz"], [w, "zzz"], [w, w]])
+        else:
+            out.append(w)
+    return " ".join(out)
+
+
+def test_altered_texts_have_their_own_name():
+    rng = random.Random(12)
+    right = wrong = total = 0
+    for name, (text, _) in licenses.TEMPLATES.items():
+        telling = set().union(*(t.telling for t in SCANNER.templates))
+        for _ in range(12):
+            words = prose(rng, rng.randint(0, 60)) + " " + spoiled(rng, text, telling, rng.choice([0, 0.05, 0.1])) + " " + prose(rng, rng.randint(0, 60))
+            found = {m.name for m in SCANNER.scan(words.encode()) if m.kind == "text"}
+            total, right, wrong = total + 1, right + (name in found), wrong + len(found - {name})
+    assert right >= 0.98 * total and wrong == 0
+
+
+def test_windows_against_all_windows():
+    rng = random.Random(13)
+    vocabulary = [f"t{i}" for i in range(40)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(60)) + " tell"
+    t = licenses.Template("x", text, "tell", 0.8)
+    found = missed = 0
+    for _ in range(60):
+        noise = [rng.choice([*vocabulary, *(f"n{i}" for i in range(60))]) for _ in range(90)]
+        at = rng.randrange(90)
+        words = " ".join([*noise[:at], spoiled(rng, text, {b"tell"}, rng.choice([0.05, 0.15, 0.25, 0.4])), *noise[at:]]).encode().split()
+        every = [t.judge(words, s, s + n) for s in range(len(words)) for n in (len(t.words), len(t.words) * 3 // 2)]
+        places = {b"tell": [i for i, w in enumerate(words) if w == b"tell"]}
+        if any(every):
+            found += 1
+            missed += not t.find(words, places)
+        else:
+            assert not t.find(words, places) or max(m.coverage for m in t.find(words, places)) >= 0.8
+    assert found > 20 and missed <= 0.02 * found
+
+
 def test_licenses(spark):
     rng = random.Random(12)
-    mit = licenses.TEMPLATES["MIT"]
+    mit = licenses.TEMPLATES["MIT"][0]
     words = mit.split()
     partly = " ".join(w for i, w in enumerate(words) if i % 12)  # eleven of twelve words
-    rows = [(0, prose(rng, 100), "s"), (1, prose(rng, 40) + "\n" + mit.upper() + "\n" + prose(rng, 40), "s"), (2, partly, "s"), (3, " ".join(words[:40]), "s")]
-    rows += [(4, "x\nReleased under the MIT\nLicense. y. Released under the MIT License.", "s"), (5, None, "s"), (6, "", "s"), (7, "Licensed " * 500, "s")]
-    got = {(r["doc_id"], r["license"]): (r["coverage"], r["n_matches"], r["first_word"]) for r in licenses.scan_licenses(spark, frame(spark, rows)).collect()}
-    assert set(got) == {(1, "MIT"), (2, "MIT"), (4, "MIT-notice")}
-    assert got[1, "MIT"] == (1.0, 1, 40) and got[2, "MIT"][0] > 0.9 and got[4, "MIT-notice"] == (1.0, 2, 1)
+    rows = [(0, prose(rng, 100), "s"), (1, prose(rng, 40) + "\n" + mit.upper() + "\n" + prose(rng, 40), "s"), (2, partly, "s"), (3, " ".join(words[:90]), "s")]
+    rows += [(4, "x\nReleased under the MIT\nLicense. y. Released under the MIT License.", "s"), (5, None, "s"), (6, "", "s"), (7, "Licensed gnu 2 " * 20_000, "s")]
+    rows += [(8, " ".join([mit] * 3), "s"), (None, "All rights reserved", "s"), (9, "All rights reserved. " * 20_000, "s"), (10, "ISC License", "s"), (10, "under ISC License", "s"), (10, "under ISC License", "s")]
+    got = [tuple(r) for r in licenses.scan_licenses(spark, frame(spark, rows)).collect()]
+    by = {(r[0], r[1], r[2]): r[3:] for r in got}
+    assert set(by) == {(1, "MIT", "text"), (2, "MIT", "text"), (4, "MIT", "notice"), (8, "MIT", "text"), (None, "All-rights-reserved", "notice"), (9, "All-rights-reserved", "notice"), (10, "ISC", "notice")}
+    assert by[1, "MIT", "text"] == (1.0, 1, 40) and by[2, "MIT", "text"][0] > 0.9 and by[4, "MIT", "notice"] == (1.0, 2, 4) and by[8, "MIT", "text"][1] == 3
+    assert by[9, "All-rights-reserved", "notice"][1] == 20_000 and len(got) == len(by) + 1  # repeated rows have their own
     assert licenses.scan_licenses(spark, frame(spark, rows).limit(0)).count() == 0
 
 
