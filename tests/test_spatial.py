@@ -161,6 +161,28 @@ def test_components(spark):
 STOPS = [(37.3943, 126.9568), (37.4009, 126.9220), (37.3810, 126.9330), (37.4100, 126.9500), (37.3900, 126.9700)]
 
 
+def test_components_of_a_hub(spark, monkeypatch):
+    from perilgrid.operators import components
+    from perilgrid.sources.frozen import Frozen
+
+    monkeypatch.setattr(components, "HEAVY", 5)
+    rng = random.Random(3)
+    edges = [(500, i) for i in range(300)] + [(i, 900) for i in range(0, 300, 7)] + [(1000 + i, 1001 + i) for i in range(40)]
+    edges += [(2000 + rng.randrange(60), 2000 + rng.randrange(60)) for _ in range(40)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), Frozen(spark, "hub"))
+    assert {r["node"]: r["root"] for r in got.collect()} == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def stops(spark, points):
     return spark.createDataFrame([(1, i, *p) for i, p in enumerate(points)], "route_id long, pos int, lat double, lon double")
 
