@@ -74,6 +74,23 @@ def rolling(sums: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down)
 
 
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of a text's shingles, with repeats: A-Z lower-cased (all that bytes.lower() does), blank-separated words; a text
+    of fewer words is one shingle, and one without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        hashes = [xxhash.xxh64_intdigest(line, 42)]
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = [0, *ends[:-1].tolist()]
+        digest = xxhash.xxh64_intdigest
+        hashes = [digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
+    return np.array(hashes, "<u8")
+
+
 class WordHashes(dict):
     """XXH64 of words; a bounded store of those seen."""
 

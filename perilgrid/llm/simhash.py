@@ -1,11 +1,11 @@
 """SimHash near-duplicates by segment-popcount embedding and a grid range-join.
 
 A 64-bit fingerprint is embedded as the bit counts of its segments of two bits. The Manhattan distance of two embeddings is
-at most the Hamming distance of the fingerprints, so a range join under it loses no link. If two fingerprints differ in at
-most 2r bits, their embeddings differ by at most r in one of the two halves (16 segments each); a half is a cell of an
-integer grid, and two points with a distance of at most r meet in a cell that each reaches with at most ceil(r / 2) steps of
-one. Every distinct fingerprint goes to those cells of both halves; in a cell, candidates are filtered by the Manhattan
-distance of the whole embedding and verified by the exact Hamming distance.
+at most the Hamming distance of the fingerprints, so a range join under it loses no link. The segments are dealt to
+``distance + BLOCKS`` blocks: two fingerprints within the distance have BLOCKS blocks without any difference, so their
+embeddings meet in one of the cells of an integer grid that a choice of so many blocks makes. Every distinct fingerprint goes to
+the cell of every choice; in a cell, candidates are filtered by the Manhattan distance of the whole embedding and verified by
+the exact Hamming distance. A dense cell is split by the bits behind its counts, which such a pair shares as well.
 
 A cell never lists all pairs of a dense group: it only links what isn't linked yet (a spanning forest). Equal fingerprints
 are one point, so groups of exact copies have no weight here.
@@ -13,40 +13,31 @@ are one point, so groups of exact copies have no weight here.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perilgrid.llm.hashing import U64
+from perilgrid.llm import similar
+from perilgrid.llm.hashing import U64, mix, shingle_hashes
 from perilgrid.llm.runtime import Frozen, ship, slices, texts_of
 from perilgrid.operators.components import connected_components
 
-SHINGLE, DISTANCE, SEED = 4, 4, 42
+SHINGLE, DISTANCE = 4, 4
+#: Blocks that a cell is made of, and fingerprints of a cell that is split.
+BLOCKS, DENSE = 4, 64
 _EVEN = U64(0x5555555555555555)
 
 
-def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """XXH64 of a text's shingles, with repeats: A-Z lower-cased (all that bytes.lower() does), blank-separated words; a text
-    of fewer words is one shingle, and one without words has none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, "<u8")
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-1].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=False)]
-    return np.array(hashes, "<u8")
-
-
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The SimHash of a text's shingles; 0 if it has none."""
-    h = shingle_hashes(text, shingle)
+    return of_hashes(shingle_hashes(text, shingle))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The SimHash of some hashes, by majority of each bit; 0 if there are none."""
     if not len(h):
         return 0
     set_bits = np.zeros(64, np.int64)
@@ -86,31 +77,18 @@ def unary(x: np.ndarray) -> np.ndarray:
     return x & _EVEN | two | two << U64(1)
 
 
-def cells(fp: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """For both halves, the grid cells within so many steps of each embedding: (cell, number of the fingerprint). The half is
-    in the cell's highest bit."""
-    x = embed(fp)
-    every, owner = [], []
-    for half in (0, 1):
-        part = x >> U64(32 * half) & U64(0xFFFFFFFF)
-        reach = {(): part}
-        mine = {(): np.arange(len(fp))}
-        for _ in range(steps):  # each step changes one coordinate by one, inside 0..2
-            new, who = [part], [np.arange(len(fp))]
-            for cell, own in zip(reach.values(), mine.values(), strict=True):
-                for s in range(16):
-                    value = cell >> U64(2 * s) & U64(3)
-                    for good, change in ((value < 2, U64(1 << 2 * s)), (value > 0, U64((1 << 64) - (1 << 2 * s)))):
-                        new.append(cell[good] + change)
-                        who.append(own[good])
-            reach, mine = {(): np.concatenate(new)}, {(): np.concatenate(who)}
-        cell, own = reach[()], mine[()]
-        if steps > 1:
-            both = np.unique(np.stack([own.astype(U64), cell], 1), axis=0)
-            own, cell = both[:, 0].astype(np.int64), both[:, 1]
-        every.append(cell | U64(half) << U64(63))
-        owner.append(own)
-    return np.concatenate(every), np.concatenate(owner)
+def choices(distance: int) -> np.ndarray:
+    """For every choice of blocks, a mask of their bits."""
+    n = distance + BLOCKS
+    edges = [2 * (32 * k // n) for k in range(n + 1)]
+    masks = [sum(1 << bit for bit in range(low, high)) for low, high in zip(edges, edges[1:], strict=False)]
+    return np.array([sum(some) for some in combinations(masks, BLOCKS)], U64)
+
+
+def cells(fp: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The grid cell of each fingerprint for every choice: a row for each fingerprint. A hash of the counts and the choice stands
+    for a cell; should two cells ever share one, they are searched together."""
+    return mix((embed(fp)[:, None] & masks) ^ mix(masks.copy()))
 
 
 def link_cell(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +116,21 @@ def link_cell(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def split_dense(cell: np.ndarray, fp: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (cell, fp) with cells of over DENSE fingerprints split by the bits of their blocks."""
+    head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    length = np.diff(np.r_[head, len(cell)])
+    dense = np.repeat(length > DENSE, length)
+    if not dense.any():
+        return cell, fp
+    own_cell, own = cell[dense], fp[dense]
+    lead = head[length > DENSE]
+    mask = masks[np.argmax(cells(fp[lead], masks) == cell[lead].view(U64)[:, None], axis=1)]
+    key = mix((own & np.repeat(mask, length[length > DENSE])) ^ own_cell.view(U64))
+    order = np.lexsort((own, key))
+    return np.concatenate([cell[~dense].view(U64), key[order]]), np.concatenate([fp[~dense], own[order]])
+
+
 def link_sorted(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of all cells of sorted (cell, fp)."""
     left, right = [], []
@@ -167,19 +160,20 @@ def link_sorted(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.nda
 def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) whose components are those of all pairs within the distance."""
     ship(spark)
-    steps = (distance // 2 + 1) // 2
+    masks = choices(distance)
     key_schema = pa.schema([("cell", pa.int64()), ("fp", pa.int64())])
 
     def spread(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(U64)
-            for at in range(0, len(fp), 1 << 14):
-                cell, own = cells(part := fp[at : at + (1 << 14)], steps)
-                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(part[own].view(np.int64))], schema=key_schema)
+            for at in range(0, len(fp), 1 << 12):
+                part = fp[at : at + (1 << 12)]
+                cell = cells(part, masks).reshape(-1)
+                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(np.repeat(part, len(masks)).view(np.int64))], schema=key_schema)
 
     def join(batches):
         def close(cell, fp):
-            a, b = link_sorted(cell, fp.view(U64), distance)
+            a, b = link_sorted(*split_dense(cell, fp.view(U64), masks), distance)
             return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         waiting = []
@@ -244,6 +238,54 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, dista
     return rows_of(docs, prints, kept)
 
 
+def _described(spark: SparkSession, docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, fp, sim, bands): key is a hash of the text, fp one of the set of its shingles, sim the SimHash, bands those
+    of the set's minima. Null and empty texts have the empty set."""
+    ship(spark)
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.binary()), ("sim", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in slices(batches):
+            hashes = [shingle_hashes(t, shingle) for t in texts_of(batch.column("text"))]
+            sets = [np.unique(h) for h in hashes]
+            sim = np.array([of_hashes(h) for h in hashes], U64).view(np.int64)
+            cells = [similar.bands(own) for own in sets]
+            at = np.cumsum([0, *map(len, cells)]).astype(np.int32)
+            cells = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(cells).view(np.int64)))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array([similar.set_key(own) for own in sets], pa.binary()), pa.array(sim), cells], schema=schema)
+
+    rows = docs.select(docs["doc_id"].cast("long"), F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(run, "doc_id long, key long, fp binary, sim long, bands array<long>")
+
+
+def keep_one_similar(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id, with all its columns.
+
+    Links are texts whose sets of shingles have a Jaccard similarity of ``similar.SIMILAR`` or more. Candidates are texts whose
+    SimHashes are linked, and texts that share a band of minima; every link is verified, so a SimHash link alone joins nothing.
+    Null and empty texts are copies of each other. Among equal doc_ids of a group the smallest hash of the text decides, and of
+    equal rows one stays; null doc_ids come last; no rows give no rows. Other columns may have any names."""
+    frozen = Frozen(spark, "simhash")
+    every = frozen(_described(spark, docs, shingle), "described")
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    distinct = frozen(every.groupBy("fp").agg(rank, F.first("sim").alias("sim"), F.first("bands").alias("bands")), "sets")
+    linked = classes(spark, distinct.select(F.col("sim").alias("fp"), F.col("first.doc_id").alias("doc_id")), frozen, distance)
+    by_print = distinct.filter(F.size("bands") > 0).select("fp", "sim").join(linked.select(F.col("fp").alias("sim"), "root"), "sim")
+    cells = distinct.select("fp", F.explode("bands").alias("cell")).unionByName(by_print.select("fp", F.xxhash64("root", F.lit("simhash")).alias("cell")))
+
+    def texts(fps: DataFrame) -> DataFrame:
+        named = distinct.join(fps, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+        rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+        rows = rows.join(named, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+        return rows.select("fp", "text").dropDuplicates(["fp"])
+
+    roots = similar.verified_roots(cells, texts, shingle, frozen)
+    known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = known.groupBy("root").agg(F.min("first").alias("first"))
+    kept = frozen(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")), "kept")
+    return rows_of(docs, every, kept)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,9 +1,13 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
+"""Verified links between near copies: texts whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more.
 
-Candidates are texts that agree in all minima of one MinHash band. Two texts of similarity s differ in every band with a
-probability of ``(1 - s**ROWS)**BANDS``: 7e-10 at 0.8, and less above. Bands only make groups of candidates (stars, so a dense
-group has no list of pairs). Then each text of a group goes to the group's task once, and there every link is decided by the
-exact similarity of the shingle sets. Texts with equal sets are one point from the start.
+No radius of 64-bit fingerprints covers a similarity of 0.8 (see the README), so fingerprints alone can't decide. Candidates meet
+in *cells*: texts that SimHash links, and texts that agree in all minima of one MinHash band. Two texts of similarity s differ in
+every band with a probability of ``(1 - s**ROWS)**BANDS``: 3e-6 at 0.8, and less above.
+
+Links of a cell are verified in rounds, on whole shingle sets. The first compares every member with the cell's smallest one.
+Members that aren't connected with it then are compared with all members, some more of them in every round, until all have been.
+Members of a cell are dealt to tasks by hash, each with the texts of the round's few: no task gets a whole cell, and texts that
+are connected already (a large group of copies) aren't compared with each other at all. Texts with equal sets are one point.
 """
 
 from __future__ import annotations
@@ -14,22 +18,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from perilgrid.llm.hashing import U64, mix
-from perilgrid.llm.runtime import Frozen, ship, slices, texts_of
-from perilgrid.llm.simhash import rows_of, shingle_hashes
+from perilgrid.llm.hashing import U64, mix, shingle_hashes
+from perilgrid.llm.runtime import Frozen, slices, texts_of
 from perilgrid.operators.components import connected_components
 
-SHINGLE = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
-BANDS, ROWS = 40, 4
+BANDS, ROWS = 24, 4
+#: Members of a cell in one task; members compared with all in the second round, in each later one so many times more, and at most.
+TOGETHER, FEW, TIMES, MOST = 500, 64, 4, 16_384
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The hashes of a text's distinct shingles, in order."""
-    return np.unique(shingle_hashes(text, SHINGLE))
+def set_key(own: np.ndarray) -> bytes:
+    """A hash of a set of shingles."""
+    return xxhash.xxh3_128_digest(own.tobytes())
 
 
 def bands(own: np.ndarray) -> np.ndarray:
@@ -44,97 +48,84 @@ def bands(own: np.ndarray) -> np.ndarray:
     return mix(mix(a << U64(32) | b) + (c << U64(32) | d) + _BAND)
 
 
-def prints(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, key, fp, bands): key is a hash of the text, fp one of the set of its shingles. Null and empty texts have the
-    empty set."""
-    ship(spark)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def run(batches):
-        for batch in slices(batches):
-            sets = [shingles(t) for t in texts_of(batch.column("text"))]
-            fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], U64).view(np.int64)
-            cells = [bands(s) for s in sets]
-            at = np.cumsum([0, *map(len, cells)]).astype(np.int32)
-            cells = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(cells).view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(fp), cells], schema=schema)
-
-    rows = docs.select(docs["doc_id"].cast("long"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
-
-
-def link_sets(sets: list[np.ndarray]) -> np.ndarray:
-    """For each of some distinct sets the number of the first one in its component. A set is compared with those that nothing
-    reached yet, so a dense group costs little more than its size."""
+def similar(members: list[np.ndarray], centres: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(member, centre) of the similar ones of some non-empty sets."""
     up, down = SIMILAR
-    size = np.array([len(s) for s in sets])
-    at = np.r_[0, np.cumsum(size)]
-    _, item = np.unique(np.concatenate(sets), return_inverse=True)
-    mine = np.zeros(int(item.max()) + 1, bool)
-    out = np.arange(len(sets))
-    rest, items = np.arange(len(sets)), item
-    waiting, first = [], 0
-    while len(rest):
-        if not waiting:
-            first = int(rest[0])
-            waiting, items, rest = [first], items[size[first] :], rest[1:]
-            continue
-        i = waiting.pop()
-        mine[own := item[at[i] : at[i + 1]]] = True
-        both = np.add.reduceat(mine[items], np.r_[0, np.cumsum(size[rest])[:-1]], dtype=np.int64)
-        mine[own] = False
-        near = both * (up + down) >= up * (size[rest] + size[i])  # both / (all of the two - both) >= up / down
-        if near.any():
-            got = rest[near]
-            out[got] = first
-            waiting += got.tolist()
-            items, rest = items[np.repeat(~near, size[rest])], rest[~near]
+    size = np.array([len(c) for c in centres])
+    item = np.concatenate(centres)
+    order = np.argsort(item, kind="stable")
+    owner, item = np.repeat(np.arange(len(centres)), size)[order], item[order]
+    out = []
+    for m, own in enumerate(members):
+        first, last = np.searchsorted(item, own, "left"), np.searchsorted(item, own, "right")
+        hit = last > first
+        n = (last - first)[hit]
+        at = np.repeat(first[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else n
+        both = np.bincount(owner[at], minlength=len(centres))
+        # both / (all of the two - both) >= up / down
+        out += [(m, int(c)) for c in np.flatnonzero(both * (up + down) >= up * (size + len(own)))]
     return out
 
 
-def verified(rows: DataFrame) -> DataFrame:
-    """(node, root) for the texts (group, fp, text) of groups of candidates: the smallest fp in the component of each."""
-    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+def _compare(rows: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): verified links of rows (cell, part, member, fp, text): in every part of a cell the centres are compared with the
+    members, of which one is in memory at a time."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        group, fps, sets = None, [], []
-
-        def close():
-            root = np.array(fps)[link_sets(sets)]
-            return pa.record_batch([pa.array(fps, pa.int64()), pa.array(root, pa.int64())], schema=schema)
-
-        for batch in slices(batches):
-            for g, fp, text in zip(*(batch.column(c).to_pylist() for c in ("group", "fp")), texts_of(batch.column("text")), strict=True):
-                if fps and g != group:
-                    yield close()
-                    fps, sets = [], []
-                group = g
-                if not fps or fps[-1] != fp:
-                    fps.append(fp)
-                    sets.append(shingles(text))
-        if fps:
-            yield close()
-
-    return rows.repartition("group").sortWithinPartitions("group", "fp").mapInArrow(run, "node long, root long")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each group that links of ``SIMILAR`` or more make, the one with the smallest doc_id, with all its
-    columns. Null and empty texts are copies of each other. Among equal doc_ids of a group the smallest hash of the text
-    decides, and of equal rows one stays; null doc_ids come last."""
-    frozen = Frozen(spark, "similar")
-    every = frozen(prints(spark, docs), "prints")
-    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    distinct = frozen(every.groupBy("fp").agg(rank, F.first("bands").alias("bands")), "distinct")
-    cells = distinct.select("fp", F.explode("bands").alias("cell"))
-    least = F.min("fp").over(Window.partitionBy("cell").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
-    edges = cells.select(F.col("fp").alias("a"), least.alias("b")).filter("a <> b").distinct()
-    groups = connected_components(frozen(edges, "candidates"), frozen)
-    asked = distinct.join(groups, distinct["fp"] == groups["node"]).select("fp", F.col("root").alias("group"), F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
-    texts = texts.join(frozen(asked, "asked"), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
-    links = frozen(verified(texts.select("group", "fp", "text")), "verified")
-    known = distinct.join(links, distinct["fp"] == links["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    kept = known.groupBy("root").agg(F.min("first").alias("first"))
-    kept = frozen(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")), "kept")
-    return rows_of(docs, every, kept)
+        part, centres, sets = None, [], []
+        for batch in slices(batches, most=1 << 20):
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("cell", "part", "member", "fp"))
+            for cell, k, member, fp, text in zip(*columns, texts_of(batch.column("text")), strict=True):
+                if (cell, k) != part:
+                    part, centres, sets = (cell, k), [], []
+                own = np.unique(shingle_hashes(text, shingle))
+                if not member:
+                    centres.append(fp)
+                    sets.append(own)
+                elif sets:
+                    out += [(fp, centres[c]) for _, c in similar([own], sets) if centres[c] != fp]
+            if out:
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=schema)
+
+    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "fp").mapInArrow(run, "a binary, b binary")
+
+
+def _dealt(members: DataFrame, centres: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of a round: members (cell, fp) and centres (cell, fp), the latter once for each part of their cell."""
+    parts = members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    ours = members.join(parts, "cell").select("cell", part.alias("part"), F.lit(True).alias("member"), "fp")
+    theirs = centres.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "fp")
+    return ours.unionByName(theirs).join(texts, "fp")
+
+
+def verified_roots(cells: DataFrame, texts, shingle: int, frozen: Frozen) -> DataFrame:
+    """(node, root) for every fp that has a verified link: the smallest fp of its component. ``cells`` has (cell, fp) of every
+    candidate, ``texts(fps)`` gives (fp, text) for some of them."""
+    known = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("centre"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("mark"))
+    same = known.filter("n > 1").groupBy("n", "centre", "mark").agg(F.min("cell").alias("cell"))  # of cells with the same members one
+    members = frozen(cells.join(same.select("cell", "centre"), "cell").select("cell", "fp", "centre"), "members")
+    text = frozen(texts(members.select("fp").distinct()), "candidates")
+    stars = members.filter("fp <> centre").select(F.col("centre").alias("cell"), "fp").distinct()
+    stars = frozen(stars, "stars")
+    edges = frozen(_compare(_dealt(stars, stars.select("cell", F.col("cell").alias("fp")).distinct(), text), shingle), "links-0")
+    roots, done, few, k = frozen(connected_components(edges, frozen, "components-0"), "roots-0"), None, FEW, 0
+    while True:
+        placed = members.join(roots, members["fp"] == roots["node"], "left").select("cell", "fp", "centre", F.coalesce("root", "fp").alias("root"))
+        main = placed.filter("fp = centre").select("cell", F.col("root").alias("main"))
+        others = placed.join(main, "cell").filter("root <> main").select("cell", "fp")
+        if done is not None:
+            others = others.join(done, ["cell", "fp"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("fp"))
+        k += 1
+        centres = frozen(others.withColumn("rank", rank).filter(F.col("rank") <= min(few, MOST)).select("cell", "fp"), f"centres-{k}")
+        if centres.isEmpty():
+            return roots
+        ours = members.select("cell", "fp").join(centres.select("cell").distinct(), "cell", "left_semi")
+        more = _compare(_dealt(ours, centres, text), shingle)
+        edges = frozen(edges.unionByName(more).distinct(), f"links-{k}")
+        roots = frozen(connected_components(edges, frozen, f"components-{k}"), f"roots-{k}")
+        done = centres if done is None else frozen(done.unionByName(centres), f"done-{k}")
+        few *= TIMES

@@ -69,6 +69,33 @@ def test_links_lose_nothing(spark, most):
     assert [got[v] for v in signed] == roots(values, most)
 
 
+@pytest.mark.parametrize("dense", [2, 64])
+def test_dense_cells_lose_nothing(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = random.Random(dense)
+    values = set()
+    for _ in range(40):  # many fingerprints of the same counts
+        v = sum(rng.choice([1, 2]) << 2 * k for k in range(32))
+        values.add(v)
+        for _ in range(12):
+            values.add(v ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 5))}))
+    values = sorted(values)
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    up = {v: v for v in values}
+
+    def find(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for r in simhash.links(spark, frame, 4).collect():
+        a, b = (x % (1 << 64) for x in r)
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = roots(values, 4)
+    assert [find(v) for v in values] == [values[k] for k in want]
+
+
 def test_manhattan_is_a_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, (2, 1000)).astype(np.uint64)

@@ -5,7 +5,9 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from perilgrid.llm import similar
+from perilgrid.llm import similar, simhash
+from perilgrid.llm.hashing import shingle_hashes
+from perilgrid.sources.frozen import Frozen
 
 
 def prose(rng, n):
@@ -68,10 +70,42 @@ def test_near_dedup_finds_every_pair_of_similarity_four_fifths(spark):
     assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_members_of_a_cell_need_many_rounds(spark, monkeypatch):
+    """Cells whose members are mostly unlike their smallest one, dealt to many tasks."""
+    monkeypatch.setattr(similar, "TOGETHER", 7)
+    monkeypatch.setattr(similar, "FEW", 2)
+    monkeypatch.setattr(similar, "TIMES", 2)
+    rng = random.Random(8)
+    base = prose(rng, 120)
+    texts = []
+    for g in range(12):  # groups at about 0.6 of each other, and linked inside
+        own = list(base)
+        for k in range(g % 5, 120, 11):
+            own[k] = f"g{g}"
+        texts += [" ".join([*own[:k], f"z{k}", *own[k + 1 :]]) for k in rng.sample(range(120), 6)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {similar.set_key(np.unique(shingle_hashes(t.encode(), 5))): i for i, t in rows}
+    cells = spark.createDataFrame([(1, bytearray(k)) for k in fps] + [(2, bytearray(k)) for k, i in fps.items() if i % 3], "cell long, fp binary")
+    named = spark.createDataFrame([(bytearray(k), texts[i]) for k, i in fps.items()], "fp binary, text string")
+    roots = similar.verified_roots(cells, lambda some: named.join(some, "fp", "left_semi"), 5, Frozen(spark, "rounds"))
+    group = {bytes(r["node"]): bytes(r["root"]) for r in roots.collect()}
+    least = {}
+    for k, i in fps.items():
+        least[group.get(k, k)] = min(i, least.get(group.get(k, k), i))
+    assert sorted(least.values()) == firsts(rows) and 1 < len(least) < len(texts)
+    assert docs.count() == len(fps)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rng = random.Random(9)
+    text, other = " ".join(prose(rng, 50)), " ".join(prose(rng, 50))
+    rows = [(3, text, "x"), (3, text, "x"), (None, text, "x"), (5, text + " more", "x"), (None, other, "x"), (None, other, "y"), (7, None, "x"), (6, "", "x")]
+    got = simhash.keep_one_similar(spark, spark.createDataFrame(rows, "doc_id long, text string, `key` string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("3", text), ("None", other), ("6", "")])
+
+
 def test_links_are_exact():
     base = np.arange(90, dtype=np.uint64)
-    at, under = base[:80], base[:71]  # 80 of 90; 71 of 90
-    assert similar.link_sets([base, at]).tolist() == [0, 0]
-    assert similar.link_sets([base, under]).tolist() == [0, 1]
-    assert similar.link_sets([base, base[:72]]).tolist() == [0, 0]  # exactly 0.8
-    assert similar.link_sets([base, base[:60], at, base[:72]]).tolist() == [0, 0, 0, 0]  # 60 of 72 links through the last
+    assert similar.similar([base], [base[:80], base[:71], base[:72], base + np.uint64(500)]) == [(0, 0), (0, 2)]  # 72 of 90 is exactly 0.8
+    assert similar.similar([base[:60], base[:72]], [base[:80], base[:90]]) == [(1, 0), (1, 1)]
