@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilgrid.llm import bpe, decontam, lines, quality, similar
+from perilgrid.llm import bpe, decontam, lines, quality, simhash
 from perilgrid.llm.runtime import Frozen
 
 
@@ -22,9 +22,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(spark, docs)
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8."""
-    return similar.keep_one(spark, docs)
+def simhash_near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, and links that are verified at a similarity of 0.8. SimHash
+    links at a few bits are among the candidates, but miss most pairs of that similarity; see ``perilgrid.llm.similar``."""
+    return simhash.keep_one_similar(spark, docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_stage),
-    ("near_dedup", near_dedup_stage),
+    ("simhash_near_dedup", simhash_near_dedup_stage),
     ("benchmark_decontamination", decontamination_stage),
     ("bpe_encoding", encoding_stage),
 ]
