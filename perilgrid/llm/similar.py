@@ -24,7 +24,7 @@ from perilgrid.operators.components import connected_components
 
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 5
 #: Members of a cell in one task; members compared with all in the second round, in each later one so many times more, and at most.
 TOGETHER, FEW, TIMES, MOST = 500, 64, 4, 16_384
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -44,27 +44,31 @@ def bands(own: np.ndarray) -> np.ndarray:
     low = own.astype(np.uint32)
     for at in range(0, len(low), 1024):
         np.minimum(least, (low[at : at + 1024, None] * _FACTORS).min(0), out=least)
-    a, b, c, d = least.astype(U64).reshape(BANDS, ROWS).T
-    return mix(mix(a << U64(32) | b) + (c << U64(32) | d) + _BAND)
-
-
-def similar(members: list[np.ndarray], centres: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(member, centre) of the similar ones of some non-empty sets."""
-    up, down = SIMILAR
-    size = np.array([len(c) for c in centres])
-    item = np.concatenate(centres)
-    order = np.argsort(item, kind="stable")
-    owner, item = np.repeat(np.arange(len(centres)), size)[order], item[order]
-    out = []
-    for m, own in enumerate(members):
-        first, last = np.searchsorted(item, own, "left"), np.searchsorted(item, own, "right")
-        hit = last > first
-        n = (last - first)[hit]
-        at = np.repeat(first[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else n
-        both = np.bincount(owner[at], minlength=len(centres))
+    a, b, c, d, e = least.astype(U64).reshape(BANDS, ROWS).T
+    return mix(mix(mix(a << U64(32) | b) + (c << U64(32) | d)) + e + _BAND)
+
+
+class Centres:
+    """Some non-empty sets that others are compared with, as one sorted list of shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(c) for c in sets])
+        item = np.concatenate(sets)
+        order = np.argsort(item, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.item, self.first, self.count = np.unique(item[order], return_index=True, return_counts=True)
+
+    def similar(self, own: np.ndarray) -> list[int]:
+        """The numbers of the sets that are similar to a non-empty one."""
+        up, down = SIMILAR
+        k = np.searchsorted(self.item, own)
+        k[k == len(self.item)] = 0
+        k = k[self.item[k] == own]
+        n = self.count[k]
+        at = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else n
+        both = np.bincount(self.owner[at], minlength=len(self.size))
         # both / (all of the two - both) >= up / down
-        out += [(m, int(c)) for c in np.flatnonzero(both * (up + down) >= up * (size + len(own)))]
-    return out
+        return np.flatnonzero(both * (up + down) >= up * (self.size + len(own))).tolist()
 
 
 def _compare(rows: DataFrame, shingle: int) -> DataFrame:
@@ -73,19 +77,21 @@ def _compare(rows: DataFrame, shingle: int) -> DataFrame:
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches):
-        part, centres, sets = None, [], []
+        part, centres, sets, known = None, [], [], None
         for batch in slices(batches, most=1 << 20):
             out = []
             columns = (batch.column(c).to_pylist() for c in ("cell", "part", "member", "fp"))
             for cell, k, member, fp, text in zip(*columns, texts_of(batch.column("text")), strict=True):
                 if (cell, k) != part:
-                    part, centres, sets = (cell, k), [], []
+                    part, centres, sets, known = (cell, k), [], [], None
                 own = np.unique(shingle_hashes(text, shingle))
                 if not member:
                     centres.append(fp)
                     sets.append(own)
-                elif sets:
-                    out += [(fp, centres[c]) for _, c in similar([own], sets) if centres[c] != fp]
+                elif centres:
+                    if known is None:
+                        known, sets = Centres(sets), []
+                    out += [(fp, centres[c]) for c in known.similar(own) if centres[c] != fp]
             if out:
                 yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=schema)
 

@@ -107,5 +107,6 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_links_are_exact():
     base = np.arange(90, dtype=np.uint64)
-    assert similar.similar([base], [base[:80], base[:71], base[:72], base + np.uint64(500)]) == [(0, 0), (0, 2)]  # 72 of 90 is exactly 0.8
-    assert similar.similar([base[:60], base[:72]], [base[:80], base[:90]]) == [(1, 0), (1, 1)]
+    assert similar.Centres([base[:80], base[:71], base[:72], base + np.uint64(500)]).similar(base) == [0, 2]  # 72 of 90 is exactly 0.8
+    some = similar.Centres([base[:80], base[:90]])
+    assert some.similar(base[:60]) == [] and some.similar(base[:72]) == [0, 1] and some.similar(base[:1] + np.uint64(900)) == []
