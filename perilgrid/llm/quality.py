@@ -1,6 +1,6 @@
 """Quality rules: fixed counts, and a hashed n-gram logistic regression trained on labelled rows.
 
-Features are the relative frequencies of hashed word 1- and 2-grams and of hashed byte 3- and 4-grams. Probabilities are
+Features are the relative frequencies of hashed word 1- and 2-grams and of hashed character (code point) 3- and 4-grams. Probabilities are
 calibrated on rows left out of the fit and hold against a fixed threshold. Texts are scored in Arrow batches with the weights
 alone, without a feature vector for each text.
 """
@@ -24,11 +24,12 @@ SAMPLE = 2500
 KEEP_FROM = 0.5
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
+_FACTOR = np.uint32(0x85EBCA6B)
 
 
 @dataclass
 class Features:
-    """A run of texts: words and bytes laid end to end."""
+    """A run of texts: words, bytes and characters laid end to end. Bytes that aren't UTF-8 count as one replacement character."""
 
     texts: list[bytes]
     store: WordHashes
@@ -40,6 +41,10 @@ class Features:
         self.raw = np.frombuffer(b"".join(self.texts), np.uint8)
         self.byte_at = np.zeros(len(self.texts) + 1, np.int64)
         np.cumsum([len(t) for t in self.texts], out=self.byte_at[1:])
+        decoded = [t.decode("utf-8", "replace") for t in self.texts]
+        self.chars = np.frombuffer("".join(decoded).encode("utf-32-le"), "<u4")
+        self.char_at = np.zeros(len(decoded) + 1, np.int64)
+        np.cumsum([len(t) for t in decoded], out=self.char_at[1:])
 
     def inside(self, at: np.ndarray, k: int) -> np.ndarray:
         """Which windows of k items, by start, stay in one text."""
@@ -57,12 +62,11 @@ class Features:
                 good = self.inside(self.word_at, k)
                 h = self.hashes if k == 1 else mix(self.hashes[:-1] * U64(3) + self.hashes[1:])
                 yield (h & U64(WORD_SLOTS - 1)).astype(np.int32), good, self.word_at
-        if len(self.raw) >= 3:
-            three = self.raw[:-2].astype(np.uint32) | self.raw[1:-1].astype(np.uint32) << 8 | self.raw[2:].astype(np.uint32) << 16
-            yield self._char_slot(three), self.inside(self.byte_at, 3), self.byte_at
-            if len(self.raw) >= 4:
-                four = three[:-1] | self.raw[3:].astype(np.uint32) << 24
-                yield self._char_slot(four ^ np.uint32(0x5BD1E995)), self.inside(self.byte_at, 4), self.byte_at
+        if len(self.chars) >= 3:
+            three = (self.chars[:-2] * _FACTOR + self.chars[1:-1]) * _FACTOR + self.chars[2:]
+            yield self._char_slot(three), self.inside(self.char_at, 3), self.char_at
+            if len(self.chars) >= 4:
+                yield self._char_slot(three[:-1] * _FACTOR + self.chars[3:]), self.inside(self.char_at, 4), self.char_at
 
     @staticmethod
     def _char_slot(code: np.ndarray) -> np.ndarray:
@@ -83,7 +87,7 @@ class Features:
         top = np.zeros((2, len(self.texts)))
         n = np.zeros((2, len(self.texts)))
         for slot, good, at in self.slots():
-            part = int(at is self.byte_at)
+            part = int(at is self.char_at)
             w = np.where(good, weights[slot], np.float32(0))
             ends = np.minimum(at, len(w))
             top[part] += sums_by(w, ends)
