@@ -24,8 +24,8 @@ NEAR = 0.15
 
 
 def _row_key():
-    """Stands for a row when decisions are joined back: the same for equal rows, which get the same decisions."""
-    return F.xxhash64("doc_id", "text", F.length("text"))
+    """128 bits that stand for a row when decisions are joined back: the same for equal rows, which get the same decisions."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64(F.lit(1), F.col("text"), F.col("doc_id")).alias("y"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -69,8 +69,7 @@ def _with_drops(docs: DataFrame, frozen: Frozen, min_sites: int) -> DataFrame:
         .groupBy("row")
         .agg(F.collect_set("pos").alias("drop"))
     )
-    # a hash table of the decisions: the texts stream by, unsorted
-    return docs.withColumn("row", _row_key()).join(drops.hint("shuffle_hash"), "row", "left").drop("row")
+    return docs.withColumn("row", _row_key()).join(frozen(drops, "drops"), "row", "left").drop("row")
 
 
 def _keep(text: bytes, drop: list[int] | None) -> bytes:
@@ -105,7 +104,8 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, n_lines, n_removed, kept_sha256 of the kept lines joined by line ends."""
+    """Every document: doc_id, n_lines, n_removed, kept_sha256 of the kept lines joined by line ends. A null text is one empty
+    line."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     marked = _with_drops(docs, Frozen(spark, "lines"), MIN_SITES).select(F.col("doc_id").cast("long"), "text", "drop")
@@ -127,7 +127,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = f"""
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 b AS (SELECT line, min(row(doc_id, pos)) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
 m AS (SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND row(l.doc_id, l.pos) <> b.first AS gone FROM l LEFT JOIN b ON l.line = b.line)
 SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed,
