@@ -92,14 +92,16 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """XXH64 of words; a bounded store of those seen."""
+    """XXH64 of words; a store of those seen, bounded in number and, since long words aren't kept, in bytes (some 60 MB)."""
 
-    most = 500_000
+    most, longest = 500_000, 40
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
 

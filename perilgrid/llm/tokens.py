@@ -25,7 +25,8 @@ from perilgrid.llm.runtime import ship, slices, texts_of
 VOCABULARY = "word_bpe_49k.json"
 CHUNK, OVERLAP, MARGIN = 32_768, 512, 16  # characters
 LIMIT = 2048
-KEPT_WORDS = 600_000
+#: Words whose counts are kept, and the longest of them: a bound in bytes as well (some 80 MB).
+KEPT_WORDS, LONGEST = 600_000, 40
 
 
 def stem(word: str) -> tuple[str, ...]:
@@ -69,7 +70,11 @@ class ChunkCounter:
             known[part] = len(got)
         for w, parts in new.items():
             known[w] = sum(map(known.__getitem__, parts))
-        return sum(map(known.__getitem__, words))
+        total = sum(map(known.__getitem__, words))
+        for w in {*new, *stems}:
+            if len(w) > LONGEST:
+                del known[w]
+        return total
 
     def encode(self, text: str, start: int, end: int) -> tuple[list[tuple[int, int, int]], int, int]:
         got = self.library.encode(text[start:end], add_special_tokens=False)
