@@ -22,8 +22,13 @@ from pyspark.sql import functions as F
 from perilgrid.llm.hashing import U64
 from perilgrid.llm.runtime import Frozen, ship, slices
 
-#: Bytes of text of a batch, and of the text whose questions meet in a bucket. Memory of a task is a small multiple.
+#: Bytes of text of a batch, and of the text whose questions meet in a bucket, at least. Memory of a task is a small multiple.
 BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Both grow with the root of the corpus, so that a row of packed questions stays for about so many bytes of text, and the number
+#: of rows grows with the corpus and not with its square: 49 MB at 1 TB, 490 MB at 100 TB.
+ROW_BYTES = 2400
+#: Tasks of a round at most; each takes its batches or buckets one after the other.
+TASKS = 20_000
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: behind all others
 
 
@@ -64,9 +69,34 @@ class Batch:
             yield start, len(self.texts)
 
 
-def pack_batches(spark: SparkSession, docs: DataFrame, frozen: Frozen, size: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """The frozen batches (batch, data, n_bytes), and the bytes of text in all. A null text counts as empty."""
+@dataclass
+class Scale:
+    """Sizes that follow the bytes of text in all."""
+
+    size: int
+
+    def share(self, least: int) -> int:
+        return max(least, int((ROW_BYTES * self.size) ** 0.5))
+
+    @property
+    def batch(self) -> int:
+        return self.share(BATCH_BYTES)
+
+    @property
+    def buckets(self) -> int:
+        return self.size // self.share(BUCKET_BYTES) + 1
+
+    @property
+    def tasks(self) -> int:
+        """One for each bucket, while there aren't too many."""
+        return min(TASKS, max(self.buckets, self.size // self.batch + 1))
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, frozen: Frozen) -> tuple[DataFrame, Scale]:
+    """The frozen batches (batch, data, n_bytes), and the sizes that follow from the text. A null text counts as empty."""
     ship(spark)
+    scale = Scale(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = scale.batch
     schema = pa.schema([("data", pa.binary()), ("n_bytes", pa.int64())])
 
     def run(batches):
@@ -87,8 +117,7 @@ def pack_batches(spark: SparkSession, docs: DataFrame, frozen: Frozen, size: int
             yield close()
 
     packed = docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "data binary, n_bytes long")
-    packed = frozen(packed.withColumn("batch", F.monotonically_increasing_id()), "batches")
-    return packed, packed.agg(F.sum("n_bytes")).first()[0] or 0
+    return frozen(packed.withColumn("batch", F.monotonically_increasing_id()), "batches"), scale
 
 
 def width(items: int, exact: bool) -> int:
@@ -100,11 +129,12 @@ def width(items: int, exact: bool) -> int:
 
 @dataclass
 class Round:
-    """One round: ``name``, hash ``bytes``, the number of ``buckets``, ``bits`` of an answer."""
+    """One round: ``name``, hash ``bytes``, the number of ``buckets`` and of ``tasks``, ``bits`` of an answer."""
 
     name: str
     bytes: int
     buckets: int
+    tasks: int
     bits: int
 
     def cut(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +209,7 @@ def run_round(
             rows.append(zstandard.ZstdCompressor(level=1).compress(b"".join(parts)))
         return pa.table([pa.array(np.full(len(cut), key), pa.int64()), pa.array(bucket[cut], pa.int64()), pa.array(ends - cut, pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
-    asked = over_batches(batches, earlier, questions, "batch long, bucket long, n long, data binary")
+    asked = over_batches(batches, earlier, questions, "batch long, bucket long, n long, data binary", this.tasks)
 
     def settle(table: pa.Table) -> pa.Table:
         ns = table.column("n").to_pylist()
@@ -201,7 +231,7 @@ def run_round(
         bits = [pack_bits(got[e - n : e], this.bits) for e, n in zip(ends.tolist(), ns, strict=True)]
         return pa.table([table.column("batch"), table.column("bucket"), table.column("n"), pa.array(bits, pa.binary())], names=["batch", "bucket", "n", "bits"])
 
-    answered = asked.groupBy("bucket").applyInArrow(settle, "batch long, bucket long, n long, bits binary")
+    answered = asked.repartition(this.tasks, "bucket").groupBy("bucket").applyInArrow(settle, "batch long, bucket long, n long, bits binary")
     return frozen(answered.withColumn("round", F.lit(this.name)), f"answers-{this.name}")
 
 
@@ -226,8 +256,8 @@ class Answers(dict):
         return np.concatenate(parts) if parts else np.empty(0, np.uint8)
 
 
-def over_batches(batches: DataFrame, answers: DataFrame | None, run: Callable, schema: str) -> DataFrame:
-    """``run(batch number, data, answers) -> table`` over all batches with what they have been answered."""
+def over_batches(batches: DataFrame, answers: DataFrame | None, run: Callable, schema: str, tasks: int) -> DataFrame:
+    """``run(batch number, data, answers) -> table`` over all batches with what they have been answered, in so many tasks."""
     if answers is None:
 
         def alone(parts):
@@ -244,8 +274,8 @@ def over_batches(batches: DataFrame, answers: DataFrame | None, run: Callable, s
         row = left.slice(0, 1).to_pylist()[0]
         return run(row["batch"], row["data"], got)
 
-    ours = batches.select("batch", "data").groupBy("batch")
-    return ours.cogroup(answers.groupBy("batch")).applyInArrow(together, schema)
+    ours, theirs = (x.repartition(tasks, "batch").groupBy("batch") for x in (batches.select("batch", "data"), answers))
+    return ours.cogroup(theirs).applyInArrow(together, schema)
 
 
 def owner(group: np.ndarray, extra: np.ndarray) -> np.ndarray:

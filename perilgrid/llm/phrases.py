@@ -273,12 +273,12 @@ def drop_repeated_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of equal doc_id are judged against smaller ones and against themselves, not against each other. A null doc_id counts as
     larger than all others. Other columns are left out; no rows give no rows."""
     frozen = Frozen(spark, "phrases")
-    batches, size = exchange.pack_batches(spark, docs, frozen)
-    buckets = size // exchange.BUCKET_BYTES + 1
+    batches, scale = exchange.pack_batches(spark, docs, frozen)
+    size, dealt = scale.size, (scale.buckets, scale.tasks)
     rounds = Rounds(
-        Round("phrase", exchange.width(size // 8, False), buckets, 2),
-        Round("context", exchange.width(size // 8, True), buckets, 1),
-        Round("suffix", exchange.width(size, True), buckets, 1),
+        Round("phrase", exchange.width(size // 8, False), *dealt, 2),
+        Round("context", exchange.width(size // 8, True), *dealt, 1),
+        Round("suffix", exchange.width(size, True), *dealt, 1),
     )
     first = exchange.run_round(batches, frozen, rounds.phrase, lambda b, _: Parse.of(b).ask_phrases(rounds)[1], _phrase_answers, 9)
     second = exchange.run_round(
@@ -300,7 +300,7 @@ def drop_repeated_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return pa.table([ids, *n, pa.array(rows[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return exchange.over_batches(
-        batches, both.unionByName(third), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+        batches, both.unionByName(third), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", scale.tasks
     )
 
 

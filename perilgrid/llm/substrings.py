@@ -117,10 +117,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) ->
     smaller doc_id. A null text has no words. Rows of equal doc_id are judged against smaller ones only, so of repeated rows
     each keeps its words; a null doc_id counts as larger than all others. Other columns are left out; no rows give no rows."""
     frozen = Frozen(spark, "substrings")
-    batches, size = exchange.pack_batches(spark, docs, frozen)
-    buckets = size // exchange.BUCKET_BYTES + 1
-    anchor = Round("anchor", exchange.width(size // 2, False), buckets, 1)
-    settle = Round("settle", exchange.width(size // 2, True), buckets, 1)
+    batches, scale = exchange.pack_batches(spark, docs, frozen)
+    size, dealt = scale.size, (scale.buckets, scale.tasks)
+    anchor = Round("anchor", exchange.width(size // 2, False), *dealt, 1)
+    settle = Round("settle", exchange.width(size // 2, True), *dealt, 1)
     first = exchange.run_round(batches, frozen, anchor, lambda b, _: _anchors(Words.of(b), anchor, window)[2], _shared, 1)
     second = exchange.run_round(
         batches, frozen, settle, lambda b, got: _candidates(b, Words.of(b), anchor, settle, window, got)[3], exchange.owner, 8, first
@@ -140,7 +140,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) ->
         ids = pa.array(batch.ids, pa.int64(), mask=batch.null_id)
         return pa.table([ids, pa.array(np.diff(words.at)), pa.array(n_removed), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return exchange.over_batches(batches, first.unionByName(second), finish, "doc_id long, n_words long, n_removed long, kept string")
+    return exchange.over_batches(batches, first.unionByName(second), finish, "doc_id long, n_words long, n_removed long, kept string", scale.tasks)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+import xxhash
 
 from perilgrid.llm import bpe, exchange, phrases, quality, substrings, tokens
 
@@ -30,6 +32,18 @@ def frame(spark, texts, ids=None):
     return spark.createDataFrame([(i, t, 0, "x") for i, t in zip(ids or range(len(texts)), texts, strict=True)], KIND).repartition(5)
 
 
+def small_batches(monkeypatch, n):
+    monkeypatch.setattr(exchange, "BATCH_BYTES", n)
+    monkeypatch.setattr(exchange, "ROW_BYTES", 0)
+
+
+def test_sizes_follow_the_corpus():
+    small, large, huge = exchange.Scale(10**8), exchange.Scale(10**12), exchange.Scale(10**14)
+    assert small.batch == exchange.BATCH_BYTES and large.batch < 60 << 20 and huge.batch < 500 << 20
+    rows = [x.size / x.batch * x.buckets for x in (large, huge)]
+    assert rows[1] < 110 * rows[0] and huge.tasks == exchange.TASKS
+
+
 def brute_words(rows, window):
     first = {}
     words = [(i, WORD.findall(t or "")) for i, t in rows]
@@ -51,7 +65,7 @@ def brute_words(rows, window):
 @pytest.mark.parametrize(("window", "batch"), [(50, 8 << 20), (50, 3000), (8, 4000)])
 def test_substrings(spark, monkeypatch, window, batch):
     monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
-    monkeypatch.setattr(exchange.pack_batches, "__defaults__", (batch,))
+    small_batches(monkeypatch, batch)
     texts = corpus()
     ids = list(range(len(texts)))
     ids[3], ids[7] = None, ids[8]  # a null and a repeated doc_id
@@ -85,10 +99,10 @@ def brute_bytes(rows):
     return out
 
 
-@pytest.mark.parametrize(("seed", "batch"), [(1, 8 << 20), (2, 3000), (3, 500)])
+@pytest.mark.parametrize(("seed", "batch"), [(1, 8 << 20), (2, 3000), (3, 500), (4, 300), (5, 1000), (6, 2000)])
 def test_repeated_bytes(spark, monkeypatch, seed, batch):
     monkeypatch.setattr(exchange, "BUCKET_BYTES", 20_000)
-    monkeypatch.setattr(exchange.pack_batches, "__defaults__", (batch,))
+    small_batches(monkeypatch, batch)
     texts = corpus(seed)
     ids = list(range(len(texts)))
     ids[3], ids[4], ids[7], ids[12] = None, None, ids[8], ids[13]  # null and repeated doc_ids
@@ -97,7 +111,7 @@ def test_repeated_bytes(spark, monkeypatch, seed, batch):
 
 
 def test_contexts_whose_hashes_agree_in_16_bits(spark, monkeypatch):
-    monkeypatch.setattr(exchange.pack_batches, "__defaults__", (500,))
+    small_batches(monkeypatch, 500)
     rng = random.Random(5)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
     passage = letters(110)
@@ -205,6 +219,76 @@ def test_quality_counts(spark):
     assert all(r["kept"] != r["base_failed"] for r in got)  # without a model every text passes
 
 
+def plain_slots(text):
+    """The frequencies of a text's hashed n-grams, one at a time."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 31
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 29
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 32
+
+    w = [xxhash.xxh64_intdigest(x, 42) for x in text.encode().split()]
+    words = [h % quality.WORD_SLOTS for h in w] + [mixed((a * 3 + b) & mask) % quality.WORD_SLOTS for a, b in zip(w, w[1:])]
+    c = [ord(x) for x in text]
+    grams = []
+    for k in (3, 4):
+        for i in range(len(c) - k + 1):
+            code = 0
+            for x in c[i : i + k]:
+                code = (code * 0x85EBCA6B + x) % 2**32
+            grams.append(quality.WORD_SLOTS + (code * 2654435761 % 2**32 >> 19))
+    out = {}
+    for part in (words, grams):
+        for s in part:
+            out[s] = out.get(s, 0) + 1 / len(part)
+    return out
+
+
+def test_features_against_plain():
+    texts = ["", "one", "Ein schöner Satz, наш текст 中文字符在这里 and more", "ab", "a b a b a b", "x" * 9]
+    got = quality.Features([t.encode() for t in texts], quality.WordHashes()).vectors()
+    weights = np.random.default_rng(1).normal(size=quality.SLOTS).astype(np.float32)
+    scores = quality.Features([t.encode() for t in texts], quality.WordHashes()).scores(weights)
+    for t, (slots, share), score in zip(texts, got, scores):
+        want = plain_slots(t)
+        assert slots.tolist() == sorted(want) and share == pytest.approx([want[s] for s in sorted(want)], rel=1e-5)
+        assert score == pytest.approx(sum(float(weights[s]) * v for s, v in want.items()), abs=1e-5)
+
+
+def test_fit_and_calibration_against_plain():
+    rng = np.random.default_rng(2)
+    n, k, ridge = 400, 5, 1e-2
+    raw = rng.exponential(size=(n, k))
+    y = (rng.random(n) < 1 / (1 + np.exp(-((raw - 1) @ rng.normal(size=k) * 2)))).astype(np.float32)
+    held = np.arange(n) % 4 == 0
+    head = quality.fit_head(np.c_[raw, np.ones(n)].astype(np.float32), y, held, ridge=ridge, steps=3000)
+    # the same loss by plain gradient descent in double precision
+    x = np.c_[raw, np.ones(n)]
+    scale = np.r_[1 / np.sqrt(raw[~held].mean(0) + 1e-4), 1.0]
+    share = y[~held].mean()
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * ~held
+    w = np.zeros(k + 1)
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(x * scale) @ w))
+        w -= 0.2 * ((weight * (p - y) / weight.sum()) @ (x * scale) + ridge * w)
+    assert head.weights == pytest.approx((w * scale)[:-1], abs=0.02) and head.bias == pytest.approx(w[-1], abs=0.02)
+    # calibration keeps the order and is as good as the best line that a search finds
+    score = raw @ head.weights
+    p = head.probability(score)
+    assert np.all(np.diff(p[np.argsort(score)]) >= 0)
+    s = (score + head.bias)[held]
+
+    def loss(a, b):
+        z = a * s + b
+        return float(np.mean(np.logaddexp(0, z) - z * y[held]))
+
+    best = min(loss(a * head.slope, b) for a in np.linspace(0.05, 4, 80) for b in np.linspace(-3, 3, 61))
+    assert loss(head.slope, head.shift) <= best + 0.01 and abs(p[held].mean() - y[held].mean()) < 0.05
+
+
 def test_quality_model(spark):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
