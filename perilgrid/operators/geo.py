@@ -63,35 +63,33 @@ def nearest(points: DataFrame, targets: DataFrame, start_m: float = 1000.0, grow
     """target_id and nearest_m, the distance to the nearest point; null without points.
 
     Targets that find a point within a radius are done; the others try again with a radius ``grow`` times as large. Beyond a
-    thousand kilometres the few that are left are compared with all points, as a stated query set in blocks. Each round is
-    frozen, so no round repeats another's work."""
+    thousand kilometres latitude and longitude cells no longer tell places apart; the targets left are compared with the places
+    of points, as a stated query set in blocks. Each round is frozen, so no round repeats another's work."""
     frozen, found, open_targets, radius = Frozen(points.sparkSession, "nearest"), None, targets.select("target_id", "lat", "lon"), start_m
-    while radius <= 1e6:
-        here = within(points, open_targets, radius).groupBy("target_id").agg(F.min("dist_m").alias("nearest_m"))
-        here = frozen(here, f"within-{radius:.0f}")
+    points = points.filter("lat is not null and lon is not null").select("lat", "lon")
+    open_targets = open_targets.filter("lat is not null and lon is not null")
+    if points.isEmpty():
+        return targets.select("target_id", F.lit(None).cast("double").alias("nearest_m"))
+    while True:
+        here = within(points, open_targets, radius) if radius <= 1e6 else far_pairs(points, open_targets)
+        here = frozen(here.groupBy("target_id").agg(F.min("dist_m").alias("nearest_m")), f"within-{radius:.0f}")
         found = here if found is None else found.unionByName(here)
+        if radius > 1e6:
+            break
         open_targets = open_targets.join(here.select("target_id"), "target_id", "left_anti")
         if open_targets.isEmpty():
             break
         radius *= grow
-    else:
-        found = found.unionByName(_nearest_of_all(points, open_targets))
     return targets.select("target_id").join(found, "target_id", "left")
 
 
-def _nearest_of_all(points: DataFrame, targets: DataFrame, block: int = 500) -> DataFrame:
-    rows = targets.filter("lat is not null and lon is not null").orderBy("target_id")
-    out, last = None, None
-    while part := (rows if last is None else rows.filter(F.col("target_id") > last)).limit(block).collect():
-        last = part[-1]["target_id"]
-        aggregates = [
-            F.struct(F.lit(r["target_id"]).alias("target_id"), F.min(haversine(F.lit(r["lat"]), F.lit(r["lon"]), F.col("lat"), F.col("lon"))).alias("nearest_m"))
-            for r in part
-        ]
-        found = points.agg(F.array(*aggregates).alias("all")).select(F.inline("all"))
-        out = found if out is None else out.unionByName(found)
-    empty = targets.limit(0).select("target_id", F.lit(None).cast("double").alias("nearest_m"))
-    return (empty if out is None else out).filter("nearest_m is not null")
+def far_pairs(points: DataFrame, targets: DataFrame, side: int = 16) -> DataFrame:
+    """(target_id, dist_m) of targets and the distinct places of points, dealt to ``side`` x ``side`` blocks by hash."""
+    places = points.distinct().withColumn("p", F.pmod(F.xxhash64("lat", "lon"), F.lit(side))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    asked = targets.select("target_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.pmod(F.xxhash64("target_id"), F.lit(side)).alias("t"))
+    asked = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    dist = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    return places.join(asked, ["p", "t"]).select("target_id", dist.alias("dist_m"))
 
 
 def road_key(damage: DataFrame) -> str | None:

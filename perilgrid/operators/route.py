@@ -21,42 +21,60 @@ def distances(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest_first(matrix: np.ndarray) -> list[int]:
+def nearest_first(matrix: np.ndarray) -> np.ndarray:
     """From the first stop always on to the nearest one left, the smaller index first among equals."""
-    left, order = set(range(1, len(matrix))), [0] if len(matrix) else []
-    while left:
-        here = matrix[order[-1]]
-        order.append(min(sorted(left), key=lambda j: here[j]))
-        left.remove(order[-1])
+    n = len(matrix)
+    order, open_stops = np.zeros(n, np.int64), np.ones(n, bool)
+    for step in range(1, n):
+        open_stops[order[step - 1]] = False
+        order[step] = np.where(open_stops, matrix[order[step - 1]], np.inf).argmin()
     return order
 
 
+def leg_lengths(matrix: np.ndarray, order: list[int], closed: bool) -> list[float]:
+    """The legs of a route in the order driven; a closed one with two stops or more also leads back to its start."""
+    onward = np.roll(order, -1)
+    return matrix[order, onward][: None if closed and len(order) > 1 else -1].tolist() if len(order) else []
+
+
 def length(matrix: np.ndarray, order: list[int], closed: bool) -> float:
-    stops = order + order[:1] if closed else order
-    return float(sum(matrix[a][b] for a, b in zip(stops, stops[1:], strict=False)))
+    return float(sum(leg_lengths(matrix, order, closed)))
+
 
+def reversal_changes(matrix: np.ndarray, order: np.ndarray, i: int, closed: bool) -> np.ndarray:
+    """By how much the route grows if the stops at places i to k are visited in reverse, for every k > i: two edges change, and
+    the legs between are driven the other way, which matters where distances differ by direction."""
+    ends, after = order[i + 1 :], np.append(order[i + 2 :], order[0])
+    there, back = matrix[order[i:-1], order[i + 1 :]], matrix[order[i + 1 :], order[i:-1]]
+    leaving = matrix[order[i], after] - matrix[ends, after]
+    if not closed:
+        leaving[-1] = 0.0
+    return matrix[order[i - 1], ends] - matrix[order[i - 1], order[i]] + np.cumsum(back - there) + leaving
 
-def two_opt(matrix: np.ndarray, order: list[int], closed: bool) -> list[int]:
-    """Takes each reversal of a stretch that shortens the route, over and over, until none does."""
-    best, more = length(matrix, order, closed), len(order) > 2
-    while more:
-        more = False
+
+def two_opt(matrix: np.ndarray, order: np.ndarray, closed: bool) -> np.ndarray:
+    """Takes each reversal of a stretch that shortens the route, in order of its places, over and over, until none does."""
+    order, moved = np.array(order), True
+    while moved:
+        moved = False
         for i in range(1, len(order) - 1):
-            for k in range(i + 1, len(order)):
-                other = order[:i] + order[i : k + 1][::-1] + order[k + 1 :]
-                if (new := length(matrix, other, closed)) + GAIN < best:
-                    order, best, more = other, new, True
+            k = i
+            while len(better := np.flatnonzero(reversal_changes(matrix, order, i, closed)[k - i :] < -GAIN)):
+                k += int(better[0]) + 1
+                order[i : k + 1] = order[i : k + 1][::-1].copy()
+                moved = True
     return order
 
 
+#: How routes of few stops are found.
+FEW = {0: "none", 1: "none", 2: "trivial"}
+
+
 def solve(matrix: np.ndarray, closed: bool = False) -> tuple[list[int], str]:
     """The order of stops, and how it was found. Two stops and fewer need no search."""
-    n = len(matrix)
-    if matrix.shape != (n, n):
+    if matrix.ndim != 2 or matrix.shape[0] != matrix.shape[1]:
         raise ValueError(f"a matrix must be square: {matrix.shape}")
-    if n < 3:
-        return list(range(n)), "trivial" if n == 2 else "none"
-    return two_opt(matrix, nearest_first(matrix), closed), "nearest-neighbor+2opt"
+    return two_opt(matrix, nearest_first(matrix), closed).tolist(), FEW.get(len(matrix), "nearest-neighbor+2opt")
 
 
 ROUTE = "route_id bigint, order array<int>, legs array<double>, total_m double, solver string, is_approximate boolean"
@@ -70,8 +88,7 @@ def optimize(stops: DataFrame, closed: bool = False, matrix: DataFrame | None =
 
     def one(stops: pd.DataFrame, m: np.ndarray, approximate: bool) -> pd.DataFrame:
         order, solver = solve(m, closed)
-        ring = order + order[:1] if closed and len(order) > 1 else order
-        legs = [float(m[a][b]) for a, b in zip(ring, ring[1:], strict=False)]
+        legs = leg_lengths(m, order, closed)
         return pd.DataFrame(
             {"route_id": [int(stops["route_id"].iloc[0])], "order": [order], "legs": [legs], "total_m": [float(sum(legs))], "solver": [solver], "is_approximate": [approximate]}
         )

@@ -49,6 +49,14 @@ def test_nearest(spark):
         assert got[i] == pytest.approx(min(metres(t, z) for z in zones))
 
 
+def test_far_targets(spark):
+    points = places(spark, [(37.4, 126.9), (-33.9, 151.2), (51.5, -0.1)])
+    targets = [(0.0, 0.0), (37.5, 127.0), (-40.0, -70.0), (60.0, 60.0)]
+    got = {r["target_id"]: r["nearest_m"] for r in geo.nearest(points, places(spark, targets, "target_id")).collect()}
+    for k, t in enumerate(targets):
+        assert got[k] == pytest.approx(min(metres(t, p) for p in [(37.4, 126.9), (-33.9, 151.2), (51.5, -0.1)]))
+
+
 def test_nearest_without_zones(spark):
     got = geo.nearest(places(spark, [(1.0, 1.0)]).limit(0), places(spark, [(1.0, 1.0)], "target_id"))
     assert [tuple(r) for r in got.collect()] == [(0, None)]
@@ -223,3 +231,25 @@ def test_two_opt_leaves_no_improvement():
             for k in range(i + 1, n):
                 other = order[:i] + order[i : k + 1][::-1] + order[k + 1 :]
                 assert route.length(m, other, False) >= best - 1e-6
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_changes_of_reversals(closed):
+    """Against the lengths of whole routes, with distances that differ by direction."""
+    rng = np.random.default_rng(4)
+    m = rng.random((9, 9))
+    np.fill_diagonal(m, 0)
+    order = rng.permutation(9)
+    for i in range(1, 8):
+        for change, k in zip(route.reversal_changes(m, order, i, closed), range(i + 1, 9)):
+            turned = np.r_[order[:i], order[i : k + 1][::-1], order[k + 1 :]]
+            assert change == pytest.approx(route.length(m, turned, closed) - route.length(m, order, closed))
+
+
+def test_long_routes():
+    rng = np.random.default_rng(5)
+    m = route.distances(37 + rng.random(300), 126 + rng.random(300))
+    order, solver = route.solve(m, closed=True)
+    assert sorted(order) == list(range(300)) and order[0] == 0 and solver == "nearest-neighbor+2opt"
+    assert route.length(m, order, True) < route.length(m, route.nearest_first(m), True)
+    assert route.solve(np.empty((0, 0))) == ([], "none") and route.solve(np.zeros((2, 2))) == ([0, 1], "trivial")
