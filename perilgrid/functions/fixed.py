@@ -19,32 +19,34 @@ ZONE_COLUMNS = ["zone_name", "lat", "lon", "address", "sido", "sigungu", "facili
 
 #: Header names of the damage history, by standard column.
 DAMAGE_HEADERS = {
-    "category_no": "분류번호 분류no 관리번호 일련번호 id",
-    "hazard_type": "위험물유형 위험물종류 파손유형 유형 위험물유형명 hazardtype",
-    "collected_at": "수집날짜 수집일자 수집일 발생일자 collecteddate",
-    "lat": "위도 위도y lat latitude y좌표",
-    "lon": "경도 경도x lon lng longitude x좌표",
-    "node_link": "노드링크 노드링크id 링크id nodelink",
-    "start_node": "시작노드 시작노드id startnode",
-    "end_node": "끝노드 종료노드 끝노드id endnode",
-    "road_address": "도로명주소 도로명 소재지도로명주소 주소 roadaddress",
-    "base_date": "데이터기준일자 데이터기준일 기준일자 basedate",
+    "category_no": ["분류번호", "분류no", "관리번호", "일련번호", "id"],
+    "hazard_type": ["위험물유형", "위험물종류", "파손유형", "유형", "위험물유형명", "hazardtype"],
+    "collected_at": ["수집날짜", "수집일자", "수집일", "발생일자", "collecteddate"],
+    "lat": ["위도", "위도y", "lat", "latitude", "y좌표"],
+    "lon": ["경도", "경도x", "lon", "lng", "longitude", "x좌표"],
+    "node_link": ["노드링크", "노드링크id", "링크id", "nodelink"],
+    "start_node": ["시작노드", "시작노드id", "startnode"],
+    "end_node": ["끝노드", "종료노드", "끝노드id", "endnode"],
+    "road_address": ["도로명주소", "도로명", "소재지도로명주소", "주소", "roadaddress"],
+    "base_date": ["데이터기준일자", "데이터기준일", "기준일자", "basedate"],
 }
 #: Header names of school zones, by standard column.
 ZONE_HEADERS = {
-    "zone_name": "대상시설명 시설명 학교명 명칭",
-    "lat": "위도 lat latitude",
-    "lon": "경도 lon lng longitude",
-    "address": "소재지도로명주소 소재지지번주소 도로명주소 지번주소 주소",
-    "sido": "시도명 시도",
-    "sigungu": "시군구명 시군구",
-    "facility_kind": "대상시설종류 시설종류",
+    "zone_name": ["대상시설명", "시설명", "학교명", "명칭"],
+    "lat": ["위도", "lat", "latitude"],
+    "lon": ["경도", "lon", "lng", "longitude"],
+    "address": ["소재지도로명주소", "소재지지번주소", "도로명주소", "지번주소", "주소"],
+    "sido": ["시도명", "시도"],
+    "sigungu": ["시군구명", "시군구"],
+    "facility_kind": ["대상시설종류", "시설종류"],
 }
 #: Encodings, in the order tried.
 ENCODINGS = ("utf-8-sig", "cp949", "euc-kr", "utf-8")
 #: What the CSV reader takes for a missing value.
-NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA"]
-NA_TOKENS += ["NULL", "NaN", "None", "n/a", "nan", "null"]
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+]
 
 #: Why rows are left out.
 LAT_MISSING, LAT_NOT_NUMERIC = "위도 값 없음", "위도 값이 숫자가 아님"
@@ -83,6 +85,8 @@ NEW_CASE_NOTE = "신규 접수"
 #: Rain texts.
 NO_RAIN = ["", "강수없음", "-", "null", "None"]
 BELOW = "미만"
+#: How the reason of an unexpected forecast answer begins.
+BAD_ANSWER = "기상청 응답 형식이 예상과 다릅니다: "
 
 #: Labels of flags.
 DONE_LABELS, SAMPLE_LABELS = ("예", "아니오"), ("샘플", "실데이터")

@@ -17,11 +17,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, as in tests, a folder of this process that goes with it."""
+    """The cluster's shared folder. Where none is set, a folder of this process that goes with it, but only if all executors
+    are threads of it (a local master): elsewhere executors would write to disks that others can't read."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="perilgrid-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)

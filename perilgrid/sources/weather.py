@@ -9,6 +9,7 @@ import urllib.request
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perilgrid.functions import fixed
 from perilgrid.functions.columns import rain_of_text, strip
 
 ITEM = "struct<fcstDate:string,fcstTime:string,category:string,fcstValue:string>"
@@ -50,6 +51,16 @@ def items_of_json(payloads: DataFrame) -> DataFrame:
     return payloads.select("request_id", F.posexplode(items).alias("pos", "item")).select("request_id", "pos", "item.*")
 
 
+def problems(payloads: DataFrame) -> DataFrame:
+    """(request_id, reason) of answers without items: the service's result code (? if it gives none) and message."""
+    schema = "struct<response:struct<header:struct<resultCode:string,resultMsg:string>,body:struct<items:struct<item:array<string>>>>>"
+    answer = F.from_json("payload", schema).getField("response")
+    header = answer.getField("header")
+    texts = (F.lit(fixed.BAD_ANSWER), F.coalesce(header.getField("resultCode"), F.lit("?")), F.lit(" "), F.coalesce(header.getField("resultMsg"), F.lit("")))
+    missing = answer.getField("body").getField("items").getField("item").isNull()
+    return payloads.filter(missing).select("request_id", F.concat(*texts).alias("reason"))
+
+
 def fetch(spark: SparkSession, key: str | None, base_date: str, base_time: str, nx: int = 60, ny: int = 121, timeout: float = 8.0) -> dict:
     """One forecast: available, source and either rain_mm, pop, base, fcst or a reason. Never raises."""
     no = {"available": False, "source": "unavailable"}
@@ -62,7 +73,11 @@ def fetch(spark: SparkSession, key: str | None, base_date: str, base_time: str,
         json.loads(text)
     except Exception as error:
         return no | {"reason": f"the request failed: {error}"}
-    row = reduce_items(items_of_json(spark.createDataFrame([(0, text)], "request_id int, payload string"))).first()
+    answer = spark.createDataFrame([(0, text)], "request_id int, payload string")
+    problem = problems(answer).first()
+    if problem:
+        return no | {"reason": problem["reason"]}
+    row = reduce_items(items_of_json(answer)).first()
     if row is None or not row["available"]:
         return no | {"reason": "no precipitation in the answer"}
     return {"available": True, "source": "kma_api", "rain_mm": row["rain_mm"], "pop": row["pop"], "base": f"{base_date} {base_time}", "fcst": row["fcst"]}

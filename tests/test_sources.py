@@ -46,7 +46,7 @@ def test_records(spark, tmp_path):
 
 def test_large_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,NA\n"x\n""y""",2\n')
-    rows = tables.read_large_csv(spark, f"{tmp_path}/a.csv").orderBy("_row_id").collect()
+    rows = tables.read_large_csv(spark, f"{tmp_path}/a.csv", multi_line=True).orderBy("_row_id").collect()
     assert [(r["a"], r["b"]) for r in rows] == [("1", None), ('x\n"y"', "2")]
 
 
@@ -160,3 +160,28 @@ def test_settings():
     s = settings.load({"KMA_SERVICE_KEY": " ", "CONF_THRESHOLD": "x", "STORE_ORIGINAL_IMAGE": " Yes ", "KMA_NX": "61"})
     assert (s.weather_enabled, s.confidence, s.keep_originals, s.weather_nx) == (False, 0.25, True, 61)
     assert not settings.flag({"A": "0"}, "A", True) and settings.flag({}, "A", True)
+
+
+def test_folder_of_files_in_splits(spark, tmp_path):
+    """Many splits, several files with a header each, and an encoding that Spark doesn't offer."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        lines = ["분류번호,위도,비고"] + [f'{k * 1000 + i},"37.{i}",가나 "" 다' if i % 2 else f"{k * 1000 + i},NA" for i in range(500)]
+        (folder / f"part-{k}.csv").write_bytes("\r\n".join(lines).encode("cp949"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        frame, encoding = tables.read_csv(spark, str(folder))
+        rows = frame.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert encoding == "cp949" and frame.columns == ["_row_id", "분류번호", "위도", "비고"] and frame.rdd.getNumPartitions() >= 3
+    got = {r["분류번호"]: (r["위도"], r["비고"]) for r in rows}
+    assert len(rows) == 1500 and len({r["_row_id"] for r in rows}) == 1500
+    assert got["1003"] == ("37.3", '가나 "" 다') and got["2004"] == (None, None)
+
+
+def test_answers_without_items(spark):
+    texts = ['{"response":{"header":{"resultCode":"22","resultMsg":"LIMITED"}}}', "{}", "not json", '{"response":{"body":{"items":{"item":[]}}}}']
+    rows = weather.problems(spark.createDataFrame(list(enumerate(texts)), "request_id int, payload string")).collect()
+    assert [(r["request_id"], r["reason"].split(": ")[1]) for r in rows] == [(0, "22 LIMITED"), (1, "? "), (2, "? ")]
