@@ -12,21 +12,40 @@ from perilgrid.functions import fixed
 NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 
+#: All white space of Unicode.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Trims white space of any script, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
+
+
+def bare(c: Column) -> Column:
+    """A number's text without white space around, thousands separators and quotes. It is worth a projection of its own where
+    both ``number_of`` and ``number_reason`` follow."""
+    return F.translate(strip(c), ',"', "")
+
+
+def number_of(text: Column) -> Column:
+    """A number from a bare text; null if it isn't one."""
+    text = strip(text)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def number_reason(text: Column, number: Column, missing: str, not_numeric: str) -> Column:
+    """Why a bare text gives no number; null if it does."""
+    return F.when(text.isNull() | (text == ""), missing).when(number.isNull(), not_numeric)
 
 
 def numeric(c: Column) -> Column:
     """A number from text with blanks, thousands separators and quotes around; null if it isn't one."""
-    text = strip(F.regexp_replace(c, '[,"]', ""))
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return number_of(bare(c))
 
 
 def numeric_reason(c: Column, missing: str, not_numeric: str) -> Column:
     """Why a text gives no number; null if it does."""
-    text = F.regexp_replace(strip(c), '[,"]', "")
-    return F.when(text.isNull() | (text == ""), missing).when(numeric(c).isNull(), not_numeric)
+    return number_reason(bare(c), numeric(c), missing, not_numeric)
 
 
 #: (what a text looks like, the pattern that reads it), after dots and slashes have become hyphens.
@@ -43,11 +62,16 @@ DATE_FORMS = (
 )
 
 
-def parse_date(c: Column) -> Column:
-    """A time stamp without zone from the date notations in use; null if it is none of them. Two-digit years and fractions
-    of seconds aren't read."""
-    text = F.regexp_replace(F.regexp_replace(strip(c), "[./]", "-"), r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
-    text = F.when(text.rlike(r"^\d{7}$"), F.concat(F.substring(text, 1, 6), F.lit("0"), F.substring(text, 7, 1))).otherwise(text)
+def date_text(c: Column) -> Column:
+    """A date's text in the notation of DATE_FORMS. It is worth a projection of its own before ``date_of``."""
+    text = F.translate(strip(c), "./", "--")
+    text = F.when(text.contains("T"), F.regexp_replace(text, r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")).otherwise(text)
+    seven = (F.length(text) == 7) & text.rlike(r"^\d{7}$")
+    return F.when(seven, F.concat(F.substring(text, 1, 6), F.lit("0"), F.substring(text, 7, 1))).otherwise(text)
+
+
+def date_of(text: Column) -> Column:
+    """A time stamp without zone from a ``date_text``; null if it is in none of the notations."""
     found = None
     for looks, pattern in DATE_FORMS:
         value = F.try_to_timestamp(text, F.lit(pattern))
@@ -55,6 +79,12 @@ def parse_date(c: Column) -> Column:
     return found.cast("timestamp_ntz")
 
 
+def parse_date(c: Column) -> Column:
+    """A time stamp without zone from the date notations in use; null if it is none of them. Two-digit years and fractions
+    of seconds aren't read."""
+    return date_of(date_text(c))
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres along the great circle."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
@@ -66,6 +96,21 @@ def clamp(c: Column) -> Column:
     return F.when(F.isnan(c), 0.0).otherwise(F.when(c.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))))
 
 
+def _rounded_down(digits: int) -> str:
+    """For k from 0 to 1000, 1 if the number nearest to (10 k + 5) / 10**(digits + 1) lies below that tie or rounds to even there."""
+    scale = 10 ** (digits + 1)
+    return "".join("1" if round(float(f"{(10 * k + 5) / scale:.{digits}f}") * scale) < 10 * k + 5 else "0" for k in range(1001))
+
+
+def printed(c: Column, digits: int) -> Column:
+    """The text with so many decimals of a number from 0 to 100 (or 0 to 1 with three) that has one decimal more. Ties go where the
+    number's binary value lies, as in C and Python, and not up, as in Java."""
+    n = F.round(c * 10 ** (digits + 1)).cast("long")
+    tie_down = F.substring(F.lit(_rounded_down(digits)), (F.floor(n / 10) + 1).cast("int"), F.lit(1)) == "1"
+    up = (n % 10 > 5) | ((n % 10 == 5) & ~tie_down)
+    return F.format_string(f"%.{digits}f", (F.floor(n / 10) + up.cast("long")) / F.lit(float(10**digits)))
+
+
 def density_score(count: Column, reference: float = fixed.REFERENCE_COUNT) -> Column:
     return F.lit(0.0) if reference <= 0 else clamp(count / F.lit(float(reference)) * 100)
 

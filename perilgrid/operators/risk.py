@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import clamp, density_score, rain_score, road_score, strip, zone_score
+from perilgrid.functions.columns import clamp, density_score, printed, rain_score, road_score, strip, zone_score
 from perilgrid.operators import geo
 
 NAMES = tuple(fixed.WEIGHTS)
@@ -48,7 +48,7 @@ def risk(scores: Mapping[str, Column], weights: Mapping[str, float] | None = Non
                 there.alias("available"),
             ),
         ]
-        text = F.format_string("%.3f × %s(%.1f)", F.round(share, 4), F.lit(fixed.LABELS[name]), F.round(score, 2))
+        text = F.concat(printed(F.round(share, 4), 3), F.lit(f" × {fixed.LABELS[name]}("), printed(F.round(score, 2), 1), F.lit(")"))
         pieces.append(F.when(there, text))
     total = F.round(clamp(raw), 2)
     formula = F.concat(F.concat_ws(" + ", *pieces), F.format_string(" = %.2f", total))

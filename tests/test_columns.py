@@ -154,3 +154,9 @@ def test_custom_weights(spark):
     frame = spark.createDataFrame([(10.0, 90.0)], "history_density double, rainfall double")
     assert risk.with_risk(frame, {"history_density": 1.0, "rainfall": 3.0}).first()["risk"]["total"] == 70
     assert risk.with_risk(frame, {"photo_severity": 1.0}).first()["risk"]["total"] == 0
+
+
+def test_printed_as_in_python(spark):
+    frame = spark.range(10_001).select((F.col("id") / 10_000).alias("x"), (F.col("id") / 100).alias("y"))
+    for x, a, y, b in frame.select("x", X.printed(F.col("x"), 3), "y", X.printed(F.col("y"), 1)).collect():
+        assert (a, b) == (f"{x:.3f}", f"{y:.1f}")
