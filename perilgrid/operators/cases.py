@@ -8,14 +8,21 @@ from pyspark.sql.window import Window
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import flag_text
+from perilgrid.sources.frozen import Frozen
 
 
 def new_cases(requests: DataFrame, first_id: int = 1, status: str = fixed.STATUSES[0]) -> tuple[DataFrame, DataFrame]:
     """Cases and first history rows from requests (seq, created_at, lat, lon, road_address, ai_available, detections, ...).
 
     The top detection is the first of the most confident; its count is null unless the analysis ran; JSON only where there is
-    something. Ids follow ``seq``, which is distinct: a single writer deals them out."""
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")) - 1 + first_id
+    something. Ids follow ``seq``, which is distinct: requests are dealt out by ranges of it, counted by range and numbered
+    inside each, so no task holds all of them."""
+    requests = requests.repartitionByRange("seq").withColumn("_part", F.spark_partition_id())
+    requests = Frozen(requests.sparkSession, "cases")(requests, "requests")
+    sizes = requests.groupBy("_part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # one row for each range
+    requests = requests.join(F.broadcast(sizes), "_part")
+    order = F.row_number().over(Window.partitionBy("_part").orderBy("seq")) - 1 + F.col("_before") + first_id
     found = F.coalesce(F.col("detections"), F.array().cast(dict(requests.dtypes)["detections"]))
     best = F.array_max(F.transform(found, lambda d, i: F.struct(F.coalesce(d.confidence, F.lit(0.0)).alias("c"), (-i).alias("i"), d.class_name.alias("name"))))
     cases = requests.withColumns(
@@ -29,7 +36,7 @@ def new_cases(requests: DataFrame, first_id: int = 1, status: str = fixed.STATUS
             "status": F.lit(status),
             "updated_at": F.col("created_at"),
         }
-    ).drop("detections", "seq")
+    ).drop("detections", "seq", "_part", "_before")
     history = cases.select(
         F.col("id").alias("inspection_id"),
         F.col("created_at").alias("changed_at"),
@@ -118,6 +125,22 @@ def stops_to_requests(route: DataFrame, stops: DataFrame) -> DataFrame:
     return visits.join(stops, ["route_id", "pos"])
 
 
+def register_stops(route: DataFrame, stops: DataFrame, created_at, first_id: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Cases, to be inspected, and first history rows from the stops (route_id, pos, lat, lon, road_address, score) of routes, in
+    the order of visits. The score is the case's risk; no analysis has run."""
+    requests = stops_to_requests(route, stops).select(
+        F.struct("route_id", "seq").alias("seq"),
+        F.lit(created_at).alias("created_at"),
+        "lat",
+        "lon",
+        "road_address",
+        F.col("score").alias("ai_risk_score"),
+        F.lit(False).alias("ai_available"),
+        F.lit(None).cast("array<struct<class_name:string,confidence:double>>").alias("detections"),
+    )
+    return new_cases(requests, first_id, fixed.STATUSES[2])
+
+
 class CaseStore:
     """The event tables in a folder: cases, status events, reviews and deletions are only ever appended to."""
 

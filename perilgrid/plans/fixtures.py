@@ -77,6 +77,25 @@ SELECT o_custkey AS request_id, o_orderkey AS pos, CAST(CAST(o_orderdate AS DATE
   CASE WHEN o_orderkey % 12 = 0 THEN '강수없음' WHEN o_orderkey % 12 = 3 THEN '1.0mm 미만' WHEN o_orderkey % 12 = 6 THEN concat(CAST(o_orderkey % 50 AS STRING), '.5mm') WHEN o_orderkey % 12 = 9 THEN '50.0mm 이상' WHEN o_orderkey % 12 = 4 THEN 'n/a' ELSE CAST(o_orderkey % 100 AS STRING) END AS fcstValue
 FROM orders"""
 
+#: Degrees, minutes and seconds, some out of range.
+DMS = """
+SELECT event_id AS id, event_id % 95 * 1e0 AS d, event_id % 60 * 1e0 AS m, event_id * 7 % 600 / 10e0 AS s, event_type = 'error' AS negative FROM events"""
+
+#: The service's answers: with items, with a header only, and with neither.
+ANSWERS = """
+SELECT o_orderkey AS request_id, CASE o_orderkey % 4
+  WHEN 0 THEN '{"response":{"header":{"resultCode":"00","resultMsg":"OK"},"body":{"items":{"item":[{"category":"POP"}]}}}}'
+  WHEN 1 THEN concat('{"response":{"header":{"resultCode":"', CAST(o_orderkey % 33 AS STRING), '","resultMsg":"NO DATA"}}}')
+  WHEN 2 THEN '{"response":{}}' ELSE '{}' END AS payload FROM orders"""
+
+#: A detector's candidates: a box and a score for each of four classes.
+CANDIDATES = """
+SELECT CAST(floor(l_orderkey / 64e0) AS BIGINT) AS image_id,
+  row_number() OVER (PARTITION BY CAST(floor(l_orderkey / 64e0) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS det_id,
+  CAST(l_partkey % 4 AS INT) AS class_id, CASE l_partkey % 4 WHEN 0 THEN 'D00' WHEN 1 THEN 'D10' WHEN 2 THEN 'D20' ELSE 'D40' END AS class_name,
+  (1 + l_suppkey % 15) / 16e0 AS confidence, l_partkey % 640 * 1e0 AS cx, l_suppkey % 640 * 1e0 AS cy, l_quantity AS w, l_quantity + 1e0 AS h
+FROM lineitem"""
+
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 

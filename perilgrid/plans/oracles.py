@@ -132,6 +132,39 @@ _LAST = f"last AS (SELECT inspection_id, to_status AS status FROM (SELECT *, row
 _DOMAIN = "(VALUES ('접수'), ('수동검토'), ('점검예정'), ('현장확인'), ('보수필요'), ('처리완료')) dm(status)"
 _RAIN = "CASE WHEN trim(fcstValue) IN ('', '강수없음', '-', 'null', 'None') THEN 0e0 WHEN fcstValue LIKE '%미만%' THEN 0.5e0 ELSE coalesce(try_cast(regexp_extract(fcstValue, '(\\d+(\\.\\d+)?)', 1) AS DOUBLE), 0e0) END"
 
+_HEADERS = ("category_no", "hazard_type", "collected_at", "lat", "lon", "node_link", "road_address", "base_date")
+_NULLED = ", ".join(f"CASE WHEN {c} = '' THEN NULL ELSE {c} END AS {c}" for c in _HEADERS)
+
+
+def _formula() -> str:
+    labels = {"history_density": "과거 파손 이력 밀도", "photo_severity": "사진상 파손 정도", "school_zone": "어린이보호구역 인접도", "road_importance": "도로구간 중요도", "rainfall": "강수 영향"}
+    parts = ", ".join(f"CASE WHEN {k} IS NOT NULL THEN format('{{:.3f}} × {labels[k]}({{:.1f}})', round({v}e0 / sw, 4), round({_clamp(k)}, 2)) END" for k, v in _W.items())
+    return f"CASE WHEN sw > 0 THEN concat_ws(' + ', {parts}) || format(' = {{:.2f}}', round({_TOTAL}, 2)) ELSE '사용 가능한 입력 항목이 없어 총점을 계산할 수 없습니다.' END"
+
+
+def _routes(closed: bool, stops: str = fx.STOPS) -> str:
+    """CTEs up to ``best`` (route_id, n, m, o): nearest neighbour, then 2-opt, one pair of places after the other."""
+    last = f"{'true' if closed else 'false'} OR k < n - 1"
+    change = f"m[o[i] + 1][o[k + 1] + 1] - m[o[i] + 1][o[i + 1] + 1] + CASE WHEN {last} THEN m[o[i + 1] + 1][o[(k + 1) % n + 1] + 1] - m[o[k + 1] + 1][o[(k + 1) % n + 1] + 1] ELSE 0e0 END < -1e-9"
+    return f"""st AS MATERIALIZED ({stops}),
+ds AS (SELECT a.route_id, a.pos AS i, b.pos AS j, CASE WHEN a.pos = b.pos THEN 0e0 ELSE {hav("a", "b")} END AS m FROM st a JOIN st b USING (route_id)),
+mx AS MATERIALIZED (SELECT route_id, list(r ORDER BY i) AS m, count(*) AS n FROM (SELECT route_id, i, list(m ORDER BY j) AS r FROM ds GROUP BY ALL) q GROUP BY route_id),
+nn(route_id, o) AS (SELECT route_id, [0::BIGINT] FROM mx UNION ALL
+  SELECT nn.route_id, list_append(o, list_min(list_transform(list_filter(range(n), lambda x: NOT list_contains(o, x)), lambda x: {{'d': m[o[-1] + 1][x + 1], 'j': x}})).j)
+  FROM nn JOIN mx USING (route_id) WHERE len(o) < n),
+tw(route_id, o, i, k, moved) AS (SELECT nn.route_id, o, CASE WHEN n > 2 THEN 1 ELSE -1 END, 2::BIGINT, false FROM nn JOIN mx USING (route_id) WHERE len(o) = n UNION ALL
+  SELECT route_id, CASE WHEN hit THEN o[1:i] || list_reverse(o[i + 1:k + 1]) || o[k + 2:] ELSE o END,
+    CASE WHEN k < n - 1 THEN i WHEN i < n - 2 THEN i + 1 WHEN moved OR hit THEN 1 ELSE -1 END,
+    CASE WHEN k < n - 1 THEN k + 1 WHEN i < n - 2 THEN i + 2 ELSE 2 END,
+    CASE WHEN k < n - 1 OR i < n - 2 THEN moved OR hit ELSE false END
+  FROM (SELECT tw.*, n, {change} AS hit FROM tw JOIN mx USING (route_id) WHERE i > 0) x),
+best AS MATERIALIZED (SELECT tw.route_id, n, m, o FROM tw JOIN mx USING (route_id) WHERE i = -1)"""
+
+
+_SOLVER = "CASE n WHEN 1 THEN 'none' WHEN 2 THEN 'trivial' ELSE 'nearest-neighbor+2opt' END"
+_FOUND = f"""fd AS (SELECT image_id AS seq, list({{'class_name': class_name, 'confidence': round(confidence, 3)}} ORDER BY det_id) AS found FROM ({fx.DETECTIONS}) q GROUP BY 1),
+rq AS (SELECT row_number() OVER (ORDER BY c.id) AS k, c.ai_available AS ran, found FROM ({fx.CASES}) c LEFT JOIN fd ON fd.seq = c.id)"""
+
 SQL: dict[str, str] = {
     "clean_damage": f"WITH {_D} SELECT * REPLACE (round(lat, 6) AS lat, round(lon, 6) AS lon) FROM damage",
     "exclusion_counts": f"WITH {_D} SELECT reason, count(*) AS n FROM dc WHERE reason IS NOT NULL GROUP BY reason",
@@ -209,4 +242,31 @@ SELECT request_id, rain IS NOT NULL OR pop IS NOT NULL AS available, round(CASE
     "base_slot": f"""WITH x AS (SELECT id, changed_at - INTERVAL 45 MINUTE AS t FROM ({fx.EVENTS}) v)
 SELECT id, strftime(CASE WHEN hour(t) >= 2 THEN t ELSE t - INTERVAL 1 DAY END, '%Y%m%d') AS base_date,
   CASE WHEN hour(t) < 2 THEN '2300' ELSE lpad(CAST((hour(t) - 2) // 3 * 3 + 2 AS VARCHAR), 2, '0') || '00' END AS base_time FROM x""",
+    "weather_problems": f"SELECT request_id, '기상청 응답 형식이 예상과 다릅니다: ' || CASE request_id % 4 WHEN 1 THEN (request_id % 33) || ' NO DATA' ELSE '? ' END AS reason FROM ({fx.ANSWERS}) a WHERE request_id % 4 <> 0",
+    "load_damage": f"SELECT source, {_NULLED}, CAST(NULL AS VARCHAR) AS start_node FROM ({fx.DAMAGE}) d",
+    "load_zones": f"SELECT * EXCLUDE (_row_id) FROM ({fx.ZONES}) z WHERE sido LIKE '%ASIA%' OR sigungu LIKE '%ASIA%' OR address LIKE '%ASIA%'",
+    "dms_degrees": f"WITH x AS (SELECT id, (d + m / 60 + s / 3600) * CASE WHEN negative THEN -1e0 ELSE 1e0 END AS v FROM ({fx.DMS}) q) SELECT id, CASE WHEN v BETWEEN -90 AND 90 THEN round(v, 6) + 0e0 END AS degrees FROM x",
+    "risk_formula_text": f"WITH {_SC} SELECT id, {_formula()} AS formula FROM sc",
+    "checked_events": f"SELECT id, to_status FROM ({fx.EVENTS}) v WHERE to_status IN (SELECT status FROM {_DOMAIN})",
+    "case_history": f"SELECT id, to_status FROM ({fx.EVENTS}) v WHERE inspection_id = 7 ORDER BY id",
+    "updated_cases": f"""WITH l AS (SELECT inspection_id, arg_max(struct_pack(s := to_status, t := changed_at), row(changed_at, id)) AS x FROM ({fx.EVENTS}) v GROUP BY 1)
+SELECT c.id, coalesce(x.s, c.status) AS status, strftime(coalesce(x.t, c.created_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM ({fx.CASES}) c LEFT JOIN l ON l.inspection_id = c.id""",
+    "labelled_cases": f"""SELECT id AS "번호", status AS "처리상태", CASE WHEN ai_available THEN '예' ELSE '아니오' END AS "AI 분석 수행", round(ai_risk_score + 1e-9, 4) AS "우선순위 점수" FROM ({fx.CASES}) c""",
+    "new_cases": f"""WITH {_FOUND}, t AS (SELECT k, ran, found, list_max(list_transform(found, lambda x: x.confidence)) AS top FROM rq)
+SELECT k + 99 AS id, '접수' AS status, list_filter(found, lambda x: x.confidence = top)[1].class_name AS ai_top_class, top AS ai_top_confidence, CAST(CASE WHEN ran THEN coalesce(len(found), 0) END AS INT) AS ai_detection_count,
+  CASE WHEN len(found) > 0 THEN '[' || array_to_string(list_transform(found, lambda x: '{{"class_name":"' || x.class_name || '","confidence":' || x.confidence || '}}'), ',') || ']' END AS ai_detections_json FROM t""",
+    "first_history": f"WITH {_FOUND} SELECT k AS inspection_id, CAST(NULL AS VARCHAR) AS from_status, '접수' AS to_status, '신규 접수' AS note FROM rq",
+    "case_store": f"""WITH {_FOUND}, v AS (SELECT * FROM ({fx.EVENTS}) e), l AS (SELECT inspection_id, arg_max(to_status, row(t, id)) AS status FROM
+  (SELECT inspection_id, changed_at AS t, id + 1 AS id, to_status FROM v UNION ALL SELECT row_number() OVER (ORDER BY id), created_at, 0, '접수' FROM ({fx.CASES}) c) u GROUP BY 1)
+SELECT k AS id, l.status FROM rq JOIN l ON l.inspection_id = k WHERE k NOT IN (SELECT inspection_id FROM v WHERE to_status = '처리완료' AND (id + 1) % 5 = 0)""",
+    "registered_stops": f"""WITH RECURSIVE {_routes(False)}, u AS (SELECT route_id, unnest(o) AS pos, generate_subscripts(o, 1) AS seq FROM best)
+SELECT row_number() OVER (ORDER BY route_id, seq) AS id, '점검예정' AS status, pos * 1.5e0 AS score, 'road ' || pos AS road_address FROM u""",
+    "photo_target": f"""WITH {_Z} SELECT _row_id AS target_id, round(lat, 6) AS lat, round(lon, 6) AS lon, address AS road_address, false AS is_photo FROM zones
+UNION ALL SELECT (SELECT max(_row_id) FROM zones) + 1, 37.3943e0, 126.9568e0, 'here', true""",
+    "route_candidates": f"WITH {_Z} SELECT _row_id AS target_id, round(lat, 6) AS lat FROM zones ORDER BY 1 LIMIT 5",
+    "decode_output": f"WITH c AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM ({fx.CANDIDATES}) q) SELECT * EXCLUDE (n) FROM c WHERE n > 8 AND confidence >= 0.25",
+    "route_plan": f"""WITH RECURSIVE {_routes(False)} SELECT route_id, array_to_string(o, ',') AS stops,
+  round(coalesce(list_sum(list_transform(range(1, n), lambda x: m[o[x] + 1][o[x + 1] + 1])), 0e0), 2) AS total_m, {_SOLVER} AS solver FROM best""",
+    "route_legs": f"""WITH RECURSIVE {_routes(True)}, l AS (SELECT route_id, n, m, o, unnest(range(n)) AS step FROM best WHERE n > 1)
+SELECT route_id, CAST(step AS INT) AS step, CAST(o[step + 1] AS INT) AS from_pos, CAST(o[(step + 1) % n + 1] AS INT) AS to_pos, round(m[o[step + 1] + 1][o[(step + 1) % n + 1] + 1], 2) AS dist_m FROM l""",
 }

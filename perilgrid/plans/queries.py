@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from perilgrid.functions import columns as X
 from perilgrid.functions import fixed
 from perilgrid.operators import cases, clean, cluster, detections, filters, geo, risk, route
 from perilgrid.plans import fixtures as fx
-from perilgrid.sources import weather
-from perilgrid.sources.frozen import Frozen
+from perilgrid.sources import tables, weather
+from perilgrid.sources.frozen import Frozen, shared_dir
 
 Spark = SparkSession
 
@@ -382,6 +385,117 @@ def base_slot(s, d):
     return fx.view(s, d, fx.EVENTS).select("id", X.forecast_base(now).alias("b")).select("id", "b.base_date", "b.base_time")
 
 
+def weather_problems(s, d):
+    return weather.problems(fx.view(s, d, fx.ANSWERS))
+
+
+# sources, cases and scores as a whole ---------------------------------------------------------------------------------
+
+#: Headers as a city writes them.
+HEADERS = {
+    "category_no": "분류번호", "hazard_type": "위험물 유형", "collected_at": "수집 날짜", "lat": "위도(Y)", "lon": "경도(X)", "node_link": "노드링크ID",
+    "road_address": "도로명 주소", "base_date": "데이터기준일자",
+}
+
+
+def load_damage(s, d):
+    """The damage history written as two CSV folders, and loaded by headers as one table."""
+    rows, folder = fx.view(s, d, fx.DAMAGE), f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    for source in ("A", "B"):
+        part = rows.filter(F.col("source") == source).select(*(F.col(c).alias(name) for c, name in HEADERS.items()))
+        part.write.csv(f"{folder}/{source}", header=True, nullValue="NA", quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    loaded, _ = tables.load_damage(s, sources=[(n, f"{folder}/{n}") for n in ("A", "B", "none")])
+    return loaded.select("source", *HEADERS, "start_node")
+
+
+def load_zones(s, d):
+    """School zones written as a CSV folder, and those of a region loaded."""
+    folder = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    names = {"zone_name": "대상시설명", "lat": "위도", "lon": "경도", "address": "소재지도로명주소", "sido": "시도명", "sigungu": "시군구명", "facility_kind": "대상시설종류"}
+    fx.view(s, d, fx.ZONES).select(*(F.col(c).alias(n) for c, n in names.items())).write.csv(folder, header=True, quoteAll=True)
+    return tables.load_zones(s, folder, keyword="ASIA")[0].drop("_row_id")
+
+
+def dms_degrees(s, d):
+    degrees = X.dms_degrees(F.col("d"), F.col("m"), F.col("s"), F.col("negative"), 90)
+    return fx.view(s, d, fx.DMS).select("id", r(degrees, 6).alias("degrees"))
+
+
+def risk_formula_text(s, d):
+    return _scored(s, d).select("id", "risk.formula")
+
+
+def checked_events(s, d):
+    return cases.checked_events(fx.view(s, d, fx.EVENTS)).select("id", "to_status")
+
+
+def case_history(s, d):
+    return cases.case_history(fx.view(s, d, fx.EVENTS), 7).select("id", "to_status")
+
+
+def updated_cases(s, d):
+    rows = fx.view(s, d, fx.CASES).withColumn("updated_at", F.col("created_at"))
+    now = cases.with_latest_status(rows, fx.view(s, d, fx.EVENTS))
+    return now.select("id", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+def labelled_cases(s, d):
+    return cases.labelled(fx.view(s, d, fx.CASES).select("id", "status", "ai_available", r(F.col("ai_risk_score") + NUDGE).alias("ai_risk_score")))
+
+
+def _requests(s, d):
+    found = _detections(s, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("det_id", "class_name", "confidence"))).alias("all"))
+    found = found.select(F.col("image_id").alias("seq"), F.transform("all", lambda x: F.struct(x.class_name.alias("class_name"), F.round(x.confidence, 3).alias("confidence"))).alias("detections"))
+    rows = fx.view(s, d, fx.CASES).select(F.col("id").alias("seq"), "created_at", "ai_available")
+    return rows.join(found, "seq", "left")
+
+
+def new_cases(s, d):
+    rows, _ = cases.new_cases(_requests(s, d), first_id=100)
+    return rows.select("id", "status", "ai_top_class", "ai_top_confidence", "ai_detection_count", "ai_detections_json")
+
+
+def first_history(s, d):
+    _, history = cases.new_cases(_requests(s, d))
+    return history.select("inspection_id", "from_status", "to_status", "note")
+
+
+def case_store(s, d):
+    """The states that a store of event tables gives after cases were created, moved on, reviewed and deleted."""
+    store = cases.CaseStore(s, f"{shared_dir(s)}/store-{uuid.uuid4().hex}")
+    store.create(_requests(s, d))
+    events = fx.view(s, d, fx.EVENTS).withColumn("id", F.col("id") + 1)
+    store.append("events", events.withColumns({"from_status": F.lit(None).cast("string"), "note": F.lit(None).cast("string")}))
+    store.append("deletions", events.filter("to_status = '처리완료' and id % 5 = 0").select(F.col("inspection_id").alias("id")))
+    return store.current().select("id", "status")
+
+
+def registered_stops(s, d):
+    stops = _stops(s, d).withColumns({"road_address": F.concat(F.lit("road "), "pos"), "score": F.col("pos") * 1.5})
+    made, _ = cases.register_stops(route.optimize(stops), stops, datetime.datetime(2024, 1, 1))
+    return made.select("id", "status", r("ai_risk_score").alias("score"), "road_address")
+
+
+def photo_target(s, d):
+    zones = _zones(s, d).select(F.col("_row_id").alias("target_id"), "lat", "lon", F.col("address").alias("road_address"))
+    rows = risk.with_photo_target(zones, *fixed.CENTRE, "here")
+    return rows.select("target_id", r("lat", 6).alias("lat"), r("lon", 6).alias("lon"), "road_address", "is_photo")
+
+
+def route_candidates(s, d):
+    return risk.route_candidates(_targets(s, d)).select("target_id", r("lat", 6).alias("lat"))
+
+
+def decode_output(s, d):
+    """A detector's raw output tensors, one for each image, decoded to rows."""
+    box = F.array(*(F.col(c).cast("float") for c in ("cx", "cy", "w", "h")))
+    scores = F.array(*(F.when(F.col("class_id") == k, F.col("confidence")).otherwise(0.0).cast("float") for k in range(4)))
+    found = fx.view(s, d, fx.CANDIDATES).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("det_id", F.concat(box, scores).alias("v")))).alias("all"))
+    planes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform("all", lambda x: F.get(x.v, k)))
+    rows = found.filter(F.size("all") > 8).select("image_id", F.array(F.lit(1), F.lit(8), F.size("all")).alias("shape"), F.flatten(planes).alias("values"))
+    return detections.decode_output(rows).withColumns({c: r(c) for c in ("confidence", "cx", "cy", "w", "h")})
+
+
 ALL = (
     clean_damage, exclusion_counts, clean_report, dedup_by_coords, dedup_all_columns, parse_dates, clean_zones, region_filter, region_filter_fallback,
     base_date, intro_summary, haversine_to_centre, radius_count, nearest_zone, school_score, density_score, rain_score, road_importance,
@@ -389,5 +503,6 @@ ALL = (
     cluster_points, cluster_info, cluster_summary, cluster_markers, filter_hazard, filter_dates, filter_road, hazard_options, date_bounds,
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,
     yolo_boxes, status_counts, list_cases, status_history, latest_status, current_cases, reviewer_merge, delete_cases, case_flags,
-    records_view, route_matrix, route_plan, route_legs, route_two_stops, weather_parse, pcp_parse, base_slot,
+    records_view, load_damage, load_zones, dms_degrees, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
+    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, weather_parse, pcp_parse, base_slot,
 )
