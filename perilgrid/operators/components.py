@@ -20,25 +20,25 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b"), F.col("a")))
 
 
-def _with_least(edges: DataFrame, node: str, least: DataFrame, heavy_from: int | None) -> DataFrame:
-    """``edges`` with the columns of ``least`` (node, m, n), n being the number of edges of the node; nodes with more than
-    ``heavy_from`` are heavy, if it is given."""
+def join_sized(rows: DataFrame, key: str, sized: DataFrame, heavy_from: int | None) -> DataFrame:
+    """``rows`` with the other columns of ``sized`` (key, n and more), n being the number of rows of the key. Keys with more than
+    ``heavy_from`` rows are joined by broadcast; none are if it isn't given. At ``total // HEAVY`` there are fewer than HEAVY."""
     if heavy_from is None:
-        return edges.join(least.drop("n"), node)
-    heavy = F.broadcast(least.filter(F.col("n") > heavy_from).drop("n"))
-    light = edges.join(heavy.select(node), node, "left_anti").join(least.filter(F.col("n") <= heavy_from).drop("n"), node)
-    return light.unionByName(edges.join(heavy, node))
+        return rows.join(sized, key)
+    heavy = F.broadcast(sized.filter(F.col("n") > heavy_from))
+    light = rows.join(heavy.select(key), key, "left_anti").join(sized.filter(F.col("n") <= heavy_from), key)
+    return light.unionByName(rows.join(heavy, key))
 
 
 def _large_star(edges: DataFrame, heavy_from: int | None) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return _with_least(both.filter("v > u"), "u", least, heavy_from).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return join_sized(both.filter("v > u"), "u", least, heavy_from).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, heavy_from: int | None) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(edges, "a", least, heavy_from).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_sized(edges, "a", least, heavy_from).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
