@@ -239,23 +239,23 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, dista
 
 
 def _described(spark: SparkSession, docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, fp, sim, bands): key is a hash of the text, fp one of the set of its shingles, sim the SimHash, bands those
-    of the set's minima. Null and empty texts have the empty set."""
+    """(doc_id, key, fp, sim, bands, sig): key is a hash of the text, fp one of the set of its shingles, sim the SimHash, bands and
+    sig tell the set's minima. Null and empty texts have the empty set."""
     ship(spark)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.binary()), ("sim", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.binary()), ("sim", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
         for batch in slices(batches):
             hashes = [shingle_hashes(t, shingle) for t in texts_of(batch.column("text"))]
             sets = [np.unique(h) for h in hashes]
             sim = np.array([of_hashes(h) for h in hashes], U64).view(np.int64)
-            cells = [similar.bands(own) for own in sets]
+            cells, sigs = zip(*(similar.signature(own) for own in sets), strict=True)
             at = np.cumsum([0, *map(len, cells)]).astype(np.int32)
             cells = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(cells).view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array([similar.set_key(own) for own in sets], pa.binary()), pa.array(sim), cells], schema=schema)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array([similar.set_key(own) for own in sets], pa.binary()), pa.array(sim), cells, pa.array(sigs, pa.binary())], schema=schema)
 
     rows = docs.select(docs["doc_id"].cast("long"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, fp binary, sim long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, fp binary, sim long, bands array<long>, sig binary")
 
 
 def keep_one_similar(spark: SparkSession, docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
@@ -268,7 +268,7 @@ def keep_one_similar(spark: SparkSession, docs: DataFrame, shingle: int = 5, dis
     frozen = Frozen(spark, "simhash")
     every = frozen(_described(spark, docs, shingle), "described")
     rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    distinct = frozen(every.groupBy("fp").agg(rank, F.first("sim").alias("sim"), F.first("bands").alias("bands")), "sets")
+    distinct = frozen(every.groupBy("fp").agg(rank, F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
     linked = classes(spark, distinct.select(F.col("sim").alias("fp"), F.col("first.doc_id").alias("doc_id")), frozen, distance)
     by_print = distinct.filter(F.size("bands") > 0).select("fp", "sim").join(linked.select(F.col("fp").alias("sim"), "root"), "sim")
     cells = distinct.select("fp", F.explode("bands").alias("cell")).unionByName(by_print.select("fp", F.xxhash64("root", F.lit("simhash")).alias("cell")))
@@ -279,7 +279,7 @@ def keep_one_similar(spark: SparkSession, docs: DataFrame, shingle: int = 5, dis
         rows = rows.join(named, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
         return rows.select("fp", "text").dropDuplicates(["fp"])
 
-    roots = similar.verified_roots(cells, texts, shingle, frozen)
+    roots = similar.verified_roots(cells, distinct.select("fp", "sig"), texts, shingle, frozen)
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = known.groupBy("root").agg(F.min("first").alias("first"))
     kept = frozen(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")), "kept")

@@ -4,10 +4,12 @@ No radius of 64-bit fingerprints covers a similarity of 0.8 (see the README), so
 in *cells*: texts that SimHash links, and texts that agree in all minima of one MinHash band. Two texts of similarity s differ in
 every band with a probability of ``(1 - s**ROWS)**BANDS``: 3e-6 at 0.8, and less above.
 
-Links of a cell are verified in rounds, on whole shingle sets. The first compares every member with the cell's smallest one.
-Members that aren't connected with it then are compared with all members, some more of them in every round, until all have been.
-Members of a cell are dealt to tasks by hash, each with the texts of the round's few: no task gets a whole cell, and texts that
-are connected already (a large group of copies) aren't compared with each other at all. Texts with equal sets are one point.
+The members of a cell are compared in rounds. The first compares every member with the cell's smallest one. Members that aren't
+connected with it then are compared with all members, some more of them in every round, until all have been. A comparison first
+counts the minima that two signatures share: at least ``LIKELY`` of BANDS * ROWS, which a pair at 0.8 misses with a probability
+under 1e-9. Pairs that pass are verified on their whole shingle sets. Members of a cell, and partners of a text, are dealt to
+tasks by hash: no task gets a whole cell, and texts that are connected already (a large group of copies) aren't compared with
+each other at all. Texts with equal sets are one point.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 
 from perilgrid.llm.hashing import U64, mix, shingle_hashes
 from perilgrid.llm.runtime import Frozen, slices, texts_of
-from perilgrid.operators.components import connected_components
+from perilgrid.operators.components import HEAVY, connected_components, join_sized
 
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 32, 5
+#: Minima that a pair must share before it is verified.
+LIKELY = int(BANDS * ROWS * 0.57)
 #: Members of a cell in one task; members compared with all in the second round, in each later one so many times more, and at most.
 TOGETHER, FEW, TIMES, MOST = 500, 64, 4, 16_384
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -36,16 +40,16 @@ def set_key(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """One number for each band of a set's minima; none for an empty set."""
+def signature(own: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """One number for each band of a set's minima, and a byte of each minimum; none for an empty set."""
     if not len(own):
-        return np.empty(0, U64)
+        return np.empty(0, U64), b""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
     low = own.astype(np.uint32)
     for at in range(0, len(low), 1024):
         np.minimum(least, (low[at : at + 1024, None] * _FACTORS).min(0), out=least)
     a, b, c, d, e = least.astype(U64).reshape(BANDS, ROWS).T
-    return mix(mix(mix(a << U64(32) | b) + (c << U64(32) | d)) + e + _BAND)
+    return mix(mix(mix(a << U64(32) | b) + (c << U64(32) | d)) + e + _BAND), (least >> np.uint32(8)).astype(np.uint8).tobytes()
 
 
 class Centres:
@@ -71,67 +75,103 @@ class Centres:
         return np.flatnonzero(both * (up + down) >= up * (self.size + len(own))).tolist()
 
 
-def _compare(rows: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): verified links of rows (cell, part, member, fp, text): in every part of a cell the centres are compared with the
-    members, of which one is in memory at a time."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _parted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "fp")
+
+
+LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _likely(rows: DataFrame) -> DataFrame:
+    """(a, b): of rows (cell, part, member, fp, root, sig) the members and centres of a part that share enough minima and aren't
+    connected yet. A part has TOGETHER members or so and a round's centres."""
+
+    def pairs(members, centres):
+        if members and centres:
+            fps, roots, sigs = zip(*centres, strict=True)
+            theirs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(centres), -1)
+            for fp, root, sig in members:
+                shared = (theirs == np.frombuffer(sig, np.uint8)).sum(1)
+                yield from ((fp, fps[c]) for c in np.flatnonzero(shared >= LIKELY).tolist() if roots[c] != root)
+
+    def run(batches):
+        part, centres, members = None, [], []
+        for batch in batches:
+            out = []
+            for cell, k, member, fp, root, sig in zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "member", "fp", "root", "sig")), strict=True):
+                if (cell, k) != part:
+                    out += pairs(members, centres)
+                    part, centres, members = (cell, k), [], []
+                (members if member else centres).append((fp, root, sig))
+            out += pairs(members, centres)
+            members = []
+            if out:
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=LINKS)
+
+    return _parted(rows.select("cell", "part", "member", "fp", "root", "sig")).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _verified(pairs: DataFrame, texts, shingle: int, frozen: Frozen, name: str) -> DataFrame:
+    """Those of the distinct pairs (a, b) that are similar. The partners of one b are dealt to parts; a part has b's set in memory
+    and one partner's at a time."""
+    pairs = frozen(pairs, f"likely-{name}")
+    degrees = pairs.groupBy(F.col("b").alias("cell")).agg(F.count("*").alias("n"))
+    degrees = frozen(degrees.withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int")), f"degrees-{name}")
+    total = degrees.agg(F.sum("n")).first()[0] or 0
+    ours = join_sized(pairs.select(F.col("b").alias("cell"), F.col("a").alias("fp")), "cell", degrees, max(FEW, total // HEAVY))
+    ours = ours.select("cell", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "fp")
+    theirs = degrees.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("cell").alias("fp"))
+    named = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
+    rows = ours.unionByName(theirs).join(texts(named), "fp")
 
     def run(batches):
-        part, centres, sets, known = None, [], [], None
+        part, known, centre = None, None, None
         for batch in slices(batches, most=1 << 20):
             out = []
             columns = (batch.column(c).to_pylist() for c in ("cell", "part", "member", "fp"))
             for cell, k, member, fp, text in zip(*columns, texts_of(batch.column("text")), strict=True):
-                if (cell, k) != part:
-                    part, centres, sets, known = (cell, k), [], [], None
                 own = np.unique(shingle_hashes(text, shingle))
                 if not member:
-                    centres.append(fp)
-                    sets.append(own)
-                elif centres:
-                    if known is None:
-                        known, sets = Centres(sets), []
-                    out += [(fp, centres[c]) for c in known.similar(own) if centres[c] != fp]
+                    part, known, centre = (cell, k), Centres([own]), fp
+                elif (cell, k) == part and known.similar(own):
+                    out.append((fp, centre))
             if out:
-                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=schema)
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=LINKS)
 
-    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "fp").mapInArrow(run, "a binary, b binary")
+    return _parted(rows).mapInArrow(run, "a binary, b binary")
 
 
-def _dealt(members: DataFrame, centres: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of a round: members (cell, fp) and centres (cell, fp), the latter once for each part of their cell."""
-    parts = members.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    ours = members.join(parts, "cell").select("cell", part.alias("part"), F.lit(True).alias("member"), "fp")
-    theirs = centres.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "fp")
-    return ours.unionByName(theirs).join(texts, "fp")
-
-
-def verified_roots(cells: DataFrame, texts, shingle: int, frozen: Frozen) -> DataFrame:
+def verified_roots(cells: DataFrame, signatures: DataFrame, texts, shingle: int, frozen: Frozen) -> DataFrame:
     """(node, root) for every fp that has a verified link: the smallest fp of its component. ``cells`` has (cell, fp) of every
-    candidate, ``texts(fps)`` gives (fp, text) for some of them."""
+    candidate, ``signatures`` (fp, sig), ``texts(fps)`` gives (fp, text) for some of them."""
     known = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("centre"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("mark"))
     same = known.filter("n > 1").groupBy("n", "centre", "mark").agg(F.min("cell").alias("cell"))  # of cells with the same members one
-    members = frozen(cells.join(same.select("cell", "centre"), "cell").select("cell", "fp", "centre"), "members")
-    text = frozen(texts(members.select("fp").distinct()), "candidates")
-    stars = members.filter("fp <> centre").select(F.col("centre").alias("cell"), "fp").distinct()
-    stars = frozen(stars, "stars")
-    edges = frozen(_compare(_dealt(stars, stars.select("cell", F.col("cell").alias("fp")).distinct(), text), shingle), "links-0")
-    roots, done, few, k = frozen(connected_components(edges, frozen, "components-0"), "roots-0"), None, FEW, 0
+    same = frozen(same.select("cell", "n", "centre"), "cells")
+    heavy_from = max(FEW, (same.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    members = join_sized(cells, "cell", same, heavy_from).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
+    members = members.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    members = frozen(members.join(signatures, "fp"), "members")
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    placed = members.withColumn("root", F.col("fp"))
+    centres = placed.filter("fp = centre")
+    edges, roots, done, few, k = None, None, None, FEW, 0
     while True:
-        placed = members.join(roots, members["fp"] == roots["node"], "left").select("cell", "fp", "centre", F.coalesce("root", "fp").alias("root"))
-        main = placed.filter("fp = centre").select("cell", F.col("root").alias("main"))
-        others = placed.join(main, "cell").filter("root <> main").select("cell", "fp")
+        ours = placed if roots is None else join_sized(placed.drop("n"), "cell", centres.select("cell", "n").distinct(), heavy_from)
+        rows = ours.withColumn("member", F.lit(True)).select("cell", "part", "member", "fp", "root", "sig")
+        rows = rows.unionByName(centres.select("cell", every_part, F.lit(False).alias("member"), "fp", "root", "sig"))
+        more = _verified(_likely(rows), texts, shingle, frozen, str(k))
+        edges = frozen(more if edges is None else edges.unionByName(more), f"links-{k}")
+        roots = frozen(connected_components(edges, frozen, f"components-{k}"), f"roots-{k}")
+        placed = members.join(roots, members["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+        main = placed.filter("fp = centre").select("cell", "n", F.col("root").alias("main"))
+        others = join_sized(placed.drop("n"), "cell", main, heavy_from).filter("root <> main").drop("main")
         if done is not None:
             others = others.join(done, ["cell", "fp"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("fp"))
         k += 1
-        centres = frozen(others.withColumn("rank", rank).filter(F.col("rank") <= min(few, MOST)).select("cell", "fp"), f"centres-{k}")
+        centres = frozen(others.withColumn("rank", rank).filter(F.col("rank") <= min(few, MOST)).drop("rank"), f"centres-{k}")
         if centres.isEmpty():
             return roots
-        ours = members.select("cell", "fp").join(centres.select("cell").distinct(), "cell", "left_semi")
-        more = _compare(_dealt(ours, centres, text), shingle)
-        edges = frozen(edges.unionByName(more).distinct(), f"links-{k}")
-        roots = frozen(connected_components(edges, frozen, f"components-{k}"), f"roots-{k}")
-        done = centres if done is None else frozen(done.unionByName(centres), f"done-{k}")
+        new = centres.select("cell", "fp")
+        done = new if done is None else frozen(done.unionByName(new), f"done-{k}")
         few *= TIMES
