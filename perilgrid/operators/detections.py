@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import class_weight, overlap, severity
+from perilgrid.functions.columns import class_weight, letterbox, overlap, severity
 
 BOX = "struct<det_id:bigint,class_name:string,confidence:double,x1:double,y1:double,x2:double,y2:double>"
 
@@ -145,3 +145,12 @@ def decode_output(outputs: DataFrame, classes: list[str] | None = None, least: f
                 )
 
     return outputs.select("image_id", "shape", "values").mapInPandas(run, DECODED)
+
+
+def detect(outputs: DataFrame, sizes: DataFrame, classes: list[str] | None = None, least: float = fixed.CONFIDENCE, iou: float = fixed.NMS_IOU) -> DataFrame:
+    """The boxes that a detector's raw outputs (image_id, shape, values) come to: decoded, taken out of the padded square into
+    images of ``sizes`` (image_id, width, height), and suppressed. Outputs without a size, or sizes without an output, give no
+    rows."""
+    box = letterbox(F.col("width").cast("double"), F.col("height").cast("double"))
+    fitted = sizes.select("image_id", "width", "height", box.alias("fit")).select("image_id", "width", "height", "fit.scale", "fit.pad_x", "fit.pad_y")
+    return kept_rows(nms(unletterbox(decode_output(outputs, classes, least).join(fitted, "image_id")), iou))

@@ -13,6 +13,8 @@ from perilgrid.sources.frozen import Frozen
 
 #: Cells are this much wider than the radius, so that rounding loses no pair.
 SLACK = 1.0001
+#: Rows with coordinates.
+PLACED = "lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
 
 
 def _cells(lat: Column, lon: Column, radius_m: float, near: bool) -> Column:
@@ -42,13 +44,13 @@ def within(points: DataFrame, targets: DataFrame, radius_m: float = fixed.RADIUS
     """Pairs of targets (target_id, lat, lon) and points (lat, lon and more) at most the radius apart: the points' columns,
     target_id and dist_m. An equi-join on cells: targets go to nine cells, points to their own; exact distances decide. Points
     without coordinates pair with nothing. Antimeridian and poles aren't crossed."""
-    spread = targets.filter("lat is not null and lon is not null").select(
+    spread = targets.filter(PLACED).select(
         "target_id",
         F.col("lat").alias("_lat"),
         F.col("lon").alias("_lon"),
         F.explode(_cells(F.col("lat"), F.col("lon"), radius_m, True)).alias("_cell"),
     )
-    placed = points.filter("lat is not null and lon is not null").withColumn("_cell", _cells(F.col("lat"), F.col("lon"), radius_m, False))
+    placed = points.filter(PLACED).withColumn("_cell", _cells(F.col("lat"), F.col("lon"), radius_m, False))
     dist = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
     return placed.join(spread, "_cell").withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("_cell", "_lat", "_lon")
 
@@ -66,8 +68,8 @@ def nearest(points: DataFrame, targets: DataFrame, start_m: float = 1000.0, grow
     thousand kilometres latitude and longitude cells no longer tell places apart; the targets left are compared with the places
     of points, as a stated query set in blocks. Each round is frozen, so no round repeats another's work."""
     frozen, found, open_targets, radius = Frozen(points.sparkSession, "nearest"), None, targets.select("target_id", "lat", "lon"), start_m
-    points = points.filter("lat is not null and lon is not null").select("lat", "lon")
-    open_targets = open_targets.filter("lat is not null and lon is not null")
+    points = points.filter(PLACED).select("lat", "lon")
+    open_targets = open_targets.filter(PLACED)
     if points.isEmpty():
         return targets.select("target_id", F.lit(None).cast("double").alias("nearest_m"))
     while True:

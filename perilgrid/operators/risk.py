@@ -83,15 +83,17 @@ def target_scores(
     with its targets once, for the count and the representative road alike. ``photo`` counts where a target has is_photo."""
     key = geo.road_key(damage)
     pairs = geo.within(damage, targets.select("target_id", "lat", "lon"), radius_m)
-    counts = pairs.groupBy("target_id").agg(F.count("*").alias("n_hist"))
-    out = targets.join(counts, "target_id", "left").withColumn("n_hist", F.coalesce("n_hist", F.lit(0)).cast("long"))
+    road = F.col(key).cast("string") if key else F.lit(None).cast("string")
+    by_road = pairs.groupBy("target_id", road.alias("road_key")).agg(F.count("*").alias("n"))
+    best = F.min(F.when(F.col("road_key").isNotNull(), F.struct((-F.col("n")).alias("n"), "road_key")))  # the most frequent, then the smallest
+    found = by_road.groupBy("target_id").agg(F.sum("n").alias("n_hist"), best.alias("best")).select("target_id", "n_hist", "best.road_key")
+    out = targets.join(found, "target_id", "left").withColumn("n_hist", F.coalesce("n_hist", F.lit(0)).cast("long"))
     out = out.join(geo.nearest(zones, targets), "target_id", "left")
     if key is None:
-        out = out.withColumns({"road_key": F.lit(None).cast("string"), "road_importance": F.lit(None).cast("double")})
+        out = out.withColumn("road_importance", F.lit(None).cast("double"))
     else:
         table = geo.importance_table(damage, key)
         most = table.agg(F.max("count").alias("most"))
-        out = out.join(geo.representative_roads(pairs, key), "target_id", "left")
         table = table.select(F.col("key").alias("_key"), F.col("count").alias("_count"))
         out = out.join(table, strip(F.col("road_key")) == F.col("_key"), "left")
         out = out.join(F.broadcast(most), F.lit(True), "left")  # one row

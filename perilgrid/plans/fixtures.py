@@ -93,7 +93,7 @@ CANDIDATES = """
 SELECT CAST(floor(l_orderkey / 64e0) AS BIGINT) AS image_id,
   row_number() OVER (PARTITION BY CAST(floor(l_orderkey / 64e0) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS det_id,
   CAST(l_partkey % 4 AS INT) AS class_id, CASE l_partkey % 4 WHEN 0 THEN 'D00' WHEN 1 THEN 'D10' WHEN 2 THEN 'D20' ELSE 'D40' END AS class_name,
-  (1 + l_suppkey % 15) / 16e0 AS confidence, l_partkey % 640 * 1e0 AS cx, l_suppkey % 640 * 1e0 AS cy, l_quantity AS w, l_quantity + 1e0 AS h
+  (1 + l_suppkey % 15) / 16e0 AS confidence, 20e0 + l_partkey % 600 AS cx, 160e0 + l_suppkey % 320 AS cy, l_quantity AS w, l_quantity + 1e0 AS h
 FROM lineitem"""
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")

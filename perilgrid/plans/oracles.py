@@ -114,14 +114,14 @@ def _iou(a: str, b: str) -> str:
     return f"({inter} / ({area.format(a)} + {area.format(b)} - {inter}))"
 
 
-def _greedy(where: str, order: str, clash: str) -> str:
-    return f"""WITH RECURSIVE {_DET}, det AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}, det_id) AS rk FROM dets WHERE {where}),
+def _greedy(where: str, order: str, clash: str, dets: str = _DET, columns: str = "det.det_id") -> str:
+    return f"""WITH RECURSIVE {dets}, det AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}, det_id) AS rk FROM dets WHERE {where}),
 ol AS MATERIALIZED (SELECT b.image_id, b.rk AS lo, list(a.rk) AS his FROM det a JOIN det b ON a.image_id = b.image_id AND a.rk < b.rk WHERE {_iou("a", "b")} {clash} GROUP BY ALL),
 r(image_id, rk, kept) AS (SELECT image_id, 1::BIGINT, [1::BIGINT] FROM det WHERE rk = 1 UNION ALL
   SELECT d.image_id, d.rk, CASE WHEN ol.his IS NOT NULL AND list_has_any(r.kept, ol.his) THEN r.kept ELSE list_append(r.kept, d.rk) END
   FROM r JOIN det d ON d.image_id = r.image_id AND d.rk = r.rk + 1 LEFT JOIN ol ON ol.image_id = d.image_id AND ol.lo = d.rk),
 l AS (SELECT image_id, unnest(kept) AS rk FROM (SELECT image_id, kept, row_number() OVER (PARTITION BY image_id ORDER BY rk DESC) AS k FROM r) WHERE k = 1)
-SELECT image_id, det.det_id FROM l JOIN det USING (image_id, rk)"""
+SELECT image_id, {columns} FROM l JOIN det USING (image_id, rk)"""
 
 
 _RATIO = """px AS (SELECT DISTINCT image_id, x, y FROM (SELECT image_id, unnest(range(greatest(0, CAST(round_even(x1, 0) AS BIGINT)), least(64, CAST(round_even(x2, 0) AS BIGINT)))) AS x, y1, y2 FROM dets) a,
@@ -132,6 +132,9 @@ _LAST = f"last AS (SELECT inspection_id, to_status AS status FROM (SELECT *, row
 _DOMAIN = "(VALUES ('접수'), ('수동검토'), ('점검예정'), ('현장확인'), ('보수필요'), ('처리완료')) dm(status)"
 _RAIN = "CASE WHEN trim(fcstValue) IN ('', '강수없음', '-', 'null', 'None') THEN 0e0 WHEN fcstValue LIKE '%미만%' THEN 0.5e0 ELSE coalesce(try_cast(regexp_extract(fcstValue, '(\\d+(\\.\\d+)?)', 1) AS DOUBLE), 0e0) END"
 
+_UNBOXED = f"""cd AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM ({fx.CANDIDATES}) q),
+dets AS MATERIALIZED (SELECT image_id, det_id, class_name, confidence, greatest(0e0, least(1279e0, (cx - w / 2) / 0.5e0)) AS x1, greatest(0e0, least(719e0, (cy - h / 2 - 140) / 0.5e0)) AS y1,
+  greatest(0e0, least(1279e0, (cx + w / 2) / 0.5e0)) AS x2, greatest(0e0, least(719e0, (cy + h / 2 - 140) / 0.5e0)) AS y2 FROM cd WHERE n > 8 AND confidence >= 0.25)"""
 _HEADERS = ("category_no", "hazard_type", "collected_at", "lat", "lon", "node_link", "road_address", "base_date")
 _NULLED = ", ".join(f"CASE WHEN {c} = '' THEN NULL ELSE {c} END AS {c}" for c in _HEADERS)
 
@@ -265,6 +268,7 @@ SELECT row_number() OVER (ORDER BY route_id, seq) AS id, '점검예정' AS statu
 UNION ALL SELECT (SELECT max(_row_id) FROM zones) + 1, 37.3943e0, 126.9568e0, 'here', true""",
     "route_candidates": f"WITH {_Z} SELECT _row_id AS target_id, round(lat, 6) AS lat FROM zones ORDER BY 1 LIMIT 5",
     "decode_output": f"WITH c AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM ({fx.CANDIDATES}) q) SELECT * EXCLUDE (n) FROM c WHERE n > 8 AND confidence >= 0.25",
+    "detect_boxes": _greedy("true", "confidence DESC", "> 0.45", _UNBOXED, "det.det_id, class_name, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2"),
     "route_plan": f"""WITH RECURSIVE {_routes(False)} SELECT route_id, array_to_string(o, ',') AS stops,
   round(coalesce(list_sum(list_transform(range(1, n), lambda x: m[o[x] + 1][o[x + 1] + 1])), 0e0), 2) AS total_m, {_SOLVER} AS solver FROM best""",
     "route_legs": f"""WITH RECURSIVE {_routes(True)}, l AS (SELECT route_id, n, m, o, unnest(range(n)) AS step FROM best WHERE n > 1)

@@ -486,14 +486,24 @@ def route_candidates(s, d):
     return risk.route_candidates(_targets(s, d)).select("target_id", r("lat", 6).alias("lat"))
 
 
-def decode_output(s, d):
-    """A detector's raw output tensors, one for each image, decoded to rows."""
+def _outputs(s, d):
+    """A detector's raw output tensors, one for each image."""
     box = F.array(*(F.col(c).cast("float") for c in ("cx", "cy", "w", "h")))
     scores = F.array(*(F.when(F.col("class_id") == k, F.col("confidence")).otherwise(0.0).cast("float") for k in range(4)))
     found = fx.view(s, d, fx.CANDIDATES).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("det_id", F.concat(box, scores).alias("v")))).alias("all"))
     planes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform("all", lambda x: F.get(x.v, k)))
-    rows = found.filter(F.size("all") > 8).select("image_id", F.array(F.lit(1), F.lit(8), F.size("all")).alias("shape"), F.flatten(planes).alias("values"))
-    return detections.decode_output(rows).withColumns({c: r(c) for c in ("confidence", "cx", "cy", "w", "h")})
+    return found.filter(F.size("all") > 8).select("image_id", F.array(F.lit(1), F.lit(8), F.size("all")).alias("shape"), F.flatten(planes).alias("values"))
+
+
+def decode_output(s, d):
+    return detections.decode_output(_outputs(s, d)).withColumns({c: r(c) for c in ("confidence", "cx", "cy", "w", "h")})
+
+
+def detect_boxes(s, d):
+    """From output tensors to the boxes kept, in images of 1280 x 720."""
+    outputs = _outputs(s, d)
+    sizes = outputs.select("image_id", F.lit(1280).alias("width"), F.lit(720).alias("height"))
+    return detections.detect(outputs, sizes).select("image_id", "det_id", "class_name", *(r(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 ALL = (
@@ -504,5 +514,5 @@ ALL = (
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,
     yolo_boxes, status_counts, list_cases, status_history, latest_status, current_cases, reviewer_merge, delete_cases, case_flags,
     records_view, load_damage, load_zones, dms_degrees, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
-    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, weather_parse, pcp_parse, base_slot,
+    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, weather_parse, pcp_parse, base_slot,
 )
