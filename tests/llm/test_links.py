@@ -203,7 +203,7 @@ def test_alignment_against_plain():
     assert all(g >= w for g, w in zip(got, want)) and len(near) > 50 and all(got[k] == want[k] for k in near)
 
 
-@pytest.mark.parametrize("seed", [9, 10, 11])
+@pytest.mark.parametrize("seed", [9, 10])
 def test_contamination_against_brute_force(spark, seed):
     rng = random.Random(seed)
     items = [prose(rng, n) for n in (1, 2, 3, 5, 8, 12, 13, 14, 20, 40)] + ["x y", "What is the capital of Peru? Lima.", prose(rng, 14), "a b a b a b a b a b a b a b a b a b a b a b a b a b a b"]
