@@ -269,9 +269,13 @@ def keep_one_similar(spark: SparkSession, docs: DataFrame, shingle: int = 5, dis
     every = frozen(_described(spark, docs, shingle), "described")
     rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     distinct = frozen(every.groupBy("fp").agg(rank, F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
-    linked = classes(spark, distinct.select(F.col("sim").alias("fp"), F.col("first.doc_id").alias("doc_id")), frozen, distance)
-    by_print = distinct.filter(F.size("bands") > 0).select("fp", "sim").join(linked.select(F.col("fp").alias("sim"), "root"), "sim")
-    cells = distinct.select("fp", F.explode("bands").alias("cell")).unionByName(by_print.select("fp", F.xxhash64("root", F.lit("simhash")).alias("cell")))
+    cells = distinct.select("fp", F.explode("bands").alias("cell"))
+    # candidates by SimHash: texts of one fingerprint, and the first texts of linked ones
+    heads = frozen(distinct.filter(F.size("bands") > 0).groupBy("sim").agg(F.min("fp").alias("head")), "prints")
+    same = distinct.filter(F.size("bands") > 0).join(heads, "sim").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    ends = [heads.select(F.col("sim").alias(c), F.col("head").alias(f"head_{c}")) for c in ("a", "b")]
+    linked = links(spark, heads.select(F.col("sim").alias("fp")), distance).distinct()
+    linked = linked.join(ends[0], "a").join(ends[1], "b").select(F.greatest("head_a", "head_b").alias("a"), F.least("head_a", "head_b").alias("b"))
 
     def texts(fps: DataFrame) -> DataFrame:
         named = distinct.join(fps, "fp", "left_semi").select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
@@ -279,7 +283,7 @@ def keep_one_similar(spark: SparkSession, docs: DataFrame, shingle: int = 5, dis
         rows = rows.join(named, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
         return rows.select("fp", "text").dropDuplicates(["fp"])
 
-    roots = similar.verified_roots(cells, distinct.select("fp", "sig"), texts, shingle, frozen)
+    roots = similar.verified_roots(cells, same.unionByName(linked), distinct.select("fp", "sig"), texts, shingle, frozen)
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = known.groupBy("root").agg(F.min("first").alias("first"))
     kept = frozen(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")), "kept")

@@ -1,7 +1,7 @@
 """Verified links between near copies: texts whose sets of shingles have a Jaccard similarity of ``SIMILAR`` or more.
 
 No radius of 64-bit fingerprints covers a similarity of 0.8 (see the README), so fingerprints alone can't decide. Candidates meet
-in *cells*: texts that SimHash links, and texts that agree in all minima of one MinHash band. Two texts of similarity s differ in
+in *cells*: texts that agree in all minima of one MinHash band; links of SimHash are candidates as well. Two texts of similarity s differ in
 every band with a probability of ``(1 - s**ROWS)**BANDS``: 3e-6 at 0.8, and less above.
 
 The members of a cell are compared in rounds. The first compares every member with the cell's smallest one. Members that aren't
@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 5
 #: Minima that a pair must share before it is verified.
 LIKELY = int(BANDS * ROWS * 0.57)
 #: Members of a cell in one task; members compared with all in the second round, in each later one so many times more, and at most.
-TOGETHER, FEW, TIMES, MOST = 500, 64, 4, 16_384
+TOGETHER, FEW, TIMES, MOST = 500, 1024, 16, 16_384
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
 
@@ -79,6 +79,13 @@ def _parted(rows: DataFrame) -> DataFrame:
     return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "member", "fp")
 
 
+def _heavy_from(sized: DataFrame) -> int | None:
+    """From how many rows on a key is heavy; None if none is."""
+    total, most = sized.agg(F.sum("n"), F.max("n")).first()
+    least = max(TOGETHER, (total or 0) // HEAVY)
+    return least if most and most > least else None
+
+
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -117,8 +124,7 @@ def _verified(pairs: DataFrame, texts, shingle: int, frozen: Frozen, name: str)
     pairs = frozen(pairs, f"likely-{name}")
     degrees = pairs.groupBy(F.col("b").alias("cell")).agg(F.count("*").alias("n"))
     degrees = frozen(degrees.withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int")), f"degrees-{name}")
-    total = degrees.agg(F.sum("n")).first()[0] or 0
-    ours = join_sized(pairs.select(F.col("b").alias("cell"), F.col("a").alias("fp")), "cell", degrees, max(FEW, total // HEAVY))
+    ours = join_sized(pairs.select(F.col("b").alias("cell"), F.col("a").alias("fp")), "cell", degrees, _heavy_from(degrees))
     ours = ours.select("cell", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "fp")
     theirs = degrees.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("cell").alias("fp"))
     named = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
@@ -141,13 +147,13 @@ def _verified(pairs: DataFrame, texts, shingle: int, frozen: Frozen, name: str)
     return _parted(rows).mapInArrow(run, "a binary, b binary")
 
 
-def verified_roots(cells: DataFrame, signatures: DataFrame, texts, shingle: int, frozen: Frozen) -> DataFrame:
+def verified_roots(cells: DataFrame, pairs: DataFrame, signatures: DataFrame, texts, shingle: int, frozen: Frozen) -> DataFrame:
     """(node, root) for every fp that has a verified link: the smallest fp of its component. ``cells`` has (cell, fp) of every
-    candidate, ``signatures`` (fp, sig), ``texts(fps)`` gives (fp, text) for some of them."""
+    candidate, ``pairs`` candidates (a, b) besides them, ``signatures`` (fp, sig), ``texts(fps)`` gives (fp, text) for some."""
     known = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("centre"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("mark"))
     same = known.filter("n > 1").groupBy("n", "centre", "mark").agg(F.min("cell").alias("cell"))  # of cells with the same members one
     same = frozen(same.select("cell", "n", "centre"), "cells")
-    heavy_from = max(FEW, (same.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    heavy_from = _heavy_from(same)
     members = join_sized(cells, "cell", same, heavy_from).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
     members = members.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     members = frozen(members.join(signatures, "fp"), "members")
@@ -159,7 +165,8 @@ def verified_roots(cells: DataFrame, signatures: DataFrame, texts, shingle: int,
         ours = placed if roots is None else join_sized(placed.drop("n"), "cell", centres.select("cell", "n").distinct(), heavy_from)
         rows = ours.withColumn("member", F.lit(True)).select("cell", "part", "member", "fp", "root", "sig")
         rows = rows.unionByName(centres.select("cell", every_part, F.lit(False).alias("member"), "fp", "root", "sig"))
-        more = _verified(_likely(rows), texts, shingle, frozen, str(k))
+        likely = _likely(rows) if roots is not None else _likely(rows).unionByName(pairs).distinct()
+        more = _verified(likely, texts, shingle, frozen, str(k))
         edges = frozen(more if edges is None else edges.unionByName(more), f"links-{k}")
         roots = frozen(connected_components(edges, frozen, f"components-{k}"), f"roots-{k}")
         placed = members.join(roots, members["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))

@@ -89,7 +89,8 @@ def test_members_of_a_cell_need_many_rounds(spark, monkeypatch):
     cells = spark.createDataFrame([(1, bytearray(k)) for k in fps] + [(2, bytearray(k)) for k, i in fps.items() if i % 3], "cell long, fp binary")
     named = spark.createDataFrame([(bytearray(k), texts[i]) for k, i in fps.items()], "fp binary, text string")
     sigs = spark.createDataFrame([(bytearray(k), bytearray(similar.signature(np.unique(shingle_hashes(texts[i].encode(), 5)))[1])) for k, i in fps.items()], "fp binary, sig binary")
-    roots = similar.verified_roots(cells, sigs, lambda some: named.join(some, "fp", "left_semi"), 5, Frozen(spark, "rounds"))
+    pairs = spark.createDataFrame([], "a binary, b binary")
+    roots = similar.verified_roots(cells, pairs, sigs, lambda some: named.join(some, "fp", "left_semi"), 5, Frozen(spark, "rounds"))
     group = {bytes(r["node"]): bytes(r["root"]) for r in roots.collect()}
     least = {}
     for k, i in fps.items():
