@@ -5,9 +5,10 @@ in *cells*: texts that agree in all minima of one MinHash band; links of SimHash
 every band with a probability of ``(1 - s**ROWS)**BANDS``: 3e-6 at 0.8, and less above.
 
 The members of a cell are compared in rounds. The first compares every member with the cell's smallest one. Members that aren't
-connected with it then are compared with all members, some more of them in every round, until all have been. A comparison first
-counts the minima that two signatures share: at least ``LIKELY`` of BANDS * ROWS, which a pair at 0.8 misses with a probability
-under 1e-9. Pairs that pass are verified on their whole shingle sets. Members of a cell, and partners of a text, are dealt to
+connected with it then (centres) are compared with all members, some more of them in every round, until all have been. A comparison
+first counts the minima that two signatures share: at least ``LIKELY`` of BANDS * ROWS, which a pair at 0.8 misses with a
+probability of 4e-6. Of a member's pairs that pass, a round takes a few; a centre with pairs left comes again in the next round, where
+most are connected through others, so a dense group doesn't list all its pairs. Pairs taken are verified on their whole sets. Members of a cell, and partners of a text, are dealt to
 tasks by hash: no task gets a whole cell, and texts that are connected already (a large group of copies) aren't compared with
 each other at all. Texts with equal sets are one point.
 """
@@ -28,9 +29,11 @@ from perilgrid.operators.components import HEAVY, connected_components, join_siz
 SIMILAR = (4, 5)
 BANDS, ROWS = 32, 5
 #: Minima that a pair must share before it is verified.
-LIKELY = int(BANDS * ROWS * 0.57)
-#: Members of a cell in one task; members compared with all in the second round, in each later one so many times more, and at most.
-TOGETHER, FEW, TIMES, MOST = 500, 1024, 16, 16_384
+LIKELY = int(BANDS * ROWS * 0.66)
+#: Members of a cell in one task; centres of a cell in a round.
+TOGETHER, CENTRES = 500, 1024
+#: Pairs of a member and a cell in the second round; in each later one so many times more.
+FEW, TIMES = 4, 4
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
 
@@ -89,33 +92,42 @@ def _heavy_from(sized: DataFrame) -> int | None:
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _likely(rows: DataFrame) -> DataFrame:
-    """(a, b): of rows (cell, part, member, fp, root, sig) the members and centres of a part that share enough minima and aren't
-    connected yet. A part has TOGETHER members or so and a round's centres."""
+def _likely(rows: DataFrame, few: int) -> DataFrame:
+    """(cell, a, b): of rows (cell, part, member, fp, root, sig) the members and centres of a part that share enough minima and
+    aren't connected yet, ``few`` of each member; and a row without a for every centre that has more. A part has TOGETHER members
+    or so and a round's centres."""
+    schema = pa.schema([("cell", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
-    def pairs(members, centres):
+    def pairs(cell, members, centres, left):
         if members and centres:
             fps, roots, sigs = zip(*centres, strict=True)
             theirs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(centres), -1)
             for fp, root, sig in members:
-                shared = (theirs == np.frombuffer(sig, np.uint8)).sum(1)
-                yield from ((fp, fps[c]) for c in np.flatnonzero(shared >= LIKELY).tolist() if roots[c] != root)
+                near = np.flatnonzero((theirs == np.frombuffer(sig, np.uint8)).sum(1) >= LIKELY).tolist()
+                near = [c for c in near if roots[c] != root]
+                yield from ((cell, fp, fps[c]) for c in near[:few])
+                left.update(fps[c] for c in near[few:])
 
     def run(batches):
-        part, centres, members = None, [], []
+        part, centres, members, left = None, [], [], set()
         for batch in batches:
             out = []
             for cell, k, member, fp, root, sig in zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "member", "fp", "root", "sig")), strict=True):
                 if (cell, k) != part:
-                    out += pairs(members, centres)
-                    part, centres, members = (cell, k), [], []
+                    if part:
+                        out += pairs(part[0], members, centres, left)
+                        out += [(part[0], None, c) for c in left]
+                    part, centres, members, left = (cell, k), [], [], set()
                 (members if member else centres).append((fp, root, sig))
-            out += pairs(members, centres)
+            if part:
+                out += pairs(part[0], members, centres, left)
             members = []
             if out:
-                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=LINKS)
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        if left:
+            yield pa.record_batch([pa.array([part[0]] * len(left)), pa.array([None] * len(left), pa.binary()), pa.array(list(left), pa.binary())], schema=schema)
 
-    return _parted(rows.select("cell", "part", "member", "fp", "root", "sig")).mapInArrow(run, "a binary, b binary").distinct()
+    return _parted(rows.select("cell", "part", "member", "fp", "root", "sig")).mapInArrow(run, "cell long, a binary, b binary")
 
 
 def _verified(pairs: DataFrame, texts, shingle: int, frozen: Frozen, name: str) -> DataFrame:
@@ -165,10 +177,15 @@ def verified_roots(cells: DataFrame, pairs: DataFrame, signatures: DataFrame, te
         ours = placed if roots is None else join_sized(placed.drop("n"), "cell", centres.select("cell", "n").distinct(), heavy_from)
         rows = ours.withColumn("member", F.lit(True)).select("cell", "part", "member", "fp", "root", "sig")
         rows = rows.unionByName(centres.select("cell", every_part, F.lit(False).alias("member"), "fp", "root", "sig"))
-        likely = _likely(rows) if roots is not None else _likely(rows).unionByName(pairs).distinct()
-        more = _verified(likely, texts, shingle, frozen, str(k))
+        found = frozen(_likely(rows, few), f"found-{k}")
+        likely = found.filter("a is not null").select("a", "b")
+        more = _verified((likely if roots is not None else likely.unionByName(pairs)).distinct(), texts, shingle, frozen, str(k))
         edges = frozen(more if edges is None else edges.unionByName(more), f"links-{k}")
         roots = frozen(connected_components(edges, frozen, f"components-{k}"), f"roots-{k}")
+        if k:  # centres without pairs left have been compared with all
+            new = centres.select("cell", "fp").join(found.filter("a is null").select("cell", F.col("b").alias("fp")), ["cell", "fp"], "left_anti")
+            done = frozen(new if done is None else done.unionByName(new), f"done-{k}")
+            few *= TIMES
         placed = members.join(roots, members["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
         main = placed.filter("fp = centre").select("cell", "n", F.col("root").alias("main"))
         others = join_sized(placed.drop("n"), "cell", main, heavy_from).filter("root <> main").drop("main")
@@ -176,9 +193,6 @@ def verified_roots(cells: DataFrame, pairs: DataFrame, signatures: DataFrame, te
             others = others.join(done, ["cell", "fp"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("fp"))
         k += 1
-        centres = frozen(others.withColumn("rank", rank).filter(F.col("rank") <= min(few, MOST)).drop("rank"), f"centres-{k}")
+        centres = frozen(others.withColumn("rank", rank).filter(F.col("rank") <= CENTRES).drop("rank"), f"centres-{k}")
         if centres.isEmpty():
             return roots
-        new = centres.select("cell", "fp")
-        done = new if done is None else frozen(done.unionByName(new), f"done-{k}")
-        few *= TIMES
