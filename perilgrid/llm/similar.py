@@ -5,12 +5,11 @@ in *cells*: texts that agree in all minima of one MinHash band; links of SimHash
 every band with a probability of ``(1 - s**ROWS)**BANDS``: 3e-6 at 0.8, and less above.
 
 The members of a cell are compared in rounds. The first compares every member with the cell's smallest one. Members that aren't
-connected with it then (centres) are compared with all members, some more of them in every round, until all have been. A comparison
-first counts the minima that two signatures share: at least ``LIKELY`` of BANDS * ROWS, which a pair at 0.8 misses with a
-probability of 4e-6. Of a member's pairs that pass, a round takes a few; a centre with pairs left comes again in the next round, where
-most are connected through others, so a dense group doesn't list all its pairs. Pairs taken are verified on their whole sets. Members of a cell, and partners of a text, are dealt to
-tasks by hash: no task gets a whole cell, and texts that are connected already (a large group of copies) aren't compared with
-each other at all. Texts with equal sets are one point.
+connected with it then (centres) are compared with all members, up to CENTRES in a round, until all have been. A comparison first
+counts the minima that two signatures share: at least ``LIKELY`` of BANDS * ROWS, which a pair at 0.8 misses with a probability of
+4e-6. Only texts with such a partner are fetched, and verified on their whole shingle sets inside the task. Members of a cell are
+dealt to tasks by hash: no task gets a whole cell. Pairs are never listed: a task gives the texts concerned, and then the links that
+connect what wasn't connected yet. Texts with equal sets are one point.
 """
 
 from __future__ import annotations
@@ -32,8 +31,6 @@ BANDS, ROWS = 32, 5
 LIKELY = int(BANDS * ROWS * 0.66)
 #: Members of a cell in one task; centres of a cell in a round.
 TOGETHER, CENTRES = 500, 1024
-#: Pairs of a member and a cell in the second round; in each later one so many times more.
-FEW, TIMES = 4, 4
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
 
@@ -92,42 +89,77 @@ def _heavy_from(sized: DataFrame) -> int | None:
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _likely(rows: DataFrame, few: int) -> DataFrame:
-    """(cell, a, b): of rows (cell, part, member, fp, root, sig) the members and centres of a part that share enough minima and
-    aren't connected yet, ``few`` of each member; and a row without a for every centre that has more. A part has TOGETHER members
-    or so and a round's centres."""
-    schema = pa.schema([("cell", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+def _likely(rows: DataFrame) -> DataFrame:
+    """Those of the rows (cell, part, member, fp, root, sig), without sig, that share enough minima with a centre (or member) of
+    their part that they aren't connected with yet. A part has TOGETHER members or so and a round's centres."""
+    schema = pa.schema([("cell", pa.int64()), ("part", pa.int32()), ("member", pa.bool_()), ("fp", pa.binary()), ("root", pa.binary())])
 
-    def pairs(cell, members, centres, left):
+    def near(part, members, centres, hit):
         if members and centres:
-            fps, roots, sigs = zip(*centres, strict=True)
-            theirs = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(centres), -1)
+            roots = [c[1] for c in centres]
+            theirs = np.frombuffer(b"".join(c[2] for c in centres), np.uint8).reshape(len(centres), -1)
             for fp, root, sig in members:
-                near = np.flatnonzero((theirs == np.frombuffer(sig, np.uint8)).sum(1) >= LIKELY).tolist()
-                near = [c for c in near if roots[c] != root]
-                yield from ((cell, fp, fps[c]) for c in near[:few])
-                left.update(fps[c] for c in near[few:])
+                like = [c for c in np.flatnonzero((theirs == np.frombuffer(sig, np.uint8)).sum(1) >= LIKELY).tolist() if roots[c] != root]
+                if like:
+                    hit.update(like)
+                    yield (*part, True, fp, root)
 
     def run(batches):
-        part, centres, members, left = None, [], [], set()
+        part, centres, members, hit = None, [], [], set()
         for batch in batches:
             out = []
             for cell, k, member, fp, root, sig in zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "member", "fp", "root", "sig")), strict=True):
                 if (cell, k) != part:
-                    if part:
-                        out += pairs(part[0], members, centres, left)
-                        out += [(part[0], None, c) for c in left]
-                    part, centres, members, left = (cell, k), [], [], set()
+                    out += near(part, members, centres, hit)
+                    out += [(*part, False, *centres[c][:2]) for c in hit]
+                    part, centres, members, hit = (cell, k), [], [], set()
                 (members if member else centres).append((fp, root, sig))
-            if part:
-                out += pairs(part[0], members, centres, left)
+            out += near(part, members, centres, hit)
             members = []
             if out:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        if left:
-            yield pa.record_batch([pa.array([part[0]] * len(left)), pa.array([None] * len(left), pa.binary()), pa.array(list(left), pa.binary())], schema=schema)
+        if hit:
+            out = [(*part, False, *centres[c][:2]) for c in hit]
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return _parted(rows.select("cell", "part", "member", "fp", "root", "sig")).mapInArrow(run, "cell long, a binary, b binary")
+    rows = _parted(rows.select("cell", "part", "member", "fp", "root", "sig"))
+    return rows.mapInArrow(run, "cell long, part int, member boolean, fp binary, root binary")
+
+
+def _linked(rows: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): links of the rows (cell, part, member, fp, root, text) that connect what wasn't connected in their part yet. A part
+    has the centres' sets in memory and one member's at a time."""
+
+    def run(batches):
+        part, centres, sets, known, up = None, [], [], None, {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in slices(batches, most=1 << 20):
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("cell", "part", "member", "fp", "root"))
+            for cell, k, member, fp, root, text in zip(*columns, texts_of(batch.column("text")), strict=True):
+                if (cell, k) != part:
+                    part, centres, sets, known, up = (cell, k), [], [], None, {}
+                own = np.unique(shingle_hashes(text, shingle))
+                if not member:
+                    centres.append((fp, root))
+                    sets.append(own)
+                elif centres:
+                    if known is None:
+                        known, sets = Centres(sets), []
+                    for c in known.similar(own):
+                        theirs, mine = find(centres[c][1]), find(root)
+                        if theirs != mine:
+                            up[theirs] = mine
+                            out.append((fp, centres[c][0]))
+            if out:
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], schema=LINKS)
+
+    return _parted(rows).mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, texts, shingle: int, frozen: Frozen, name: str) -> DataFrame:
@@ -172,20 +204,20 @@ def verified_roots(cells: DataFrame, pairs: DataFrame, signatures: DataFrame, te
     every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     placed = members.withColumn("root", F.col("fp"))
     centres = placed.filter("fp = centre")
-    edges, roots, done, few, k = None, None, None, FEW, 0
+    edges, roots, done, k = None, None, None, 0
     while True:
         ours = placed if roots is None else join_sized(placed.drop("n"), "cell", centres.select("cell", "n").distinct(), heavy_from)
         rows = ours.withColumn("member", F.lit(True)).select("cell", "part", "member", "fp", "root", "sig")
         rows = rows.unionByName(centres.select("cell", every_part, F.lit(False).alias("member"), "fp", "root", "sig"))
-        found = frozen(_likely(rows, few), f"found-{k}")
-        likely = found.filter("a is not null").select("a", "b")
-        more = _verified((likely if roots is not None else likely.unionByName(pairs)).distinct(), texts, shingle, frozen, str(k))
+        found = frozen(_likely(rows), f"found-{k}")
+        more = _linked(found.join(texts(found.select("fp").distinct()), "fp"), shingle)
+        if roots is None:
+            more = more.unionByName(_verified(pairs, texts, shingle, frozen, "simhash"))
         edges = frozen(more if edges is None else edges.unionByName(more), f"links-{k}")
         roots = frozen(connected_components(edges, frozen, f"components-{k}"), f"roots-{k}")
-        if k:  # centres without pairs left have been compared with all
-            new = centres.select("cell", "fp").join(found.filter("a is null").select("cell", F.col("b").alias("fp")), ["cell", "fp"], "left_anti")
-            done = frozen(new if done is None else done.unionByName(new), f"done-{k}")
-            few *= TIMES
+        if k:
+            new = centres.select("cell", "fp")
+            done = new if done is None else frozen(done.unionByName(new), f"done-{k}")
         placed = members.join(roots, members["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
         main = placed.filter("fp = centre").select("cell", "n", F.col("root").alias("main"))
         others = join_sized(placed.drop("n"), "cell", main, heavy_from).filter("root <> main").drop("main")

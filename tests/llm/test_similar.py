@@ -73,9 +73,7 @@ def test_near_dedup_finds_every_pair_of_similarity_four_fifths(spark):
 def test_members_of_a_cell_need_many_rounds(spark, monkeypatch):
     """Cells whose members are mostly unlike their smallest one, dealt to many tasks."""
     monkeypatch.setattr(similar, "TOGETHER", 7)
-    monkeypatch.setattr(similar, "FEW", 1)
     monkeypatch.setattr(similar, "CENTRES", 9)
-    monkeypatch.setattr(similar, "TIMES", 2)
     rng = random.Random(8)
     base = prose(rng, 120)
     texts = []
