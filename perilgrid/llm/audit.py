@@ -5,7 +5,7 @@ mask is removed first. ``mapInArrow`` looks rows up in it and ``np.bincount`` co
 each task gives an array for each part it saw, and the arrays are summed.
 
 Copies are settled before: rows that agree in text, part and label are counted together, so a text that a third of all
-documents share is a few rows when copies are compared.
+documents share is a few rows when copies are compared, and what comes to the lookup is a count for each part, mask and label.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def partial_counts(counted: DataFrame) -> DataFrame:
         if held:
             yield from arrays(held)
 
-    return counted.select("part", "mask", "label", "n").mapInArrow(run, "part string, counts array<long>")
+    return counted.select("part", "mask", "label", "n").repartition("part").mapInArrow(run, "part string, counts array<long>")
 
 
 REPORT = pa.schema(
@@ -178,13 +178,18 @@ def audit(spark: SparkSession, docs: DataFrame, labels: DataFrame, part: str = "
     ship(spark)
     masked = Frozen(spark, "audit")(mask_texts(docs, part), "masks")
     counted = with_copies(with_labels(masked, labels))
-    sums = partial_counts(counted).select("part", F.posexplode("counts").alias("at", "n")).groupBy("part", "at").agg(F.sum("n").alias("n"))
-    arrays = sums.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("all")).select("part", F.transform("all", lambda x: x.n).alias("counts"))
+    arrays = partial_counts(counted).repartition("part").sortWithinPartitions("part")
 
     def run(batches):
+        part, counts = None, 0
         for batch in batches:
-            for name, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield report_of(name, np.array(counts, np.int64))
+            for name, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != part and part is not None:
+                    yield report_of(part, counts)
+                    counts = 0
+                part, counts = name, counts + np.array(more, np.int64)
+        if part is not None:
+            yield report_of(part, counts)
 
     return arrays.mapInArrow(run, REPORT_DDL)
 
