@@ -1,58 +1,29 @@
-"""Spatial joins without cross joins: bucketed radius joins and nearest neighbours by growing radius."""
+"""Spatial joins without cross joins, right anywhere on the globe: radius joins on cubes, nearest neighbours down a tree."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import haversine, strip
+from perilgrid.operators.sphere import PLACED, SLACK, Tree, cell_of, chord, near_cells, unit
 from perilgrid.sources.frozen import Frozen
 
-#: Cells are this much wider than the radius, so that rounding loses no pair.
-SLACK = 1.0001
-#: Rows with coordinates.
-PLACED = "lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
-
-
-def _cells(lat: Column, lon: Column, radius_m: float, near: bool) -> Column:
-    """The cells of a point: latitude bands of the radius' height, and in each band cells of longitude that are as wide as the
-    radius where the band is narrowest. ``near`` gives all cells that can hold a point within the radius."""
-    step = math.degrees(radius_m / fixed.EARTH_M) * SLACK
-    band = F.floor(lat / step)
-
-    def width(b: Column) -> Column:
-        # the pole-most latitude that a partner of a point in this band can have
-        top = F.least(F.greatest(F.abs(b), F.abs(b + 1)) * step + step, F.lit(89.0))
-        return F.lit(step * SLACK) / F.cos(F.radians(top))
-
-    if not near:
-        return F.struct(band.alias("band"), F.floor(lon / width(band)).alias("cell"))
-    return F.flatten(
-        F.array(
-            *(
-                F.array(*(F.struct((band + i).alias("band"), (F.floor(lon / width(band + i)) + j).alias("cell")) for j in (-1, 0, 1)))
-                for i in (-1, 0, 1)
-            )
-        )
-    )
+#: Radii below this are searched in cubes of this size.
+LEAST_M = 0.5
 
 
 def within(points: DataFrame, targets: DataFrame, radius_m: float = fixed.RADIUS_M) -> DataFrame:
     """Pairs of targets (target_id, lat, lon) and points (lat, lon and more) at most the radius apart: the points' columns,
-    target_id and dist_m. An equi-join on cells: targets go to nine cells, points to their own; exact distances decide. Points
-    without coordinates pair with nothing. Antimeridian and poles aren't crossed."""
-    spread = targets.filter(PLACED).select(
-        "target_id",
-        F.col("lat").alias("_lat"),
-        F.col("lon").alias("_lon"),
-        F.explode(_cells(F.col("lat"), F.col("lon"), radius_m, True)).alias("_cell"),
-    )
-    placed = points.filter(PLACED).withColumn("_cell", _cells(F.col("lat"), F.col("lon"), radius_m, False))
+    target_id and dist_m. An equi-join on cubes: targets go to those that their radius reaches, points to their own; exact
+    distances decide. Rows without coordinates pair with nothing."""
+    reach = chord(max(radius_m, LEAST_M))
+    asked = targets.filter(PLACED).select("target_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    asked = near_cells(asked, unit(F.col("_lat"), F.col("_lon")), reach, "_cell")
+    placed = points.filter(PLACED).withColumn("_cell", cell_of(unit(F.col("lat"), F.col("lon")), reach * SLACK))
     dist = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    return placed.join(spread, "_cell").withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("_cell", "_lat", "_lon")
+    return placed.join(asked, "_cell").withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("_cell", "_lat", "_lon")
 
 
 def radius_counts(points: DataFrame, targets: DataFrame, radius_m: float = fixed.RADIUS_M) -> DataFrame:
@@ -61,39 +32,14 @@ def radius_counts(points: DataFrame, targets: DataFrame, radius_m: float = fixed
     return targets.select("target_id").join(n, "target_id", "left").select("target_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, start_m: float = 1000.0, grow: float = 8.0) -> DataFrame:
-    """target_id and nearest_m, the distance to the nearest point; null without points.
-
-    Targets that find a point within a radius are done; the others try again with a radius ``grow`` times as large. Beyond a
-    thousand kilometres latitude and longitude cells no longer tell places apart; the targets left are compared with the places
-    of points, as a stated query set in blocks. Each round is frozen, so no round repeats another's work."""
-    frozen, found, open_targets, radius = Frozen(points.sparkSession, "nearest"), None, targets.select("target_id", "lat", "lon"), start_m
-    points = points.filter(PLACED).select("lat", "lon")
-    open_targets = open_targets.filter(PLACED)
-    if points.isEmpty():
-        return targets.select("target_id", F.lit(None).cast("double").alias("nearest_m"))
-    while True:
-        here = within(points, open_targets, radius) if radius <= 1e6 else far_pairs(points, open_targets)
-        here = frozen(here.groupBy("target_id").agg(F.min("dist_m").alias("nearest_m")), f"within-{radius:.0f}")
-        found = here if found is None else found.unionByName(here)
-        if radius > 1e6:
-            break
-        open_targets = open_targets.join(here.select("target_id"), "target_id", "left_anti")
-        if open_targets.isEmpty():
-            break
-        radius *= grow
+def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """target_id and nearest_m, the distance to the nearest point; null without points or without coordinates. How far the point
+    is makes no difference to the work: targets go down a tree of the places, never to all of them."""
+    frozen = Frozen(points.sparkSession, "nearest")
+    found = Tree(points, frozen).nearest(targets.select("target_id", "lat", "lon"), frozen)
     return targets.select("target_id").join(found, "target_id", "left")
 
 
-def far_pairs(points: DataFrame, targets: DataFrame, side: int = 16) -> DataFrame:
-    """(target_id, dist_m) of targets and the distinct places of points, dealt to ``side`` x ``side`` blocks by hash."""
-    places = points.distinct().withColumn("p", F.pmod(F.xxhash64("lat", "lon"), F.lit(side))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
-    asked = targets.select("target_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.pmod(F.xxhash64("target_id"), F.lit(side)).alias("t"))
-    asked = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
-    dist = haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
-    return places.join(asked, ["p", "t"]).select("target_id", dist.alias("dist_m"))
-
-
 def road_key(damage: DataFrame) -> str | None:
     """The column that tells road segments: node_link if any row has one, else road_address. One action."""
     names = [c for c in ("node_link", "road_address") if c in damage.columns]

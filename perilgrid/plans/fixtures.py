@@ -96,6 +96,14 @@ SELECT CAST(floor(l_orderkey / 64e0) AS BIGINT) AS image_id,
   (1 + l_suppkey % 15) / 16e0 AS confidence, 20e0 + l_partkey % 600 AS cx, 160e0 + l_suppkey % 320 AS cy, l_quantity AS w, l_quantity + 1e0 AS h
 FROM lineitem"""
 
+#: Places over the whole globe, some at both sides of the antimeridian, some around the north pole.
+_GLOBE = """
+SELECT {key} AS {name},
+  CASE {key} % 3 WHEN 0 THEN 10e0 + {key} % 100 / 10000e0 WHEN 1 THEN 89.99e0 + {key} % 100 / 10000e0 ELSE {key} * 7919 % 18001 / 100e0 - 90e0 END AS lat,
+  CASE {key} % 3 WHEN 0 THEN CASE WHEN {key} % 2 = 0 THEN 179.999e0 + {key} % 9 / 10000e0 ELSE {key} % 9 / 10000e0 - 179.9999e0 END ELSE {key} * 104729 % 36001 / 100e0 - 180e0 END AS lon
+FROM {table}"""
+GLOBE_POINTS, GLOBE_TARGETS = _GLOBE.format(key="event_id", name="_row_id", table="events"), _GLOBE.format(key="s_suppkey", name="target_id", table="supplier")
+
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 

@@ -185,6 +185,8 @@ SQL: dict[str, str] = {
     "CASE WHEN m < 1000 THEN format('{:.0f} m', round_even(m, 0)) ELSE format('{:.2f} km', m / 1000) END AS text FROM x",
     "radius_count": f"WITH {_D}, {_Z}, {_pairs(_ALLZ)} {_COUNTS.format(_ALLZ)}",
     "nearest_zone": f"WITH {_Z}, {_P} SELECT t._row_id AS target_id, round(min({hav('t', 'z')}), 4) AS nearest_m FROM points t, zones z GROUP BY 1",
+    **{f"globe_{name}": f"WITH t AS ({fx.GLOBE_TARGETS}), p AS ({fx.GLOBE_POINTS}) SELECT t.target_id, count(p._row_id) AS n FROM t LEFT JOIN p ON {hav('t', 'p')} <= {m} GROUP BY 1" for name, m in (("radius_count", 40), ("far_count", 250_000))},
+    "globe_nearest": f"WITH t AS ({fx.GLOBE_TARGETS}), p AS ({fx.GLOBE_POINTS}) SELECT t.target_id, round(min({hav('t', 'p')}), 3) AS nearest_m FROM t, p WHERE p._row_id % 5 = 0 GROUP BY 1",
     "school_score": f"WITH {_Z}, {_P}, x AS (SELECT t._row_id AS target_id, min({hav('t', 'z')}) AS m FROM points t, zones z GROUP BY 1) "
     "SELECT target_id, round(CASE WHEN m >= 500 THEN 0e0 ELSE (1 - m / 500e0) * 100 END, 4) AS score FROM x",
     "density_score": f"WITH {_D}, {_Z}, {_pairs(_ALLZ)}, n AS ({_COUNTS.format(_ALLZ)}) SELECT target_id, round(least(100e0, n / 20e0 * 100), 4) AS score FROM n",

@@ -131,6 +131,19 @@ def school_score(s, d):
     return near.select("target_id", r(X.zone_score(F.col("nearest_m"))).alias("score"))
 
 
+def globe_radius_count(s, d):
+    return geo.radius_counts(fx.view(s, d, fx.GLOBE_POINTS), fx.view(s, d, fx.GLOBE_TARGETS), 40.0)
+
+
+def globe_far_count(s, d):
+    return geo.radius_counts(fx.view(s, d, fx.GLOBE_POINTS), fx.view(s, d, fx.GLOBE_TARGETS), 250_000.0)
+
+
+def globe_nearest(s, d):
+    points = fx.view(s, d, fx.GLOBE_POINTS).filter("_row_id % 5 = 0")
+    return geo.nearest(points, fx.view(s, d, fx.GLOBE_TARGETS)).select("target_id", r("nearest_m", 3).alias("nearest_m"))
+
+
 def density_score(s, d):
     return geo.radius_counts(_damage(s, d), _targets(s, d)).select("target_id", r(X.density_score(F.col("n"))).alias("score"))
 
@@ -508,7 +521,7 @@ def detect_boxes(s, d):
 
 ALL = (
     clean_damage, exclusion_counts, clean_report, dedup_by_coords, dedup_all_columns, parse_dates, clean_zones, region_filter, region_filter_fallback,
-    base_date, intro_summary, haversine_to_centre, radius_count, nearest_zone, school_score, density_score, rain_score, road_importance,
+    base_date, intro_summary, haversine_to_centre, radius_count, globe_radius_count, globe_far_count, globe_nearest, nearest_zone, school_score, density_score, rain_score, road_importance,
     representative_road, risk_score, risk_components, risk_formula, priority_manual, priority_zones, priority_top, grid_cells, core_cells,
     cluster_points, cluster_info, cluster_summary, cluster_markers, filter_hazard, filter_dates, filter_road, hazard_options, date_bounds,
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,

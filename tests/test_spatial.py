@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perilgrid.operators import cluster, geo, risk, route
+from perilgrid.operators import cluster, geo, risk, route, sphere
 from perilgrid.operators.components import connected_components
 from perilgrid.sources.frozen import Frozen
 
@@ -57,6 +57,47 @@ def test_far_targets(spark):
         assert got[k] == pytest.approx(min(metres(t, p) for p in [(37.4, 126.9), (-33.9, 151.2), (51.5, -0.1)]))
 
 
+def anywhere(rng, n):
+    """Places over the whole globe: both sides of the antimeridian, poles, longitudes beyond 180 and crowds."""
+    out = [(math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for _ in range(n)]
+    out += [(rng.uniform(-80, 80), s * (180 - rng.random() * 0.01)) for s in (1, -1) for _ in range(n // 4)]
+    out += [(s * (90 - rng.random() * 0.01), rng.uniform(-180, 180)) for s in (1, -1) for _ in range(n // 4)]
+    out += [(10 + rng.random() * 1e-3, 179.9995 + rng.random() * 1e-3) for _ in range(n)]
+    return out + [(90.0, 0.0), (-90.0, 77.0), (10.0, 180.0), (10.0, -180.0), (0.0, 0.0), (0.0, 360.0), (1e-7, 1e-7)]
+
+
+@pytest.mark.parametrize("radius", [0, 0.01, 30, 1000, 300_000, 9_000_000, 30_000_000])
+def test_within_anywhere(spark, radius):
+    rng = random.Random(int(radius))
+    points, targets = anywhere(rng, 60), anywhere(rng, 24)
+    got = geo.within(places(spark, points), places(spark, targets, "target_id"), radius)
+    pairs = [(r["target_id"], r["_row_id"]) for r in got.select("target_id", "_row_id").collect()]
+    want = {(t, i) for t, a in enumerate(targets) for i, b in enumerate(points) if metres(a, b) <= radius}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+@pytest.mark.parametrize(("n", "leaf", "start"), [(3, 48, 256), (150, 48, 256), (400, 4, 8), (400, 1, 1)])
+def test_nearest_anywhere(spark, monkeypatch, n, leaf, start):
+    monkeypatch.setattr(sphere, "LEAF", leaf)
+    monkeypatch.setattr(sphere, "START", start)
+    rng = random.Random(n)
+    points, targets = anywhere(rng, n) if n > 3 else [(10.0, -179.999), (10.008, 179.999), (-89.99, 3.0)], anywhere(rng, 40)
+    crowd = [(48.0 + rng.random() * 1e-6, 2.0 + rng.random() * 1e-6) for _ in range(n)] + [points[0]] * 9
+    points = points + crowd
+    rows = places(spark, points).unionByName(spark.createDataFrame([(-1, None, 1.0), (-2, 1.0, float("nan")), (-3, float("inf"), 0.0)], "_row_id long, lat double, lon double"))
+    asked = places(spark, targets, "target_id").unionByName(spark.createDataFrame([(-1, None, 1.0), (-2, float("nan"), 1.0)], "target_id long, lat double, lon double"))
+    got = dict(tuple(r) for r in geo.nearest(rows, asked).collect())
+    assert len(got) == len(targets) + 2 and got[-1] is None and got[-2] is None
+    for i, t in enumerate(targets):
+        assert got[i] == pytest.approx(min(metres(t, z) for z in points), rel=1e-9, abs=1e-6), t
+
+
+def test_antimeridian(spark):
+    target, points = places(spark, [(10.0, 179.999)], "target_id"), places(spark, [(10.0, -179.999), (10.008, 179.999)])
+    assert geo.nearest(points, target).first()["nearest_m"] == pytest.approx(metres((10, 179.999), (10, -179.999)))
+    assert geo.radius_counts(points, target, 300).first()["n"] == 1
+
+
 def test_nearest_without_zones(spark):
     got = geo.nearest(places(spark, [(1.0, 1.0)]).limit(0), places(spark, [(1.0, 1.0)], "target_id"))
     assert [tuple(r) for r in got.collect()] == [(0, None)]
