@@ -48,22 +48,16 @@ def numeric_reason(c: Column, missing: str, not_numeric: str) -> Column:
     return number_reason(bare(c), numeric(c), missing, not_numeric)
 
 
-#: (what a text looks like, the pattern that reads it), after dots and slashes have become hyphens.
-DATE_FORMS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{2}:\d{2}:\d{2}$", "yyyy-M-d HH:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{2}:\d{2}$", "yyyy-M-d HH:mm"),
-    (r"^\d{14}$", "yyyyMMddHHmmss"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
-    (r"^\d{4}-\d{1,2}$", "yyyy-M"),
-    (r"^\d{4}$", "yyyy"),
-)
+#: What dates look like, their digits written as 0, after dots and slashes have become hyphens: those that a cast reads, and those
+#: whose parts are put in its order first.
+_DAYS = ("0000-00-00", "0000-0-00", "0000-00-0", "0000-0-0")
+PLAIN_DATES = tuple(day + clock for clock in ("", " 00:00:00", " 00:00") for day in _DAYS)
+AMERICAN_DATES = ("00-00-0000", "0-00-0000", "00-0-0000", "0-0-0000")
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def date_text(c: Column) -> Column:
-    """A date's text in the notation of DATE_FORMS. It is worth a projection of its own before ``date_of``."""
+    """A date's text with hyphens between its parts. It is worth a projection of its own before ``date_of``."""
     text = F.translate(strip(c), "./", "--")
     text = F.when(text.contains("T"), F.regexp_replace(text, r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")).otherwise(text)
     seven = (F.length(text) == 7) & text.rlike(r"^\d{7}$")
@@ -71,12 +65,26 @@ def date_text(c: Column) -> Column:
 
 
 def date_of(text: Column) -> Column:
-    """A time stamp without zone from a ``date_text``; null if it is in none of the notations."""
-    found = None
-    for looks, pattern in DATE_FORMS:
-        value = F.try_to_timestamp(text, F.lit(pattern))
-        found = F.when(text.rlike(looks), value) if found is None else found.when(text.rlike(looks), value)
-    return found.cast("timestamp_ntz")
+    """A time stamp without zone from a ``date_text``; null if it is in none of the notations, or no day of the calendar. The parts
+    are put in order and cast, whatever the session's time zone; the commonest notations come first."""
+    looks = F.translate(text, "123456789", "000000000")
+    cut = lambda *places: F.concat(*(x for at, n, before in places for x in ((F.lit(before), F.substring(text, at, n)) if before else (F.substring(text, at, n),))))
+    year, day = F.substring_index(text, "-", -1), F.substring_index(text, "-", 2)
+    named = text.rlike(r"^[A-Za-z]{3} \d{1,2} \d{4}$")
+    month = F.instr(F.lit(MONTHS), F.lower(F.substring(text, 1, 3)))
+    parts = (
+        F.when(looks.isin(*PLAIN_DATES), text)
+        .when(looks == "0" * 8, cut((1, 4, ""), (5, 2, "-"), (7, 2, "-")))
+        .when(looks == "0" * 14, cut((1, 4, ""), (5, 2, "-"), (7, 2, "-"), (9, 2, " "), (11, 2, ":"), (13, 2, ":")))
+        .when(looks.isin(*AMERICAN_DATES), F.concat(year, F.lit("-"), day))
+        .when(looks.isin("0000-00", "0000-0"), F.concat(text, F.lit("-1")))
+        .when(looks == "0000", F.concat(text, F.lit("-1-1")))
+        .when(
+            named & (month % 3 == 1),
+            F.concat(F.substring_index(text, " ", -1), F.lit("-"), ((month + 2) / 3).cast("int").cast("string"), F.lit("-"), F.substring_index(F.substring(text, 5, 2), " ", 1)),
+        )
+    )
+    return parts.try_cast("timestamp_ntz")
 
 
 def parse_date(c: Column) -> Column:

@@ -25,12 +25,12 @@ def weight_sum(scores: Mapping[str, Column], weights: Mapping[str, float] | None
 
 def risk(scores: Mapping[str, Column], weights: Mapping[str, float] | None = None) -> Column:
     """A struct: total, total_raw (not rounded), used, excluded (arrays of names), components (a map from name to label,
-    score, base_weight, effective_weight, contribution, available) and formula. Null scores drop out and the other weights are
-    scaled to a sum of 1; without any, the total is 0 and all components are excluded."""
+    score, base_weight, effective_weight, contribution, available). Null scores drop out and the other weights are scaled to a
+    sum of 1; without any, the total is 0 and all components are excluded. ``formula`` writes it out."""
     weights = weights or fixed.WEIGHTS
     whole = weight_sum(scores, weights)
     usable = whole > 0
-    raw, parts, pieces = F.lit(0.0), [], []
+    raw, parts = F.lit(0.0), []
     for name in NAMES:
         there = scores[name].isNotNull() & usable
         score, base = clamp(scores[name].cast("double")), F.lit(float(weights.get(name, 0.0)))
@@ -48,10 +48,7 @@ def risk(scores: Mapping[str, Column], weights: Mapping[str, float] | None = Non
                 there.alias("available"),
             ),
         ]
-        text = F.concat(printed(F.round(share, 4), 3), F.lit(f" × {fixed.LABELS[name]}("), printed(F.round(score, 2), 1), F.lit(")"))
-        pieces.append(F.when(there, text))
     total = F.round(clamp(raw), 2)
-    formula = F.concat(F.concat_ws(" + ", *pieces), F.format_string(" = %.2f", total))
     names = [(F.lit(n), scores[n].isNotNull()) for n in NAMES]
     return F.struct(
         total.alias("total"),
@@ -59,10 +56,20 @@ def risk(scores: Mapping[str, Column], weights: Mapping[str, float] | None = Non
         F.array_compact(F.array(*(F.when(has & usable, n) for n, has in names))).alias("used"),
         F.array_compact(F.array(*(F.when(~has, n) for n, has in names))).alias("excluded"),
         F.create_map(*parts).alias("components"),
-        F.when(usable, formula).otherwise(fixed.NO_FORMULA).alias("formula"),
     )
 
 
+def formula(risk: Column) -> Column:
+    """How a ``risk`` came about, as text. It costs more than the risk itself, so it is made where it is shown."""
+    pieces = []
+    for name in NAMES:
+        part = risk["components"][name]
+        text = F.concat(printed(part["effective_weight"], 3), F.lit(f" × {fixed.LABELS[name]}("), printed(part["score"], 1), F.lit(")"))
+        pieces.append(F.when(part["available"], text))
+    shown = F.concat(F.concat_ws(" + ", *pieces), F.format_string(" = %.2f", risk["total"]))
+    return F.when(F.size(risk["used"]) > 0, shown).otherwise(fixed.NO_FORMULA)
+
+
 def with_risk(frame: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """Adds ``risk`` from columns named like the components; a missing column counts as null."""
     scores = {n: F.col(n) if n in frame.columns else F.lit(None).cast("double") for n in NAMES}

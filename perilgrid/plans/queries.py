@@ -177,7 +177,8 @@ def risk_components(s, d):
 
 
 def risk_formula(s, d):
-    return _scored(s, d).select("id", F.regexp_count("risk.formula", F.lit("×")).cast("int").alias("n_terms"), F.startswith("risk.formula", F.lit("사용")).alias("none"))
+    text = _scored(s, d).select("id", risk.formula(F.col("risk")).alias("formula"))
+    return text.select("id", F.regexp_count("formula", F.lit("×")).cast("int").alias("n_terms"), F.startswith("formula", F.lit("사용")).alias("none"))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -435,7 +436,7 @@ def dms_degrees(s, d):
 
 
 def risk_formula_text(s, d):
-    return _scored(s, d).select("id", "risk.formula")
+    return _scored(s, d).select("id", risk.formula(F.col("risk")).alias("formula"))
 
 
 def checked_events(s, d):

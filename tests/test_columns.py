@@ -43,6 +43,18 @@ def test_dates(spark, text, day):
     assert (got and got.strftime("%Y-%m-%d")) == day
 
 
+def test_times_do_not_depend_on_the_session(spark):
+    texts = ["2024-03-10 02:30:00", "2024-3-10T02:30:00", "20240310023000", "2024.3.10 02:30", "2024-03-10 25:00:00", "02/30/2024", "Mar 10 2024", "Foo 10 2024", "anf 1 2024", "2024-1", "1/2/2024"]
+    want = ["2024-03-10 02:30:00"] * 4 + [None, None, "2024-03-10 00:00:00", None, None, "2024-01-01 00:00:00", "2024-01-02 00:00:00"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert values(spark, "string", texts, lambda c: X.parse_date(c).cast("string")) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_strip_knows_all_blanks(spark):
     assert values(spark, "string", ["　a b ", "\ta\n"], X.strip) == ["a b", "a"]
 
@@ -145,7 +157,8 @@ def test_risk_totals(spark):
 
 
 def test_risk_formula(spark):
-    got = [r["risk"]["formula"] for r in _scores(spark, [(50.0, None, None, None, 20.0), (None,) * 5]).collect()]
+    rows = _scores(spark, [(50.0, None, None, None, 20.0), (None,) * 5]).select(risk.formula(F.col("risk")).alias("formula"))
+    got = [r["formula"] for r in rows.collect()]
     assert got[0] == "0.750 × 과거 파손 이력 밀도(50.0) + 0.250 × 강수 영향(20.0) = 42.50"
     assert got[1] == fixed.NO_FORMULA
 
