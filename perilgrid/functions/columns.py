@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
@@ -21,6 +21,14 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
+def once(frame: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Adds or replaces columns that are worked out once for each row, however often later expressions and filters name them: by
+    a generator of one row. Spark would write a projection's expressions out in each place where they are used."""
+    names = [c for c in frame.columns if c not in columns]
+    made = frame.select(*(F.col(f"`{c}`") for c in frame.columns), F.inline(F.array(F.struct(*(v.alias(f"_once_{n}") for n, v in columns.items())))))
+    return made.select(*(F.col(f"`{c}`") for c in names), *(F.col(f"_once_{n}").alias(n) for n in columns))
+
+
 def bare(c: Column) -> Column:
     """A number's text without white space around, thousands separators and quotes. It is worth a projection of its own where
     both ``number_of`` and ``number_reason`` follow."""

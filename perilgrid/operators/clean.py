@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import bare, date_of, date_text, number_of, number_reason, strip
+from perilgrid.functions.columns import bare, date_of, date_text, number_of, number_reason, once, strip
 
 ROW = "_row_id"
 
@@ -28,15 +28,15 @@ def classify(frame: DataFrame, bbox: Mapping[str, float] | None = None) -> DataF
     for name in ("lat", "lon"):
         if name not in frame.columns:
             frame = frame.withColumn(name, F.lit(None).cast("string"))
-    # three projections, so that each text and number is worked out once
-    texts = frame.withColumns({f"_{c}_text": bare(F.col(c).cast("string")) for c in ("lat", "lon")})
-    numbers = texts.withColumns({c: number_of(F.col(f"_{c}_text")) for c in ("lat", "lon")})
+    order = frame.columns
+    texts = once(frame, {f"_{c}_text": bare(F.col(c).cast("string")) for c in ("lat", "lon")})
+    numbers = once(texts, {c: number_of(F.col(f"_{c}_text")) for c in ("lat", "lon")})
     reason = F.coalesce(
         number_reason(F.col("_lat_text"), F.col("lat"), fixed.LAT_MISSING, fixed.LAT_NOT_NUMERIC),
         number_reason(F.col("_lon_text"), F.col("lon"), fixed.LON_MISSING, fixed.LON_NOT_NUMERIC),
         F.when(out_of_box(F.col("lat"), F.col("lon"), bbox), fixed.OUT_OF_BBOX),
     )
-    return numbers.withColumn("reason", reason).drop("_lat_text", "_lon_text")
+    return once(numbers, {"reason": reason}).select(*(F.col(f"`{c}`") for c in order if c != "reason"), "reason")
 
 
 def keep_first(frame: DataFrame, subset: Sequence[str] = (), order: str = ROW) -> DataFrame:
@@ -59,8 +59,9 @@ def tidy(kept: DataFrame) -> DataFrame:
     """Parses dates and trims the text columns that are compared."""
     dates = [c for c in ("collected_at", "base_date") if c in kept.columns]
     texts = {c: strip(F.col(c)) for c in ("hazard_type", "road_address", "category_no") if c in kept.columns}
-    kept = kept.withColumns(texts | {c: date_text(F.col(c).cast("string")) for c in dates})
-    return kept.withColumns({c: date_of(F.col(c)) for c in dates})
+    names = kept.columns
+    kept = once(kept.withColumns(texts), {c: date_text(F.col(c).cast("string")) for c in dates}) if dates else kept.withColumns(texts)
+    return kept.withColumns({c: date_of(F.col(c)) for c in dates}).select(*(F.col(f"`{c}`") for c in names))
 
 
 def exclusion_counts(classified: DataFrame) -> DataFrame:

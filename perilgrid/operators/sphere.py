@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import haversine
+from perilgrid.functions.columns import haversine, once
 from perilgrid.sources.frozen import Frozen
 
 #: Cubes are this much wider than the chord, so that rounding loses no pair.
@@ -86,12 +86,6 @@ def _low(node: Column, at: dict[str, Column]) -> Column:
     return _square((F.greatest(node["box"][f"min_{a}"], F.least(node["box"][f"max_{a}"], at[a])), at[a]) for a in AXES)
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that is worked out once for each row: a generator of one row, into which later expressions aren't merged, as
-    they would be with a projection."""
-    return rows.withColumn(f"_{name}", value).drop(name).select("*", F.inline(F.array(F.struct(F.col(f"_{name}").alias(name))))).drop(f"_{name}")
-
-
 class Tree:
     """The nodes of all places (lat, lon) of ``points``. Equal places count once."""
 
@@ -123,12 +117,12 @@ class Tree:
         asked = targets.filter(PLACED).select("target_id", "lat", "lon", *(c.alias(a) for a, c in unit(F.col("lat"), F.col("lon")).items()))
         top = self.nodes.filter((F.col("node.node.level") == self.first) | (F.col("node.leaf") & (F.col("node.node.level") < self.first)))
         top = top.agg(F.collect_list("node").alias("kids"))  # one row with START nodes at most
-        rows = _once(asked.join(F.broadcast(top), F.lit(True)), "best", F.array_min(F.transform("kids", lambda k: _own(k, at))))
+        rows = once(asked.join(F.broadcast(top), F.lit(True)), {"best": F.array_min(F.transform("kids", lambda k: _own(k, at)))})
         kids = self.nodes.filter(F.col("node.node.level") > self.first).groupBy("up").agg(F.collect_list("node").alias("kids"))
         slim = lambda k: F.struct(k["node"].alias("node"), k["leaf"].alias("leaf"), _low(k, at).alias("low"))
         keys, done = ["target_id", "lat", "lon", *AXES], None
         for level in range(self.first, self.last + 1):
-            rows = _once(rows, "kids", F.filter(F.transform("kids", slim), lambda k: k["low"] <= F.col("best") * (1 + 1e-12) + 1e-15))
+            rows = once(rows, {"kids": F.filter(F.transform("kids", slim), lambda k: k["low"] <= F.col("best") * (1 + 1e-12) + 1e-15)})
             leaves = rows.select("target_id", "lat", "lon", "best", F.explode(F.filter("kids", lambda k: k["leaf"])).alias("kid"))
             leaves = leaves.select("target_id", "lat", "lon", "best", F.col("kid.node").alias("node"), F.col("kid.low").alias("low"))
             if level == self.last:
