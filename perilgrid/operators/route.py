@@ -1,4 +1,5 @@
-"""Patrol routes: nearest neighbour and 2-opt for each route, in one grouped function; a route has a few dozen stops."""
+"""Patrol routes, in one grouped function for each route: nearest neighbour and 2-opt, or a guided local search on top of them.
+A route has a few dozen stops."""
 
 from __future__ import annotations
 
@@ -70,24 +71,128 @@ def two_opt(matrix: np.ndarray, order: np.ndarray, closed: bool) -> np.ndarray:
 FEW = {0: "none", 1: "none", 2: "trivial"}
 
 
-def solve(matrix: np.ndarray, closed: bool = False) -> tuple[list[int], str]:
+def solve(matrix: np.ndarray, closed: bool = False, search: bool = False) -> tuple[list[int], str]:
     """The order of stops, and how it was found. Two stops and fewer need no search."""
     if matrix.ndim != 2 or matrix.shape[0] != matrix.shape[1]:
         raise ValueError(f"a matrix must be square: {matrix.shape}")
+    if search and len(matrix) > 2:
+        return guided(matrix, closed), "guided-local-search"
     return two_opt(matrix, nearest_first(matrix), closed).tolist(), FEW.get(len(matrix), "nearest-neighbor+2opt")
 
 
+#: Penalties that a guided search sets; its moves look at so many neighbours of a stop, and shift so many stops at most.
+STEPS, NEAR, SHIFT = 60, 8, 3
+#: A penalty's weight, as a share of a leg's mean length.
+WEIGHT = 0.2
+
+
+class Tour:
+    """A round trip over a matrix that 2-opt and Or-opt moves shorten. The first stop stays first and, if ``tail`` is 1, the last
+    one last."""
+
+    def __init__(self, order: list[int], tail: int):
+        self.order, self.end = list(order), len(order) - tail
+
+    def cost(self, m: list[list[float]]) -> float:
+        return sum(m[a][b] for a, b in zip(self.order, self.order[1:] + self.order[:1], strict=True))
+
+    def changes(self, i: int, j: int, m: list[list[float]]):
+        """(gain, new order) for moves that bring the stop at place j next to the one at place i."""
+        o, n = self.order, len(self.order)
+        if 0 < i + 1 < j < self.end:  # the stretch between is driven in reverse: i, j, ..., i + 1
+            stretch = o[i + 1 : j + 1]
+            behind = o[(j + 1) % n]
+            there = sum(m[a][b] for a, b in zip(stretch, stretch[1:], strict=False))
+            back = sum(m[b][a] for a, b in zip(stretch, stretch[1:], strict=False))
+            yield m[o[i]][stretch[0]] + there + m[stretch[-1]][behind] - m[o[i]][stretch[-1]] - back - m[stretch[0]][behind], ("turn", i + 1, j + 1)
+        for size in range(1, SHIFT + 1):  # stops from j on, or up to j, are moved behind i, as they are or turned
+            for start, turned in ((j, False), (j - size + 1, True)):
+                if start < 1 or start + size > self.end or start - 1 <= i < start + size:
+                    continue
+                part = o[start : start + size]
+                before, behind, after = o[start - 1], o[(start + size) % n], o[(i + 1) % n]
+                inner = sum(m[a][b] for a, b in zip(part, part[1:], strict=False))
+                moved = part[::-1] if turned else part
+                new_inner = sum(m[a][b] for a, b in zip(moved, moved[1:], strict=False))
+                gain = m[before][part[0]] + inner + m[part[-1]][behind] + m[o[i]][after] - m[before][behind] - m[o[i]][moved[0]] - new_inner - m[moved[-1]][after]
+                yield gain, ("move", start, size, i, turned)
+
+    def apply(self, move: tuple) -> None:
+        if move[0] == "turn":
+            self.order[move[1] : move[2]] = self.order[move[1] : move[2]][::-1]
+            return
+        _, start, size, i, turned = move
+        part = self.order[start : start + size]
+        del self.order[start : start + size]
+        at = i + 1 if i < start else i + 1 - size
+        self.order[at:at] = part[::-1] if turned else part
+
+    def descend(self, m: list[list[float]], near: list[list[int]], stops: list[int] | None = None) -> bool:
+        """Takes the best move of each stop in turn, beginning with ``stops`` (all of them if not given) and going on with those
+        whose neighbours have changed, until none shortens the trip. Says whether anything changed."""
+        waiting, changed = list(self.order if stops is None else stops), False
+        while waiting:
+            stop = waiting.pop()
+            place = {s: k for k, s in enumerate(self.order)}
+            i, gain, best = place[stop], GAIN, None
+            if i >= self.end:
+                continue
+            for b in near[stop]:
+                for more, move in self.changes(i, place[b], m):
+                    if more > gain:
+                        gain, best = more, move
+            if best is not None:
+                n = len(self.order)
+                ends = (best[1] - 1, best[1], best[2] - 1, best[2]) if best[0] == "turn" else (best[1] - 1, best[1], best[1] + best[2] - 1, best[1] + best[2], best[3], best[3] + 1)
+                touched = {self.order[k % n] for k in ends}
+                self.apply(best)
+                waiting = [s for s in waiting if s not in touched] + [s for s in touched if place[s] < self.end] + [stop]
+                changed = True
+        return changed
+
+
+def guided(matrix: np.ndarray, closed: bool, steps: int = STEPS) -> list[int]:
+    """The order of stops after a guided local search from the 2-opt route, on distances rounded to whole metres. Each step sets a
+    penalty on the leg that is longest for the penalties it has, and searches on. An open route ends at a dummy stop without
+    distances, which is left out of the answer. Bounded by steps, not seconds, so the same stops give the same route."""
+    n = len(matrix)
+    first = two_opt(matrix, nearest_first(matrix), closed).tolist()
+    d = np.rint(matrix)
+    if not closed:
+        d = np.pad(d, (0, 1))
+        first = [*first, n]
+    near = np.argsort(d[:, :n] + np.where(np.eye(len(d), n, dtype=bool), np.inf, 0), axis=1, kind="stable")[:, : min(NEAR, n - 1)].tolist()
+    near = [[b for b in row if b != a and b != 0] for a, row in enumerate(near)]
+    plain, penalty = d.tolist(), np.zeros_like(d)
+    tour = Tour(first, 0 if closed else 1)
+    tour.descend(plain, near)
+    best, least = list(tour.order), tour.cost(plain)
+    for _ in range(steps):
+        a, b = np.array(tour.order), np.roll(tour.order, -1)
+        worst = int(np.argmax(d[a, b] / (1 + penalty[a, b])))
+        penalty[a[worst], b[worst]] += 1
+        if not tour.descend((d + WEIGHT * least / len(a) * penalty).tolist(), near, [int(a[worst]), int(b[worst])]):
+            continue
+        rest = Tour(tour.order, len(tour.order) - tour.end)
+        rest.descend(plain, near)
+        cost = rest.cost(plain)
+        if cost < least:
+            best, least = list(rest.order), cost
+    return [x for x in best if x < n]
+
+
 ROUTE = "route_id bigint, order array<int>, legs array<double>, total_m double, solver string, is_approximate boolean"
 
 
-def optimize(stops: DataFrame, closed: bool = False, matrix: DataFrame | None = None) -> DataFrame:
-    """A row for each route: order (positions), legs, total_m, solver, is_approximate.
+def optimize(stops: DataFrame, closed: bool = False, matrix: DataFrame | None = None, search: bool = False) -> DataFrame:
+    """A row for each route: order (positions), legs, total_m, solver, is_approximate. With ``search`` a guided local search goes on
+    from the 2-opt route.
 
     ``stops`` has route_id, pos (0, 1, ...), lat, lon. Without a ``matrix`` (route_id, i, j, dist_m) distances are along the
     great circle and the route is approximate; a matrix must have a distance for each pair of stops."""
 
     def one(stops: pd.DataFrame, m: np.ndarray, approximate: bool) -> pd.DataFrame:
-        order, solver = solve(m, closed)
+        order, solver = solve(m, closed, search)
         legs = leg_lengths(m, order, closed)
         return pd.DataFrame(
             {"route_id": [int(stops["route_id"].iloc[0])], "order": [order], "legs": [legs], "total_m": [float(sum(legs))], "solver": [solver], "is_approximate": [approximate]}
@@ -109,6 +214,8 @@ def optimize(stops: DataFrame, closed: bool = False, matrix: DataFrame | None =
         return one(part, m, False)
 
     stops = stops.select("route_id", "pos", "lat", "lon")
+    if search:  # few bytes, much work: not to be merged into fewer tasks
+        stops = stops.repartition(int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route_id")
     if matrix is None:
         return stops.groupBy("route_id").applyInPandas(plain, ROUTE)
     return stops.groupBy("route_id").cogroup(matrix.groupBy("route_id")).applyInPandas(given, ROUTE)

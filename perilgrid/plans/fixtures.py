@@ -69,7 +69,7 @@ SELECT CAST(floor(c_custkey / {size}e0) AS BIGINT) AS route_id,
   CAST(row_number() OVER (PARTITION BY CAST(floor(c_custkey / {size}e0) AS BIGINT) ORDER BY c_custkey) - 1 AS INT) AS pos,
   37.34e0 + c_custkey * 7919 % 1200 / 10000e0 AS lat, 126.87e0 + c_custkey * 104729 % 1300 / 10000e0 AS lon
 FROM customer"""
-STOPS, SHORT_STOPS = _STOPS.format(size=12), _STOPS.format(size=2)
+STOPS, SHORT_STOPS, SOME_STOPS = (_STOPS.format(size=n) for n in (12, 2, 8))
 
 RAIN_ITEMS = """
 SELECT o_custkey AS request_id, o_orderkey AS pos, CAST(CAST(o_orderdate AS DATE) AS STRING) AS fcstDate, CASE WHEN o_orderkey % 2 = 0 THEN '0600' ELSE '0900' END AS fcstTime,

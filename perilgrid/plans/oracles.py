@@ -164,6 +164,17 @@ tw(route_id, o, i, k, moved) AS (SELECT nn.route_id, o, CASE WHEN n > 2 THEN 1 E
 best AS MATERIALIZED (SELECT tw.route_id, n, m, o FROM tw JOIN mx USING (route_id) WHERE i = -1)"""
 
 
+def _shortest(closed: bool) -> str:
+    """The shortest of all orders of stops, by listing them."""
+    home = " + h.m" if closed else ""
+    return f"""WITH RECURSIVE st AS MATERIALIZED ({fx.SOME_STOPS}),
+ds AS MATERIALIZED (SELECT a.route_id, a.pos AS i, b.pos AS j, CASE WHEN a.pos = b.pos THEN 0 ELSE CAST(round_even({hav("a", "b")}, 0) AS BIGINT) END AS m FROM st a JOIN st b USING (route_id)),
+p(route_id, last, seen, n, cost) AS (SELECT route_id, 0, 1, 1, 0::BIGINT FROM st WHERE pos = 0 UNION ALL
+  SELECT p.route_id, ds.j, p.seen | (1 << ds.j), n + 1, cost + m FROM p JOIN ds ON ds.route_id = p.route_id AND ds.i = p.last WHERE (p.seen >> ds.j) & 1 = 0)
+SELECT route_id, CAST(p.n AS INT) AS n_stops, min(cost{home}) AS total_m FROM p JOIN (SELECT route_id, count(*) AS n FROM st GROUP BY 1) c USING (route_id)
+  JOIN ds h USING (route_id) WHERE p.n = c.n AND h.i = p.last AND h.j = 0 GROUP BY 1, 2"""
+
+
 _SOLVER = "CASE n WHEN 1 THEN 'none' WHEN 2 THEN 'trivial' ELSE 'nearest-neighbor+2opt' END"
 _FOUND = f"""fd AS (SELECT image_id AS seq, list({{'class_name': class_name, 'confidence': round(confidence, 3)}} ORDER BY det_id) AS found FROM ({fx.DETECTIONS}) q GROUP BY 1),
 rq AS (SELECT row_number() OVER (ORDER BY c.id) AS k, c.ai_available AS ran, found FROM ({fx.CASES}) c LEFT JOIN fd ON fd.seq = c.id)"""
@@ -238,6 +249,8 @@ SQL: dict[str, str] = {
     "route_matrix": f"WITH s AS ({fx.STOPS}) SELECT a.route_id, a.pos AS i, b.pos AS j, CASE WHEN a.pos = b.pos THEN 0e0 ELSE round({hav('a', 'b')}, 3) END AS dist_m FROM s a JOIN s b USING (route_id)",
     "route_two_stops": f"WITH s AS ({fx.SHORT_STOPS}), n AS (SELECT route_id, count(*) AS n FROM s GROUP BY 1), l AS (SELECT a.route_id, 2 * {hav('a', 'b')} AS m FROM s a JOIN s b ON a.route_id = b.route_id AND a.pos = 0 AND b.pos = 1) "
     "SELECT route_id, CASE n WHEN 2 THEN '0,1' ELSE '0' END AS stops, round(coalesce(m, 0e0), 2) AS total_m, CASE n WHEN 2 THEN 'trivial' ELSE 'none' END AS solver FROM n LEFT JOIN l USING (route_id)",
+    "route_search": _shortest(False),
+    "route_search_closed": _shortest(True),
     "weather_parse": f"""WITH i AS ({fx.RAIN_ITEMS}), f AS (SELECT request_id, min(row(fcstDate, fcstTime)) AS s FROM i GROUP BY 1),
 k AS (SELECT i.*, row_number() OVER (PARTITION BY request_id, category ORDER BY pos DESC) AS k FROM i JOIN f USING (request_id) WHERE row(fcstDate, fcstTime) = s),
 x AS (SELECT request_id, max(CASE WHEN category = 'PCP' THEN {_RAIN} END) AS rain, max(CASE WHEN category = 'POP' THEN try_cast(fcstValue AS DOUBLE) END) AS pop, min(concat(fcstDate, ' ', fcstTime)) AS fcst FROM k WHERE k = 1 GROUP BY 1)

@@ -386,6 +386,21 @@ def route_two_stops(s, d):
     return plan.select("route_id", F.array_join("order", ",").alias("stops"), r("total_m", 2).alias("total_m"), "solver")
 
 
+def _searched(s, d, closed):
+    """Lengths of routes by guided local search, in whole metres for each leg."""
+    plan = route.optimize(fx.view(s, d, fx.SOME_STOPS), closed=closed, search=True)
+    total = F.aggregate("legs", F.lit(0).cast("long"), lambda n, x: n + F.round(x).cast("long"))
+    return plan.select("route_id", F.size("order").alias("n_stops"), total.alias("total_m"))
+
+
+def route_search(s, d):
+    return _searched(s, d, False)
+
+
+def route_search_closed(s, d):
+    return _searched(s, d, True)
+
+
 def weather_parse(s, d):
     return weather.reduce_items(fx.view(s, d, fx.RAIN_ITEMS)).select("request_id", "available", r("rain_mm", 2).alias("rain_mm"), r("pop", 2).alias("pop"), "fcst")
 
@@ -528,5 +543,5 @@ ALL = (
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,
     yolo_boxes, status_counts, list_cases, status_history, latest_status, current_cases, reviewer_merge, delete_cases, case_flags,
     records_view, load_damage, load_zones, dms_degrees, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
-    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, weather_parse, pcp_parse, base_slot,
+    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, route_search, route_search_closed, weather_parse, pcp_parse, base_slot,
 )

@@ -1,5 +1,6 @@
 """Spatial joins, clusters and routes against brute force."""
 
+import itertools
 import math
 import random
 
@@ -294,3 +295,33 @@ def test_long_routes():
     assert sorted(order) == list(range(300)) and order[0] == 0 and solver == "nearest-neighbor+2opt"
     assert route.length(m, order, True) < route.length(m, route.nearest_first(m), True)
     assert route.solve(np.empty((0, 0))) == ([], "none") and route.solve(np.zeros((2, 2))) == ([0, 1], "trivial")
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_guided_search(closed):
+    rng = np.random.default_rng(4 + closed)
+    for k in range(40):
+        n = int(rng.integers(3, 8))
+        m = route.distances(37 + rng.random(n) / 10, 126 + rng.random(n) / 10)
+        if k % 3 == 2:  # one-way streets
+            m = m * (1 + rng.random((n, n)) / 2)
+            np.fill_diagonal(m, 0)
+        if k % 5 == 4:
+            m[1], m[:, 1] = m[0], m[:, 0]  # two stops at one place
+            m[1, 1] = m[0, 1] = m[1, 0] = 0
+        got, d = route.guided(m, closed), np.rint(m)
+        assert sorted(got) == list(range(n)) and got[0] == 0 and got == route.guided(m, closed)
+        best = min(route.length(d, np.array((0, *p)), closed) for p in itertools.permutations(range(1, n)))
+        assert route.length(d, np.array(got), closed) == best
+
+
+def test_guided_search_of_longer_routes():
+    rng = np.random.default_rng(1)
+    shorter = 0
+    for n in (12, 20, 31):
+        m = np.rint(route.distances(37 + rng.random(n) / 10, 126 + rng.random(n) / 10))
+        two, found = route.solve(m)[0], route.solve(m, search=True)
+        assert found[1] == "guided-local-search" and sorted(found[0]) == list(range(n))
+        assert route.length(m, np.array(found[0]), False) <= route.length(m, np.array(two), False)
+        shorter += route.length(m, np.array(found[0]), False) < route.length(m, np.array(two), False)
+    assert shorter and route.solve(np.zeros((2, 2)), search=True) == ([0, 1], "trivial")
