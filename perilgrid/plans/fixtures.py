@@ -96,6 +96,14 @@ SELECT CAST(floor(l_orderkey / 64e0) AS BIGINT) AS image_id,
   (1 + l_suppkey % 15) / 16e0 AS confidence, 20e0 + l_partkey % 600 AS cx, 160e0 + l_suppkey % 320 AS cy, l_quantity AS w, l_quantity + 1e0 AS h
 FROM lineitem"""
 
+#: Rows for CSV files: Korean texts, and texts of several lines.
+KOREAN = f"""
+SELECT event_id AS category_no, concat('포트홀 ', event_type) AS hazard_type, CAST(lat AS STRING) AS lat, CAST(lon AS STRING) AS lon,
+  concat('안양로 ', CAST(user_id AS STRING), ', 만안구') AS road_address, d AS base_date, concat('길', CAST(user_id % 25 AS STRING)) AS node_link FROM ({POINTS}) g"""
+NOTES = f"""
+SELECT CAST(event_id AS STRING) AS category_no, event_type AS hazard_type, CAST(lat AS STRING) AS lat, CAST(lon AS STRING) AS lon,
+  CASE event_id % 3 WHEN 0 THEN concat('road', chr(10), event_type, ', "', CAST(user_id AS STRING), '"', chr(10), chr(10)) WHEN 1 THEN concat('"', chr(10), '",') ELSE 'road' END AS road_address FROM ({POINTS}) g"""
+
 #: Places over the whole globe, some at both sides of the antimeridian, some around the north pole.
 _GLOBE = """
 SELECT {key} AS {name},

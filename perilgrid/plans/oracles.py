@@ -262,6 +262,8 @@ SELECT id, strftime(CASE WHEN hour(t) >= 2 THEN t ELSE t - INTERVAL 1 DAY END, '
   CASE WHEN hour(t) < 2 THEN '2300' ELSE lpad(CAST((hour(t) - 2) // 3 * 3 + 2 AS VARCHAR), 2, '0') || '00' END AS base_time FROM x""",
     "weather_problems": f"SELECT request_id, '기상청 응답 형식이 예상과 다릅니다: ' || CASE request_id % 4 WHEN 1 THEN (request_id % 33) || ' NO DATA' ELSE '? ' END AS reason FROM ({fx.ANSWERS}) a WHERE request_id % 4 <> 0",
     "load_damage": f"SELECT source, {_NULLED}, CAST(NULL AS VARCHAR) AS start_node FROM ({fx.DAMAGE}) d",
+    "load_cp949": f"SELECT CAST(category_no AS VARCHAR) AS category_no, hazard_type, lat, lon, road_address, CASE WHEN category_no % 10 <> 3 THEN base_date END AS base_date, CASE WHEN category_no % 10 <> 3 THEN node_link END AS node_link FROM ({fx.KOREAN}) k",
+    "load_multiline": f"SELECT * FROM ({fx.NOTES}) n",
     "load_zones": f"SELECT * EXCLUDE (_row_id) FROM ({fx.ZONES}) z WHERE sido LIKE '%ASIA%' OR sigungu LIKE '%ASIA%' OR address LIKE '%ASIA%'",
     "dms_degrees": f"WITH x AS (SELECT id, (d + m / 60 + s / 3600) * CASE WHEN negative THEN -1e0 ELSE 1e0 END AS v FROM ({fx.DMS}) q) SELECT id, CASE WHEN v BETWEEN -90 AND 90 THEN round(v, 6) + 0e0 END AS degrees FROM x",
     "risk_formula_text": f"WITH {_SC} SELECT id, {_formula()} AS formula FROM sc",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -445,6 +446,40 @@ def load_zones(s, d):
     return tables.load_zones(s, folder, keyword="ASIA")[0].drop("_row_id")
 
 
+def _write_lines(lines: DataFrame, header: str, encoding: str, folder: str) -> None:
+    """Writes texts (column line) as files in an encoding, each with the header."""
+
+    def run(batches):
+        yield pa.record_batch([pa.array([header.encode(encoding)])], names=["value"])
+        for batch in batches:
+            yield pa.record_batch([pa.array([x.encode(encoding) for x in batch.column("line").to_pylist()], pa.binary())], names=["value"])
+
+    lines.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(folder)
+
+
+def load_cp949(s, d):
+    """Ragged rows in a Korean code page: every tenth lacks its last two fields."""
+    folder = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    rows = fx.view(s, d, fx.KOREAN)
+    whole = F.concat_ws(",", "category_no", "hazard_type", "lat", "lon", F.concat(F.lit('"'), F.col("road_address"), F.lit('"')))
+    line = F.when(F.col("category_no") % 10 == 3, whole).otherwise(F.concat_ws(",", whole, "base_date", "node_link"))
+    names = ("category_no", "hazard_type", "lat", "lon", "road_address", "base_date", "node_link")
+    _write_lines(rows.select(line.alias("line")), ",".join(HEADERS[c] for c in names), "cp949", folder)
+    loaded, _ = tables.load_damage(s, folder)
+    return loaded.select(*names)
+
+
+def load_multiline(s, d):
+    """Addresses of several lines with quotes and commas, in files that are read in splits."""
+    folder = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    rows = fx.view(s, d, fx.NOTES)
+    rows.select(*(F.col(c).alias(HEADERS[c]) for c in rows.columns)).write.csv(
+        folder, header=True, quoteAll=True, escape='"', nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    loaded, _ = tables.load_damage(s, folder)
+    return loaded.select(*rows.columns)
+
+
 def dms_degrees(s, d):
     degrees = X.dms_degrees(F.col("d"), F.col("m"), F.col("s"), F.col("negative"), 90)
     return fx.view(s, d, fx.DMS).select("id", r(degrees, 6).alias("degrees"))
@@ -542,6 +577,6 @@ ALL = (
     cluster_points, cluster_info, cluster_summary, cluster_markers, filter_hazard, filter_dates, filter_road, hazard_options, date_bounds,
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,
     yolo_boxes, status_counts, list_cases, status_history, latest_status, current_cases, reviewer_merge, delete_cases, case_flags,
-    records_view, load_damage, load_zones, dms_degrees, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
+    records_view, load_damage, load_zones, load_cp949, load_multiline, dms_degrees, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
     new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, route_search, route_search_closed, weather_parse, pcp_parse, base_slot,
 )

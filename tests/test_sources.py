@@ -1,5 +1,8 @@
 """CSV files, forecasts, images, settings."""
 
+import csv
+import io
+import random
 import struct
 
 import numpy as np
@@ -44,6 +47,67 @@ def test_records(spark, tmp_path):
         tables.read_csv(spark, f"{tmp_path}/b.csv")
 
 
+def hard_csv(rng, rows, width):
+    """Records with line ends, quotes and commas in their fields, stray quotes, blank lines and short rows."""
+    pieces = ["a", "", "x\ny", 'say "hi"', ",", "\n\n", '"', "길", "long " * 9, "\n,\n"]
+    out = []
+    for _ in range(rows):
+        n = width if rng.random() < 0.8 else rng.randint(1, width)
+        fields = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 3))) for _ in range(n)]
+        out.append(",".join('"' + f.replace('"', '""') + '"' if rng.random() < 0.5 or set(f) & set('\n,"') else f for f in fields))
+        if rng.random() < 0.1:
+            out.append(rng.choice(["", 'p"q', '"shut"behind,' + "z"]))
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize(("split", "encoding"), [(23, "utf-8"), (150, "cp949"), (1 << 20, "utf-8")])
+def test_records_over_lines_in_any_split(spark, tmp_path, split, encoding):
+    rng = random.Random(split)
+    for name in ("a", "b"):
+        text = 'k,"the\nvalue",c,d\n' + hard_csv(rng, 25, 4) + ("\n" if name == "a" else "")
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(encoding))
+    def plain(name):
+        return [r for r in csv.reader(io.StringIO((tmp_path / f"{name}.csv").read_bytes().decode(encoding), newline="")) if r]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        for path, names in ((f"{tmp_path}/a.csv", "a"), (str(tmp_path), "ab")):
+            want = [r for n in names for r in plain(n)[1:]]
+            found = tables.scan_csv(spark, path)
+            assert found.frame.columns == ["_row_id", "k", "the\nvalue", "c", "d"] and found.encoding == ("cp949" if encoding == "cp949" else "utf-8-sig")
+            assert found.row_count == len(want) and found.ragged_rows == sum(len(r) < 4 for r in want)
+            rows = found.frame.orderBy("_row_id").collect()
+            assert len({r["_row_id"] for r in rows}) == len(want)
+            missing = set(fixed.NA_TOKENS)
+            assert [tuple(r)[1:] for r in rows] == [tuple(None if k >= len(r) or r[k] in missing else r[k] for k in range(4)) for r in want]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_record_over_many_splits(spark, tmp_path):
+    long = "x\n" * 5000
+    (tmp_path / "a.csv").write_text(f'a,b\n1,"{long}"\n2,"{long}')  # the last quote is never closed
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+        frame, _ = tables.read_csv(spark, f"{tmp_path}/a.csv")
+        assert [tuple(r)[1:] for r in frame.orderBy("_row_id").collect()] == [("1", long), ("2", long[:-1])]  # the file's last line end is none of the text
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "b.csv").write_text('a,b\n"x\n",2,3\n')
+    with pytest.raises(ValueError, match="expected 2 fields, saw 3"):
+        tables.read_csv(spark, f"{tmp_path}/b.csv")
+
+
+def test_reports_count_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,lat,lon\n1,2,3\n\n4\n5,6\n")
+    _, (report,) = tables.load_damage(spark, path=f"{tmp_path}/a.csv")
+    assert (report.row_count, report.ragged_rows) == (3, 2)
+    (tmp_path / "z.csv").write_text("시설명,위도,경도,시군구명\nx,37.4,126.9,안양시\ny,37.4,126.9,b\n")
+    _, report = tables.load_zones(spark, f"{tmp_path}/z.csv")
+    assert (report.row_count, report.ragged_rows) == (1, 0)
+
+
 def test_large_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,NA\n"x\n""y""",2\n')
     rows = tables.read_large_csv(spark, f"{tmp_path}/a.csv", multi_line=True).orderBy("_row_id").collect()
