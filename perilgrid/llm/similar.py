@@ -5,7 +5,8 @@ in *cells*: texts that agree in all minima of one MinHash band; links of SimHash
 every band with a probability of ``(1 - s**ROWS)**BANDS``: 3e-6 at 0.8, and less above.
 
 The members of a cell are compared in rounds. The first compares every member with the cell's smallest one. Members that aren't
-connected with it then (centres) are compared with all members, up to CENTRES in a round, until all have been. A comparison first
+connected with it then (centres) are compared with all members, some SLICES * CENTRES of a cell in a round, chosen by hash, until all
+have been; members whose smallest one reached them all need no second round. A comparison first
 counts the minima that two signatures share: at least ``LIKELY`` of BANDS * ROWS, which a pair at 0.8 misses with a probability of
 4e-6. Only texts with such a partner are fetched, and verified on their whole shingle sets inside the task. Members of a cell are
 dealt to tasks by hash: no task gets a whole cell. Pairs are never listed: a task gives the texts concerned, and then the links that
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilgrid.llm.hashing import U64, mix, shingle_hashes
@@ -29,8 +30,8 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 32, 5
 #: Minima that a pair must share before it is verified.
 LIKELY = int(BANDS * ROWS * 0.66)
-#: Members of a cell in one task; centres of a cell in a round.
-TOGETHER, CENTRES = 500, 1024
+#: Members of a cell in one task, and centres of a cell; so many times as many centres are compared in a round.
+TOGETHER, CENTRES, SLICES = 500, 1024, 8
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _BAND = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
 
@@ -203,12 +204,18 @@ def verified_roots(cells: DataFrame, pairs: DataFrame, signatures: DataFrame, te
     members = frozen(members.join(signatures, "fp"), "members")
     every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     placed = members.withColumn("root", F.col("fp"))
-    centres = placed.filter("fp = centre")
+    centres = placed.filter("fp = centre").withColumns({"slices": F.lit(1), "slice": F.lit(0)})
+    in_slice = (F.col("part") * SLICES + F.col("slice")).alias("part")
     edges, roots, done, k = None, None, None, 0
     while True:
-        ours = placed if roots is None else join_sized(placed.drop("n"), "cell", centres.select("cell", "n").distinct(), heavy_from)
-        rows = ours.withColumn("member", F.lit(True)).select("cell", "part", "member", "fp", "root", "sig")
-        rows = rows.unionByName(centres.select("cell", every_part, F.lit(False).alias("member"), "fp", "root", "sig"))
+        if roots is None:
+            ours = placed.withColumn("slice", F.lit(0))
+        else:
+            ours = join_sized(placed.drop("n"), "cell", centres.select("cell", "n", "slices").distinct(), heavy_from)
+            ours = ours.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        rows = ours.select("cell", in_slice, F.lit(True).alias("member"), "fp", "root", "sig")
+        theirs = centres.select("cell", every_part, "slice", "fp", "root", "sig")
+        rows = rows.unionByName(theirs.select("cell", in_slice, F.lit(False).alias("member"), "fp", "root", "sig"))
         found = frozen(_likely(rows), f"found-{k}")
         more = _linked(found.join(texts(found.select("fp").distinct()), "fp"), shingle)
         if roots is None:
@@ -223,8 +230,15 @@ def verified_roots(cells: DataFrame, pairs: DataFrame, signatures: DataFrame, te
         others = join_sized(placed.drop("n"), "cell", main, heavy_from).filter("root <> main").drop("main")
         if done is not None:
             others = others.join(done, ["cell", "fp"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy("fp"))
         k += 1
-        centres = frozen(others.withColumn("rank", rank).filter(F.col("rank") <= CENTRES).drop("rank"), f"centres-{k}")
+        others = frozen(others.withColumn("h", F.xxhash64("fp", F.lit(k))), f"others-{k}")
+        # of each cell an even share by hash, and its first in any case, so that every round gets on
+        waiting = others.groupBy("cell").agg(F.count("*").alias("waiting"), F.min("h").alias("least"), F.first("n").alias("n"))
+        chosen = join_sized(others.drop("n"), "cell", waiting, heavy_from)
+        share = F.ceil(F.col("waiting") / (SLICES * CENTRES))
+        slices = F.least(F.lit(SLICES), F.ceil(F.col("waiting") / CENTRES)).cast("int")
+        chosen = chosen.filter((F.pmod("h", share) == 0) | (F.col("h") == F.col("least")))
+        chosen = chosen.withColumns({"slices": slices, "slice": F.pmod(F.xxhash64(F.lit(-k), "fp"), slices).cast("int")})
+        centres = frozen(chosen.drop("h", "least", "waiting"), f"centres-{k}")
         if centres.isEmpty():
             return roots
