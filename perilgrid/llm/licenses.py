@@ -5,7 +5,9 @@ their places is kept, and the gaps between are aligned the same way. The share o
 coverage. A template's telling words (what it is called, its version, the clause that sets it apart) must be among the aligned
 ones. So every match has a telling word, and windows are only tried around the one that the text has least often.
 
-One-line notices are names with versions: those must be there in full, unbroken, shortly after a word such as "licensed".
+One-line notices are names with versions: those must be there in full, unbroken, shortly after a word such as "licensed", or
+right beside "license". A further number behind a name is another version, and a "not" before the lead is no notice. The
+identifiers of an SPDX line are read one by one.
 Where templates compete for a place, the one with the most aligned words wins.
 """
 
@@ -135,8 +137,17 @@ CC_PARTS = {
     "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
 }
 CC_VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
-#: Words of which one must shortly precede a notice's name; and notices that need none.
-LEADS = frozenset(b"licensed licenced license licence released distributed published available provided under".split())
+#: Words of which one must shortly precede a notice's name, nouns with nothing but FILLERS between; words that undo
+#: them; and notices that need none.
+LEADS = frozenset(b"licensed licenced released distributed under".split())
+NOUNS = frozenset(b"license licence".split())
+FILLERS = frozenset(b"a an the this is of by to in see under terms version gnu s".split())
+DENIALS = frozenset(b"not never nor neither without".split())
+#: License identifiers of SPDX lines.
+IDENTIFIERS = [
+    "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-1.0", "Apache-1.1", "Apache-2.0", "MPL-1.1", "MPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "GPL-2.0", "GPL-3.0",
+    "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0",
+]
 PLAIN_NOTICES = {"All-rights-reserved": "All rights reserved"}
 
 
@@ -166,11 +177,24 @@ def notices() -> dict[tuple[bytes, ...], tuple[str, bool]]:
             for form in (f"CC {parts}", f"CC-{parts}", f"Creative Commons {called}", f"Creative Commons {called} License"):
                 versioned(form, version, f"CC-{parts}-{version}")
             add(f"Creative Commons {called} {version} International License", f"CC-{parts}-{version}")
+    for version in ("1.0", "1.1", "2.0"):
+        versioned("Apache", version, f"Apache-{version}")
+    for form, name in identifiers().items():
+        for beside in (b"license", b"licence"):
+            found.setdefault((beside, *form), (name, False))
+            if len(form) > 1:  # "MIT license" alone is a name, which needs a lead
+                found.setdefault((*form, beside), (name, False))
     for name, text in PLAIN_NOTICES.items():
         add(text, name, lead=False)
     return found
 
 
+def identifiers() -> dict[tuple[bytes, ...], str]:
+    """From the words of every SPDX identifier to the license."""
+    names = IDENTIFIERS + [f"CC-{parts}-{v}" for parts in CC_PARTS for v in CC_VERSIONS]
+    return {tuple(normalise(n.encode()).split()): n for n in names}
+
+
 def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     """Patience alignment: pairs of places with equal words, rising in both."""
     out, waiting = [], [(0, len(a), 0, len(b))]
@@ -274,18 +298,53 @@ class Template:
         return out
 
 
+def led(words: list[bytes], i: int) -> bool:
+    """Whether a word of LEADS or NOUNS leads to the name at place i, and nothing undoes it."""
+    for k in range(i - 1, max(-1, i - 1 - LEAD), -1):
+        w = words[k]
+        if w in LEADS or (w in NOUNS and FILLERS.issuperset(words[k + 1 : i])):
+            return DENIALS.isdisjoint(words[max(0, k - 3) : k])
+    return False
+
+
 def find_notices(words: list[bytes], known: dict[tuple[bytes, ...], tuple[str, bool]], by_first: dict[bytes, list[int]]) -> list[Match]:
     """Names of licenses in full; of those at one place the longest."""
     out = []
     for i, w in enumerate(words):
         for n in by_first.get(w, ()):  # longest first
+            if i + n > len(words):
+                continue
             got = known.get(tuple(words[i : i + n]))
-            if got and (not got[1] or not LEADS.isdisjoint(words[max(0, i - LEAD) : i])):
+            if got and words[i + n - 1].isdigit() and i + n < len(words) and words[i + n].isdigit() and len(words[i + n]) < 3:
+                break  # a longer version
+            if got and (led(words, i) if got[1] else DENIALS.isdisjoint(words[max(0, i - 2) : i])):
                 out.append(Match(n, 1.0, got[0], "notice", i, i + n))
                 break
     return out
 
 
+SPDX = [b"spdx", b"license", b"identifier"]
+
+
+def find_spdx(words: list[bytes], known: dict[tuple[bytes, ...], str]) -> list[Match]:
+    """The licenses of lines such as "SPDX-License-Identifier: MIT OR Apache-2.0": identifiers with "and", "or" and "with" between,
+    up to the first word that is none."""
+    longest, out = max(map(len, known)), []
+    for i in (k for k, w in enumerate(words) if w == SPDX[0] and words[k : k + 3] == SPDX):
+        at = i + 3
+        while True:
+            n = next((n for n in range(longest, 0, -1) if tuple(words[at : at + n]) in known), 0)
+            if not n:
+                break
+            out.append(Match(n + 3, 1.0, known[tuple(words[at : at + n])], "notice", at, at + n))
+            at += n
+            at += 2 if words[at : at + 2] == [b"or", b"later"] else 1 if words[at : at + 1] == [b"only"] else 0
+            if words[at : at + 1] not in ([b"and"], [b"or"], [b"with"]):
+                break
+            at += 1
+    return out
+
+
 def winners(found: list[Match]) -> list[Match]:
     """Of matches that overlap the one with the most aligned words; then the one with the larger coverage; then by name."""
     kept: list[Match] = []
@@ -308,8 +367,9 @@ class Scanner:
         for form in self.notices:
             lengths.setdefault(form[0], set()).add(len(form))
         self.by_first = {w: sorted(n, reverse=True) for w, n in lengths.items()}
+        self.identifiers = identifiers()
         self.telling = set().union(*(t.telling for t in self.templates)) if self.templates else set()
-        self.any = self.telling | set(self.by_first)
+        self.any = self.telling | set(self.by_first) | {SPDX[0]}
 
     def scan(self, text: bytes) -> list[Match]:
         words = normalise(text).split()
@@ -317,6 +377,8 @@ class Scanner:
         if not there:
             return []
         found = find_notices(words, self.notices, self.by_first) if not there.isdisjoint(self.by_first) else []
+        if SPDX[0] in there:
+            found += find_spdx(words, self.identifiers)
         if any(t.telling <= there for t in self.templates):
             places: dict[bytes, list[int]] = {}
             for i, w in enumerate(words):

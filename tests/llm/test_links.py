@@ -381,3 +381,34 @@ def test_decisions_reach_aliases(spark):
 
 def test_no_pages(spark):
     assert judged(spark, [(0, "a", "b")][:1]) and urls.judge_urls(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("line", "names"),
+    [
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("// SPDX-License-Identifier: Apache-2.0 */ text", ["Apache-2.0"]),
+        ("SPDX-License-Identifier: (MIT OR GPL-3.0-or-later) AND BSD-3-Clause", ["MIT", "GPL-3.0", "BSD-3-Clause"]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH something", ["GPL-2.0"]),
+        ("SPDX-License-Identifier: unknown MIT", []),
+        ("Licensed under Apache 2.0.", ["Apache-2.0"]),
+        ("license: MIT", ["MIT"]),
+        ("Apache-2.0 license", ["Apache-2.0"]),
+        ("This file is released under the MIT License.", ["MIT"]),
+        ("the license is GPL 2", ["GPL-2.0"]),
+        ("We published a study of why GPL 2 fails", []),
+        ("The driver held a licence and GPL 3 was his badge", []),
+        ("under GPL 2 1", []),
+        ("under LGPL 2.1", ["LGPL-2.1"]),
+        ("not licensed under the MIT License", []),
+        ("This is not licensed under the MIT License", []),
+        ("MIT", []),
+        ("GPL", []),
+        ("SPDX-License-Identifier:", []),
+        ("under the GPL", []),
+    ],
+)
+def test_license_lines(line, names):
+    for text in (line, f"some words before\n{line}\n", f"{line}\nand words after"):
+        if text.startswith("some") or not line.endswith(":"):
+            assert [m.name for m in SCANNER.scan(text.encode())] == names
