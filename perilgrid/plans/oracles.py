@@ -266,6 +266,10 @@ SELECT id, strftime(CASE WHEN hour(t) >= 2 THEN t ELSE t - INTERVAL 1 DAY END, '
     "load_multiline": f"SELECT * FROM ({fx.NOTES}) n",
     "load_zones": f"SELECT * EXCLUDE (_row_id) FROM ({fx.ZONES}) z WHERE sido LIKE '%ASIA%' OR sigungu LIKE '%ASIA%' OR address LIKE '%ASIA%'",
     "dms_degrees": f"WITH x AS (SELECT id, (d + m / 60 + s / 3600) * CASE WHEN negative THEN -1e0 ELSE 1e0 END AS v FROM ({fx.DMS}) q) SELECT id, CASE WHEN v BETWEEN -90 AND 90 THEN round(v, 6) + 0e0 END AS degrees FROM x",
+    "exif_places": f"WITH x AS (SELECT id, (d + m / 60 + s / 3600) * CASE WHEN negative THEN -1e0 ELSE 1e0 END AS v FROM ({fx.DMS}) q), y AS (SELECT id, CASE WHEN v BETWEEN -90 AND 90 THEN round(v, 6) + 0e0 END AS v FROM x) SELECT id, v AS lat, v AS lon FROM y",
+    "png_pixels": f"""WITH c AS (SELECT id, 1 + id % 4 AS n, id % 11 <> 0 AS read FROM ({fx.CASES}) q),
+p AS (SELECT id, sum((id * 7 + y * 17 + x * 31 + k * 101) % 256 * ((y * 8 + x) * n + k + 1)) AS total FROM c, range(6) a(y), range(8) b(x), range(4) e(k) WHERE k < n GROUP BY id)
+SELECT id, CASE WHEN read THEN 6 END::INT AS height, CASE WHEN read THEN 8 END::INT AS width, CASE WHEN read THEN n END::INT AS channels, CASE WHEN read THEN total END::BIGINT AS total, read FROM c JOIN p USING (id)""",
     "risk_formula_text": f"WITH {_SC} SELECT id, {_formula()} AS formula FROM sc",
     "checked_events": f"SELECT id, to_status FROM ({fx.EVENTS}) v WHERE to_status IN (SELECT status FROM {_DOMAIN})",
     "case_history": f"SELECT id, to_status FROM ({fx.EVENTS}) v WHERE inspection_id = 7 ORDER BY id",

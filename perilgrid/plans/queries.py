@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from perilgrid.functions import columns as X
 from perilgrid.functions import fixed
 from perilgrid.operators import cases, clean, cluster, detections, filters, geo, risk, route
 from perilgrid.plans import fixtures as fx
-from perilgrid.sources import tables, weather
+from perilgrid.sources import images, png, tables, weather
 from perilgrid.sources.frozen import Frozen, shared_dir
 
 Spark = SparkSession
@@ -485,6 +487,51 @@ def dms_degrees(s, d):
     return fx.view(s, d, fx.DMS).select("id", r(degrees, 6).alias("degrees"))
 
 
+def _gps_block(d: int, m: int, tenths: int, negative: bool) -> bytes:
+    """A JPEG's EXIF block whose latitude and longitude are both these degrees, minutes and tenths of seconds."""
+    place = struct.pack("<6I", d, 1, m, 1, tenths, 10)
+    north, east = (b"S\0\0\0", b"W\0\0\0") if negative else (b"N\0\0\0", b"E\0\0\0")
+    main = struct.pack("<HHHIII", 1, 0x8825, 4, 1, 26, 0)
+    gps = struct.pack("<HHHI4sHHIIHHI4sHHIII", 4, 1, 2, 2, north, 2, 5, 3, 80, 3, 2, 2, east, 4, 5, 3, 104, 0)
+    return b"\xff\xd8\xff\xe1\0\0Exif\0\0" + b"II*\0" + struct.pack("<I", 8) + main + gps + place * 2
+
+
+def exif_places(s, d):
+    """Places from EXIF blocks made of degrees, minutes and seconds."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("d", "m", "s", "negative")), strict=True)
+            blocks = [_gps_block(int(x), int(y), round(z * 10), n) for x, y, z, n in rows]
+            yield pa.record_batch([batch.column("id").cast(pa.string()), pa.array(blocks, pa.binary())], names=["path", "content"])
+
+    made = fx.view(s, d, fx.DMS).select("id", "d", "m", "s", "negative").mapInArrow(run, "path string, content binary")
+    return images.places(made).select(F.col("path").cast("long").alias("id"), r("lat", 6).alias("lat"), r("lon", 6).alias("lon"))
+
+
+def png_pixels(s, d):
+    """Small images encoded from rows with all filters, some cut off, and decoded: sizes and a sum over the pixels in order."""
+
+    def make(batches):
+        for batch in batches:
+            out = []
+            for key in batch.column("id").to_pylist():
+                n = 1 + key % 4
+                pixels = (key * 7 + np.arange(6)[:, None, None] * 17 + np.arange(8)[:, None] * 31 + np.arange(n) * 101) % 256
+                data = png.encode(pixels.astype(np.uint8), [0, 1, 2, 3, 4], 16 if key % 5 == 0 else 8)
+                out.append(data[:-20] if key % 11 == 0 else data)
+            yield pa.record_batch([batch.column("id").cast(pa.string()), pa.array(out, pa.binary())], names=["path", "content"])
+
+    def total(batches):
+        for batch in batches:
+            sums = [None if p is None else int((np.frombuffer(p, np.uint8).astype(np.int64) * np.arange(1, len(p) + 1)).sum()) for p in batch.column("pixels").to_pylist()]
+            yield pa.record_batch([batch.column("path"), batch.column("shape"), pa.array(sums, pa.int64()), batch.column("message")], names=["path", "shape", "total", "message"])
+
+    content = fx.view(s, d, fx.CASES).select("id").mapInArrow(make, "path string, content binary")
+    sums = png.decode_images(content).mapInArrow(total, "path string, shape array<int>, total long, message string")
+    return sums.select(F.col("path").cast("long").alias("id"), *(F.get("shape", F.lit(k)).alias(c) for k, c in enumerate(("height", "width", "channels"))), "total", F.col("message").isNull().alias("read"))
+
+
 def risk_formula_text(s, d):
     return _scored(s, d).select("id", risk.formula(F.col("risk")).alias("formula"))
 
@@ -577,6 +624,6 @@ ALL = (
     cluster_points, cluster_info, cluster_summary, cluster_markers, filter_hazard, filter_dates, filter_road, hazard_options, date_bounds,
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,
     yolo_boxes, status_counts, list_cases, status_history, latest_status, current_cases, reviewer_merge, delete_cases, case_flags,
-    records_view, load_damage, load_zones, load_cp949, load_multiline, dms_degrees, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
+    records_view, load_damage, load_zones, load_cp949, load_multiline, dms_degrees, exif_places, png_pixels, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
     new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, route_search, route_search_closed, weather_parse, pcp_parse, base_slot,
 )

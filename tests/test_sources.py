@@ -4,12 +4,13 @@ import csv
 import io
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
 
 from perilgrid.functions import fixed
-from perilgrid.sources import images, settings, tables, weather
+from perilgrid.sources import images, png, settings, tables, weather
 
 
 def test_headers():
@@ -249,3 +250,44 @@ def test_answers_without_items(spark):
     texts = ['{"response":{"header":{"resultCode":"22","resultMsg":"LIMITED"}}}', "{}", "not json", '{"response":{"body":{"items":{"item":[]}}}}']
     rows = weather.problems(spark.createDataFrame(list(enumerate(texts)), "request_id int, payload string")).collect()
     assert [(r["request_id"], r["reason"].split(": ")[1]) for r in rows] == [(0, "22 LIMITED"), (1, "? "), (2, "? ")]
+
+
+def _chunk(kind, body):
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def _png(width, height, depth, colour, rows, *more, interlaced=0):
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)
+    return png.SIGNATURE + _chunk(b"IHDR", head) + b"".join(more) + _chunk(b"IDAT", zlib.compress(rows)[:9]) + _chunk(b"IDAT", zlib.compress(rows)[9:]) + _chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("depth", [8, 16])
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_png_round_trip(depth, channels):
+    rng = np.random.default_rng(depth + channels)
+    for shape in ((1, 1), (1, 9), (7, 1), (13, 11)):
+        image = rng.integers(0, 256, (*shape, channels)).astype(np.uint8)
+        for filters in ([0], [1], [2], [3], [4], [4, 3, 2, 1, 0]):
+            assert (png.decode(png.encode(image, filters, depth)) == image).all()
+
+
+def test_png_depths_and_palettes():
+    assert png.decode(_png(5, 2, 1, 0, b"\0\xa8\0\x50"))[:, :, 0].tolist() == [[255, 0, 255, 0, 255], [0, 255, 0, 255, 0]]
+    assert png.decode(_png(3, 1, 2, 0, b"\0\x1c")).ravel().tolist() == [0, 85, 255]
+    assert png.decode(_png(2, 1, 4, 0, b"\0\x1f")).ravel().tolist() == [17, 255]
+    plte = _chunk(b"PLTE", bytes(range(9)))
+    assert png.decode(_png(3, 1, 2, 3, b"\0\x18", plte)).tolist() == [[[0, 1, 2], [3, 4, 5], [6, 7, 8]]]
+    assert png.decode(_png(3, 1, 2, 3, b"\0\x18", plte, _chunk(b"tRNS", b"\x09")))[0, :, 3].tolist() == [9, 255, 255]
+
+
+def test_unreadable_images_give_messages(spark):
+    good = png.encode(np.zeros((2, 2, 3), np.uint8))
+    plte = _chunk(b"PLTE", bytes(3))
+    bad = {
+        "good": good, "null": None, "empty": b"", "jpeg": b"\xff\xd8\xff", "cut": good[:-15], "noend": good[:-12], "flip": good[:45] + bytes([good[45] ^ 1]) + good[46:], "header": _png(2, 2, 3, 0, b""), "zero": _png(0, 2, 8, 0, b""),
+        "large": _png(1 << 30, 1 << 30, 8, 0, b""), "short": _png(2, 2, 8, 0, b"\0\0"), "filter": _png(1, 1, 8, 0, b"\x09\0"), "interlaced": _png(1, 1, 8, 0, b"\0\0", interlaced=1), "palette": _png(2, 1, 8, 3, b"\0\0\1", plte),
+    }
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in bad.items()], "path string, content binary")
+    got = {r["path"]: (r["shape"], r["message"]) for r in png.decode_images(df).collect()}
+    assert got.pop("good") == ([2, 2, 3], None) and len(got) == len(bad) - 1 and all(s is None and m for s, m in got.values())
+    assert png.decode_images(df.limit(0)).count() == 0
