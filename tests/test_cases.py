@@ -1,12 +1,15 @@
 """Cases as events."""
 
-from datetime import datetime
+import os
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
 from perilgrid.operators import cases as C
+from perilgrid.streaming import history as H
 from perilgrid.streaming import status as S
 
 REQUEST = "seq int, created_at timestamp_ntz, lat double, lon double, road_address string, ai_available boolean, ai_risk_score double, detections array<struct<class_name:string,confidence:double>>"
@@ -96,3 +99,32 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("windows").count() <= 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_history_of_a_stream_equals_the_batch(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    names = ["접수", "점검예정", "현장확인", "보수필요", "처리완료"]
+    rows = [(rng.randrange(12), T0 + timedelta(hours=rng.randrange(300), microseconds=rng.randrange(3)), i, rng.choice(names)) for i in range(250)]
+    kind = "inspection_id long, changed_at timestamp, id long, to_status string"
+    want = {tuple(r) for r in C.with_from_status(spark.createDataFrame(rows, kind)).select("id", "inspection_id", "from_status", "to_status").collect()}
+    rng.shuffle(rows)
+    late = [(99, T0 + timedelta(days=400 + k), 1000 + k, "접수") for k in range(2)]  # moves the watermark past everything
+    parts = [rows[k::5] + (rows[:9] if k else []) for k in range(5)] + [late[:1], late[1:]]  # with repeated events
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        (file,) = [x for x in os.listdir(f"{tmp_path}/in{k}") if x.endswith(".parquet")]
+        os.rename(f"{tmp_path}/in{k}/{file}", f"{tmp_path}/in/{k}.parquet")
+        os.utime(f"{tmp_path}/in/{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = H.history_stream(stream, "100 days").writeStream.outputMode("append").format("memory").queryName(f"history{seed}").option("checkpointLocation", f"{tmp_path}/cp").start()
+        query.processAllAvailable()
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    got = [tuple(r) for r in spark.table(f"history{seed}").filter("id < 1000").select("id", "inspection_id", "from_status", "to_status").collect()]
+    assert len(got) == len(set(got)) == 250 and set(got) == want
