@@ -8,7 +8,11 @@ edits of a passage, the two share at least ``LENGTH - Q + 1 - Q * EDITS`` q-gram
 2. Regions and items are joined on q-grams and shared ones are counted by aggregation. Each passage is indexed by its rarest
    q-grams only, as many as a region within the budget must share some of, so that common q-grams join nothing.
 3. For the pairs left, shared q-grams are counted in overlapping diagonal bands, bands that meet the bound are retained, and a
-   banded alignment verifies all of a batch at once. Passages found side by side must cover ``LEAST`` bytes of the item.
+   banded alignment verifies all of a batch at once. Passages found side by side must cover ``LEAST`` bytes of the item: such a
+   *stretch* is what a region holds or not.
+
+A stretch that several items have is searched in one of them only, its home, so that a sentence that all items share meets each
+region once. Whoever asks for pairs of documents and items gets them from the stretches; the query and the pipeline don't.
 
 Shorter items are found unchanged, as whole words, and those of one or two words only as a whole document.
 """
@@ -53,8 +57,9 @@ def framed(clean: bytes) -> bytes:
     return _START + clean + _END
 
 
-def passages(clean: bytes) -> tuple[list[tuple[int, bytes]], bool]:
-    """(place, passage) of a normalised item, and whether they must be found unchanged."""
+def passages(clean: bytes, among: list[int] | None = None) -> tuple[list[tuple[int, bytes]], bool]:
+    """(place, passage) of a normalised item, and whether they must be found unchanged. Of a long item only the places ``among``
+    those given."""
     if len(clean) < LEAST:
         short = b" " + clean + b" "
         whole = clean.count(b" ") < 2 or len(short) < Q
@@ -62,9 +67,31 @@ def passages(clean: bytes) -> tuple[list[tuple[int, bytes]], bool]:
     starts = list(range(0, len(clean) - LENGTH + 1, STRIDE))
     if starts[-1] + LENGTH < len(clean):
         starts.append(len(clean) - LENGTH)
+    if among is not None:
+        starts = sorted(set(starts).intersection(among))
     return [(s, clean[s : s + LENGTH]) for s in starts], False
 
 
+def stretches(clean: bytes) -> list[tuple[bytes, list[int]]]:
+    """(key, places) of the shortest runs of passages that cover LEAST bytes of an item: any run that counts is made of such. A key
+    stands for the bytes and the places in them. A shorter item is one stretch."""
+    units, exact = passages(clean)
+    if exact:
+        return [(xxhash.xxh3_128_digest(b"whole " + clean), [0])] if clean else []
+    starts = [s for s, _ in units]
+    found = set()
+    for i, s in enumerate(starts):
+        j = next((j for j in range(i, len(starts)) if starts[j] + LENGTH - s >= LEAST), None)
+        k = next((k for k in range(i, -1, -1) if s + LENGTH - starts[k] >= LEAST), None)
+        found |= {(a, b) for a, b in ((i, j), (k, i)) if a is not None and b is not None}
+    out = []
+    for a, b in sorted(found):
+        places = starts[a : b + 1]
+        own = bytes(p - places[0] for p in places) + clean[places[0] : places[-1] + LENGTH]
+        out.append((xxhash.xxh3_128_digest(own), places))
+    return out
+
+
 def codes(data: bytes) -> np.ndarray:
     """The q-grams at every place, as numbers."""
     n = len(data) - Q + 1
@@ -156,8 +183,8 @@ class Item:
     exact: bool
 
     @staticmethod
-    def of(clean: bytes) -> Item:
-        found, exact = passages(clean)
+    def of(clean: bytes, among: list[int] | None = None) -> Item:
+        found, exact = passages(clean, among)
         places: dict[bytes, list[int]] = {}
         for s, u in found:
             places.setdefault(u, []).append(s)
@@ -296,9 +323,9 @@ def _index(distinct: DataFrame, grams: DataFrame) -> DataFrame:
         code, often = code[order], left.column("often").to_numpy()[order]
         rank = np.empty(len(code), np.int64)
         rank[np.lexsort((code, often))] = np.arange(len(code))
-        clean, key = right.column("clean")[0].as_py(), right.column("ikey")[0].as_py()
+        clean, key, among = (right.column(c)[0].as_py() for c in ("clean", "ikey", "starts"))
         chosen, needs = np.zeros(len(code), bool), []
-        units, exact = passages(clean)
+        units, exact = passages(clean, among)
         for unit in {u for _, u in units}:
             own = np.unique(np.searchsorted(code, codes(unit)))
             need = len(own) if exact else max(1, len(own) - Q * EDITS)
@@ -309,18 +336,37 @@ def _index(distinct: DataFrame, grams: DataFrame) -> DataFrame:
         return pa.table([pa.array(code), pa.array([key] * len(code), pa.binary()), pa.array(np.full(len(code), min(needs), np.int32))], schema=schema)
 
     often = grams.groupBy("code").agg(F.count("*").alias("often"))
-    left = grams.join(often, "code").select("ikey", "code", "often").groupBy("ikey")
-    return left.cogroup(distinct.select("ikey", "clean").groupBy("ikey")).applyInArrow(choose, "code long, ikey binary, need int")
+    left = grams.join(often, "code").join(distinct.select("ikey"), "ikey", "left_semi").select("ikey", "code", "often").groupBy("ikey")
+    return left.cogroup(distinct.select("ikey", "clean", "starts").groupBy("ikey")).applyInArrow(choose, "code long, ikey binary, need int")
+
+
+def _stretches(distinct: DataFrame) -> DataFrame:
+    """(skey, ikey, places): every item's stretches."""
+    schema = pa.schema([("skey", pa.binary()), ("ikey", pa.binary()), ("places", pa.list_(pa.int64()))])
 
+    def run(batches):
+        for batch in slices(batches, "clean"):
+            for key, clean in zip(batch.column("ikey").to_pylist(), batch.column("clean").to_pylist(), strict=True):
+                keys, places = zip(*stretches(clean), strict=True)
+                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array([key] * len(keys), pa.binary()), pa.array(places, pa.list_(pa.int64()))], schema=schema)
+
+    return distinct.select("ikey", "clean").mapInArrow(run, "skey binary, ikey binary, places array<long>")
 
-def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, frozen: Frozen) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, x, y, rkey) of the documents' regions, and (rkey, item_id, place, edits) of the passages found in them; x and y
-    are hashes of the document's text."""
+
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, frozen: Frozen) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, x, y, rkey) of the documents' regions, (rkey, skey, edits) of the stretches found in them, (skey, ikey, places) of
+    the items' stretches, and (item_id, ikey); x and y are hashes of the document's text, edits are those of the stretch's
+    passages."""
     ship(spark)
     items = _items(benchmark, frozen)
-    distinct = frozen(items.dropDuplicates(["ikey"]).select("ikey", "clean"), "distinct-items")
-    grams = frozen(_grams(distinct), "grams")
-    n_bytes = distinct.agg(F.sum(F.octet_length("clean"))).first()[0] or 0
+    whole = frozen(items.dropDuplicates(["ikey"]).select("ikey", "clean"), "distinct-items")
+    parts = frozen(_stretches(whole), "stretches")
+    # a stretch is searched in the first item that has it; items without such stretches aren't searched
+    homes = parts.groupBy("skey").agg(F.min(F.struct("ikey", "places")).alias("home")).select("home.*")
+    homes = homes.groupBy("ikey").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("starts"))
+    distinct = frozen(whole.join(homes, "ikey"), "homes")
+    grams = frozen(_grams(whole), "grams")
+    n_bytes = whole.agg(F.sum(F.octet_length("clean"))).first()[0] or 0
     bitmap, bits, shortest = _bitmap(spark, grams, n_bytes)
     sent = spark.sparkContext.broadcast(bitmap)
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("rkey", pa.binary()), ("text", pa.binary()), ("codes", pa.list_(pa.int64()))])
@@ -347,24 +393,25 @@ def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, frozen: F
     shared = once.select("rkey", F.explode("codes").alias("code")).join(frozen(_index(distinct, grams), "index"), "code")
     pairs = shared.groupBy("rkey", "ikey").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("rkey", "ikey")
     pairs = pairs.join(once.select("rkey", "text"), "rkey").join(distinct, "ikey")
-    verdicts = pa.schema([("rkey", pa.binary()), ("ikey", pa.binary()), ("place", pa.int64()), ("edits", pa.int64())])
+    verdicts = pa.schema([("rkey", pa.binary()), ("skey", pa.binary()), ("edits", pa.list_(pa.int64()))])
 
     def verify(batches):
-        known: dict[bytes, Item] = {}
+        known: dict[bytes, tuple[Item, list[tuple[bytes, list[int]]]]] = {}
         for batch in slices(batches, "clean", 1 << 20):
-            rkeys, ikeys, texts, cleans = (batch.column(c).to_pylist() for c in ("rkey", "ikey", "text", "clean"))
-            for k, c in zip(ikeys, cleans, strict=True):
-                if k not in known:
+            rkeys, ikeys, texts, cleans, among = (batch.column(c).to_pylist() for c in ("rkey", "ikey", "text", "clean", "starts"))
+            held = {}
+            for k, c, starts in zip(ikeys, cleans, among, strict=True):
+                if k not in held:
                     if len(known) > 1000:
                         known.clear()
-                    known[k] = Item.of(c)
-            got = matches([(t, known.get(k) or Item.of(c)) for t, k, c in zip(texts, ikeys, cleans, strict=True)])
-            out = [(rkeys[n], ikeys[n], s, e) for n, own in enumerate(got) for s, e in own.items()]
+                    held[k] = known[k] = known.get(k) or (Item.of(c, starts), stretches(c))
+            got = matches([(t, held[k][0]) for t, k in zip(texts, ikeys, strict=True)])
+            out = [(rkeys[n], key, [own[p] for p in places]) for n, own in enumerate(got) if own for key, places in held[ikeys[n]][1] if own.keys() >= set(places)]
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), verdicts, strict=True)], schema=verdicts)
 
-    verified = frozen(pairs.mapInArrow(verify, "rkey binary, ikey binary, place long, edits long"), "verified")
-    return every.select("doc_id", "x", "y", "rkey"), verified.join(items.select("item_id", "ikey"), "ikey").drop("ikey")
+    verified = frozen(pairs.mapInArrow(verify, "rkey binary, skey binary, edits array<long>"), "verified")
+    return every.select("doc_id", "x", "y", "rkey"), verified, parts, items.select("item_id", "ikey")
 
 
 def text_key() -> list:
@@ -376,16 +423,31 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """doc_id, item_id, n_passages, least_edits: a row for each document and benchmark item of which it holds a passage within
     the edit budget. Null and empty texts hold none, null and empty items are found nowhere; rows of one doc_id (null among
     them) are one document; other columns are left out; an empty table on either side gives no rows."""
-    every, found = _found(spark, docs, benchmark, Frozen(spark, "decontam"))
-    hits = every.select("doc_id", "rkey").distinct().join(found, "rkey")
+    every, found, parts, items = _found(spark, docs, benchmark, Frozen(spark, "decontam"))
+    hits = every.select("doc_id", "rkey").distinct().join(found, "rkey").join(parts, "skey").join(items, "ikey")
+    hits = hits.select("doc_id", "item_id", F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("edits").alias("edits"))))
     places = hits.groupBy("doc_id", "item_id", "place").agg(F.min("edits").alias("edits"))
     return places.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_passages"), F.min("edits").alias("least_edits"))
 
 
+def contaminated_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_stretches, least_edits, item_id, n_items: a row for each document that holds a stretch of any item, with the number
+    of distinct stretches, the least edits of a passage in them, the smallest item that has one of them, and how many items have
+    the one that most items share. Items are cut every STRIDE bytes, so a sentence of many items is up to STRIDE stretches in the same
+    place, each of some of the items. Rows and work don't grow with the number of items that share a text. Nulls, repeats, other
+    columns and empty tables as in ``contaminated``."""
+    every, found, parts, items = _found(spark, docs, benchmark, Frozen(spark, "decontam"))
+    classes = parts.join(items, "ikey").groupBy("skey").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    held = found.groupBy("rkey", "skey").agg(F.min(F.array_min("edits")).alias("edits")).join(classes, "skey")
+    hits = every.select("doc_id", "rkey").distinct().join(held, "rkey").groupBy("doc_id", "skey")
+    hits = hits.agg(F.min("edits").alias("edits"), F.first("item_id").alias("item_id"), F.first("n_items").alias("n_items"))
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_stretches"), F.min("edits").alias("least_edits"), F.min("item_id").alias("item_id"), F.max("n_items").alias("n_items"))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose text holds no benchmark passage, with all their columns, whatever their doc_id. Texts that hold one are
     joined away by 128 bits of hash."""
-    every, found = _found(spark, docs, benchmark, Frozen(spark, "decontam"))
+    every, found, _, _ = _found(spark, docs, benchmark, Frozen(spark, "decontam"))
     bad = every.join(found.select("rkey").distinct(), "rkey", "left_semi").select(F.col("x").alias("bad_x"), F.col("y").alias("bad_y")).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*names).alias("all"), *text_key())
@@ -395,4 +457,4 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a passage of a benchmark item."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated_documents(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

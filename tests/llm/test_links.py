@@ -412,3 +412,45 @@ def test_license_lines(line, names):
     for text in (line, f"some words before\n{line}\n", f"{line}\nand words after"):
         if text.startswith("some") or not line.endswith(":"):
             assert [m.name for m in SCANNER.scan(text.encode())] == names
+
+
+def test_shared_sentences_are_searched_once(spark):
+    """Items and documents that all hold one sentence: work and rows grow with their number, and every link is there."""
+    rng = random.Random(5)
+    common = "please answer the following question as well as you can and explain every step"
+    n = 60
+    items = [f"{prose(rng, 12)} {common} {prose(rng, 12)}" for _ in range(n)]
+    texts = [f"{prose(rng, 40)} {common} {prose(rng, 40)}" for _ in range(n)] + [f"{prose(rng, 20)} {items[7]} {prose(rng, 20)}", prose(rng, 90), None, items[3], items[3]]
+    ids = [*range(len(texts) - 1), None]
+    docs = frame(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)])
+    benchmark = spark.createDataFrame([(100 + k, t, 1) for k, t in enumerate([*items, items[5], None, ""])], "item_id long, text string, skey int")
+    pairs = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, docs, benchmark).collect()}
+    want = {(i, 100 + k) for i in ids if i not in (n + 1, n + 2) for k in range(n + 1)}
+    assert pairs == want
+    got = {r.doc_id: r for r in decontam.contaminated_documents(spark, docs, benchmark).collect()}
+    assert set(got) == {i for i, _ in want} and all(n // 8 < r.n_items <= n + 1 and r.item_id == 100 and r.least_edits == 0 for r in got.values())
+    assert got[n].n_stretches > got[0].n_stretches
+    left = decontam.drop_contaminated(spark, docs, benchmark)
+    assert sorted(r.doc_id for r in left.collect()) == [n + 1, n + 2]
+    cleans = [decontam.normalise(t.encode()) for t in items]
+    homes = {}
+    for c in cleans:
+        for key, _ in decontam.stretches(c):
+            homes.setdefault(key, c)
+    shared = [key for key, _ in decontam.stretches(decontam.normalise(common.encode()))]
+    assert len(homes) < sum(len(decontam.stretches(c)) for c in cleans) and shared
+
+
+def test_stretches_are_what_runs_are_made_of():
+    rng = random.Random(6)
+    for size in [1, 20, 47, 48, 49, 50, 51, 52, 53, 100, 230]:
+        clean = decontam.normalise(prose(rng, 80).encode())[:size].strip()
+        units, exact = decontam.passages(clean)
+        starts = [s for s, _ in units]
+        parts = [p for _, p in decontam.stretches(clean)]
+        assert {s for p in parts for s in p} == set(starts)
+        for a in range(len(starts)):
+            for b in range(a, len(starts)):
+                counts = exact or starts[b] + decontam.LENGTH - starts[a] >= decontam.LEAST
+                inside = [s for p in parts if set(p) <= set(starts[a : b + 1]) for s in p]
+                assert set(inside) == (set(starts[a : b + 1]) if counts else set())
