@@ -77,6 +77,11 @@ SELECT o_custkey AS request_id, o_orderkey AS pos, CAST(CAST(o_orderdate AS DATE
   CASE WHEN o_orderkey % 12 = 0 THEN '강수없음' WHEN o_orderkey % 12 = 3 THEN '1.0mm 미만' WHEN o_orderkey % 12 = 6 THEN concat(CAST(o_orderkey % 50 AS STRING), '.5mm') WHEN o_orderkey % 12 = 9 THEN '50.0mm 이상' WHEN o_orderkey % 12 = 4 THEN 'n/a' ELSE CAST(o_orderkey % 100 AS STRING) END AS fcstValue
 FROM orders"""
 
+#: The same items as answers for grid points and slots; the answers for one point hold an error instead.
+FORECASTS = f"""
+SELECT '20240501' AS base_date, CASE WHEN pos % 2 = 0 THEN '0200' ELSE '0500' END AS base_time, CAST(55 + request_id % 5 AS INT) AS nx,
+  CAST(120 + CAST(floor(request_id / 5e0) AS INT) % 4 AS INT) AS ny, pos, fcstDate, fcstTime, category, fcstValue FROM ({RAIN_ITEMS}) i"""
+
 #: Degrees, minutes and seconds, some out of range.
 DMS = """
 SELECT event_id AS id, event_id % 95 * 1e0 AS d, event_id % 60 * 1e0 AS m, event_id * 7 % 600 / 10e0 AS s, event_type = 'error' AS negative FROM events"""

@@ -256,6 +256,13 @@ k AS (SELECT i.*, row_number() OVER (PARTITION BY request_id, category ORDER BY
 x AS (SELECT request_id, max(CASE WHEN category = 'PCP' THEN {_RAIN} END) AS rain, max(CASE WHEN category = 'POP' THEN try_cast(fcstValue AS DOUBLE) END) AS pop, min(concat(fcstDate, ' ', fcstTime)) AS fcst FROM k WHERE k = 1 GROUP BY 1)
 SELECT request_id, rain IS NOT NULL OR pop IS NOT NULL AS available, round(CASE WHEN rain IS NOT NULL OR pop IS NOT NULL THEN coalesce(rain, 0e0) END, 2) AS rain_mm, round(pop, 2) AS pop,
   CASE WHEN rain IS NOT NULL OR pop IS NOT NULL THEN fcst END AS fcst FROM x""",
+    "forecast_grid": f"""WITH i AS (SELECT *, row(base_time, nx, ny) AS q FROM ({fx.FORECASTS}) x WHERE NOT (nx = 57 AND ny = 122)), f AS (SELECT q, min(row(fcstDate, fcstTime)) AS s FROM i GROUP BY 1),
+k AS (SELECT i.*, row_number() OVER (PARTITION BY q, category ORDER BY pos DESC) AS k FROM i JOIN f USING (q) WHERE row(fcstDate, fcstTime) = s),
+x AS (SELECT base_time, nx, ny, max(CASE WHEN category = 'PCP' THEN {_RAIN} END) AS rain, max(CASE WHEN category = 'POP' THEN try_cast(fcstValue AS DOUBLE) END) AS pop, min(concat(fcstDate, ' ', fcstTime)) AS fcst FROM k WHERE k = 1 GROUP BY ALL),
+a AS (SELECT DISTINCT base_time, nx, ny, true AS stored FROM ({fx.FORECASTS}) y),
+g AS (SELECT base_time, nx::INT AS nx, ny::INT AS ny, coalesce(rain, pop) IS NOT NULL AS ok, rain, pop, fcst, stored FROM (SELECT * FROM (VALUES ('0200'), ('0500')) t(base_time), range(55, 61) u(nx), range(120, 125) v(ny)) p LEFT JOIN x USING (base_time, nx, ny) LEFT JOIN a USING (base_time, nx, ny))
+SELECT '20240501' AS base_date, base_time, nx, ny, ok AS available, CASE WHEN ok THEN round(coalesce(rain, 0e0), 2) END AS rain_mm, round(pop, 2) AS pop, CASE WHEN ok THEN fcst END AS fcst,
+  CASE WHEN ok THEN NULL WHEN stored IS NULL THEN 'no answer is stored' WHEN nx = 57 AND ny = 122 THEN '기상청 응답 형식이 예상과 다릅니다: 03 NO DATA' ELSE 'no precipitation in the answer' END AS reason FROM g""",
     "pcp_parse": f"SELECT pos, round({_RAIN}, 2) AS mm FROM ({fx.RAIN_ITEMS}) i",
     "base_slot": f"""WITH x AS (SELECT id, changed_at - INTERVAL 45 MINUTE AS t FROM ({fx.EVENTS}) v)
 SELECT id, strftime(CASE WHEN hour(t) >= 2 THEN t ELSE t - INTERVAL 1 DAY END, '%Y%m%d') AS base_date,
@@ -270,6 +277,8 @@ SELECT id, strftime(CASE WHEN hour(t) >= 2 THEN t ELSE t - INTERVAL 1 DAY END, '
     "png_pixels": f"""WITH c AS (SELECT id, 1 + id % 4 AS n, id % 11 <> 0 AS read FROM ({fx.CASES}) q),
 p AS (SELECT id, sum((id * 7 + y * 17 + x * 31 + k * 101) % 256 * ((y * 8 + x) * n + k + 1)) AS total FROM c, range(6) a(y), range(8) b(x), range(4) e(k) WHERE k < n GROUP BY id)
 SELECT id, CASE WHEN read THEN 6 END::INT AS height, CASE WHEN read THEN 8 END::INT AS width, CASE WHEN read THEN n END::INT AS channels, CASE WHEN read THEN total END::BIGINT AS total, read FROM c JOIN p USING (id)""",
+    "saved_images": f"WITH x AS (SELECT id AS image_id, CASE WHEN id % 5 < 2 THEN 1000 ELSE id END % 16777216 AS value FROM ({fx.CASES}) c) "
+    "SELECT image_id, value::BIGINT AS value, 96::BIGINT AS n_bytes, count(*) OVER (PARTITION BY value) AS n_images FROM x",
     "risk_formula_text": f"WITH {_SC} SELECT id, {_formula()} AS formula FROM sc",
     "checked_events": f"SELECT id, to_status FROM ({fx.EVENTS}) v WHERE to_status IN (SELECT status FROM {_DOMAIN})",
     "case_history": f"SELECT id, to_status FROM ({fx.EVENTS}) v WHERE inspection_id = 7 ORDER BY id",

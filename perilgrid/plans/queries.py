@@ -8,14 +8,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perilgrid.functions import columns as X
 from perilgrid.functions import fixed
 from perilgrid.operators import cases, clean, cluster, detections, filters, geo, risk, route
 from perilgrid.plans import fixtures as fx
-from perilgrid.sources import images, png, tables, weather
+from perilgrid.sources import image_files, images, png, tables, weather
 from perilgrid.sources.frozen import Frozen, shared_dir
 
 Spark = SparkSession
@@ -417,6 +417,19 @@ def base_slot(s, d):
     return fx.view(s, d, fx.EVENTS).select("id", X.forecast_base(now).alias("b")).select("id", "b.base_date", "b.base_time")
 
 
+def forecast_grid(s, d):
+    """Answers stored by grid point and slot, read through the data source; one point has an error, and one row and column none."""
+    folder, key = f"{shared_dir(s)}/answers-{uuid.uuid4().hex}", ("base_date", "base_time", "nx", "ny")
+    item = F.struct("fcstDate", "fcstTime", "category", "fcstValue")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))), lambda x: x.item)
+    answers = fx.view(s, d, fx.FORECASTS).groupBy(*key).agg(listed.alias("item"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.struct("item").alias("items")).alias("body")).alias("response")))
+    error = F.lit('{"response":{"header":{"resultCode":"03","resultMsg":"NO DATA"}}}')
+    answers.select(*key, F.when(F.expr("nx = 57 AND ny = 122"), error).otherwise(body).alias("value")).write.partitionBy(*key).text(folder)
+    rows = weather.forecasts(s, path=folder, slots="20240501T0200,20240501T0500", nx="55-60", ny="120-124")
+    return rows.select(*key, "available", r("rain_mm", 2).alias("rain_mm"), r("pop", 2).alias("pop"), "fcst", "reason")
+
+
 def weather_problems(s, d):
     return weather.problems(fx.view(s, d, fx.ANSWERS))
 
@@ -532,6 +545,29 @@ def png_pixels(s, d):
     return sums.select(F.col("path").cast("long").alias("id"), *(F.get("shape", F.lit(k)).alias(c) for k, c in enumerate(("height", "width", "channels"))), "total", F.col("message").isNull().alias("read"))
 
 
+def saved_images(s, d):
+    """Images with covered faces saved as files by content, read back, and told apart by name; four in ten are equal to others."""
+
+    def encode(batches):
+        for batch in batches:
+            out = [png.encode(np.frombuffer(p, np.uint8).reshape(k)) for k, p in zip(batch.column("shape").to_pylist(), batch.column("pixels").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("image_id"), pa.array(out, pa.binary())], names=["image_id", "content"])
+
+    folder, frozen = f"{shared_dir(s)}/images-{uuid.uuid4().hex}", Frozen(s, "images")
+    cases = fx.view(s, d, fx.CASES).select(F.col("id").alias("image_id"), F.when(F.col("id") % 5 < 2, 1000).otherwise(F.col("id")).alias("k"))
+    pixel = F.concat(*(F.expr(f"unhex(lpad(hex(floor(k / {n}) % 256), 2, '0'))") for n in (1, 256, 65536)))
+    made = cases.select("image_id", F.array(F.lit(4), F.lit(8), F.lit(3)).alias("shape"), F.concat(*[pixel] * 32).alias("pixels"))
+    covered = images.cover_faces(made, made.select("image_id", *(F.lit(v).alias(c) for c, v in (("x", 2), ("y", 1), ("w", 4), ("h", 2)))))
+    content = frozen(covered.mapInArrow(encode, "image_id long, content binary"), "content")
+    names = image_files.save(content, folder)
+    files = images.read_images(s, f"{folder}/*/*").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "content")
+    read = png.decode_images(files.withColumnRenamed("name", "path")).select(F.col("path").alias("name"), "shape", "pixels")
+    found = names.join(read, "name")
+    value = F.conv(F.hex(F.concat(*(F.substring("pixels", i, 1) for i in (3, 2, 1)))), 16, 10).cast("long")
+    copies = F.count("*").over(Window.partitionBy("name"))
+    return found.select("image_id", value.alias("value"), F.octet_length("pixels").cast("long").alias("n_bytes"), copies.alias("n_images"))
+
+
 def risk_formula_text(s, d):
     return _scored(s, d).select("id", risk.formula(F.col("risk")).alias("formula"))
 
@@ -625,5 +661,5 @@ ALL = (
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,
     yolo_boxes, status_counts, list_cases, status_history, latest_status, current_cases, reviewer_merge, delete_cases, case_flags,
     records_view, load_damage, load_zones, load_cp949, load_multiline, dms_degrees, exif_places, png_pixels, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
-    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, route_matrix, route_plan, route_legs, route_two_stops, route_search, route_search_closed, weather_parse, pcp_parse, base_slot,
+    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, forecast_grid, saved_images, route_matrix, route_plan, route_legs, route_two_stops, route_search, route_search_closed, weather_parse, pcp_parse, base_slot,
 )

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import json
-import urllib.parse
-import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import rain_of_text, strip
+from perilgrid.sources import forecasts as source
+from perilgrid.sources.frozen import Frozen
 
 ITEM = "struct<fcstDate:string,fcstTime:string,category:string,fcstValue:string>"
-#: Fixed value: the forecast service.
-SERVICE = "https://apis.data.go.kr/1360000/VilageFcstInfoService_2.0/getVilageFcst"
 
 
 def reduce_items(items: DataFrame) -> DataFrame:
@@ -66,10 +64,8 @@ def fetch(spark: SparkSession, key: str | None, base_date: str, base_time: str,
     no = {"available": False, "source": "unavailable"}
     if not key:
         return no | {"reason": "no service key"}
-    query = {"serviceKey": key, "pageNo": 1, "numOfRows": 300, "dataType": "JSON", "base_date": base_date, "base_time": base_time, "nx": nx, "ny": ny}
     try:
-        with urllib.request.urlopen(f"{SERVICE}?{urllib.parse.urlencode(query)}", timeout=timeout) as answer:
-            text = answer.read().decode()
+        text = source.ask(key, base_date, base_time, nx, ny, timeout)
         json.loads(text)
     except Exception as error:
         return no | {"reason": f"the request failed: {error}"}
@@ -81,3 +77,23 @@ def fetch(spark: SparkSession, key: str | None, base_date: str, base_time: str,
     if row is None or not row["available"]:
         return no | {"reason": "no precipitation in the answer"}
     return {"available": True, "source": "kma_api", "rain_mm": row["rain_mm"], "pop": row["pop"], "base": f"{base_date} {base_time}", "fcst": row["fcst"]}
+
+
+#: What makes a request.
+REQUEST = ("base_date", "base_time", "nx", "ny")
+
+
+def forecasts(spark: SparkSession, **options: str | int | float) -> DataFrame:
+    """Forecasts of many grid points and slots, read by executors: the columns of a request, available, rain_mm, pop, fcst and reason.
+
+    ``options`` are those of the data source. A request without a usable answer is unavailable, with the reason."""
+    source.register(spark)
+    answers = Frozen(spark, "forecasts")(spark.read.format("forecast").options(**options).load(), "answers")  # asked once, read twice
+    known = answers.filter("payload IS NOT NULL").select(F.struct(*REQUEST).alias("request_id"), "payload")
+    broken = F.when(F.try_parse_json("payload").isNull(), F.lit("the request failed: the answer is no JSON"))
+    bad = known.select("request_id", broken.alias("broken")).filter("broken IS NOT NULL")
+    why = problems(known).join(bad, "request_id", "full").select("request_id", F.coalesce("broken", "reason").alias("problem"))
+    found = answers.select(F.struct(*REQUEST).alias("request_id"), "reason").join(why, "request_id", "left").join(reduce_items(items_of_json(known)), "request_id", "left")
+    available = F.coalesce("available", F.lit(False))
+    reason = F.when(~available, F.coalesce("reason", "problem", F.lit("no precipitation in the answer")))
+    return found.select("request_id.*", available.alias("available"), "rain_mm", "pop", "fcst", reason.alias("reason"))

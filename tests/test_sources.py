@@ -1,16 +1,19 @@
 """CSV files, forecasts, images, settings."""
 
 import csv
+import hashlib
 import io
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.sources import images, png, settings, tables, weather
+from perilgrid.sources import forecasts, image_files, images, png, settings, tables, weather
 
 
 def test_headers():
@@ -291,3 +294,88 @@ def test_unreadable_images_give_messages(spark):
     got = {r["path"]: (r["shape"], r["message"]) for r in png.decode_images(df).collect()}
     assert got.pop("good") == ([2, 2, 3], None) and len(got) == len(bad) - 1 and all(s is None and m for s, m in got.values())
     assert png.decode_images(df.limit(0)).count() == 0
+
+
+def test_forecasts_of_many_points(spark, tmp_path):
+    """Stored answers in one and several files, an error, text that is no JSON, an empty folder, and a point that lacks."""
+    good = '{"response": {"body": {"items": {"item": [{"fcstDate": "d", "fcstTime": "t", "category": "PCP", "fcstValue": "3.5mm"}]}}}}'
+    stored = {(60, 121): [good[:40], good[40:]], (61, 121): ['{"response":{"header":{"resultCode":"03","resultMsg":"NO DATA"}}}'], (60, 122): ["<html>"], (61, 122): []}
+    for (x, y), texts in stored.items():
+        place = tmp_path / "base_date=20240501" / "base_time=0200" / f"nx={x}" / f"ny={y}"
+        place.mkdir(parents=True)
+        for i, text in enumerate(texts):
+            (place / f"part-{i}").write_text(text)
+        (place / "_SUCCESS").write_text("")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        rows = weather.forecasts(spark, path=path, slots="20240501T0200,20240501T0200", nx="60-61", ny="121,122-123")
+        got = {(r["nx"], r["ny"]): (r["available"], r["rain_mm"], r["fcst"], r["reason"]) for r in rows.collect()}
+        assert len(got) == rows.count() == 6
+        assert got[60, 121] == (True, 3.5, "d t", None) and got[61, 121] == (False, None, None, fixed.BAD_ANSWER + "03 NO DATA")
+        assert got[60, 122][3] == "the request failed: the answer is no JSON"
+        assert {got[k] for k in ((61, 122), (60, 123), (61, 123))} == {(False, None, None, "no answer is stored")}
+
+
+def test_forecast_partitions_and_options(spark):
+    forecasts.register(spark)
+    asked = spark.read.format("forecast").options(slots="20240501T0200,20240501T0500", nx="60-62", ny="1").load()
+    assert asked.rdd.getNumPartitions() == 6 and {r["reason"] for r in asked.collect()} == {"no service key"}
+    assert weather.forecasts(spark, slots="20240501T0200").first()["reason"] == "no service key"
+    assert "the request failed" in weather.forecasts(spark, slots="20240501T0200", key="k", timeout=0.01, tries=2).first()["reason"]
+    assert weather.forecasts(spark).count() == 0
+    assert forecasts.numbers("3-5, 1,4") == [1, 3, 4, 5]
+    with pytest.raises(ValueError):
+        forecasts.numbers("5-3")
+    with pytest.raises(ValueError):
+        forecasts.ForecastReader({"slots": "20240501"})
+
+
+def stored(path):
+    """Files that a reader sees: nothing below hidden folders."""
+    return sorted(p for p in path.rglob("*.png") if not any(part.startswith((".", "_")) for part in p.relative_to(path).parts))
+
+
+def test_images_are_saved_by_content(spark, tmp_path):
+    rows = [(i, None if i % 10 == 9 else bytes([i % 7]) * 50, i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "image_id long, content binary, name long").repartition(4)
+    for path in (f"{tmp_path}/a", f"file://{tmp_path}/b"):
+        names = {r["image_id"]: r["name"] for r in image_files.save(frame, path).collect()}
+        assert names == {i: c and hashlib.sha256(c).hexdigest() + ".png" for i, c, _ in rows}
+    for folder in ("a", "b"):
+        files = stored(tmp_path / folder)
+        assert {f.name for f in files} == {n for n in names.values() if n} and len(files) == 7
+        assert all(hashlib.sha256(f.read_bytes()).hexdigest() == f.stem for f in files)
+    image_files.save(frame.filter("image_id < 2"), f"{tmp_path}/a")
+    assert len(stored(tmp_path / "a")) == 9 and len(stored(tmp_path / "b")) == 7  # a second write is one more job
+    assert image_files.save(frame.limit(0), f"{tmp_path}/c").count() == 0 and not stored(tmp_path / "c")
+
+
+def test_a_failing_task_leaves_no_images(spark, tmp_path):
+    """One task of four fails after the others wrote: nothing is visible, and nothing hidden stays."""
+    image_files.register(spark)
+
+    def run(batches):
+        for b in batches:
+            if (b["image_id"] == 39).any():
+                time.sleep(2)
+                raise RuntimeError("a damaged image")
+            yield b
+
+    rows = spark.range(40).select(F.col("id").alias("image_id"), F.encode(F.col("id").cast("string"), "utf-8").alias("content")).repartitionByRange(4, "image_id")
+    target = tmp_path / "out"
+    with pytest.raises(Exception, match="a damaged image"):
+        rows.mapInPandas(run, rows.schema).write.format("image_files").mode("append").option("path", str(target)).save()
+    assert not [p for p in target.rglob("*") if p.is_file()] and not stored(target)
+    rows.write.format("image_files").mode("append").option("path", str(target)).save()
+    assert len(stored(target)) == 40
+    with pytest.raises(Exception, match="only appended"):
+        rows.write.format("image_files").mode("overwrite").option("path", str(target)).save()
+
+
+def test_only_counted_attempts_are_committed(tmp_path):
+    """Folders of attempts that Spark doesn't count, as of a lost executor, go with the commit."""
+    writer = image_files.ImageWriter(str(tmp_path), "content", ".png")
+    first, again, empty = (writer.write(iter(rows)) for rows in ([{"content": b"a"}], [{"content": b"a"}], [{"content": None}]))
+    writer.commit([again, None, empty])
+    assert [p.parent.name for p in stored(tmp_path)] == [again.folder] != [first.folder] and (again.files, again.size) == (1, 1)
+    writer.abort([])
+    assert len(stored(tmp_path)) == 1
