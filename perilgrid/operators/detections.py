@@ -1,6 +1,6 @@
 """Object detections: confidence, greedy suppression, areas, severity, and the decoding of a model's output.
 
-Suppression is a fold over a sorted array in the JVM; an image's boxes are few, so its array is small.
+Suppression is a fold over a sorted array in the JVM where an image's boxes are few; crowded images are suppressed in rounds.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import class_weight, letterbox, overlap, severity
+from perilgrid.operators import crowded
 
 BOX = "struct<det_id:bigint,class_name:string,confidence:double,x1:double,y1:double,x2:double,y2:double>"
 
@@ -56,6 +57,20 @@ def kept_rows(suppressed: DataFrame) -> DataFrame:
     return suppressed.select("image_id", F.inline("kept"))
 
 
+#: Boxes of an image up to which a fold over its array is used.
+CROWD = 512
+
+
+def kept_boxes(detections: DataFrame, iou: float = fixed.NMS_IOU, crowd: int = CROWD) -> DataFrame:
+    """Rows of the boxes that ``nms`` keeps, for images of any number of boxes: those with more than ``crowd`` are suppressed in
+    rounds over a grid, the others by the fold. Images with a null id are one image."""
+    sizes = detections.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("image_id")
+    same = detections["image_id"].eqNullSafe(sizes["image_id"])
+    few = kept_rows(nms(detections.join(sizes, same, "left_anti"), iou))
+    many = crowded.suppress(detections.join(sizes, same, "left_semi"), [-F.col("confidence"), F.col("det_id")], iou)
+    return few.unionByName(many)
+
+
 #: Pixels of a mask.
 WORD = 60
 

@@ -101,6 +101,15 @@ SELECT CAST(floor(l_orderkey / 64e0) AS BIGINT) AS image_id,
   (1 + l_suppkey % 15) / 16e0 AS confidence, 20e0 + l_partkey % 600 AS cx, 160e0 + l_suppkey % 320 AS cy, l_quantity AS w, l_quantity + 1e0 AS h
 FROM lineitem"""
 
+#: Large images with about a thousand boxes each, in heaps.
+CROWDED = """
+SELECT CAST(floor(l_orderkey / 256e0) AS BIGINT) AS image_id,
+  row_number() OVER (PARTITION BY CAST(floor(l_orderkey / 256e0) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS det_id,
+  'D00' AS class_name, l_discount * 9e0 + l_tax AS confidence,
+  l_partkey % 16 * 230e0 + l_orderkey % 24 AS x1, l_suppkey % 8 * 260e0 + l_partkey % 20 AS y1,
+  l_partkey % 16 * 230e0 + l_orderkey % 24 + 30e0 + l_quantity * 2e0 AS x2, l_suppkey % 8 * 260e0 + l_partkey % 20 + 40e0 + l_quantity AS y2
+FROM lineitem"""
+
 #: Rows for CSV files: Korean texts, and texts of several lines.
 KOREAN = f"""
 SELECT event_id AS category_no, concat('포트홀 ', event_type) AS hazard_type, CAST(lat AS STRING) AS lat, CAST(lon AS STRING) AS lon,

@@ -229,6 +229,7 @@ SQL: dict[str, str] = {
     "conf_filter": f"WITH {_DET} SELECT image_id, det_id FROM dets WHERE confidence >= 0.25",
     "nms": _greedy("confidence >= 0.25", "confidence DESC", "> 0.45"),
     "box_suppress": _greedy("true", "(x2 - x1) * (y2 - y1) DESC", ">= 0.3"),
+    "nms_crowded": _greedy("true", "confidence DESC", "> 0.45", f"dets AS MATERIALIZED ({fx.CROWDED})"),
     "area_ratio": f"WITH {_DET}, {_RATIO} SELECT image_id, round(ratio, 6) AS ratio FROM ratio",
     "photo_severity": f"WITH {_DET}, {_RATIO}, s AS (SELECT image_id, max({_CW} * confidence) AS peak, count(*) AS n FROM dets GROUP BY image_id) "
     f"SELECT image_id, round({_clamp('greatest(0e0, peak) * 60 + least(n, 5) / 5e0 * 20 + least(greatest(ratio, 0e0), 0.3e0) / 0.3e0 * 20')} + 1e-9, 4) AS severity FROM s JOIN ratio USING (image_id)",

@@ -295,6 +295,10 @@ def box_suppress(s, d):
     return detections.kept_rows(detections.suppress_boxes(_detections(s, d))).select("image_id", "det_id")
 
 
+def nms_crowded(s, d):
+    return detections.kept_boxes(fx.view(s, d, fx.CROWDED)).select("image_id", "det_id")
+
+
 def area_ratio(s, d):
     return detections.area_ratios(_detections(s, d), 64, 64).select("image_id", r("ratio", 6).alias("ratio"))
 
@@ -661,5 +665,5 @@ ALL = (
     marker_limit, heatmap_points, map_center, history_map, conf_filter, nms, box_suppress, area_ratio, photo_severity, top_detection,
     yolo_boxes, status_counts, list_cases, status_history, latest_status, current_cases, reviewer_merge, delete_cases, case_flags,
     records_view, load_damage, load_zones, load_cp949, load_multiline, dms_degrees, exif_places, png_pixels, risk_formula_text, checked_events, case_history, updated_cases, labelled_cases,
-    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, forecast_grid, saved_images, route_matrix, route_plan, route_legs, route_two_stops, route_search, route_search_closed, weather_parse, pcp_parse, base_slot,
+    new_cases, first_history, case_store, registered_stops, photo_target, route_candidates, decode_output, detect_boxes, weather_problems, nms_crowded, forecast_grid, saved_images, route_matrix, route_plan, route_legs, route_two_stops, route_search, route_search_closed, weather_parse, pcp_parse, base_slot,
 )

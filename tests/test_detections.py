@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from perilgrid.operators import crowded
 from perilgrid.operators import detections as D
 
 KIND = "image_id long, det_id long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
@@ -86,11 +88,45 @@ def test_decoding(spark):
     raw = spark.createDataFrame(rows, "image_id long, shape array<int>, values array<float>")
     got = D.decode_output(raw).orderBy("image_id", "det_id").collect()
     assert [(r["image_id"], r["det_id"], r["class_name"]) for r in got] == [(1, 3, "D40"), (1, 7, "D00"), (2, 3, "D40"), (2, 7, "D00")]
-    from pyspark.sql import functions as F
-
     place = D.decode_output(raw, ["only"]).withColumns({"scale": F.lit(0.5), "pad_x": F.lit(0), "pad_y": F.lit(140), "width": F.lit(1280), "height": F.lit(720)})
     boxes = D.unletterbox(place).filter("image_id = 1").orderBy("det_id").collect()
     assert [boxes[0][c] for c in ("class_name", "x1", "y1", "x2", "y2")] == ["3", 576, 296, 704, 424]
     assert [boxes[1][c] for c in ("x1", "y1", "x2", "y2")] == [0, 0, 60, 60]
 
 
+def heap(rng, n, images=1):
+    """Boxes in heaps, with equal confidences, some without an area or without numbers, and repeated rows."""
+    rows = []
+    for i in range(n):
+        x, y = rng.integers(0, 4, 2) * 60 + rng.normal(0, 5, 2)
+        w, h = np.exp(rng.normal(3, 0.5, 2))
+        rows.append([i % images, i, "D00", float(rng.integers(0, 20)) / 20, float(x), float(y), float(x + w), float(y + h)])
+    for i in range(0, n, 37):
+        rows[i][6] = rows[i][4] - (i % 2)
+    return [tuple(r) for r in rows]
+
+
+def test_crowded_images_against_the_fold(spark):
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame(heap(rng, 500, 3) + [(None, i, "D00", 0.5, 0.0, 0.0, 9.0, 9.0) for i in range(9)], KIND)
+    pick = lambda df: sorted((str(r["image_id"]), r["det_id"]) for r in df.collect())
+    want = pick(D.kept_rows(D.nms(frame)))
+    assert pick(D.kept_boxes(frame, crowd=10**6)) == want == pick(D.kept_boxes(frame, crowd=5)) and 9 < len(want) < 450
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    some = frame.filter("x2 > x1 and image_id = 1")
+    for iou in (0.3, 0.05, 0.9):
+        got = crowded.suppress(some, [-area, F.col("det_id")], iou, equal=True)
+        assert pick(got) == pick(D.kept_rows(D.suppress_boxes(some, iou)))
+
+
+def test_crowded_edges(spark):
+    box = (1, 1, "D00", 0.5, 0.0, 0.0, 10.0, 10.0)
+    rows = [box, box, (1, 2, "D00", None, 0.0, 0.0, 10.0, 10.0), (1, 3, "D00", 0.9, 0.0, 0.0, float("nan"), 5.0), (1, 4, "D00", 0.9, None, 0.0, 9.0, 9.0), (1, 5, "D00", 0.9, 3.0, 3.0, 3.0, 3.0)]
+    got = crowded.suppress(spark.createDataFrame(rows, KIND), [-F.col("confidence"), F.col("det_id")], 0.45)
+    assert sorted(r["det_id"] for r in got.collect()) == [2, 3, 4, 5]  # an unknown confidence comes first, as in the fold
+    assert crowded.suppress(spark.createDataFrame([], KIND), [F.col("det_id")], 0.45).count() == 0 == D.kept_boxes(spark.createDataFrame([], KIND)).count()
+    half = [(1, 0, "D00", 0.9, 0.0, 0.0, 10.0, 10.0), (1, 1, "D00", 0.8, 0.0, 0.0, 10.0, 5.0)]  # they overlap by exactly a half
+    for equal, n in ((False, 2), (True, 1)):
+        assert crowded.suppress(spark.createDataFrame(half, KIND), [-F.col("confidence"), F.col("det_id")], 0.5, equal).count() == n
+    with pytest.raises(ValueError):
+        crowded.suppress(spark.createDataFrame(half, KIND), [F.col("det_id")], 0.0)
