@@ -22,8 +22,8 @@ BOX = ("det_id", "class_name", "confidence", "x1", "y1", "x2", "y2")
 SIDES = ("x1", "y1", "x2", "y2")
 #: A box's cell; the image's id lies in a struct, so that a null one joins too.
 KEY = ("image", "cw", "ch", "cx", "cy")
-#: Cells across a box of its class's largest size.
-FINE = 2
+#: Cells across a box of its class's largest size; finer ones have more first boxes in a round, and far more cells around each.
+FINE = 1
 
 
 def _scale(iou: float) -> float:
@@ -54,7 +54,8 @@ def _around(rows: DataFrame, iou: float) -> DataFrame:
         first, last = (F.floor((centre + sign * reach) * FINE / widest) for sign in (-1, 1))
         return rows.withColumn(place, F.explode(F.sequence(first, last)))
 
-    return axis(axis(rows, "cw", "cx", "x1", "x2"), "ch", "cy", "y1", "y2")
+    # Spark's estimate of a size doesn't count generated rows, so a broadcast of these must be ruled out.
+    return axis(axis(rows, "cw", "cx", "x1", "x2"), "ch", "cy", "y1", "y2").hint("merge")
 
 
 def suppress(detections: DataFrame, first: list[Column], iou: float, equal: bool = False) -> DataFrame:
