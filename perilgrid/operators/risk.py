@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import clamp, density_score, printed, rain_score, road_score, strip, zone_score
+from perilgrid.functions.columns import clamp, density_score, printed, rain_score, road_score, rounded, strip, zone_score
 from perilgrid.operators import geo
 
 NAMES = tuple(fixed.WEIGHTS)
@@ -41,14 +41,14 @@ def risk(scores: Mapping[str, Column], weights: Mapping[str, float] | None = Non
             F.lit(name),
             F.struct(
                 F.lit(fixed.LABELS[name]).alias("label"),
-                F.when(there, F.round(score, 2)).alias("score"),
+                F.when(there, rounded(score, 2)).alias("score"),
                 base.alias("base_weight"),
-                F.round(share, 4).alias("effective_weight"),
-                F.round(gain, 2).alias("contribution"),
+                rounded(share, 4).alias("effective_weight"),
+                rounded(gain, 2).alias("contribution"),
                 there.alias("available"),
             ),
         ]
-    total = F.round(clamp(raw), 2)
+    total = rounded(clamp(raw), 2)
     names = [(F.lit(n), scores[n].isNotNull()) for n in NAMES]
     return F.struct(
         total.alias("total"),

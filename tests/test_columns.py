@@ -173,3 +173,9 @@ def test_printed_as_in_python(spark):
     frame = spark.range(10_001).select((F.col("id") / 10_000).alias("x"), (F.col("id") / 100).alias("y"))
     for x, a, y, b in frame.select("x", X.printed(F.col("x"), 3), "y", X.printed(F.col("y"), 1)).collect():
         assert (a, b) == (f"{x:.3f}", f"{y:.1f}")
+
+
+def test_totals_round_as_sql_does(spark):
+    """A total of 45.714999999999996 is 4571.5 hundredths when it is scaled."""
+    row = _scores(spark, [(1.74, 85.0, None, 90.0, 13.0)]).select("risk.total", "risk.total_raw", risk.formula(F.col("risk")).alias("formula")).first()
+    assert row["total_raw"] == 45.714999999999996 and row["total"] == 45.72 and row["formula"].endswith(" = 45.72")
