@@ -1,6 +1,7 @@
 """Object detections: confidence, greedy suppression, areas, severity, and the decoding of a model's output.
 
-Suppression is a fold over a sorted array in the JVM where an image's boxes are few; crowded images are suppressed in rounds.
+Suppression looks at images whole, many at once in arrays, each box after those before it; images with too many boxes for one row are
+suppressed in rounds.
 """
 
 from __future__ import annotations
@@ -9,13 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from perilgrid.functions import fixed
-from perilgrid.functions.columns import class_weight, letterbox, overlap, severity
+from perilgrid.functions.columns import class_weight, letterbox, severity
 from perilgrid.operators import crowded
 
+#: Bytes of an Arrow batch at most.
+BATCH = 8 << 20
 BOX = "struct<det_id:bigint,class_name:string,confidence:double,x1:double,y1:double,x2:double,y2:double>"
 
 
@@ -23,13 +28,59 @@ def confident(detections: DataFrame, least: float = fixed.CONFIDENCE) -> DataFra
     return detections.filter(F.col("confidence") >= least)
 
 
-def _greedy(boxes: Column, clashes) -> Column:
-    """Keeps a box unless it clashes with one kept before."""
-    return F.aggregate(
-        boxes,
-        F.slice(boxes, 1, 0),
-        lambda kept, box: F.when(F.exists(kept, lambda k: clashes(k, box)), kept).otherwise(F.concat(kept, F.array(box))),
-    )
+SIDES = ("x1", "y1", "x2", "y2")
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all stretches from a start up to its end, and for each which stretch it belongs to."""
+    sizes = ends - starts
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(which)) + (starts - np.cumsum(sizes) + sizes)[which], which
+
+
+def greedy(sides: dict[str, np.ndarray], offsets: np.ndarray, iou: float, equal: bool) -> np.ndarray:
+    """Which boxes are kept, of images whose boxes lie side by side between offsets, sorted by rank: a box goes if it overlaps one kept
+    before by more than ``iou``, or by as much where ``equal``. The boxes of one rank of all images are looked at together. Boxes
+    without an area, and those with a coordinate that is missing or not finite, clash with none."""
+    x1, y1, x2, y2 = (sides[c] for c in SIDES)
+    with np.errstate(invalid="ignore"):
+        sound = np.isfinite(x1) & np.isfinite(y1) & np.isfinite(x2) & np.isfinite(y2) & (x2 > x1) & (y2 > y1)
+        area = (x2 - x1) * (y2 - y1)
+    kept = np.ones(len(x1), bool)
+    large_first = np.argsort(offsets[:-1] - offsets[1:], kind="stable")
+    starts, ends = offsets[:-1][large_first], offsets[1:][large_first]
+    sizes = ends - starts
+    for rank in range(int(sizes[0]) - 1 if len(sizes) else 0):
+        n = np.searchsorted(-sizes, -rank, side="left")  # images with boxes from this rank on
+        top = starts[:n] + rank
+        asks = np.flatnonzero(kept[top] & sound[top])
+        other, which = _spread(top[asks] + 1, ends[asks])  # no more than all boxes at hand
+        open_ = kept[other] & sound[other]
+        other, own = other[open_], top[asks][which[open_]]
+        w = np.maximum(0.0, np.minimum(x2[own], x2[other]) - np.maximum(x1[own], x1[other]))
+        both = w * np.maximum(0.0, np.minimum(y2[own], y2[other]) - np.maximum(y1[own], y1[other]))
+        share = both / (area[own] + area[other] - both)
+        kept[other[share >= iou if equal else share > iou]] = False
+    return kept
+
+
+def _suppressed(grouped: DataFrame, iou: float, equal: bool) -> DataFrame:
+    """image_id, n_in and kept from (image_id, boxes), arrays of boxes sorted by rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes = batch.column("boxes")
+            flat, offsets = boxes.flatten(), np.concatenate([[0], np.cumsum(boxes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            sides = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in SIDES}
+            kept = greedy(sides, offsets, iou, equal)
+            ends = np.concatenate([[0], np.cumsum(kept)])[offsets]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(kept)), type=boxes.type)
+            yield pa.record_batch([batch.column("image_id"), pa.array(np.diff(offsets), pa.int32()), lists], names=["image_id", "n_in", "kept"])
+
+    grouped.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    kinds = grouped.schema
+    out = StructType([kinds["image_id"], StructField("n_in", IntegerType()), StructField("kept", kinds["boxes"].dataType)])
+    return grouped.mapInArrow(run, out)
 
 
 def _boxes(*rank: Column) -> Column:
@@ -43,14 +94,14 @@ def nms(detections: DataFrame, iou: float = fixed.NMS_IOU) -> DataFrame:
     """image_id and kept, an array of boxes: most confident first, the smaller det_id first among equals; a box is dropped if
     it overlaps a kept one by more than the threshold."""
     grouped = detections.groupBy("image_id").agg(_boxes(-F.col("confidence"), F.col("det_id")).alias("boxes"))
-    return grouped.select("image_id", F.size("boxes").alias("n_in"), _greedy(F.col("boxes"), lambda k, b: overlap(k, b) > iou).alias("kept"))
+    return _suppressed(grouped, iou, False)
 
 
 def suppress_boxes(detections: DataFrame, iou: float = fixed.SUPPRESS_IOU) -> DataFrame:
     """The same for privacy boxes: largest first, and a box stays only if it overlaps all kept ones by less."""
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     grouped = detections.groupBy("image_id").agg(_boxes(-area, F.col("det_id")).alias("boxes"))
-    return grouped.select("image_id", F.size("boxes").alias("n_in"), _greedy(F.col("boxes"), lambda k, b: overlap(k, b) >= iou).alias("kept"))
+    return _suppressed(grouped, iou, True)
 
 
 def kept_rows(suppressed: DataFrame) -> DataFrame:
@@ -144,6 +195,7 @@ def decode_output(outputs: DataFrame, classes: list[str] | None = None, least: f
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = {c: [] for c in ("image_id", "det_id", "class_id", "confidence", "cx", "cy", "w", "h")}
             for image, shape, values in zip(batch["image_id"], batch["shape"], batch["values"], strict=True):
                 a = np.squeeze(np.asarray(values, np.float32).reshape(shape))
                 if a.ndim != 2:
@@ -153,11 +205,15 @@ def decode_output(outputs: DataFrame, classes: list[str] | None = None, least: f
                     continue
                 which, score = a[4:].argmax(0), a[4:].max(0)
                 good = np.flatnonzero(score >= least)
-                names = [classes[c] if c < len(classes) else str(c) for c in which[good]]
-                yield pd.DataFrame(
-                    {"image_id": image, "det_id": good, "class_id": which[good].astype(np.int32), "class_name": names, "confidence": score[good].astype(float)}
-                    | {n: a[i, good].astype(float) for i, n in enumerate(("cx", "cy", "w", "h"))}
-                )
+                for c, v in zip(found, (np.full(len(good), image), good, which[good], score[good], *a[:4, good]), strict=True):
+                    found[c].append(v)
+            if not found["image_id"]:
+                continue
+            table = {c: np.concatenate(v) for c, v in found.items()}
+            table["class_name"] = [classes[c] if c < len(classes) else str(c) for c in table["class_id"].tolist()]
+            yield pd.DataFrame(table)[["image_id", "det_id", "class_id", "class_name", "confidence", "cx", "cy", "w", "h"]].astype(
+                {"class_id": "int32"} | {c: float for c in ("confidence", "cx", "cy", "w", "h")}
+            )
 
     return outputs.select("image_id", "shape", "values").mapInPandas(run, DECODED)
 

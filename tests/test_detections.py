@@ -1,5 +1,7 @@
 """Detections: suppression, areas, decoding."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,31 @@ def test_crowded_edges(spark):
         assert crowded.suppress(spark.createDataFrame(half, KIND), [-F.col("confidence"), F.col("det_id")], 0.5, equal).count() == n
     with pytest.raises(ValueError):
         crowded.suppress(spark.createDataFrame(half, KIND), [F.col("det_id")], 0.0)
+
+
+def test_suppression_of_many_boxes(spark):
+    """Images of very different sizes side by side, in time: the fold in the JVM took minutes for the largest of them."""
+    rng = np.random.default_rng(8)
+    sizes, rows, want = (1, 3000, 2, 40, 40), [], set()
+    for image, n in enumerate(sizes):
+        xy, wh = rng.integers(0, 4000, (n, 2)), rng.integers(1, 30, (n, 2))
+        rows += [(image, i, "D00", float(rng.integers(0, 9)) / 9, *map(float, (*xy[i], *(xy[i] + wh[i])))) for i in range(n)]
+    for image in range(len(sizes)):
+        kept = np.zeros((0, 4))
+        for r in sorted((r for r in rows if r[0] == image), key=lambda r: (-r[3], r[1])):
+            b = np.array(r[4:])
+            side = np.maximum(0, np.minimum(kept[:, 2:], b[2:]) - np.maximum(kept[:, :2], b[:2]))
+            both = side[:, 0] * side[:, 1]
+            if not (both / ((b[2:] - b[:2]).prod() + (kept[:, 2:] - kept[:, :2]).prod(1) - both) > 0.45).any():
+                kept = np.vstack([kept, b])
+                want.add((image, r[1]))
+    frame = spark.createDataFrame(rows, KIND)
+    start = time.monotonic()
+    assert {(r["image_id"], r["det_id"]) for r in D.kept_rows(D.nms(frame)).collect()} == want
+    assert time.monotonic() - start < 20
+
+
+def test_boxes_without_numbers_stay_in_small_images_too(spark):
+    rows = [(1, 0, "D00", 0.9, 0.0, 0.0, 10.0, 10.0), (1, 1, "D00", 0.8, None, 0.0, 5.0, 10.0), (1, 2, "D00", 0.7, 0.0, 0.0, float("nan"), 5.0)]
+    frame = spark.createDataFrame(rows, KIND)
+    assert kept(D.nms(frame)) == [0, 1, 2] and D.kept_boxes(frame, crowd=1).count() == 3
