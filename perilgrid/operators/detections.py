@@ -18,6 +18,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import class_weight, letterbox, severity
 from perilgrid.operators import crowded
+from perilgrid.sources.frozen import Frozen
 
 #: Bytes of an Arrow batch at most.
 BATCH = 8 << 20
@@ -108,14 +109,18 @@ def kept_rows(suppressed: DataFrame) -> DataFrame:
     return suppressed.select("image_id", F.inline("kept"))
 
 
-#: Boxes of an image up to which a fold over its array is used.
-CROWD = 512
+#: Boxes of an image up to which it is suppressed as one row, of a megabyte or so: larger ones go in rounds, which write
+#: all boxes left to disk in each of them.
+CROWD = 16_384
 
 
 def kept_boxes(detections: DataFrame, iou: float = fixed.NMS_IOU, crowd: int = CROWD) -> DataFrame:
     """Rows of the boxes that ``nms`` keeps, for images of any number of boxes: those with more than ``crowd`` are suppressed in
-    rounds over a grid, the others by the fold. Images with a null id are one image."""
+    rounds over a grid, the others as ``nms`` does. Images with a null id are one image."""
     sizes = detections.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("image_id")
+    sizes = Frozen(detections.sparkSession, "crowds")(sizes, "large")
+    if sizes.isEmpty():
+        return kept_rows(nms(detections, iou))
     same = detections["image_id"].eqNullSafe(sizes["image_id"])
     few = kept_rows(nms(detections.join(sizes, same, "left_anti"), iou))
     many = crowded.suppress(detections.join(sizes, same, "left_semi"), [-F.col("confidence"), F.col("det_id")], iou)

@@ -160,3 +160,9 @@ def test_boxes_without_numbers_stay_in_small_images_too(spark):
     rows = [(1, 0, "D00", 0.9, 0.0, 0.0, 10.0, 10.0), (1, 1, "D00", 0.8, None, 0.0, 5.0, 10.0), (1, 2, "D00", 0.7, 0.0, 0.0, float("nan"), 5.0)]
     frame = spark.createDataFrame(rows, KIND)
     assert kept(D.nms(frame)) == [0, 1, 2] and D.kept_boxes(frame, crowd=1).count() == 3
+
+
+def test_images_of_a_thousand_boxes_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(crowded, "suppress", None)
+    rows = [(k % 2, k, "D00", k / 4000, float(k % 40 * 10), float(k // 40 * 10), float(k % 40 * 10 + 10), float(k // 40 * 10 + 10)) for k in range(4000)]
+    assert D.kept_boxes(spark.createDataFrame(rows, KIND)).count() == 4000
