@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -325,3 +326,23 @@ def test_guided_search_of_longer_routes():
         assert route.length(m, np.array(found[0]), False) <= route.length(m, np.array(two), False)
         shorter += route.length(m, np.array(found[0]), False) < route.length(m, np.array(two), False)
     assert shorter and route.solve(np.zeros((2, 2)), search=True) == ([0, 1], "trivial")
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_few_stops_are_searched_in_full(spark, closed):
+    """Routes of two to nine stops in one table, against all orders; a search of 4,000 routes of eight, one by one, took minutes."""
+    rng = np.random.default_rng(12)
+    rows = [(k, pos, 37.3 + float(a) / 100, 126.9 + float(b) / 100) for k in range(36) for pos, (a, b) in enumerate(rng.random((1 + k % 7, 2)))]
+    got = {r["route_id"]: r for r in route.optimize(spark.createDataFrame(rows, "route_id long, pos int, lat double, lon double"), closed=closed, search=True).collect()}
+    assert len(got) == 36
+    for k, r in got.items():
+        places = np.array([x[2:] for x in rows if x[0] == k])
+        m = route.distances(places[:, 0], places[:, 1])
+        d, n = np.rint(m), len(m)
+        want = min(route.length(d, [0, *rest], closed) for rest in itertools.permutations(range(1, n)))
+        assert sorted(r["order"]) == list(range(n)) and r["order"][0] == 0 and route.length(d, r["order"], closed) == want
+        assert r["legs"] == pytest.approx(route.leg_lengths(m, np.array(r["order"]), closed)) and r["solver"] == ("none", "trivial", "exact")[min(n, 3) - 1]
+    many = route.distances(rng.random((4000, 8)) / 10 + 37, rng.random((4000, 8)) / 10 + 126)
+    start = time.monotonic()
+    orders, _ = route.solve_all(many, closed, True)
+    assert time.monotonic() - start < 20 and (np.sort(orders, axis=1) == np.arange(8)).all()
