@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import haversine, strip
-from perilgrid.operators.sphere import PLACED, SLACK, Tree, cell_of, chord, near_cells, unit
+from perilgrid.operators.sphere import LEAST_M, PLACED, SLACK, Tree, cell_of, chord, counts_within, near_cells, unit
 from perilgrid.sources.frozen import Frozen
 
-#: Radii below this are searched in cubes of this size.
-LEAST_M = 0.5
-
 
 def within(points: DataFrame, targets: DataFrame, radius_m: float = fixed.RADIUS_M) -> DataFrame:
     """Pairs of targets (target_id, lat, lon) and points (lat, lon and more) at most the radius apart: the points' columns,
@@ -27,8 +24,9 @@ def within(points: DataFrame, targets: DataFrame, radius_m: float = fixed.RADIUS
 
 
 def radius_counts(points: DataFrame, targets: DataFrame, radius_m: float = fixed.RADIUS_M) -> DataFrame:
-    """target_id and n, the points within the radius; 0 without any."""
-    n = within(points, targets, radius_m).groupBy("target_id").agg(F.count("*").alias("n"))
+    """target_id and n, the points within the radius; 0 without any. Points are counted by cubes, not paired."""
+    n = counts_within(points, targets, radius_m, Frozen(points.sparkSession, "counts"))
+    n = targets.filter(PLACED).select("target_id", "lat", "lon").join(n, ["lat", "lon"]).groupBy("target_id").agg(F.sum("n").alias("n"))
     return targets.select("target_id").join(n, "target_id", "left").select("target_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

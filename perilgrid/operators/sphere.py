@@ -26,6 +26,8 @@ SLACK = 1.0001
 #: Rows with coordinates.
 PLACED = "lat is not null and lon is not null and not isnan(lat) and not isnan(lon) and abs(lat) < 1e9 and abs(lon) < 1e9"
 AXES = ("x", "y", "z")
+#: Radii below this are searched in cubes of this size.
+LEAST_M = 0.5
 
 
 def chord(metres: float) -> float:
@@ -67,6 +69,56 @@ def near_cells(rows: DataFrame, at: dict[str, Column], reach: float, name: str)
     return rows.filter(F.col("_out") >= 1 - 1e-9).select(*kept, F.struct(*(F.col(f"_c{a}").alias(a) for a in AXES)).alias(name))
 
 
+#: Cubes of a reach are split in four along each axis this often; one with so few places is compared place by place.
+SPLITS, SOME = 5, 64
+
+
+def counts_within(points: DataFrame, targets: DataFrame, metres: float, frozen: Frozen) -> DataFrame:
+    """(lat, lon, n) for the distinct places of ``targets`` that have any of ``points`` (lat, lon) within so many metres, and how many.
+
+    Equal places are one, with their number. Cubes that lie within the radius as a whole are counted whole and those outside are left;
+    only what the radius cuts is split, and what is left at the end, or has few places, is compared by distance. So a target costs what
+    lies at its circle, not what lies in it."""
+    reach = chord(max(metres, LEAST_M))
+    side, near = reach * SLACK / 4**SPLITS, chord(metres)
+    least, most = near**2 * (1 - 1e-9) - near * 1e-13, reach**2 * (1 + 1e-9) + reach * 1e-13
+    at = unit(F.col("lat"), F.col("lon"))
+    cell = lambda k: F.struct(*(F.shiftright(f"_{a}", 2 * (SPLITS - k)).alias(a) for a in AXES))
+    placed = points.filter(PLACED).groupBy("lat", "lon").agg(F.count("*").alias("w")).select("*", *(c.alias(a) for a, c in at.items()))
+    placed = frozen(placed.select("*", *(F.floor(F.col(a) / side).cast("long").alias(f"_{a}") for a in AXES)), "places")
+    level = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), cell(k).alias("cell")) for k in range(SPLITS + 1)))).alias("at")
+    bounds = [f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES]
+    up = F.struct(*(F.shiftright(f"at.cell.{a}", 2).alias(a) for a in AXES))
+    nodes = placed.select(*AXES, "w", level).groupBy("at").agg(F.count("*").alias("places"), F.sum("w").alias("w"), *bounds)
+    nodes = frozen(nodes.select("at.level", "at.cell", up.alias("up"), *nodes.columns[1:]), "nodes")
+
+    asked = targets.filter(PLACED).select("lat", "lon").distinct().select("*", *(c.alias(a) for a, c in at.items()))
+    keys = ("lat", "lon", *AXES)
+    asked = near_cells(asked, {a: F.col(a) for a in AXES}, reach, "cell")
+    asked = asked.select(*keys, F.struct(*(F.col(f"cell.{a}").cast("long").alias(a) for a in AXES)).alias("cell"))
+    apart = {
+        "low": _square((F.greatest(F.col(f"min_{a}"), F.least(F.col(f"max_{a}"), F.col(a))), F.col(a)) for a in AXES),
+        "high": reduce(add, (F.greatest(F.pow(F.col(a) - F.col(f"min_{a}"), F.lit(2)), F.pow(F.col(a) - F.col(f"max_{a}"), F.lit(2))) for a in AXES)),
+    }
+    found, cut = [], []
+    for k in range(SPLITS + 1):
+        here = nodes.filter(F.col("level") == k)
+        met = asked.join(here, "cell") if not k else asked.join(here, "up")
+        met = once(met, apart).filter(F.col("low") <= most)
+        kind = F.when(F.col("high") <= least, "whole").when((F.col("places") <= SOME) | F.lit(k == SPLITS), "leaf").otherwise("open")
+        met = frozen(met.select(*keys, "level", "cell", "w", kind.alias("kind")), f"met-{k}")
+        found.append(met.filter("kind = 'whole'").select("lat", "lon", "w"))
+        cut.append(met.filter("kind = 'leaf'").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.struct("level", "cell").alias("at")))
+        asked = met.filter("kind = 'open'").select(*keys, F.col("cell").alias("up"))
+        if asked.isEmpty():
+            break
+    cut = reduce(DataFrame.unionByName, cut)
+    pairs = placed.select("lat", "lon", "w", level).join(cut.select("at").distinct(), "at", "left_semi").join(cut, "at")
+    close = pairs.filter(haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= metres)
+    found.append(close.select(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "w"))
+    return reduce(DataFrame.unionByName, found).groupBy("lat", "lon").agg(F.sum("w").alias("n"))
+
+
 #: A node with more places than LEAF is split into cubes of a quarter of its side, DEPTH levels of which end at some 20 cm. A
 #: search starts from at most START nodes.
 LEAF, DEPTH, START = 16, 13, 24

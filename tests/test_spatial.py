@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from perilgrid.functions.columns import haversine
 from perilgrid.operators import cluster, geo, risk, route, sphere
 from perilgrid.operators.components import connected_components
 from perilgrid.sources.frozen import Frozen
@@ -346,3 +347,28 @@ def test_few_stops_are_searched_in_full(spark, closed):
     start = time.monotonic()
     orders, _ = route.solve_all(many, closed, True)
     assert time.monotonic() - start < 20 and (np.sort(orders, axis=1) == np.arange(8)).all()
+
+
+@pytest.mark.parametrize("radius", [0.0, 0.3, 40.0, 2500.0, 9e6, 20_015_000.0, 3e7])
+def test_counts_of_heaps(spark, radius, monkeypatch):
+    """Counts by cubes, against all pairs: heaps at a pole, at the antimeridian and elsewhere, copies, and rows without a place."""
+    monkeypatch.setattr(sphere, "SOME", 4)
+    rng = np.random.default_rng(6)
+    heaps = [(89.99, 0.0, 0.02, 180.0), (10.0, 179.9995, 0.001, 0.001), (-40.0, 20.0, 0.05, 0.05), (0.0, 0.0, 90.0, 180.0)]
+    places = [(min(90.0, float(y + a * h)), float((x + b * w + 180) % 360 - 180)) for y, x, h, w in heaps for a, b in rng.uniform(-1, 1, (150, 2))]
+    places += places[:200] + [(None, 1.0), (float("nan"), 1.0)]
+    targets = [(i, *places[i]) for i in range(0, len(places), 3)] + [(9999, None, None)]
+    got = geo.radius_counts(spark.createDataFrame(places, "lat double, lon double"), spark.createDataFrame(targets, "target_id long, lat double, lon double"), radius)
+    both = spark.createDataFrame(places, "lat double, lon double").crossJoin(spark.createDataFrame(targets, "target_id long, tlat double, tlon double"))
+    dist = haversine(F.col("tlat"), F.col("tlon"), F.col("lat"), F.col("lon"))
+    want = dict(both.filter("lat + tlat < 1e9").filter(dist <= radius).groupBy("target_id").count().collect())
+    assert {r["target_id"]: r["n"] for r in got.collect()} == {t[0]: want.get(t[0], 0) for t in targets}
+
+
+def test_counting_pairs_nothing_within(spark, monkeypatch):
+    """20,000 targets amid 20,000 points: 400 million pairs, of which none is looked at."""
+    monkeypatch.setattr(geo, "within", None)
+    rows = spark.range(20_000).select(F.col("id").alias("target_id"), (F.lit(37.0) + F.col("id") * 1e-6).alias("lat"), F.lit(127.0).alias("lon"))
+    start = time.monotonic()
+    assert geo.radius_counts(rows, rows, 250_000.0).agg(F.min("n"), F.max("n"), F.count("*")).first()[:] == (20_000,) * 3
+    assert time.monotonic() - start < 30
