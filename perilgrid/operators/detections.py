@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import class_weight, letterbox, severity
@@ -127,16 +127,24 @@ def kept_boxes(detections: DataFrame, iou: float = fixed.NMS_IOU, crowd: int = C
     return few.unionByName(many)
 
 
-#: Pixels of a mask.
-WORD = 60
+#: Pixels of images that are drawn together.
+CELLS = 1 << 18
+
+
+def _drawn(image: np.ndarray, n: int, boxes: list[np.ndarray], width: int, height: int) -> np.ndarray:
+    """Which pixels of n images boxes cover: corners are marked, and sums along both axes fill the boxes."""
+    x1, y1, x2, y2 = boxes
+    marks = np.zeros((n, height + 1, width + 1), np.int32)
+    for y, x, sign in ((y1, x1, 1), (y1, x2, -1), (y2, x1, -1), (y2, x2, 1)):
+        np.add.at(marks.reshape(-1), (image * (height + 1) + y) * (width + 1) + x, sign)
+    return (marks.cumsum(1, dtype=np.int32).cumsum(2, dtype=np.int32) > 0)[:, :height, :width]
 
 
 def area_ratios(detections: DataFrame, width: int, height: int) -> DataFrame:
     """image_id and ratio, the share of the image that boxes cover, overlaps counted once.
 
-    Edges are rounded half to even and clipped. A box becomes a bit mask for each of its rows and words of ``WORD`` pixels;
-    masks of a row and word are united by a bitwise or, which is aggregated in code generation. Boxes are dealt out by image
-    once, before they are spread."""
+    Edges are rounded half to even and clipped. Boxes are sorted by image and drawn as they stream, many small images together; a task
+    holds the pixels of one image, or of ``CELLS``, whatever the number of boxes."""
     if width <= 0 or height <= 0:
         return detections.select("image_id").distinct().withColumn("ratio", F.lit(0.0))
     edge = {
@@ -145,15 +153,45 @@ def area_ratios(detections: DataFrame, width: int, height: int) -> DataFrame:
         "x2": F.least(F.lit(width), F.rint("x2").cast("int")),
         "y2": F.least(F.lit(height), F.rint("y2").cast("int")),
     }
-    clipped = detections.withColumns(edge).select("image_id", *edge).filter("x2 > x1 and y2 > y1").repartition("image_id")
-    rows = clipped.select("image_id", "x1", "x2", F.explode(F.sequence("y1", F.col("y2") - 1)).alias("y"))
-    words = rows.select("*", F.explode(F.expr(f"sequence(x1 div {WORD}, (x2 - 1) div {WORD})")).alias("word"))
-    start, end = (f"least({WORD}, greatest(0, {c} - word * {WORD}))" for c in ("x1", "x2"))
-    mask = F.expr(f"shiftleft(1L, cast({end} as int)) - shiftleft(1L, cast({start} as int))")
-    united = words.groupBy("image_id", "y", "word").agg(F.bit_or(mask).alias("mask"))
-    covered = united.groupBy("image_id").agg(F.sum(F.bit_count("mask")).alias("n"))
-    ratio = F.coalesce(F.col("n"), F.lit(0)) / F.lit(float(width * height))
-    return detections.select("image_id").distinct().join(covered, "image_id", "left").select("image_id", ratio.alias("ratio"))
+    clipped = detections.withColumns(edge).select("image_id", *edge)
+    covers = F.coalesce(F.expr("x2 > x1 and y2 > y1"), F.lit(False))
+    clipped = clipped.select("image_id", *(F.when(covers, F.col(c)).otherwise(0).alias(c) for c in edge)).repartition("image_id").sortWithinPartitions("image_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mask = None, None  # the image that the next batch may go on with, and its pixels
+
+        def out(ids: pa.Array, pixels: list[int]) -> pa.RecordBatch:
+            return pa.record_batch([ids, pa.array(pixels, pa.int64())], names=["image_id", "pixels"])
+
+        for batch in batches:
+            ids = batch.column("image_id")
+            if not len(ids):
+                continue
+            codes = ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            ends, pixels = np.append(starts[1:], len(ids)), []
+            image = np.repeat(np.arange(len(starts)), ends - starts)
+            boxes = [batch.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")]
+            if last is not None and last[0].as_py() != ids[0].as_py():
+                yield out(last, [int(mask.sum())])
+                mask = None
+            step = max(1, CELLS // (width * height))
+            for first in range(0, len(starts), step):
+                n = min(step, len(starts) - first)
+                part = slice(starts[first], ends[first + n - 1])
+                drawn = _drawn(image[part] - first, n, [b[part] for b in boxes], width, height)
+                if not first and mask is not None:
+                    drawn[0] |= mask
+                pixels += drawn.sum((1, 2)).tolist()
+            last, mask = ids.slice(len(ids) - 1), drawn[-1].copy()
+            yield out(ids.take(pa.array(starts[:-1])), pixels[:-1])
+        if last is not None:
+            yield out(last, [int(mask.sum())])
+
+    detections.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    covered = clipped.mapInArrow(run, StructType([clipped.schema["image_id"], StructField("pixels", LongType())]))
+    pixels = F.when(F.col("image_id").isNotNull(), F.col("pixels")).otherwise(0)
+    return covered.select("image_id", (pixels / F.lit(float(width * height))).alias("ratio"))
 
 
 def severities(detections: DataFrame, ratios: DataFrame | None = None) -> DataFrame:

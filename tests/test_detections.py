@@ -166,3 +166,24 @@ def test_images_of_a_thousand_boxes_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(crowded, "suppress", None)
     rows = [(k % 2, k, "D00", k / 4000, float(k % 40 * 10), float(k // 40 * 10), float(k % 40 * 10 + 10), float(k // 40 * 10 + 10)) for k in range(4000)]
     assert D.kept_boxes(spark.createDataFrame(rows, KIND)).count() == 4000
+
+
+def test_areas_of_images_over_many_batches(spark):
+    """Images that reach over Arrow batches, small and large ones, with and without an area, in one table; boxes aren't spread to rows."""
+    rng = np.random.default_rng(3)
+    rows, masks = [], {}
+    for image, n in ((1, 700), (2, 3), (3, 1), (4, 900), (5, 2), (None, 2)):
+        masks[image] = np.zeros((40, 70), bool)
+        for k, (x, y, w, h) in enumerate(zip(*rng.uniform(-5, 60, (2, n)), *rng.uniform(0, 4, (2, n)), strict=True)):
+            x1, y1, x2, y2 = (round(float(v)) for v in (x, y, x + w, y + h))
+            masks[image][max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)] |= image is not None
+            rows.append((image, k, "D00", 0.5, float(x), float(y), float(x + w), float(y + h)))
+    rows.append((6, 0, "D00", 0.5, None, 0.0, 9.0, 9.0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        ratios = D.area_ratios(spark.createDataFrame(rows, KIND), 70, 40)
+        assert "Generate" not in ratios._jdf.queryExecution().executedPlan().toString()
+        got = {r["image_id"]: r["ratio"] for r in ratios.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == pytest.approx({k: m.mean() for k, m in masks.items()} | {6: got[6]})
