@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from perilgrid.functions import fixed
 from perilgrid.functions.columns import haversine, strip
@@ -30,11 +35,50 @@ def radius_counts(points: DataFrame, targets: DataFrame, radius_m: float = fixed
     return targets.select("target_id").join(n, "target_id", "left").select("target_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+#: Distinct places up to which the nearest one is found by comparing each target with all of them, in one pass.
+FEW = 1024
+
+
+def _nearest_of_few(places: list, targets: DataFrame) -> DataFrame:
+    """The nearest of ``places`` (lat, lon) by squared chords in Arrow batches; its great-circle distance is worked out as elsewhere."""
+
+    def units(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        y, x = np.radians(lat), np.radians(lon)
+        return np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)])
+
+    lat, lon = (np.array([p[c] for p in places], float) for c in ("lat", "lon"))
+    held = units(lat, lon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = units(*(batch.column(c).to_numpy() for c in ("lat", "lon")))
+            best = np.empty(len(batch), np.int64)
+            for k in range(0, len(best), ROWS):
+                apart = sum((a[k : k + ROWS, None] - h) ** 2 for a, h in zip(at, held, strict=True))
+                best[k : k + ROWS] = apart.argmin(1)
+            yield pa.record_batch([*batch.columns, pa.array(lat[best]), pa.array(lon[best])], names=[*batch.schema.names, "_lat", "_lon"])
+
+    asked = targets.filter(PLACED).select("target_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    double = [StructField(c, DoubleType()) for c in ("_lat", "_lon")]
+    found = asked.mapInArrow(run, StructType([*asked.schema.fields, *double]))
+    found = found.select("target_id", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")).alias("nearest_m"))
+    rest = targets.filter(~F.coalesce(F.expr(PLACED), F.lit(False)))
+    return found.unionByName(rest.select("target_id", F.lit(None).cast("double").alias("nearest_m")))
+
+
+#: Targets that are compared with all places at once.
+ROWS = 256
+
+
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """target_id and nearest_m, the distance to the nearest point; null without points or without coordinates. How far the point
-    is makes no difference to the work: targets go down a tree of the places, never to all of them."""
+    is makes no difference to the work: targets go down a tree of the places, or are compared with all of them if there are few."""
     frozen = Frozen(points.sparkSession, "nearest")
-    found = Tree(points, frozen).nearest(targets.select("target_id", "lat", "lon"), frozen)
+    places = frozen(points.filter(PLACED).select("lat", "lon").distinct(), "points")
+    few = places.limit(FEW + 1).collect()
+    if 0 < len(few) <= FEW:
+        return _nearest_of_few(few, targets.select("target_id", "lat", "lon"))
+    found = Tree(places, frozen).nearest(targets.select("target_id", "lat", "lon"), frozen)
     return targets.select("target_id").join(found, "target_id", "left")
 
 

@@ -372,3 +372,19 @@ def test_counting_pairs_nothing_within(spark, monkeypatch):
     start = time.monotonic()
     assert geo.radius_counts(rows, rows, 250_000.0).agg(F.min("n"), F.max("n"), F.count("*")).first()[:] == (20_000,) * 3
     assert time.monotonic() - start < 30
+
+
+def test_nearest_of_few_places_as_down_the_tree(spark, monkeypatch):
+    """Few places are compared in one pass without a shuffle; the tree gives the same distances."""
+    rng = np.random.default_rng(9)
+    places = [(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300), strict=True)] + [(None, 1.0), (10.0, 180.0), (90.0, 0.0)]
+    targets = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 700), rng.uniform(-180, 180, 700), strict=True))]
+    targets += [(1000, None, 1.0), (1001, float("nan"), 1.0), (1002, 10.0, -180.0), (1003, -90.0, 5.0)]
+    a, b = spark.createDataFrame(places, "lat double, lon double"), spark.createDataFrame(targets, "target_id long, lat double, lon double")
+    few = geo.nearest(a, b)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    got = dict(few.collect())
+    monkeypatch.setattr(geo, "FEW", 0)
+    want = dict(geo.nearest(a, b).collect())
+    assert got.keys() == want.keys() == {t[0] for t in targets} and got[1000] is got[1001] is None
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None}, abs=1e-6)
