@@ -7,12 +7,14 @@ import random
 import struct
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from perilgrid.functions import fixed
+from perilgrid.plans import queries
 from perilgrid.sources import forecasts, image_files, images, png, settings, tables, weather
 
 
@@ -416,3 +418,28 @@ def test_images_of_one_size_are_decoded_together(spark):
     assert len(png.decode_all(items)) == 20_000 and time.monotonic() - start < 6
     large = struct.pack(">II", 4000, 4000).join([bytes(16), b""])
     assert list(png._stretches([b"", large, large, b"", *[b""] * 2000])) == [slice(0, 1), slice(1, 2), slice(2, 3), slice(3, 1027), slice(1027, 2004)]
+
+
+def test_saved_images_are_merged(spark, tmp_path, monkeypatch):
+    """Nothing that grows with the images is broadcast, however small its files are: only names of very many images, fewer than COMMON."""
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    class Seen(queries.Frozen):
+        def __call__(self, df, name):
+            plans.append(plan(df))
+            return super().__call__(df, name)
+
+    monkeypatch.setattr(queries, "Frozen", Seen)
+    monkeypatch.setattr(queries, "COMMON", 10)
+    ids = [*range(200), 203, 203]
+    orders = spark.createDataFrame([(i,) for i in ids], "o_orderkey long").selectExpr("*", "'1-URGENT' AS o_orderpriority", "timestamp'2024-01-01' AS o_orderdate", "1e0 AS o_totalprice", "'F' AS o_orderstatus")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.saved_images(spark, str(tmp_path))
+    plans.append(plan(got))
+    value = {i: 1000 if i % 5 < 2 else i for i in ids}
+    copies = Counter(value[i] for i in ids)
+    assert sorted(map(tuple, got.collect())) == sorted((i, value[i], 96, copies[value[i]]) for i in ids)
+    assert [[p.count(x) for x in ("BroadcastExchange", "SortMergeJoin")] for p in plans] == [[0, 1], [0, 1], [2, 1]]
